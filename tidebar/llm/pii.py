@@ -94,10 +94,14 @@ def _matches(text: str, kind: str, pattern: str, base: bool) -> str:
         a -> a.out), cast(array() as array<{_SPAN}>))"""
 
 
-def base_spans(text: str = "text") -> Column:
-    """The valid base matches of all kinds, as they are ordered in the digests."""
+def base_spans_sql(text: str) -> str:
+    """SQL: the valid base matches of all kinds."""
     each = [f"filter({_matches(text, k, BASE[k], True)}, s -> {_valid(k, 's.span')})" for k in KINDS]
-    return F.expr(f"concat({', '.join(each)})")
+    return f"concat({', '.join(each)})"
+
+
+def base_spans(text: str = "text") -> Column:
+    return F.expr(base_spans_sql(text))
 
 
 def loose_spans(text: str, base: str) -> Column:
@@ -224,17 +228,28 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(_said("base")), 256).alias("base_sha256"), F.expr(_said("spans")).alias("spans"))
 
 
+def _cut(text: str, spans: str) -> str:
+    """SQL: text with every span replaced by its kind in brackets; overlapping spans become one."""
+    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+    return f"""array_join(aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
+        (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', if(s.start < a.at, a.out, concat(a.out, array(substring({text}, a.at + 1, s.start - a.at), array({names})[s.kind])))),
+        a -> array_append(a.out, substring({text}, a.at + 1))), '')"""
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with every span replaced by its kind in brackets; overlapping spans become one. n_chars follows the text."""
+    """The documents, all columns, with all spans replaced by their kinds; n_chars follows the text.
+
+    What a cut leaves may match anew (digits that were part of a longer, failing
+    match), so the base spans of the new text are cut as well, twice.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = _with_spans(rows, train(rows), "doc")
-    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    cut = f"""array_join(aggregate(spans_, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', if(s.start < a.at, a.out, concat(a.out, array(substring(text, a.at + 1, s.start - a.at), array({names})[s.kind])))),
-        a -> array_append(a.out, substring(text, a.at + 1))), '')"""
-    new = F.when(F.size("spans_") == 0, F.col("doc.text")).otherwise(F.expr(cut)).alias("text")
-    rest = {"text": new}
+    found = _with_spans(rows, train(rows), "doc").withColumn("some_", F.size("spans_") > 0)
+    found = found.withColumn("text", F.when(F.col("some_"), F.expr(_cut("text", "spans_"))))
+    for _ in range(2):
+        again = F.expr(f"array_sort(transform({base_spans_sql('text')}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end)))")
+        found = found.withColumn("spans_", F.when(F.col("some_"), again)).withColumn("text", F.when(F.col("some_"), F.expr(_cut("text", "spans_"))))
+    new = {"text": F.when(F.col("some_"), F.col("text")).otherwise(F.col("doc.text")).alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rest["n_chars"] = F.when(F.size("spans_") == 0, F.col("doc.n_chars")).otherwise(F.length(F.expr(cut)).cast(kind)).alias("n_chars")
-    return found.select(*[rest.get(c, F.col(f"doc.`{c}`")) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("some_"), F.length("text").cast(kind)).otherwise(F.col("doc.n_chars")).alias("n_chars")
+    return found.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in docs.columns])
