@@ -58,11 +58,10 @@ def edited(rng, words, share):
     return " ".join(rng.choice(["zz", "yy", "xx"]) + str(rng.randrange(99)) if rng.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("group", [24, 3])
-def test_clusters_chains_and_shared_passages(spark, monkeypatch, group):
+@pytest.mark.parametrize("docs_a_bucket", [40, 8192])
+def test_clusters_chains_and_shared_passages(spark, monkeypatch, docs_a_bucket):
     """Near copies at all distances, chains, many documents with one passage, and small sets; also where few keys may be paired."""
-    monkeypatch.setattr(jaccard, "GROUP", group)
-    monkeypatch.setattr(jaccard, "BUCKET_DOCS", 40)
+    monkeypatch.setattr(jaccard, "BUCKET_DOCS", docs_a_bucket)
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(3000)]
     say = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -82,7 +81,7 @@ def test_clusters_chains_and_shared_passages(spark, monkeypatch, group):
     texts += ["a b c d e f g"] * 40 + [None, "", " \n"]
     rng.shuffle(texts)
     rows = [(i * 7 % 100_003, t, "x") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3) if False else spark.createDataFrame([(i, t, 1) for i, t, _ in rows], "doc_id long, text string, n long").repartition(3)
+    docs = spark.createDataFrame([(i, t, 1) for i, t, _ in rows], "doc_id long, text string, n long").repartition(3)
     assert said(jaccard.near_duplicates(docs)) == brute([(i, t) for i, t, _ in rows])
 
 

@@ -46,12 +46,14 @@ from tidebar.llm.components import components
 
 SHINGLE = 5
 #: Documents for each bucket of segment keys; keys a task holds before it sends them on.
-BUCKET_DOCS = 2048
-FLUSH_KEYS = 1 << 21
+BUCKET_DOCS = 8192
+FLUSH_KEYS = 1 << 19
 #: Most classes of a key that are paired with each other.
-GROUP = 24
-HUBS = 4
-CACHE_WORDS = 400_000
+GROUP = 8
+HUBS = 2
+#: Documents of one shingle that are compared in one block of the second join; more of them are dealt to pairs of blocks.
+BLOCK_DOCS = 1024
+CACHE_WORDS = 250_000
 
 _U = np.uint64
 _STEPS = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -108,11 +110,11 @@ def most_different(a: int, b: int) -> int:
 def segments(k: int) -> int:
     """How many for the band [2^k, 2^(k+1))."""
     low = int(BANDS[k])
-    return -(-low // 2) + 2 * int(low**0.5) + 1
+    return 2 * low + 2 * int(low**0.5) + 1
 
 
 def slack(k: int) -> int:
-    return 1 + int(BANDS[k]) // 16
+    return 1 + int(BANDS[k]) // 2
 
 
 def configurations(n: int) -> list[tuple[int, int]]:
@@ -164,9 +166,11 @@ def hamming(a: bytes, b: bytes) -> int:
 
 
 #: One row for each flush and bucket, and one a flush with bucket -1 for its documents.
-#: records: (doc_id, size, print 1, print 2, band, spare) of each document and configuration; keys and their records.
+#: records: of each document and configuration in a bucket, or each document of a flush; keys and their records.
 _KEYS = "bucket int, records binary, keys binary, owner binary, sketches array<binary>"
-_RECORD = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8"), ("band", "<i4"), ("spare", "<i4")])
+_NODE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8")])
+#: A bucket tells classes apart by size and the first print; all documents of a flush have a record in most buckets, so records are short.
+_RECORD = np.dtype([("doc", "<i8"), ("f1", "<u8"), ("n", "<u4"), ("spare", "<i2"), ("band", "<i2")])
 
 
 def _key_table(docs: DataFrame, bits: int) -> DataFrame:
@@ -180,7 +184,7 @@ def _key_table(docs: DataFrame, bits: int) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(-1, np.asarray(nodes, dtype=_RECORD).tobytes(), b"", b"", list(sketches))]
+            rows = [(-1, np.asarray(nodes, dtype=_NODE).tobytes(), b"", b"", list(sketches))]
             if held:
                 keys = np.concatenate(held)
                 owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
@@ -204,7 +208,7 @@ def _key_table(docs: DataFrame, bits: int) -> DataFrame:
                 if not len(s) or doc is None:
                     continue
                 print_ = (len(s), int(np.bitwise_xor.reduce(s)), int(mix(s + _U(1)).sum(dtype=_U)))
-                node = (doc, *print_, 0, 0)
+                node = (doc, *print_)
                 nodes.append(node)
                 if print_ in seen:  # a copy of what this flush holds
                     sketches.append(b"")
@@ -213,7 +217,7 @@ def _key_table(docs: DataFrame, bits: int) -> DataFrame:
                 sketches.append(bit_sketch(s))
                 for k, d in configurations(len(s)):
                     keys, spare = segment_keys(s, k, d)
-                    records.append((*node[:4], k, spare))
+                    records.append((doc, print_[1], len(s), min(spare, 32_000), k))
                     held.append(keys)
                     size += len(keys)
             if size >= FLUSH_KEYS:
@@ -233,7 +237,7 @@ def _nodes(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for records, sketches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r = np.frombuffer(records, dtype=_RECORD)
+                r = np.frombuffer(records, dtype=_NODE)
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc"]), pa.array(r["n"]), pa.array(r["f1"].view("<i8")), pa.array(r["f2"].view("<i8")), pa.array(sketches, pa.binary())], names=["doc_id", "n", "f1", "f2", "sketch"])
 
     return table.where("bucket = -1").select("records", "sketches").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch binary")
@@ -243,81 +247,105 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
 
 
-def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket's rows: pairs of documents (2, n), and (doc, band, spare, key) of keys with too many classes."""
+def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one bucket's rows: pairs of documents (2, n); and the records with keys of too many classes, where each one's keys begin, and the keys."""
     records = np.concatenate([np.frombuffer(r, dtype=_RECORD) for r, _, _ in tables])
     keys = np.concatenate([np.frombuffer(k, dtype="<u4") for _, k, _ in tables])
+    # most keys stand alone: only the others are looked at
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    del same
+    keys = keys[order]
     base, owner = 0, []
     for r, k, o in tables:
-        owner.append(np.frombuffer(o, dtype="<u2" if len(o) == len(k) // 2 else "<u4").astype(np.int64) + base)
+        owner.append(np.frombuffer(o, dtype="<u2" if len(o) == len(k) // 2 else "<u4").astype(np.int32) + np.int32(base))
         base += len(r) // _RECORD.itemsize
-    owner = np.concatenate(owner)
+    owner = np.concatenate(owner)[order]
+    none = np.zeros((2, 0), dtype=np.int64), (records[:0], np.zeros(1, dtype=np.int32), keys[:0])
+    if not len(keys):
+        return none
     # classes by their prints; of equal keys of a class one stays, that of the least document
-    prints = np.stack([records["f1"], records["f2"]], axis=1)
-    cls = np.unique(prints, axis=0, return_inverse=True)[1].reshape(-1)
-    order = np.lexsort((records["doc"][owner], cls[owner], keys))
+    cls = np.unique(records["f1"] ^ mix(records["n"].astype(_U)), return_inverse=True)[1].reshape(-1).astype(np.int32)
+    by_doc = np.empty(len(records), dtype=np.int32)
+    by_doc[np.argsort(records["doc"], kind="stable")] = np.arange(len(records), dtype=np.int32)
+    order = np.lexsort((by_doc[owner], cls[owner], keys))
     keys, owner = keys[order], owner[order]
     c = cls[owner]
     first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (c[1:] != c[:-1])])
     keys, owner = keys[first], owner[first]
+    del order, c, first
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     size_of = np.repeat(sizes, sizes)
-    left, right = [], []
+    size = records["n"].astype(np.int64)
+    found: list[np.ndarray] = []
+
+    def pair(x: np.ndarray, y: np.ndarray) -> None:
+        """Keeps the pairs that fit, each once; a pair meets under many keys."""
+        fit = _fits(size[x], size[y]) & (cls[x] != cls[y])
+        x, y = by_doc[x[fit]].astype(_U), by_doc[y[fit]].astype(_U)
+        found.append(np.unique(np.minimum(x, y) << _U(32) | np.maximum(x, y)))
+
     some = (size_of > 1) & (size_of <= GROUP)
     k, o = keys[some], owner[some]
     for step in range(1, min(GROUP, len(k))):
-        same = np.flatnonzero(k[step:] == k[:-step])
-        if not len(same):
+        at = np.flatnonzero(k[step:] == k[:-step])
+        if not len(at):
             break
-        left.append(o[same])
-        right.append(o[same + step])
+        pair(o[at], o[at + step])
     hot = size_of > GROUP
     k, o = keys[hot], owner[hot]
-    hot_rows = np.zeros((4, 0), dtype=np.int64)
+    del some, hot, size_of, keys, owner
+    crowded = none[1]
     if len(k):
-        hot_rows = np.stack([records["doc"][o], records["band"][o].astype(np.int64), records["spare"][o].astype(np.int64), k.astype(np.int64)])
-        often = np.bincount(o, minlength=len(records))[o]  # documents with most such keys stand in the middle of their group
-        by = np.lexsort((records["doc"][o], -often, k))
-        k, o = k[by], o[by]
-        place = np.arange(len(k)) - np.repeat(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), np.unique(k, return_counts=True)[1])
-        begin = np.arange(len(k)) - place
-        for h in range(HUBS):
-            far = np.flatnonzero(place > h)
-            left.append(o[begin[far] + h])
-            right.append(o[far])
-        near = np.lexsort((records["doc"][o], records["n"][o], k))
-        same = np.flatnonzero(k[near][1:] == k[near][:-1])
-        left.append(o[near][same])
-        right.append(o[near][same + 1])
-    if not left:
-        return np.zeros((2, 0), dtype=np.int64), hot_rows
-    left, right = np.concatenate(left), np.concatenate(right)
-    fit = _fits(records["n"][left], records["n"][right]) & (cls[left] != cls[right])
-    a, b = records["doc"][left[fit]], records["doc"][right[fit]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pairs, hot_rows
+        mine = np.argsort(o, kind="stable")
+        begins = np.flatnonzero(np.concatenate([[True], o[mine][1:] != o[mine][:-1]]))
+        crowded = records[o[mine][begins]], np.append(begins, len(o)).astype(np.int32), k[mine]
+        # hubs: the smallest sets, and those with most such keys, which stand in the middle of their group
+        often = np.bincount(o, minlength=len(records)).astype(np.int32)
+        for rank in (size, -often):
+            by = np.lexsort((by_doc[o], rank[o], k))
+            x = o[by]
+            begin = np.flatnonzero(np.concatenate([[True], k[by][1:] != k[by][:-1]]))
+            begin = np.repeat(begin, np.diff(np.append(begin, len(x))))
+            place = np.arange(len(x)) - begin
+            for h in range(HUBS):
+                far = np.flatnonzero(place > h)
+                pair(x[begin[far] + h], x[far])
+    if not found:
+        return none[0], crowded
+    codes = np.unique(np.concatenate(found))
+    docs = np.sort(records["doc"])
+    a, b = docs[(codes >> _U(32)).astype(np.int64)], docs[(codes & _U(0xFFFFFFFF)).astype(np.int64)]
+    return np.stack([a, b]), crowded
 
 
 def _candidates(table: DataFrame) -> DataFrame:
-    """kind 0: a, b are documents of a candidate pair; kind 1: a is a document, b a key with too many classes."""
+    """a, b: documents of a candidate pair; or a, band, spare and keys: a document and its keys with too many classes (b null)."""
 
     def run(group: pa.Table) -> pa.Table:
-        pairs, hot = bucket_candidates(list(zip(*(group.column(c).to_pylist() for c in ("records", "keys", "owner")), strict=True)))
         bucket = group.column("bucket")[0].as_py() if group.num_rows else 0
-        n, m = pairs.shape[1], hot.shape[1]
-        none = np.zeros(n, dtype=np.int32)
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("records", "keys", "owner")), strict=True))
+        del group
+        pairs, (crowded, begins, keys) = bucket_candidates(rows)
+        n, m = pairs.shape[1], len(crowded)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n, dtype=np.int32), begins])), pa.array(keys.astype(np.int64) + (bucket << 32)))
         return pa.table(
             {
-                "kind": np.concatenate([none, np.ones(m, dtype=np.int32)]),
-                "a": np.concatenate([pairs[0], hot[0]]),
-                "b": np.concatenate([pairs[1], hot[3] + (bucket << 32)]),
-                "band": np.concatenate([none, hot[1].astype(np.int32)]),
-                "spare": np.concatenate([none, hot[2].astype(np.int32)]),
+                "a": np.concatenate([pairs[0], crowded["doc"]]),
+                "b": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]),
+                "band": np.concatenate([np.zeros(n, dtype=np.int32), crowded["band"].astype(np.int32)]),
+                "spare": np.concatenate([np.zeros(n, dtype=np.int32), crowded["spare"].astype(np.int32)]),
+                "keys": lists,
             }
         )
 
-    return table.where("bucket >= 0").select("bucket", "records", "keys", "owner").groupBy("bucket").applyInArrow(run, "kind int, a long, b long, band int, spare int")
+    return table.where("bucket >= 0").select("bucket", "records", "keys", "owner").groupBy("bucket").applyInArrow(run, "a long, b long, band int, spare int, keys array<bigint>")
+
+
+def _sketches(nodes: DataFrame) -> DataFrame:
+    return nodes.where("length(sketch) > 0").groupBy("doc_id").agg(F.max_by("sketch", "n").alias("sketch"))
 
 
 def _near_by_bits(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -368,7 +396,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "u long, v long")
 
 
-def _second_pairs(docs: DataFrame, needy: DataFrame, found: DataFrame) -> DataFrame:
+def _second_pairs(docs: DataFrame, nodes: DataFrame, needy: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of needy documents of different components by a shared shingle among the n/4 + 1 rarest of each: all that can link."""
     part = needy.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "key")
     mixed = part.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
@@ -383,13 +411,66 @@ def _second_pairs(docs: DataFrame, needy: DataFrame, found: DataFrame) -> DataFr
 
     sets = _sets(docs, ids.select("doc_id")).join(ids, "doc_id").select("doc_id", "component", "hashes")
     tall = written(sets.mapInArrow(run, "doc_id long, component long, n long, shingle long"), "needy_shingles")
-    often = tall.groupBy("shingle").agg(F.count("*").alias("docs"))
-    ranked = tall.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("docs", "shingle")))
-    first = written(ranked.where("rank <= n div 4 + 1").select("shingle", "doc_id", "component", "n"), "needy_first")
-    x, y = first.alias("x"), first.alias("y")
-    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    fits = F.lit(100) * F.least("x.n", "y.n") >= F.lit(75) * F.greatest("x.n", "y.n")
-    return x.join(y, meets & fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    # only shingles of two components matter; a document's partners share at most its n_shared of them
+    shared = tall.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("n").alias("least_n"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+    mine = tall.join(shared.select("shingle", "docs", "least_n"), "shingle")
+    w = Window.partitionBy("doc_id")
+    mine = mine.withColumn("n_shared", F.count("*").over(w)).where("4 * n_shared >= 3 * n").withColumn("rank", F.row_number().over(w.orderBy("docs", "shingle")))
+    # a + b <= 7/3 of the overlap; the smallest document of a shingle is the best partner there
+    first = mine.where("rank <= n div 4 + 1 - (n - n_shared) and 3 * (n + least_n) <= 7 * n_shared")
+    first = first.withColumn("blocks", (F.col("docs") / BLOCK_DOCS).cast("int") + 1)
+    first = first.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = first.select("shingle", "doc_id", "component", "n", "n_shared", "block", other.alias("other"))
+    dealt = dealt.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
+    rows = dealt.join(_sketches(nodes), "doc_id").select("shingle", "lo", "hi", "block", "doc_id", "component", "n", "n_shared", "sketch")
+    key = ["shingle", "lo", "hi"]
+    return rows.repartition(*key).sortWithinPartitions(*key, "doc_id").mapInArrow(_pairs_of_groups, "a long, b long").distinct()
+
+
+def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle and blocks: the pairs of two components that can link by sizes, shared shingles and bit sketches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 20_000:
+            t = pa.Table.from_batches(held).combine_chunks()
+            group = _group_numbers(t)
+            whole = int(np.searchsorted(group, group[-1]))
+            held = t.slice(whole).to_batches()
+            if whole:
+                yield _compared(t.slice(0, whole), group[:whole])
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield _compared(t, _group_numbers(t))
+
+
+def _group_numbers(t: pa.Table) -> np.ndarray:
+    new = np.zeros(t.num_rows, dtype=bool)
+    for c in ("shingle", "lo", "hi"):
+        v = t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _compared(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+    doc, component, n, shared, block = (t.column(c).to_numpy() for c in ("doc_id", "component", "n", "n_shared", "block"))
+    across = t.column("lo").to_numpy() != t.column("hi").to_numpy()
+    docs, row, number = np.unique(doc, return_index=True, return_inverse=True)
+    found: list[np.ndarray] = []
+    for step in range(1, len(group)):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        if not len(i):
+            break
+        j = i + step
+        ok = (component[i] != component[j]) & ~(across[i] & (block[i] == block[j])) & _fits(n[i], n[j]) & (3 * (n[i] + n[j]) <= 7 * np.minimum(shared[i], shared[j]))
+        x, y = number[i[ok]].astype(_U), number[j[ok]].astype(_U)
+        found.append(np.unique(np.minimum(x, y) << _U(32) | np.maximum(x, y)))
+    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=_U)
+    a, b = (codes >> _U(32)).astype(np.int64), (codes & _U(0xFFFFFFFF)).astype(np.int64)
+    sketch = t.column("sketch").to_pylist()
+    ok = np.asarray([hamming(sketch[row[x]], sketch[row[y]]) <= most_different(int(n[row[x]]), int(n[row[y]])) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+    return pa.RecordBatch.from_arrays([pa.array(docs[a[ok]]), pa.array(docs[b[ok]])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -401,14 +482,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     to_rep = nodes.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
 
     said = written(_candidates(table), "candidates")
-    pairs = said.where("kind = 0").select("a", "b").distinct()
+    pairs = said.where("b is not null").select("a", "b").distinct()
     edges = written(_verified(docs, written(_near_by_bits(pairs, nodes), "near")), "links")
-    needy_docs = said.where("kind = 1").groupBy("a", "band", "spare").agg(F.count("*").alias("hot")).where("hot > spare")
-    needy = written(said.where("kind = 1").join(needy_docs, ["a", "band"], "left_semi").select(F.col("a").alias("doc_id"), F.col("b").alias("key")), "needy_keys")
+    crowded = said.where("b is null")
+    needy_docs = crowded.groupBy("a", "band", "spare").agg(F.sum(F.size("keys")).alias("hot")).where("hot > spare")
+    needy = written(crowded.join(needy_docs, ["a", "band"], "left_semi").select(F.col("a").alias("doc_id"), F.explode("keys").alias("key")), "needy_keys")
     if not needy.isEmpty():
         # any document stands for its class: a class may have sent keys by different copies from different tasks
         named = edges.union(to_rep.join(needy.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-        more = written(_near_by_bits(_second_pairs(docs, needy, components(named)), nodes), "near")
+        more = written(_second_pairs(docs, nodes, needy, components(named)), "near")
         edges = edges.union(_verified(docs, more))
     # links hold between classes: a document's end of an edge moves to its class's name
     ends = edges.select("u").union(edges.select("v")).distinct()
