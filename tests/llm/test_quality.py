@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidebar.llm import quality
-from tidebar.llm.common import table
+from tidebar.llm.common import table, written
 from tidebar.llm.queries import op3_quality_rules
 
 
@@ -83,7 +83,7 @@ def test_random_texts_and_edges(spark):
 
 def test_sketches_merge_and_salted_join_agrees(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    measured = quality._measured(quality.counts(docs))
+    measured = written(quality._measured(quality.counts(docs)), "measured")
     sketch = quality.sketches(measured)
     halves = quality.sketches(measured.where("doc_id % 2 = 0")).union(quality.sketches(measured.where("doc_id % 2 = 1")))
     by = ["g_lang", "measure", "value"]
