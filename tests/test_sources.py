@@ -1,6 +1,5 @@
 """Archives, integrity, sinks, candidates and streaming."""
 
-import io
 import zipfile
 from datetime import datetime
 
@@ -91,4 +90,3 @@ def test_streamed_bars_and_smoothing(spark, tmp_path):
     for r in spark.table("ema_out").orderBy(F.col("bar_index")).collect():
         y = float(r.bar_index % 5) if y is None else 0.5 * y + 0.5 * (r.bar_index % 5)
         assert abs(r.value - y) < 1e-12
-    assert io is not None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebar.operators.grid import AXES, Setting, build_grid
+from tidebar.operators.grid import Setting, build_grid
 from tidebar.params import COSTS_BPS, HORIZONS, RUN_BUCKETS
 from tidebar.queries import CONFIRMED, PARTS
 
@@ -176,12 +176,11 @@ def _cell_signals(settings: list[Setting]) -> str:
             ctes.append(squeeze(p["kc_mult"], p["bb_length"], p["kc_length"], pre=pre))
             parts.append(f"SELECT '{x.key}', 'squeeze', symbol, bar_index, CASE WHEN val > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END FROM {pre}sq WHERE released AND val IS NOT NULL")
         seen.add(key)
-    first = parts[0] if " AS setting_key" in parts[0] else parts[0]
     return f"""{BARS},
 {squeeze(1.5, pre='dflt_')},
 {targets('dflt_sq', 'context')},
 {', '.join(ctes)},
-hits(setting_key, family, symbol, bar_index, direction) AS ({' UNION ALL '.join([first, *parts[1:]])}),
+hits(setting_key, family, symbol, bar_index, direction) AS ({' UNION ALL '.join(parts)}),
 gs0 AS (SELECT h.setting_key, h.family, h.direction, c.symbol, c.interval, c.bar_index, c.close_time, {long()} FROM hits h JOIN context c USING (symbol, bar_index) WHERE bar_index >= 500 AND atr_norm IS NOT NULL),
 gs AS MATERIALIZED (SELECT *, ret_bps * direction AS signed_bps, ret_atr * direction AS signed_atr FROM gs0)"""
 
@@ -326,5 +325,4 @@ SELECT setting_key, interval, horizon, count(*) AS quarters, CAST(sum(n) AS BIGI
         "cost_matrix": f"""WITH {EVENTS}, c AS (SELECT interval, horizon, avg(signed_bps) - 2 * (stddev_samp(signed_bps) / sqrt(count(*))) AS low FROM ev WHERE signed_bps IS NOT NULL GROUP BY 1, 2)
 SELECT interval, horizon, {many('low')}, {', '.join(f"coalesce(low > {c}, false) AS above_{str(c).replace('.', '_')}" for c in COSTS_BPS)} FROM c""",
     }
-    assert AXES
     return sql
