@@ -363,17 +363,33 @@ def _near_by_bits(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids' hashes: 16 an id, from 2^20 to 2^27 bits in all (16 MB), built on the executors in pieces of 4 KB."""
+    m = 1 << min(27, max(20, (16 * ids.count()).bit_length()))
+    at = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(m)).alias("at"))
+    pieces = at.groupBy(F.expr("at div 32768").alias("piece")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits"))
+    out = np.zeros(m // 8, dtype=np.uint8)
+    for r in pieces.toLocalIterator():
+        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, hashes (binary) of the documents in ids."""
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    """doc_id, hashes (binary) of the documents in ids. Texts stay in their tasks; a bitmap tells most of the others apart."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, known = WordHashes(), bits.value
+        m = len(known) * 8
         for batch in batches:
+            at = batch.column(2).to_numpy() % m
+            batch = batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             found = [shingles(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
 
-    return small_batches(wanted).mapInArrow(run, "doc_id long, hashes binary").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes"))
+    made = small_batches(rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))).mapInArrow(run, "doc_id long, hashes binary")
+    return made.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes"))
 
 
 def linked(a: bytes, b: bytes) -> bool:
@@ -423,7 +439,8 @@ def _second_pairs(docs: DataFrame, nodes: DataFrame, needy: DataFrame, found: Da
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = first.select("shingle", "doc_id", "component", "n", "n_shared", "block", other.alias("other"))
     dealt = dealt.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
-    rows = dealt.join(_sketches(nodes), "doc_id").select("shingle", "lo", "hi", "block", "doc_id", "component", "n", "n_shared", "sketch")
+    prefix = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("shingle")).alias("prefix"))  # a quarter of a document's shingles at most
+    rows = dealt.join(_sketches(nodes).join(prefix, "doc_id"), "doc_id").select("shingle", "lo", "hi", "block", "doc_id", "component", "n", "n_shared", "sketch", "prefix")
     key = ["shingle", "lo", "hi"]
     return rows.repartition(*key).sortWithinPartitions(*key, "doc_id").mapInArrow(_pairs_of_groups, "a long, b long").distinct()
 
@@ -469,7 +486,15 @@ def _compared(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
     codes = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=_U)
     a, b = (codes >> _U(32)).astype(np.int64), (codes & _U(0xFFFFFFFF)).astype(np.int64)
     sketch = t.column("sketch").to_pylist()
-    ok = np.asarray([hamming(sketch[row[x]], sketch[row[y]]) <= most_different(int(n[row[x]]), int(n[row[y]])) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+    here, prefix = set(t.column("shingle").to_numpy().tolist()), t.column("prefix").to_pylist()
+
+    def keeps(x: int, y: int) -> bool:
+        """A pair meets under many shingles; it is kept under the least one."""
+        if hamming(sketch[x], sketch[y]) > most_different(int(n[x]), int(n[y])):
+            return False
+        return min(set(prefix[x]) & set(prefix[y])) in here
+
+    ok = np.asarray([keeps(row[x], row[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
     return pa.RecordBatch.from_arrays([pa.array(docs[a[ok]]), pa.array(docs[b[ok]])], names=["a", "b"])
 
 
