@@ -64,6 +64,18 @@ def test_random_strings_against_brute_force(spark):
     assert got[9001] == [] and got[9004] == []
 
 
+def test_zero_octets_against_brute_force(spark):
+    texts = ["10.0.0.1", "192.168.0.1", "0.0.0.0", "1.2.3.000", "from 0010.0.00.255 on", "1.2.3.00256", "0.0.0.256", "0.0.0", "0" * 4_000 + ".0.0.1", "0." * 20_000, "10.0.0.1 and 127.0.0.1:80"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(["0", "00", "0.", ".0", ".", "1", "25", "6", " ", "10.0"]) for _ in range(rng.randrange(4, 16))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t), t[:200]
+    assert [len(got[i]) for i in range(9)] == [1, 1, 1, 1, 1, 0, 0, 0, 1]
+    assert {r.doc_id: r.text for r in pii.redacted(docs).collect()}[10] == "[IP] and [IP]:80"
+
+
 LOOSE = [
     "Please write, e-mail jane.doe [at] example [dot] com today",
     "email me: bob (at) mail.example.org please",
@@ -83,6 +95,12 @@ def test_classifier_adds_spans_and_leaves_clean_texts(spark):
     assert not any(got[i].spans for i, t in rows[:55] if t in CLEAN)
 
 
+def test_form_vote_takes_zero_octets(spark):
+    spans = spark.createDataFrame([("10[.]0[.]0[.]1",), ("10[.]20[.]30[.]40",), ("10[.]20[.]30[.]400",)], "span string")
+    said = spans.selectExpr("named_struct('kind', 1, 'span', span, 'before', 'host ') as s").selectExpr(pii.votes("s")[0])
+    assert [r[0] for r in said.collect()] == [1, 1, -1]
+
+
 def test_reliabilities_follow_agreement():
     patterns = [(0, True, (1, 1, 1, 1), 500), (0, False, (1, 1, 1, 1), 100), (0, False, (-1, -1, -1, 1), 100), (0, False, (1, 1, 0, -1), 30)]
     post = pii.expectation_maximisation(patterns)

@@ -47,7 +47,7 @@ LOOSE = {
 #: A text without these can't have a match of the kind.
 NEEDS = {"email": "(?i)@|[(\\[]at", "ip": r"[0-9](?:\.|[(\[])", "card": "[0-9]", "phone": "[0-9]"}
 
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Cue words of each kind within the text before a span, and cues of other numbers.
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reply|correo|courriel)\b",
