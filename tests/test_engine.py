@@ -245,3 +245,27 @@ def test_checker_catches_controls(spark, name):
 def test_indicators_are_causal(spark, builder):
     bars = spark.createDataFrame(walk(330, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
     causality.assert_no_look_ahead(builder, bars, 102)
+
+
+def test_checks_run_on_whole_series_with_runs(spark, monkeypatch):
+    from tidebar import queries
+
+    both = pd.concat([walk(1500, 3), walk(330, 4, "B"), walk(8, 5, "C")])
+    plain = spark.createDataFrame(both)
+    cuts = {r.symbol: r.cuts for r in causality.series_cuts(plain, 102).collect()}
+    assert cuts == {"A": causality.cut_positions(1500, 102), "B": causality.cut_positions(330, 102)}
+    late = lambda b: b.withColumn("squeeze_run", F.when(F.col("bar_index") >= 1300, F.lead("close", 1).over(s.over(b))))
+    monkeypatch.setattr(queries, "bars2", lambda *_: plain)
+    monkeypatch.setattr(causality, "NEGATIVE_CONTROLS", {"late": late})
+    caught = sum(c > 1300 for c in causality.cut_positions(1500))
+    assert [tuple(r) for r in queries.negative_controls(spark, "").collect()] == [("late", caught)]
+    for name in ("squeeze", "wavetrend", "adx"):
+        monkeypatch.setattr(queries.ind, name, late if name == "squeeze" else lambda b: b.withColumn("x", F.col("close")))
+    found = queries.causality_check(spark, "").collect()
+    assert [(r.builder, r.column) for r in found] == [("squeeze", "squeeze_run")] and found[0].changed == sum(c > 1300 for c in cuts["A"])
+
+
+def test_runs_are_causal(spark):
+    bars = spark.createDataFrame(walk(330, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
+    builder = lambda b: ind.squeeze(b, SqueezeParams(kc_mult=1.0)).select(*[c for c in (*s.SERIES, "cut", "bar_index") if c in b.columns], "squeeze_run", "squeeze_run_before")
+    assert causality.differences(builder, bars, causality.series_cuts(bars, 102)).count() == 0

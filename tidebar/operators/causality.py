@@ -2,7 +2,8 @@
 
 All truncations are one job: bars are repeated for each cut after them, the cut
 joins the series' key, and one join compares the features with those of the
-full series. Cuts are at most 168, so that the repetition has a fixed factor.
+full series. Cuts of a series are at most 168, so that the repetition has a
+fixed factor, and are placed by its own length: builders run on whole series.
 """
 
 from __future__ import annotations
@@ -33,16 +34,33 @@ def cut_positions(bars: int, warmup: int = 0) -> list[int]:
     return sorted({*range(max(first, end - RUN), end), *range(middle, min(middle + RUN, end)), *spots})
 
 
-def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int]) -> DataFrame:
-    """symbol, cut, column, changed, first_index: features that a cut changes."""
+def series_cuts(bars: DataFrame, warmup: int = 0) -> DataFrame:
+    """symbol, interval, cuts: cut_positions of each series' own length; a series of too few bars has none."""
+    first = max(warmup + 5, 10)
+    ends = bars.groupBy(*s.SERIES).agg((F.max(s.ORDER).cast("int")).alias("end")).where(F.col("end") > first)
+    cuts = F.expr(
+        f"""array_sort(array_distinct(concat(
+              sequence(greatest({first}, end - {RUN}), end - 1),
+              sequence(({first} + end) div 2, least(({first} + end) div 2 + {RUN}, end) - 1),
+              transform(sequence(0, {SCATTERED - 1}), k -> {first} + (end - 1L - {first}) * k div {SCATTERED - 1}))))"""
+    )
+    return ends.select(*s.SERIES, cuts.cast("array<int>").alias("cuts"))
+
+
+def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int] | DataFrame) -> DataFrame:
+    """symbol, cut, column, changed, first_index: features that a cut changes. cuts: of all series, or series_cuts."""
     spark = bars.sparkSession
     keys = ["symbol", "interval", "bar_index"]
     full = builder(bars)
     made = [c for c in full.columns if c not in bars.columns]
     kinds = dict(full.dtypes)
-    cut = F.broadcast(spark.createDataFrame([(c,) for c in cuts], "cut int"))
-    # a non-equi join against at most 168 numbers, as every bar belongs to all later cuts
-    truncated = builder(bars.join(cut, F.col("bar_index") < F.col("cut")))
+    if isinstance(cuts, DataFrame):
+        later = F.expr("filter(cuts, c -> c > bar_index)")
+        truncated = builder(bars.join(cuts, list(s.SERIES)).withColumn("cut", F.explode(later)).drop("cuts"))
+    else:
+        cut = F.broadcast(spark.createDataFrame([(c,) for c in cuts], "cut int"))
+        # a non-equi join against at most 168 numbers, as every bar belongs to all later cuts
+        truncated = builder(bars.join(cut, F.col("bar_index") < F.col("cut")))
     a = full.select(*keys, *[F.col(c).alias(f"a_{c}") for c in made])
     b = truncated.select(*keys, "cut", *[F.col(c).alias(f"b_{c}") for c in made])
     both = b.join(a, keys)

@@ -354,33 +354,30 @@ def plateau_p_values(spark, sf):
     return rounded(grid.plateau_p_values(grid.plateau(grid.scores(grid.ranked(_cells(spark, sf))), near)))
 
 
-CHECKED_BARS = 1200
-
-
-def _head(spark, sf):
-    """The bars that truncation is tried on: the first of each series, as a check of code, not of data."""
-    return bars2(spark, sf).where(F.col("bar_index") < CHECKED_BARS).select(*AT, "open", "high", "low", "close")
+def _prices(spark, sf):
+    return bars2(spark, sf).select(*AT, "open", "high", "low", "close")
 
 
 def causality_check(spark, sf):
     """Features that change when later bars are cut: none."""
-    cuts = causality.cut_positions(CHECKED_BARS, 102)
-    keep = lambda f: lambda b: f(b).drop("squeeze_run", "squeeze_run_before")
+    bars = _prices(spark, sf)
+    cuts = causality.series_cuts(bars, 102)
     out = None
     for name, f in (("squeeze", ind.squeeze), ("wavetrend", ind.wavetrend), ("adx", ind.adx)):
-        found = causality.differences(keep(f) if name == "squeeze" else f, _head(spark, sf), cuts).select(F.lit(name).alias("builder"), "column", "changed")
+        found = causality.differences(f, bars, cuts).select(F.lit(name).alias("builder"), "column", "changed")
         out = found if out is None else out.union(found)
     return out.groupBy("builder", "column").agg(F.sum("changed").alias("changed"))
 
 
 def negative_controls(spark, sf):
-    """Builders that look ahead, and at how many cuts the checker catches them."""
-    cuts = causality.cut_positions(CHECKED_BARS)
+    """Builders that look ahead, and at how many cuts of all series the checker catches them."""
+    bars = _prices(spark, sf)
+    cuts = causality.series_cuts(bars)
     out = None
     for name, f in causality.NEGATIVE_CONTROLS.items():
-        found = causality.differences(f, _head(spark, sf), cuts).select(F.lit(name).alias("builder"), "cut")
+        found = causality.differences(f, bars, cuts).select(F.lit(name).alias("builder"), "symbol", "cut")
         out = found if out is None else out.union(found)
-    return out.groupBy("builder").agg(F.count_distinct("cut").alias("caught_cuts"))
+    return out.groupBy("builder").agg(F.count_distinct("symbol", "cut").alias("caught_cuts"))
 
 
 _ALL = (
