@@ -86,3 +86,12 @@ def test_removal_leaves_the_rest(spark):
     assert got[1].text == "Keep this. ! And the end." and got[1].n_chars == 25
     assert got[2].text is None and got[3].text == "clean" and got[3].n_chars == 5
     assert got[1].spans == "k"
+
+
+def test_items_without_id_are_removed_too(spark):
+    docs = spark.createDataFrame([(1, "Keep one two, three end"), (2, "one two three"), (3, "four five"), (4, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "four five")], "item_id long, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r.item_ids) for r in decontam.scan(docs, items).collect()}
+    assert got == {1: ([(1, 4)], []), 2: ([(0, 3)], []), 3: ([(0, 2)], ["7"]), 4: ([], [])}
+    left = {r.doc_id: r.text for r in decontam.decontaminated(docs, items).collect()}
+    assert left == {1: "Keep  end", 2: "", 3: "", 4: "clean"}

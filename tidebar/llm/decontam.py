@@ -12,7 +12,8 @@ The items come in blocks of at most BLOCK_WORDS words; each block is broadcast
 (its size is bounded by that), and the blocks' results are merged.
 
 Defined cases: null texts have no words; an item without words matches nothing;
-items with equal texts all count; repeated document rows are judged row by row;
+items with equal texts all count; an item with a null id is searched and
+removed like the others but is in no item_ids; repeated document rows are judged row by row;
 an empty benchmark leaves every document clean.
 """
 
@@ -146,13 +147,13 @@ class Block:
     owners: list[tuple[str, ...]]  # item ids by phrase
 
     @classmethod
-    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> Block:
+    def of(cls, items: list[tuple[str | None, list[bytes]]], window: int) -> Block:
         vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, said in items:
             numbers = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in said]
             for i in range(max(1, len(numbers) - window + 1)) if numbers else ():
-                owners.setdefault(tuple(numbers[i : i + window]), set()).add(item)
+                owners.setdefault(tuple(numbers[i : i + window]), set()).update(() if item is None else (item,))
         phrases = np.zeros((len(owners), window), dtype=np.int64)
         lengths = np.zeros(len(owners), dtype=np.int64)
         for k, p in enumerate(owners):
@@ -166,12 +167,12 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORD
     held, size = [], 0
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
         said = words(text)
-        if not said or item is None:
+        if not said:
             continue
         if held and size + len(said) > block_words:
             yield Block.of(held, window)
             held, size = [], 0
-        held.append((str(item), said))
+        held.append((None if item is None else str(item), said))
         size += len(said)
     if held:
         yield Block.of(held, window)
