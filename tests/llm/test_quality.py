@@ -91,3 +91,11 @@ def test_sketches_merge_and_salted_join_agrees(spark, monkeypatch):
     want = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
     assert {r.doc_id: r.kept for r in quality.judge(docs).select("doc_id", F.col("kept")).collect()} == want
+
+
+def test_measures_over_4000_are_judged(spark):
+    """A group whose fence for symbols is above 4000 still rejects what is beyond it, and sketches tell such values apart."""
+    said = lambda i, per_word: " ".join((f"w{i}x{k}" + "#" * per_word).ljust(40, "z") for k in range(60))
+    rows = [(i, said(i, 5), "en", "s") for i in range(100)] + [(100 + i, said(i, 6), "en", "s") for i in range(50)] + [(200, said(200, 9), "en", "s"), (201, said(201, 30), "en", "s")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[201] and got[200] and all(got[i] for i in range(150))

@@ -1,8 +1,8 @@
 r"""Quality rules with thresholds learnt per language and source.
 
 Native: DataFrame functions only. Each measure of a document is a whole number;
-its sketch is a histogram of those numbers, of which there are at most CLAMP+1,
-by language and source. Such sketches merge by adding counts, lose no rank and
+its sketch is a histogram of those numbers, whatever their size, by language
+and source. Such sketches merge by adding counts, lose no rank and
 don't depend on the order of rows. A group of few documents takes the sketch
 merged over its language, or else over all. A document is rejected by the base
 rules or where a measure lies beyond its group's fence: the median plus SPREAD
@@ -30,6 +30,7 @@ MAX_REPEAT_PERCENT = 50
 #: Fewest documents of a (language, source) or language that fences are taken from.
 MIN_GROUP = 100
 SPREAD = 6
+#: The values that nearly all documents have; larger ones count as they are.
 CLAMP = 4000
 #: Groups whose fences are broadcast; more of them are joined with salted keys instead.
 BROADCAST_GROUPS = 50_000
@@ -107,7 +108,7 @@ def _group(name: str) -> Column:
 
 def _measured(counted: DataFrame) -> DataFrame:
     passed = ~base_failed()
-    values = [F.when(passed, F.least(F.lit(CLAMP), F.expr(m.sql))).cast("int").alias(m.name) for m in MEASURES]
+    values = [F.when(passed, F.expr(m.sql)).cast("long").alias(m.name) for m in MEASURES]
     return counted.select("*", _group("lang").alias("g_lang"), _group("source").alias("g_source"), base_failed().alias("base_failed"), *values)
 
 
