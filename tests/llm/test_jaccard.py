@@ -113,6 +113,43 @@ def test_one_of_each_and_edges(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0 and jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_candidates_share_as_many_keys_as_a_link_asks_for():
+    """Two sets at the threshold share 1 + the lesser spare of the keys of the configuration they meet in."""
+    rng = np.random.default_rng(8)
+    for trial in range(300):
+        a = int(rng.integers(20, 700))
+        b = int(rng.integers(a, 4 * a // 3 + 1))
+        both = min(a, -(-3 * (a + b) // 7))
+        pool = rng.integers(0, 1 << 63, a + b - both, dtype=np.int64).astype(np.uint64)
+        x, y = np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a:]]))
+        kx = {band: jaccard.segment_keys(x, band, d) for band, d in jaccard.configurations(len(x))}
+        ky = {band: jaccard.segment_keys(y, band, d) for band, d in jaccard.configurations(len(y))}
+        band = jaccard.band(a)
+        met = len(set(kx[band][0].tolist()) & set(ky[band][0].tolist()))
+        assert met >= 1 + min(kx[band][1], ky[band][1]), (trial, a, b)
+
+
+def test_codes_hold_sizes():
+    for n in [*range(1, 3000, 7), 10**6 + 17, 10**9 + 1]:
+        code = np.asarray([jaccard.class_code(n, 12345 * n)], dtype=np.uint64)
+        low, high = jaccard.code_sizes(code)
+        assert low[0] <= n <= high[0] and high[0] - low[0] <= n / 500 and not int(code[0]) & jaccard.BELOW
+
+
+def test_an_id_that_repeats_with_another_text_loses_none(spark):
+    rows = [(5, None, "a"), (5, "one two three four five six", "b"), (3, "ONE two three four five six", "c"), (5, "seven eight nine ten eleven twelve", "d"), (5, "seven eight nine ten eleven twelve", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    kept = [(r.doc_id, (r.text or "").lower()) for r in jaccard.one_of_each(docs).collect()]
+    assert len(kept) == 3 and {t for _, t in kept} == {"", "one two three four five six", "seven eight nine ten eleven twelve"}
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-9000])), (3, " ".join(long[:60_000]))]
+    assert said(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

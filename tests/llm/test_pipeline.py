@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from tests.llm import test_decontam, test_jaccard, test_packing, test_pii, test_quality
 from tokenizers import Tokenizer
@@ -35,7 +37,8 @@ def test_every_stage_against_brute_force(spark, sf):
     assert docs.columns == columns and sorted(after) == sorted(before)
     assert all((after[i] == before[i]) == (not hit[i][4]) for i in after)
     for i in after:
-        assert len(test_decontam.WORD.findall(after[i].text)) == hit[i][0] - hit[i][1]
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), after[i].text)
+        assert len(test_decontam.WORD.findall(lowered)) == hit[i][0] - hit[i][1]
 
     before = after
     docs = written(stages["redact"](spark, docs, sf), "t")

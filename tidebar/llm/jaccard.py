@@ -6,8 +6,9 @@ segments (a very wide parity sketch, each segment kept as the XOR of its
 shingles' hashes) changes at most one segment for each differing shingle, so all
 but D of the segments are equal, and the pigeonhole finds the pair by one equal
 segment. Segments are ordered by content (those of more shingles first); the
-D + 1 first non-empty ones of each document share one at least, and SLACK more
-make up for keys too frequent to pair.
+D + 1 first non-empty ones of each document share one at least, and `slack` more
+make up for keys too frequent to pair: a linking pair shares 1 + slack keys, so
+that one which meets under fewer, its frequent keys counted in, is dropped.
 
 Size bands: the number of segments is fixed by the band of the smaller document;
 a document joins its own band and those lower ones whose documents it can link
@@ -15,10 +16,13 @@ with. Candidates are first held against a bit sketch, whose Hamming distance is
 a lower bound of the symmetric difference, then verified on the sets.
 
 Copies: equal sets are one class, named by its least id; classes, not documents,
-are joined. A key of more than GROUP classes isn't paired: its classes are held
-against a few hubs and neighbours by size. A class with more such keys than its
-slack may have lost links; those are found exactly in a second join of these
-classes alone, on their rarest shingles, between different components.
+are joined. Keys carry a class's code (48 bits of its print, and its size), by
+which a bucket tells copies; classes that share a code are candidates of their
+own. Keys cross the network once, and no table of them is written. A key of more
+than GROUP classes isn't paired: its classes are held against a few hubs. A class
+with more such keys than its slack may have lost links; those are found exactly
+in a second join of these classes alone, on their rarest shingles, between
+different components.
 
 Defined cases: null and empty texts and texts of white space have no shingles
 and are linked with nothing; below five words the whole sequence is one
@@ -114,7 +118,7 @@ def segments(k: int) -> int:
 
 
 def slack(k: int) -> int:
-    return 1 + int(BANDS[k]) // 2
+    return 1 + int(BANDS[k]) // 8
 
 
 def configurations(n: int) -> list[tuple[int, int]]:
@@ -165,12 +169,26 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-#: One row for each flush and bucket, and one a flush with bucket -1 for its documents.
-#: records: of each document and configuration in a bucket, or each document of a flush; keys and their records.
-_KEYS = "bucket int, records binary, keys binary, owner binary, sketches array<binary>"
-_NODE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8")])
-#: A bucket tells classes apart by size and the first print; all documents of a flush have a record in most buckets, so records are short.
-_RECORD = np.dtype([("doc", "<i8"), ("f1", "<u8"), ("n", "<u4"), ("spare", "<i2"), ("band", "<i2")])
+#: One row for each flush and bucket: codes of its classes, keys and their classes; and one a flush, in a bucket below 0, for its documents.
+_KEYS = "bucket int, codes binary, keys binary, owner binary, sketches array<binary>"
+_NODE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8"), ("code", "<u8"), ("spare", "<i4"), ("below", "<i4")])
+#: The bit of a code that tells its keys of the band below from those of its own.
+BELOW = 1 << 15
+#: below of a class that doesn't join the band below.
+NOT_BELOW = -2
+
+
+def class_code(n: int, f1: int) -> int:
+    """48 bits of a class's print, BELOW unset, and its size to 10 bits' accuracy (rounded down)."""
+    e = max(0, n.bit_length() - 10)
+    return int(mix(np.asarray([f1 ^ n * 0x9E3779B97F4A7C15 % (1 << 64)], dtype=_U))[0]) >> 16 << 16 | e << 10 | n >> e
+
+
+def code_sizes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest sizes of codes."""
+    e = ((codes >> _U(10)) & _U(31)).astype(np.int64)
+    low = (codes & _U(1023)).astype(np.int64) << e
+    return low, low + (1 << e) - 1
 
 
 def _key_table(docs: DataFrame, bits: int) -> DataFrame:
@@ -178,29 +196,28 @@ def _key_table(docs: DataFrame, bits: int) -> DataFrame:
         hashes = WordHashes()
         nodes: list[tuple] = []
         sketches: list[bytes] = []
-        records: list[tuple] = []
+        codes: list[int] = []
         held: list[np.ndarray] = []
-        seen: set[tuple[int, int, int]] = set()
+        seen: dict[tuple[int, int, int], tuple[int, int, int]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(-1, np.asarray(nodes, dtype=_NODE).tobytes(), b"", b"", list(sketches))]
-            if held:
-                keys = np.concatenate(held)
-                owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
-                table = np.asarray(records, dtype=_RECORD)
-                bucket = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                rest = ((keys >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
-                for b in range(1 << bits):
-                    part = order[ends[b] : ends[b + 1]]
-                    if len(part):
-                        mine, own = np.unique(owner[part], return_inverse=True)
-                        small = "<u2" if len(mine) < 1 << 16 else "<u4"
-                        rows.append((b, table[mine].tobytes(), rest[part].tobytes(), own.astype(small).tobytes(), None))
+            rows = [(-1 - nodes[0][0] % (1 << bits), b"", np.asarray(nodes, dtype=_NODE).tobytes(), b"", list(sketches))]
+            keys = np.concatenate(held)
+            owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+            table = np.asarray(codes, dtype="<u8")
+            bucket = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+            rest = ((keys >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
+            for b in range(1 << bits):
+                part = order[ends[b] : ends[b + 1]]
+                if len(part):
+                    mine, own = np.unique(owner[part], return_inverse=True)
+                    small = "<u2" if len(mine) < 1 << 16 else "<u4"
+                    rows.append((b, table[mine].tobytes(), rest[part].tobytes(), own.astype(small).tobytes(), None))
             columns = [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "records", "keys", "owner", "sketches"])
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "codes", "keys", "owner", "sketches"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -208,21 +225,23 @@ def _key_table(docs: DataFrame, bits: int) -> DataFrame:
                 if not len(s) or doc is None:
                     continue
                 print_ = (len(s), int(np.bitwise_xor.reduce(s)), int(mix(s + _U(1)).sum(dtype=_U)))
-                node = (doc, *print_)
-                nodes.append(node)
                 if print_ in seen:  # a copy of what this flush holds
+                    nodes.append((doc, *print_, *seen[print_]))
                     sketches.append(b"")
                     continue
-                seen.add(print_)
-                sketches.append(bit_sketch(s))
-                for k, d in configurations(len(s)):
+                code, spares = class_code(len(s), print_[1]), []
+                for at, (k, d) in enumerate(configurations(len(s))):
                     keys, spare = segment_keys(s, k, d)
-                    records.append((doc, print_[1], len(s), min(spare, 32_000), k))
+                    codes.append(code | at * BELOW)
                     held.append(keys)
                     size += len(keys)
+                    spares.append(spare)
+                seen[print_] = code, *(spares + [NOT_BELOW])[:2]
+                nodes.append((doc, *print_, *seen[print_]))
+                sketches.append(bit_sketch(s))
             if size >= FLUSH_KEYS:
                 yield from flush()
-                for x in (nodes, sketches, records, held, seen):
+                for x in (nodes, sketches, codes, held, seen):
                     x.clear()
                 size = 0
         if nodes:
@@ -231,25 +250,12 @@ def _key_table(docs: DataFrame, bits: int) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, _KEYS)
 
 
-def _nodes(table: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2, sketch (empty for copies within a flush)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for records, sketches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r = np.frombuffer(records, dtype=_NODE)
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc"]), pa.array(r["n"]), pa.array(r["f1"].view("<i8")), pa.array(r["f2"].view("<i8")), pa.array(sketches, pa.binary())], names=["doc_id", "n", "f1", "f2", "sketch"])
-
-    return table.where("bucket = -1").select("records", "sketches").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch binary")
-
-
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
 
 
-def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one bucket's rows: pairs of documents (2, n); and the records with keys of too many classes, where each one's keys begin, and the keys."""
-    records = np.concatenate([np.frombuffer(r, dtype=_RECORD) for r, _, _ in tables])
+def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one bucket's rows: pairs of codes and how many keys each meets under; and the codes with keys of too many classes, where each one's keys begin, and the keys."""
     keys = np.concatenate([np.frombuffer(k, dtype="<u4") for _, k, _ in tables])
     # most keys stand alone: only the others are looked at
     order = np.argsort(keys, kind="stable")
@@ -257,35 +263,34 @@ def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndar
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     del same
     keys = keys[order]
-    base, owner = 0, []
-    for r, k, o in tables:
-        owner.append(np.frombuffer(o, dtype="<u2" if len(o) == len(k) // 2 else "<u4").astype(np.int32) + np.int32(base))
-        base += len(r) // _RECORD.itemsize
-    owner = np.concatenate(owner)[order]
-    none = np.zeros((2, 0), dtype=np.int64), (records[:0], np.zeros(1, dtype=np.int32), keys[:0])
+    code = np.concatenate([np.frombuffer(c, dtype="<u8")[np.frombuffer(o, dtype="<u2" if len(o) == len(k) // 2 else "<u4")] for c, k, o in tables])[order]
+    none = (code[:0], code[:0], np.zeros(0, dtype=np.int64)), (code[:0], np.zeros(1, dtype=np.int32), keys[:0])
     if not len(keys):
         return none
-    # classes by their prints; of equal keys of a class one stays, that of the least document
-    cls = np.unique(records["f1"] ^ mix(records["n"].astype(_U)), return_inverse=True)[1].reshape(-1).astype(np.int32)
-    by_doc = np.empty(len(records), dtype=np.int32)
-    by_doc[np.argsort(records["doc"], kind="stable")] = np.arange(len(records), dtype=np.int32)
-    order = np.lexsort((by_doc[owner], cls[owner], keys))
+    codes, owner = np.unique(code, return_inverse=True)
+    owner = owner.reshape(-1).astype(np.int32)
+    del order, code
+    # of equal keys of a class one stays
+    order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
-    c = cls[owner]
-    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (c[1:] != c[:-1])])
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
     keys, owner = keys[first], owner[first]
-    del order, c, first
+    del order, first
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     size_of = np.repeat(sizes, sizes)
-    size = records["n"].astype(np.int64)
+    low, high = code_sizes(codes)
+    below = codes & _U(BELOW) != 0
     found: list[np.ndarray] = []
+    times: list[np.ndarray] = []
 
     def pair(x: np.ndarray, y: np.ndarray) -> None:
-        """Keeps the pairs that fit, each once; a pair meets under many keys."""
-        fit = _fits(size[x], size[y]) & (cls[x] != cls[y])
-        x, y = by_doc[x[fit]].astype(_U), by_doc[y[fit]].astype(_U)
-        found.append(np.unique(np.minimum(x, y) << _U(32) | np.maximum(x, y)))
+        """Adds the pairs that can fit; two that both stand in the band below meet in their own."""
+        fit = (x != y) & ~(below[x] & below[y]) & (100 * high[x] >= 75 * low[y]) & (100 * high[y] >= 75 * low[x])
+        x, y = x[fit].astype(_U), y[fit].astype(_U)
+        each, n = np.unique(np.minimum(x, y) << _U(32) | np.maximum(x, y), return_counts=True)
+        found.append(each)
+        times.append(n)
 
     some = (size_of > 1) & (size_of <= GROUP)
     k, o = keys[some], owner[some]
@@ -301,11 +306,11 @@ def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndar
     if len(k):
         mine = np.argsort(o, kind="stable")
         begins = np.flatnonzero(np.concatenate([[True], o[mine][1:] != o[mine][:-1]]))
-        crowded = records[o[mine][begins]], np.append(begins, len(o)).astype(np.int32), k[mine]
+        crowded = codes[o[mine][begins]], np.append(begins, len(o)).astype(np.int32), k[mine]
         # hubs: the smallest sets, and those with most such keys, which stand in the middle of their group
-        often = np.bincount(o, minlength=len(records)).astype(np.int32)
-        for rank in (size, -often):
-            by = np.lexsort((by_doc[o], rank[o], k))
+        often = np.bincount(o, minlength=len(codes)).astype(np.int32)
+        for rank in (low, -often):
+            by = np.lexsort((o, rank[o], k))
             x = o[by]
             begin = np.flatnonzero(np.concatenate([[True], k[by][1:] != k[by][:-1]]))
             begin = np.repeat(begin, np.diff(np.append(begin, len(x))))
@@ -315,52 +320,80 @@ def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndar
                 pair(x[begin[far] + h], x[far])
     if not found:
         return none[0], crowded
-    codes = np.unique(np.concatenate(found))
-    docs = np.sort(records["doc"])
-    a, b = docs[(codes >> _U(32)).astype(np.int64)], docs[(codes & _U(0xFFFFFFFF)).astype(np.int64)]
-    return np.stack([a, b]), crowded
+    each, at = np.unique(np.concatenate(found), return_inverse=True)
+    met = np.bincount(at.reshape(-1), weights=np.concatenate(times), minlength=len(each)).astype(np.int64)
+    return (codes[(each >> _U(32)).astype(np.int64)], codes[(each & _U(0xFFFFFFFF)).astype(np.int64)], met), crowded
+
+
+_SAID = "a long, b long, met long, keys array<bigint>, doc_id long, n long, f1 long, f2 long, code long, spare int, below int, sketch binary"
 
 
 def _candidates(table: DataFrame) -> DataFrame:
-    """a, b: documents of a candidate pair; or a, band, spare and keys: a document and its keys with too many classes (b null)."""
+    """a, b, met: codes of a candidate pair and the keys it meets under; or a and keys: a code and its keys with too many classes; or doc_id and the rest: a document and its class."""
+    names = [c.split()[0] for c in _SAID.split(", ")]
+    types = dict(zip(names, [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()], strict=True))
+
+    def rows(count: int, **columns: pa.Array) -> pa.Table:
+        return pa.table({c: columns.get(c, pa.nulls(count, t)) for c, t in types.items()})
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py() if group.num_rows else 0
-        rows = list(zip(*(group.column(c).to_pylist() for c in ("records", "keys", "owner")), strict=True))
+        if bucket < 0:
+            r = np.concatenate([np.frombuffer(x, dtype=_NODE) for x in group.column("keys").to_pylist()])
+            sketches = pa.array([x for s in group.column("sketches").to_pylist() for x in s], pa.binary())
+            numbers = {c: pa.array(r[f].view("<i8") if r[f].dtype.kind == "u" else r[f]) for c, f in (("doc_id", "doc"), *[(x, x) for x in ("n", "f1", "f2", "code", "spare", "below")])}
+            return rows(len(r), **numbers, sketch=sketches)
+        parts = list(zip(*(group.column(c).to_pylist() for c in ("codes", "keys", "owner")), strict=True))
         del group
-        pairs, (crowded, begins, keys) = bucket_candidates(rows)
-        n, m = pairs.shape[1], len(crowded)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n, dtype=np.int32), begins])), pa.array(keys.astype(np.int64) + (bucket << 32)))
-        return pa.table(
-            {
-                "a": np.concatenate([pairs[0], crowded["doc"]]),
-                "b": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]),
-                "band": np.concatenate([np.zeros(n, dtype=np.int32), crowded["band"].astype(np.int32)]),
-                "spare": np.concatenate([np.zeros(n, dtype=np.int32), crowded["spare"].astype(np.int32)]),
-                "keys": lists,
-            }
-        )
+        (a, b, met), (crowded, begins, keys) = bucket_candidates(parts)
+        lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(keys.astype(np.int64) + (bucket << 32)))
+        return pa.concat_tables([rows(len(a), a=pa.array(a.view("<i8")), b=pa.array(b.view("<i8")), met=pa.array(met)), rows(len(crowded), a=pa.array(crowded.view("<i8")), keys=lists)])
+
+    return table.groupBy("bucket").applyInArrow(run, _SAID)
 
-    return table.where("bucket >= 0").select("bucket", "records", "keys", "owner").groupBy("bucket").applyInArrow(run, "a long, b long, band int, spare int, keys array<bigint>")
 
+def _classes(nodes: DataFrame) -> DataFrame:
+    """n, f1, f2, rep (the least id), code, spare, below, sketch. An id that repeats counts with its largest set."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("f1"), F.desc("f2"), F.desc(F.length("sketch")))
+    once = nodes.withColumn("place", F.row_number().over(w)).where("place = 1")
+    return once.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("code").alias("code"), F.max("spare").alias("spare"), F.max("below").alias("below"), F.max("sketch").alias("sketch"))
 
-def _sketches(nodes: DataFrame) -> DataFrame:
-    return nodes.where("length(sketch) > 0").groupBy("doc_id").agg(F.max_by("sketch", "n").alias("sketch"))
 
+def _needs(classes: DataFrame, said: DataFrame) -> DataFrame:
+    """code, spare, hot (keys with too many classes): codes as the keys carry them, BELOW or not."""
+    each = classes.select("code", "spare").union(classes.where(F.col("below") > NOT_BELOW).select(F.col("code").bitwiseOR(F.lit(BELOW)), "below"))
+    hot = said.where("keys is not null").groupBy(F.col("a").alias("code")).agg(F.sum(F.size("keys")).alias("hot"))
+    return each.groupBy("code").agg(F.min("spare").alias("spare")).join(hot, "code", "left").select("code", "spare", F.coalesce("hot", F.lit(0)).alias("hot"))
 
-def _near_by_bits(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs a, b whose bit sketches allow a link."""
-    side = nodes.where("length(sketch) > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
-    s = lambda x: side.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    joined = pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+def _enough(said: DataFrame, needs: DataFrame) -> DataFrame:
+    """Pairs of codes that meet under as many keys as a link asks for."""
+    side = lambda x: needs.select(F.col("code").alias(x), F.col("spare").alias(f"spare_{x}"), F.col("hot").alias(f"hot_{x}"))
+    pairs = said.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"))
+    asked = 1 + F.least("spare_a", "spare_b") - F.least("hot_a", "hot_b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("met") >= asked).select("a", "b")
+
+
+def _near_by_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Documents a, b of the pairs of codes whose bit sketches allow a link."""
+    own = lambda x: F.col(x).bitwiseAND(F.lit(~BELOW))
+    twins = classes.groupBy("code").agg(F.count("*").alias("classes")).where("classes > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
+    s = lambda x: classes.select(F.col("code").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.select(own("a").alias("a"), own("b").alias("b")).union(twins)
+    joined = both.join(s("a"), "a").join(s("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (np.asarray(batch.column(i)) for i in (2, 3))
-            ok = [hamming(x, y) <= most_different(int(m), int(n)) for x, y, m, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na, nb, strict=True)]
+            ok = [_close(x, y, int(m), int(n)) for x, y, m, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na, nb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
+def _close(x: bytes, y: bytes, m: int, n: int) -> bool:
+    """Whether the bit sketches of sets of m and n shingles allow a link; an unknown sketch does."""
+    return not x or not y or hamming(x, y) <= most_different(m, n)
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -385,11 +418,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy() % m
             batch = batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            found = [shingles(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
+            found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+            f1 = np.asarray([np.bitwise_xor.reduce(s) for s in found], dtype=_U).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "f1", "hashes"])
 
-    made = small_batches(rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))).mapInArrow(run, "doc_id long, hashes binary")
-    return made.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes"))
+    made = small_batches(rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))).mapInArrow(run, "doc_id long, f1 long, hashes binary")
+    return made.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("hashes", F.struct(F.length("hashes"), "f1")).alias("hashes"))
 
 
 def linked(a: bytes, b: bytes) -> bool:
@@ -412,7 +446,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "u long, v long")
 
 
-def _second_pairs(docs: DataFrame, nodes: DataFrame, needy: DataFrame, found: DataFrame) -> DataFrame:
+def _second_pairs(docs: DataFrame, classes: DataFrame, needy: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of needy documents of different components by a shared shingle among the n/4 + 1 rarest of each: all that can link."""
     part = needy.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "key")
     mixed = part.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
@@ -440,7 +474,7 @@ def _second_pairs(docs: DataFrame, nodes: DataFrame, needy: DataFrame, found: Da
     dealt = first.select("shingle", "doc_id", "component", "n", "n_shared", "block", other.alias("other"))
     dealt = dealt.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
     prefix = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("shingle")).alias("prefix"))  # a quarter of a document's shingles at most
-    rows = dealt.join(_sketches(nodes).join(prefix, "doc_id"), "doc_id").select("shingle", "lo", "hi", "block", "doc_id", "component", "n", "n_shared", "sketch", "prefix")
+    rows = dealt.join(classes.select(F.col("rep").alias("doc_id"), "sketch").join(prefix, "doc_id"), "doc_id").select("shingle", "lo", "hi", "block", "doc_id", "component", "n", "n_shared", "sketch", "prefix")
     key = ["shingle", "lo", "hi"]
     return rows.repartition(*key).sortWithinPartitions(*key, "doc_id").mapInArrow(_pairs_of_groups, "a long, b long").distinct()
 
@@ -490,7 +524,7 @@ def _compared(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
 
     def keeps(x: int, y: int) -> bool:
         """A pair meets under many shingles; it is kept under the least one."""
-        if hamming(sketch[x], sketch[y]) > most_different(int(n[x]), int(n[y])):
+        if not _close(sketch[x], sketch[y], int(n[x]), int(n[y])):
             return False
         return min(set(prefix[x]) & set(prefix[y])) in here
 
@@ -501,28 +535,21 @@ def _compared(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document row."""
     bits = max(0, -(-docs.count() // BUCKET_DOCS) - 1).bit_length()
-    table = written(_key_table(docs, bits), "segments")
-    nodes = written(_nodes(table), "nodes")
-    classes = written(nodes.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    to_rep = nodes.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
-
-    said = written(_candidates(table), "candidates")
-    pairs = said.where("b is not null").select("a", "b").distinct()
-    edges = written(_verified(docs, written(_near_by_bits(pairs, nodes), "near")), "links")
-    crowded = said.where("b is null")
-    needy_docs = crowded.groupBy("a", "band", "spare").agg(F.sum(F.size("keys")).alias("hot")).where("hot > spare")
-    needy = written(crowded.join(needy_docs, ["a", "band"], "left_semi").select(F.col("a").alias("doc_id"), F.explode("keys").alias("key")), "needy_keys")
+    said = written(_candidates(_key_table(docs, bits)), "candidates")
+    nodes = said.where("n is not null").select("doc_id", "n", "f1", "f2", "code", "spare", "below", "sketch")
+    classes = written(_classes(nodes), "classes")
+    needs = written(_needs(classes, said), "needs")
+    near = written(_near_by_bits(_enough(said, needs), classes), "near")
+    edges = written(_verified(docs, near), "links")
+    crowded = said.where("keys is not null").join(needs.where("hot > spare").select(F.col("code").alias("a")), "a", "left_semi")
+    own = crowded.select(F.col("a").bitwiseAND(F.lit(~BELOW)).alias("code"), F.explode("keys").alias("key"))
+    needy = written(own.join(classes.select("code", "rep"), "code").select(F.col("rep").alias("doc_id"), "key"), "needy_keys")
     if not needy.isEmpty():
-        # any document stands for its class: a class may have sent keys by different copies from different tasks
-        named = edges.union(to_rep.join(needy.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-        more = written(_second_pairs(docs, nodes, needy, components(named)), "near")
+        more = written(_second_pairs(docs, classes, needy, components(edges)), "near")
         edges = edges.union(_verified(docs, more))
-    # links hold between classes: a document's end of an edge moves to its class's name
-    ends = edges.select("u").union(edges.select("v")).distinct()
-    moved = written(ends.join(to_rep.distinct(), F.col("u") == F.col("doc_id")).select("u", "rep"), "ends")
-    e = edges.join(moved, "u").select(F.col("rep").alias("u"), "v").join(moved.select(F.col("u").alias("v"), F.col("rep").alias("w")), "v").select("u", F.col("w").alias("v"))
-    named = classes.join(components(e).select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    known = nodes.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = classes.select("n", "f1", "f2", "rep").join(components(edges).select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    largest = F.max(F.struct("n", "f1", "f2")).over(Window.partitionBy("doc_id")).alias("set")
+    known = nodes.select("doc_id", largest).select("doc_id", "set.*").join(named, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     empty = rest.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)))
     return known.union(_unlinked(empty))
@@ -539,9 +566,22 @@ def _unlinked(rows: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which each is the least id of its component; of rows that repeat an id the first by text stays. Null ids stay."""
-    lead = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("doc_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    kept = docs.join(lead, "doc_id", "left_semi").select("doc_id", "text", row).withColumn("place", F.row_number().over(once)).where("place = 1").select("doc.*")
+    """The documents, all columns, of which each is the least id of its component. Null ids stay.
+
+    Rows that repeat both id and text are copies: the first by all columns stays. Where an id repeats with other
+    texts, each of its texts is a document of its own, named by a hash, so that no text goes but for a near copy.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null")
+    if again.isEmpty():
+        lead = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+        kept = docs.join(lead, "doc_id", "left_semi").select(docs.columns)
+    else:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        name = F.when(F.col("texts").isNull(), F.col("row.doc_id")).otherwise(F.xxhash64("row.doc_id", "row.text"))
+        texts = docs.groupBy("doc_id").agg((F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("texts")).where("texts")
+        rows = docs.where("doc_id is not null").select("doc_id", row).join(texts, "doc_id", "left")
+        rows = written(rows.select(name.cast("long").alias("name"), "row"), "named")
+        lead = near_duplicates(rows.select(F.col("name").alias("doc_id"), "row.text")).where("doc_id = component_id").select(F.col("doc_id").alias("name")).distinct()
+        first = F.row_number().over(Window.partitionBy("name").orderBy(F.to_json("row")))
+        kept = rows.join(lead, "name", "left_semi").withColumn("place", first).where("place = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null")) if docs.schema["doc_id"].nullable else kept
