@@ -53,7 +53,7 @@ SHINGLE = 5
 BUCKET_DOCS = 8192
 FLUSH_KEYS = 1 << 19
 #: Most classes of a key that are paired with each other.
-GROUP = 8
+GROUP = 32
 HUBS = 2
 #: Documents of one shingle that are compared in one block of the second join; more of them are dealt to pairs of blocks.
 BLOCK_DOCS = 1024
