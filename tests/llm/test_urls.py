@@ -77,3 +77,78 @@ def test_sql_of_trees_scores_like_the_trees(spark):
         assert abs(r.z - sum(walk(t, x) for t in trees)) < 1e-9
         hits += (r.z + prior > 0) == bool(y)
     assert hits > 480
+
+
+def plain_boosting(rows, names):
+    """The trees' log-odds by the definition: every split tried on every row, without weights or binned tables."""
+    import math
+
+    n, ones = len(rows), sum(y for _, y in rows)
+    points = [urls._bins([x[f] for x, _ in rows]) for f in range(len(names))]
+    score = [math.log((ones + 0.5) / (n - ones + 0.5))] * n
+    trees = []
+
+    def grow(at, g, h, level):
+        sg, sh = sum(g[i] for i in at), sum(h[i] for i in at)
+        best, cut = 1e-6, None
+        for f in range(len(names)) if level else ():
+            for p in points[f]:
+                low = [i for i in at if rows[i][0][f] <= p]
+                lg, lh = sum(g[i] for i in low), sum(h[i] for i in low)
+                gain = lg * lg / (lh + urls.RIDGE) + (sg - lg) ** 2 / (sh - lh + urls.RIDGE) - sg * sg / (sh + urls.RIDGE)
+                if gain > best + 1e-9:
+                    best, cut = gain, (f, p)
+        if cut is None:
+            return urls.RATE * sg / (sh + urls.RIDGE)
+        f, p = cut
+        return (f, p, grow([i for i in at if rows[i][0][f] <= p], g, h, level - 1), grow([i for i in at if rows[i][0][f] > p], g, h, level - 1))
+
+    def value(t, x):
+        while isinstance(t, tuple):
+            t = t[2] if x[t[0]] <= t[1] else t[3]
+        return t
+
+    for _ in range(urls.TREES):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        trees.append(grow(range(n), [y - q for (_, y), q in zip(rows, p, strict=True)], [q * (1 - q) for q in p], urls.DEPTH))
+        score = [s + value(trees[-1], x) for s, (x, _) in zip(score, rows, strict=True)]
+    return score
+
+
+def test_trees_against_plain_boosting():
+    import random
+
+    rng = random.Random(5)
+    rows = [((rng.randrange(40), rng.randrange(7), rng.randrange(3)), 0) for _ in range(160)]
+    rows = [(x, int(x[0] * 2 + x[1] * 9 + rng.randrange(40) > 90)) for x, _ in rows]
+    prior, trees = urls.fit(rows, ["a", "b", "c"])
+
+    def walk(t, x):
+        while isinstance(t, urls.Split):
+            t = t.low if x["abc".index(t.feature)] <= t.most else t.high
+        return t.value
+
+    want = plain_boosting(rows, ["a", "b", "c"])
+    assert all(abs(prior + sum(walk(t, x) for t in trees) - w) < 1e-6 for (x, _), w in zip(rows, want, strict=True))
+
+
+def test_entropy_counts_all_characters(spark):
+    import math
+    from collections import Counter
+
+    said = ["", "a", "aaaa", "abAB%~=", "日本日本é\U0001f600", "x" * 500 + "y" * 500, "/a-b_c.d/0123"]
+    want = [sum(-c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) for s in said]
+    from pyspark.sql import functions as F
+
+    got = [r.e for r in spark.createDataFrame([(s,) for s in said], "s string").select(urls.entropy(F.col("s")).alias("e")).collect()]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True)), (got, want)
+
+
+def test_sample_is_of_the_least_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 50)
+    rows = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("http://same.org/").alias("url")).withColumn("h", F.xxhash64("page_id", "url"))
+    got = [r.h for r in urls._sample(rows, 5000).collect()]
+    assert got == sorted(r.h for r in rows.collect())[:50]
+    assert [r.h for r in urls._sample(rows, 60).collect()] == got

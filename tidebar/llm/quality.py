@@ -58,9 +58,8 @@ _SPACES = " \t\n\x0b\x0c\r"
 def counts(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text_col: str = "text") -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of whole texts.
 
-    Repeats: each 3-word window is a hash with its position in the low bits;
-    sorted, equal windows are neighbours. The hash keeps all bits that the
-    position leaves (49 at 20,000 words).
+    Repeats: each 3-word window is a hash with its position; sorted, equal
+    hashes are neighbours, and the words of neighbours are compared.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.trim(text, F.lit(_SPACES))
@@ -76,24 +75,23 @@ def counts(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "lang", "sourc
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.ceil(F.log2(F.size("words") + 1.0)).cast("int").alias("bits"),
         "words",
     )
     base = base.select(
-        *base.columns[:-1],
+        *base.columns,
         F.expr(
-            """sort_array(if(n_words < 3, cast(array() as array<bigint>), transform(sequence(0, cast(n_words as int) - 3),
-               i -> (shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), bits) | i))))"""
+            """sort_array(if(n_words < 3, cast(array() as array<struct<h: bigint, i: int>>), transform(sequence(0, cast(n_words as int) - 3),
+               i -> named_struct('h', xxhash64(words[i], words[i + 1], words[i + 2]), 'i', i))))"""
         ).alias("windows"),
     )
+    same = "x.h = windows[{k}].h and words[x.i] = words[windows[{k}].i] and words[x.i + 1] = words[windows[{k}].i + 1] and words[x.i + 2] = words[windows[{k}].i + 2]"
     places = F.expr(
-        """sort_array(transform(filter(windows, (x, i) ->
-             (i > 0 and shiftrightunsigned(x, bits) = shiftrightunsigned(windows[i - 1], bits))
-             or (i < n_words - 3 and shiftrightunsigned(x, bits) = shiftrightunsigned(windows[i + 1], bits))),
-           x -> x & (shiftleft(1L, bits) - 1)))"""
+        f"""sort_array(transform(filter(windows, (x, i) ->
+             (i > 0 and {same.format(k="i - 1")}) or (i < n_words - 3 and {same.format(k="i + 1")})),
+           x -> x.i))"""
     )
-    base = base.select(*[c for c in base.columns if c not in ("windows", "bits")], places.alias("places"))
-    covered = F.expr("if(size(places) = 0, 0L, 3L + aggregate(if(size(places) < 2, array(), sequence(0, size(places) - 2)), 0L, (n, i) -> n + least(3L, places[i + 1] - places[i])))")
+    base = base.select(*[c for c in base.columns if c not in ("windows", "words")], places.alias("places"))
+    covered = F.expr("if(size(places) = 0, 0L, 3L + aggregate(if(size(places) < 2, array(), sequence(0, size(places) - 2)), 0L, (n, i) -> n + least(3, places[i + 1] - places[i])))")
     return base.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 

@@ -2,9 +2,10 @@ r"""URL filters: host and path rules, and boosted trees on lexical features for
 
 Native: features, labels and scores are DataFrame expressions. The labelled
 URLs are those that a rule decides. At most SAMPLE_ROWS of them, those with the
-least hashes, are fitted by gradient boosting (logistic loss, Newton leaves) on
-binned features; the trees become one CASE expression that judges every URL no
-rule fits. Statistics of suffixes count all URLs.
+least hashes of id and url, are fitted by gradient boosting (logistic loss,
+Newton leaves) on binned features; the trees become one CASE expression that
+judges every URL no rule fits. Statistics of suffixes count all URLs and all
+suffixes, summed over SUFFIX_GROUPS hashes of a suffix.
 
 Defined cases: a null url and one without `://` have empty host and path and
 the features of an empty text; repeated rows are judged alike; where no URL is
@@ -27,10 +28,9 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 #: Bound of the sample that the classifier is fitted on.
 SAMPLE_ROWS = 8192
-#: Suffixes (last host labels) whose counts are features, the most frequent ones; others count as absent.
-SUFFIXES = 256
+#: Hash groups of suffixes (last host labels) whose counts are features.
+SUFFIX_GROUPS = 1024
 TREES, DEPTH, BINS, RATE, RIDGE = 24, 3, 16, 0.3, 1.0
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.-/_"
 
 
 @dataclass(frozen=True)
@@ -54,15 +54,20 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def entropy(said: Column) -> Column:
+    """Bits a character, over all characters that occur: runs of the sorted characters are their counts."""
+    step = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    fresh = F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    more = lambda a, c: F.when(c == a["c"], F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["s"].alias("s"))).otherwise(F.struct(c.alias("c"), F.lit(1).alias("n"), (a["s"] + step(a["n"])).alias("s")))
+    letters = F.array_sort(F.filter(F.split(said, ""), lambda c: c != ""))
+    return F.when(F.length(said) > 0, F.log2(F.length(said)) - F.aggregate(letters, fresh, more, lambda a: a["s"] + step(a["n"])) / F.length(said)).otherwise(F.lit(0.0))
+
+
 def features(url: Column, host: Column, path: Column, suffix_count: Column) -> dict[str, Column]:
     """Whole numbers, so that split points are exact."""
     text = F.coalesce(url, F.lit(""))
     said = F.concat(host, path)
     chars = F.length(said)
-    entropy = F.lit(0.0)
-    for c in _ALPHABET:
-        p = F.regexp_count(said, F.lit("[" + ("\\" if c in ".-/" else "") + c + "]")) / F.greatest(F.lit(1), chars)
-        entropy = entropy - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
     labels = F.split(host, r"\.")
     digits = F.regexp_count(said, F.lit("[0-9]"))
     query = F.regexp_extract(text, r"(?s)\A[^?#]*\?([^#]*)", 1)
@@ -76,7 +81,7 @@ def features(url: Column, host: Column, path: Column, suffix_count: Column) -> d
         "hyphens": F.regexp_count(host, F.lit("-")),
         "digits": digits,
         "digit_share": (1000 * digits / F.greatest(F.lit(1), chars)).cast("int"),
-        "entropy": (100 * entropy).cast("int"),
+        "entropy": (100 * entropy(said)).cast("int"),
         "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         "fragment": text.contains("#").cast("int"),
         "secure": text.startswith("https:").cast("int"),
@@ -103,15 +108,21 @@ def _prepared(pages: DataFrame, rules, id_col: str, url_col: str) -> DataFrame:
     host, path = host_path(F.col("url"))
     rows = rows.select("*", host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    return rows.select("*", rule.alias("rule"), verdict.alias("said"), F.element_at(F.split("host", r"\."), -1).alias("suffix"))
+    return rows.select("*", rule.alias("rule"), verdict.alias("said"), F.pmod(F.xxhash64(F.element_at(F.split("host", r"\."), -1)), F.lit(SUFFIX_GROUPS)).cast("int").alias("suffix_group"))
+
+
+def _suffix_count(counts: dict[int, int]) -> Column:
+    """Half the log2 steps of the count of a suffix's group."""
+    steps = [round(2 * math.log2(1 + counts.get(k, 0))) for k in range(SUFFIX_GROUPS)]
+    return F.element_at(F.array(*map(F.lit, steps)), F.col("suffix_group") + 1)
 
 
-def _suffix_count(counts: dict[str, int]) -> Column:
-    """Half the log2 steps of a suffix's count, from at most SUFFIXES literals."""
-    if not counts:
-        return F.lit(0)
-    pairs = [F.lit(x) for k in sorted(counts) for x in (k, round(2 * math.log2(1 + counts[k])))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("suffix")), F.lit(0))
+def _sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """The SAMPLE_ROWS labelled rows (of `rows`) of least hashes. Only hashes below a bound that about twice as many pass are sorted, whatever the number of tasks."""
+    if rows > 4 * SAMPLE_ROWS:
+        least = -(1 << 63)
+        labelled = labelled.where(F.col("h") < least + (1 << 64) * 2 * SAMPLE_ROWS // rows)
+    return labelled.orderBy("h", "url", "page_id").limit(SAMPLE_ROWS)
 
 
 def _bins(values: list[int]) -> list[int]:
@@ -180,12 +191,12 @@ def tree_sql(node: Split | Leaf) -> str:
 def classify(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and score (the model's probability of a block), one row per page row."""
     rows = _prepared(pages, rules, id_col, url_col)
-    most = rows.groupBy("suffix").count().orderBy(F.desc("count"), "suffix").limit(SUFFIXES)
-    suffixes = {r["suffix"]: r["count"] for r in most.collect()}
-    named = features(F.col("url"), F.col("host"), F.col("path"), _suffix_count(suffixes))
+    groups = rows.groupBy("suffix_group").agg(F.count("*").alias("n"), F.count("rule").alias("ruled")).collect()
+    named = features(F.col("url"), F.col("host"), F.col("path"), _suffix_count({r["suffix_group"]: r["n"] for r in groups}))
     rows = rows.select("page_id", "host", "path", "rule", "said", F.coalesce("url", F.lit("")).alias("url"), *[c.cast("int").alias(n) for n, c in named.items()])
     label = (F.col("said") == "block").cast("int").alias("label")
-    sample = rows.where("rule is not null").select(*named, label, F.xxhash64("url").alias("h"), "url").orderBy("h", "url").limit(SAMPLE_ROWS)
+    labels = rows.where("rule is not null").select(*named, label, F.xxhash64("page_id", "url").alias("h"), "url", "page_id")
+    sample = _sample(labels, sum(r["ruled"] for r in groups))
     labelled = [(tuple(r[n] for n in named), r["label"]) for r in sample.collect()]
     prior, trees = fit(labelled, list(named))
     z = F.expr(" + ".join([f"{prior!r}D", *map(tree_sql, trees)]))
