@@ -32,10 +32,67 @@ def test_escapes_round_trip():
         for text in NASTY:
             turns = [(role, text), ("assistant", text + role)]
             r = chat.render_incrementally(chat.marked_turns, turns)
-            assert [chat.read_turn(r.text[s:e]) for s, e in r.spans] == turns
+            assert [tuple(chat.unescape(r.text[s:e]) for s, e in x) for x in zip(r.roles, r.texts, strict=True)] == turns
             assert not r.rewrites and r.spans[-1][1] == len(r.text)
-            s, e = chat.text_span(chat.marked_turns, r, 1)
-            assert chat.unescape(r.text[s:e]) == text + role
+
+
+def piped(turns):
+    return "".join(f"<|{role}|>{text}<|end|>" for role, text in turns)
+
+
+def with_preamble(turns):
+    return "BEGIN " + "".join(f"[{k}:{role}] {text} //" for k, (role, text) in enumerate(turns))
+
+
+def trimming(turns):
+    return "".join(f"({role}) {text.strip()}\n" for role, text in turns)
+
+
+def folding(turns):
+    """Drops all but the last two turns' texts."""
+    return "".join(f"[{role}] {text if k >= len(turns) - 2 else ''}\n" for k, (role, text) in enumerate(turns))
+
+
+def hiding_users(turns):
+    return "".join(f"<{text}>" for role, text in turns if role != "user")
+
+
+def spoken(r, turns):
+    return [r.text[slice(*r.texts[k])] for k, (role, _) in enumerate(turns) if role == "assistant"]
+
+
+def test_foreign_templates_are_located_by_probing(spark):
+    turns = [("user", " a b "), ("assistant", " one "), ("user", ""), ("assistant", ""), ("assistant", "[0:x] one //")]
+    want = [t for r, t in turns if r == "assistant"]
+    assert chat.concatenative(piped) and chat.concatenative(trimming) and chat.concatenative(chat.marked_turns)
+    assert not chat.concatenative(with_preamble) and not chat.concatenative(folding)
+    assert spoken(chat.render_incrementally(piped, turns), turns) == want
+    assert spoken(chat.render_incrementally(with_preamble, turns), turns) == want
+    assert spoken(chat.render_incrementally(trimming, turns), turns) == [t.strip() for t in want]
+    r = chat.render_incrementally(hiding_users, turns)
+    assert spoken(r, turns) == want and r.texts[0] is None and r.roles[1] is None
+    assert chat.render_incrementally(folding, turns).rewrites == [2, 3]
+
+    rows = [(c, k, *turns[k % 5]) for c in (1, 2) for k in range(90)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (piped, with_preamble, trimming, hiding_users):
+        parts = sorted(chat.format_conversations(df, template=template).collect(), key=lambda r: (r.conv_id, r.chunk))
+        for c in (1, 2):
+            mine = [p for p in parts if p.conv_id == c]
+            said = [(r, t) for i, _, r, t in rows if i == c]
+            assert "".join(p.formatted for p in mine) == template(said)  # a preamble stands once, however long the conversation
+            got = [p.formatted[s.start : s.end] for p in mine for s in p.loss_spans]
+            assert got == [t.strip() if template is trimming else t for r, t in said if r == "assistant"]
+            assert not any(p.unlocated for p in mine)
+    late = chat.format_conversations(df, template=folding).collect()
+    assert all(r.rewrites and not r.loss_spans for r in late) and max(k for r in late for k in r.rewrites) > 40
+
+
+def test_a_very_long_text(spark):
+    text = "### a:\n\\" * 200_000
+    df = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.digests(chat.format_conversations(df)).first()
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == brute([("user", "x"), ("assistant", text)])
 
 
 def test_finds_templates_that_rewrite_history():
