@@ -20,6 +20,10 @@ FeatureBuilder = Callable[[DataFrame], DataFrame]
 RUN, SCATTERED, TOLERANCE = 64, 40, 1e-9
 
 
+#: What stands for a column where the builder's rows themselves differ.
+ROWS = "(rows)"
+
+
 class LookAheadError(AssertionError):
     """Features change when later bars are cut away."""
 
@@ -72,7 +76,25 @@ def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int] | Data
             same = same | F.coalesce(F.abs(x - y) <= TOLERANCE + TOLERANCE * F.abs(y), F.lit(False))
         each.append(F.when(~same, F.lit(c)))
     rows = both.select("symbol", "cut", "bar_index", F.explode(F.array_compact(F.array(*each))).alias("column"))
-    return rows.groupBy("symbol", "cut", "column").agg(F.count("*").alias("changed"), F.min("bar_index").alias("first_index"))
+    found = rows.groupBy("symbol", "cut", "column").agg(F.count("*").alias("changed"), F.min("bar_index").alias("first_index"))
+    return found.unionByName(_row_changes(full, truncated, cuts if isinstance(cuts, DataFrame) else None, cuts))
+
+
+def _row_changes(full: DataFrame, truncated: DataFrame, by_series: DataFrame | None, cuts) -> DataFrame:
+    """symbol, cut, column ROWS: cuts at which the builder's rows differ in number from those of the full series before the cut, as where it drops or adds some."""
+    series = list(s.SERIES)
+    if by_series is None:
+        by_series = full.select(*series).distinct().withColumn("cuts", F.array(*[F.lit(c) for c in sorted(cuts)]))
+    # each row counts for the cuts after it: by the first of them, summed along the cuts
+    first = full.join(by_series, series).select(*series, "cuts", F.size(F.filter("cuts", lambda c: c <= F.col("bar_index"))).alias("passed"))
+    counted = first.groupBy(*series, "cuts", "passed").agg(F.count("*").alias("n"))
+    each = counted.groupBy(*series, "cuts").agg(F.collect_list(F.struct("passed", "n")).alias("counts"))
+    upto = lambda i: F.aggregate(F.filter("counts", lambda x: x["passed"] <= i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    wanted = each.select(*series, F.posexplode("cuts").alias("i", "cut"), "counts").select(*series, "cut", upto(F.col("i")).alias("wanted"))
+    made = truncated.groupBy(*series, "cut").agg(F.count("*").alias("made"))
+    off = F.coalesce("made", F.lit(0)) - F.coalesce("wanted", F.lit(0))
+    both = wanted.join(made, [*series, "cut"], "full_outer").where(off != 0)
+    return both.groupBy("symbol", "cut").agg(F.lit(ROWS).alias("column"), F.sum(F.abs(off)).alias("changed"), F.lit(None).cast("long").alias("first_index"))
 
 
 def assert_no_look_ahead(builder: FeatureBuilder, bars: DataFrame, warmup: int = 0) -> None:

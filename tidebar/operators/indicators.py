@@ -6,6 +6,7 @@ returns them with its columns; flags are never null.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,17 +89,23 @@ def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: in
     return s.run_length(df, "sqz_on", "squeeze_run", chunk_bars)
 
 
+def _crossed(over: pd.Series) -> pd.Series:
+    """Where a difference becomes positive from zero or less."""
+    return (over > 0) & (over.shift(1) <= 0)
+
+
 def wavetrend_lines(b: pd.DataFrame, p: WaveTrendParams) -> pd.DataFrame:
     """The lines and their crosses for ordered bars of one series."""
-    price = (b["high"] + b["low"] + b["close"]) / 3.0
-    esa = s.ema(price, p.channel_length)
-    d = s.ema((price - esa).abs(), p.channel_length)
-    ci = (price - esa) / (0.015 * d.where(d != 0))
-    wt1 = s.ema(ci, p.average_length)
-    wt2 = sum(wt1.shift(k) for k in range(p.signal_length)) / p.signal_length
-    up = (wt1 > wt2) & (wt1.shift(1) <= wt2.shift(1))
-    down = (wt1 < wt2) & (wt1.shift(1) >= wt2.shift(1))
-    return pd.DataFrame({"hlc3": price, "esa": esa, "d": d, "ci": ci, "wt1": wt1, "wt2": wt2, "cross_up": up, "cross_down": down, "oversold_zone": wt1 < p.oversold, "overbought_zone": wt1 > p.overbought})
+    out = pd.DataFrame({"hlc3": (b["high"] + b["low"] + b["close"]) / 3.0})
+    out["esa"] = s.ema(out["hlc3"], p.channel_length)
+    away = out["hlc3"] - out["esa"]
+    out["d"] = s.ema(away.abs(), p.channel_length)
+    out["ci"] = away / (0.015 * out["d"]).mask(out["d"] == 0)
+    out["wt1"] = s.ema(out["ci"], p.average_length)
+    last = pd.concat([out["wt1"].shift(k) for k in range(p.signal_length)], axis=1)
+    out["wt2"] = last.sum(axis=1, skipna=False) / p.signal_length
+    gap = out["wt1"] - out["wt2"]
+    return out.assign(cross_up=_crossed(gap), cross_down=_crossed(-gap), oversold_zone=out["wt1"] < p.oversold, overbought_zone=out["wt1"] > p.overbought)
 
 
 def wavetrend_lookback(p: WaveTrendParams) -> int:
@@ -115,19 +122,21 @@ def wavetrend(bars: DataFrame, params: WaveTrendParams | None = None, chunk_bars
 
 def adx_lines(b: pd.DataFrame, p: AdxParams) -> pd.DataFrame:
     """Movement, its index and the crossings of both thresholds for ordered bars of one series."""
-    before = b["close"].shift(1)
-    tr = pd.concat([b["high"] - b["low"], (b["high"] - before).abs(), (b["low"] - before).abs()], axis=1).max(axis=1)
-    up, down = b["high"].diff(), -b["low"].diff()
-    plus = up.where((up > down) & (up > 0), 0.0)
-    minus = down.where((down > up) & (down > 0), 0.0)
-    smooth = s.wilder(tr, p.length)
-    base = smooth.where(smooth != 0)
-    plus_di, minus_di = 100.0 * s.wilder(plus, p.length) / base, 100.0 * s.wilder(minus, p.length) / base
-    both = plus_di + minus_di
-    dx = 100.0 * (plus_di - minus_di).abs() / both.where(both != 0)
-    line = s.wilder(dx.fillna(0.0), p.length)
-    above = lambda level: (line > level) & (line.shift(1) <= level)
-    return pd.DataFrame({"true_range": tr, "plus_dm": plus, "minus_dm": minus, "plus_di": plus_di, "minus_di": minus_di, "dx": dx, "adx": line, "cross_threshold": above(p.threshold), "cross_secondary": above(p.secondary), "bullish": plus_di > minus_di})
+    high, low, last = (b[c].to_numpy(dtype=float) for c in ("high", "low", "close"))
+    last = np.concatenate([[np.nan], last[:-1]])
+    # steps of the highs upwards and of the lows downwards: the larger one counts, where it is one
+    steps = np.stack([np.diff(high, prepend=np.nan), -np.diff(low, prepend=np.nan)], axis=1)
+    moved = np.where((steps > steps[:, ::-1]) & (steps > 0), steps, 0.0)
+    # the bar with the close before it in: fmax and fmin pass over the first bar's unknown one
+    reach = np.fmax(high, last) - np.fmin(low, last)
+    sums = pd.DataFrame({"true_range": reach, "plus_dm": moved[:, 0], "minus_dm": moved[:, 1]}, index=b.index)
+    smooth = sums.apply(s.wilder, n=p.length)
+    share = 100.0 * smooth[["plus_dm", "minus_dm"]].div(smooth["true_range"].mask(smooth["true_range"] == 0), axis=0)
+    total = share["plus_dm"] + share["minus_dm"]
+    out = sums.assign(plus_di=share["plus_dm"], minus_di=share["minus_dm"])
+    out["dx"] = 100.0 * (out["plus_di"] - out["minus_di"]).abs() / total.mask(total == 0)
+    out["adx"] = s.wilder(out["dx"].fillna(0.0), p.length)
+    return out.assign(cross_threshold=_crossed(out["adx"] - p.threshold), cross_secondary=_crossed(out["adx"] - p.secondary), bullish=out["plus_di"] > out["minus_di"])
 
 
 def adx_lookback(p: AdxParams) -> int:

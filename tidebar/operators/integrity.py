@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+STRETCH = 10_000
+
+
+def require_complete(found: DataFrame) -> None:
+    """Ends the job where a series of the report lacks bars; the message names the first few."""
+    bad = found.where("not complete").orderBy("symbol", "interval").limit(5).collect()
+    if bad:
+        raise SystemExit("incomplete series: " + "; ".join(f"{r['symbol']} {r['interval']}: {r['actual_bars']} of {r['expected_bars']} bars" for r in bad))
+
+
 def missing_times(bars: DataFrame, minutes: int, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """symbol, open_time of the steps in [start, end) (or from a series' first to its last bar) without a bar."""
     step = F.expr(f"make_dt_interval(0, 0, {minutes}, 0)")
     span = bars.groupBy("symbol").agg(F.min("open_time").alias("a"), F.max("open_time").alias("b"))
     a, b = (F.lit(start) if start else F.col("a")), (F.lit(end) - step if end else F.col("b"))
-    expected = span.select("symbol", F.explode(F.sequence(a, b, step)).alias("open_time"))
+    # by stretches of STRETCH steps, so that no row holds a whole series' times
+    stretch = F.expr(f"make_dt_interval(0, 0, {minutes * STRETCH}, 0)")
+    parts = span.select("symbol", b.alias("b"), F.explode(F.sequence(a, b, stretch)).alias("a"))
+    upto = F.least(F.col("b"), F.col("a") + F.expr(f"make_dt_interval(0, 0, {minutes * (STRETCH - 1)}, 0)"))
+    expected = parts.select("symbol", F.explode(F.sequence(F.col("a"), upto, step)).alias("open_time"))
     return expected.join(bars.select("symbol", "open_time").distinct(), ["symbol", "open_time"], "left_anti")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidebar.operators.grid import Setting, build_grid
 from tidebar.params import COSTS_BPS, HORIZONS, RUN_BUCKETS
-from tidebar.queries import CONFIRMED, PARTS
+from tidebar.queries import BY_HORIZON, CONFIRMED, EDGES, PARTS, TESTED_CELLS
 
 WIN = "PARTITION BY symbol ORDER BY bar_index"
 ORDER = "l_shipdate, l_orderkey, l_linenumber, l_extendedprice"
@@ -235,6 +235,98 @@ expected AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 60 MINUTE)) AS
 missing AS (SELECT symbol, open_time FROM expected ANTI JOIN hourly USING (symbol, open_time))"""
 
 
+def t_p(t: str, v: str) -> str:
+    """Two-sided p-value of t with v degrees of freedom: Simpson's rule over the density from 0 to t."""
+    v = f"({v})::DOUBLE"
+    density = f"pow(1 + pow(abs({t}) * i / 4000, 2) / {v}, -({v} + 1) / 2)"
+    area = f"list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density}))"
+    return f"CASE WHEN {t} IS NOT NULL AND {v} > 0 THEN 1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * abs({t}) / 12000 * {area} END"
+
+
+#: The look-ahead builders, over a window of what they may see.
+CONTROLS = {
+    "standardised": "(close - avg(close) OVER (PARTITION BY {by})) / stddev_samp(close) OVER (PARTITION BY {by})",
+    "back_filled": "first_value(CASE WHEN bar_index % 50 <> 0 THEN close END IGNORE NULLS) OVER (PARTITION BY {by} ORDER BY bar_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "next_close": "lead(close) OVER (PARTITION BY {by} ORDER BY bar_index)",
+    "centred": "CASE WHEN count(close) OVER (PARTITION BY {by} ORDER BY bar_index ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) = 21 THEN avg(close) OVER (PARTITION BY {by} ORDER BY bar_index ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) END",
+    "scaled": "(close - min(close) OVER (PARTITION BY {by})) / (max(close) OVER (PARTITION BY {by}) - min(close) OVER (PARTITION BY {by}))",
+    "future_peak": "max(close) OVER (PARTITION BY {by} ORDER BY bar_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+}
+
+
+def _controls() -> str:
+    made = lambda by: ", ".join(f"{x.format(by=by)} AS {name}" for name, x in CONTROLS.items())
+    changed = lambda x: f"NOT (f.{x} IS NOT DISTINCT FROM t.{x} OR coalesce(abs(f.{x} - t.{x}) <= 1e-9 + 1e-9 * abs(t.{x}), false))"
+    caught = " UNION ALL ".join(f"SELECT '{x}' AS builder, f.symbol, t.cut FROM full_ f JOIN cut_ t USING (symbol, bar_index) WHERE {changed(x)}" for x in CONTROLS)
+    return f"""WITH {BARS},
+ends AS (SELECT symbol, CAST(max(bar_index) AS BIGINT) AS e FROM bars GROUP BY 1 HAVING max(bar_index) > 10),
+cuts AS (SELECT DISTINCT symbol, unnest(list_concat(list_concat(range(greatest(10, e - 64), e), range((10 + e) // 2, least((10 + e) // 2 + 64, e))), list_transform(range(0, 40), lambda k: 10 + (e - 11) * k // 39))) AS cut FROM ends),
+full_ AS MATERIALIZED (SELECT symbol, bar_index, {made('symbol')} FROM bars),
+cut_ AS MATERIALIZED (SELECT symbol, cut, bar_index, {made('symbol, cut')} FROM bars JOIN cuts USING (symbol) WHERE bar_index < cut)
+SELECT builder, count(DISTINCT (symbol, cut)) AS caught_cuts FROM ({caught}) GROUP BY 1"""
+
+
+def _edge_period(time: str) -> str:
+    cases = " ".join(f"WHEN {time} >= TIMESTAMP '{a}' AND {time} < TIMESTAMP '{b}' THEN {k}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
+    return f"CASE {cases} END"
+
+
+def _wide(column: str, names: dict, value: str, f: str = "avg") -> str:
+    quoted = lambda k: f"'{k}'" if isinstance(k, str) else str(k)
+    return ", ".join(r6(f"{f}({value}) FILTER (WHERE {column} = {quoted(k)})", v) for k, v in names.items())
+
+
+def _moments(part: str, key: str, source: str, where: str = "true", x: str = "signed_bps") -> str:
+    by = "horizon" if key.startswith("'") else f"{key}, horizon"
+    return f"SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS key, horizon, count(*) AS n, {r6(f'avg({x})', 'mean')}, {r6(f'avg({x}) / nullif(stddev_samp({x}) / sqrt(count(*)), 0)', 't_stat')} FROM {source} WHERE {x} IS NOT NULL AND {where} GROUP BY {by}"
+
+
+def _reports(sql: dict[str, str]) -> dict[str, str]:
+    """SQL of the report queries; some read other queries' SQL."""
+    cells = f"cells AS (SELECT interval, horizon, count(*) AS n, avg(signed_bps) AS mean, stddev_samp(signed_bps) / sqrt(count(*)) AS stderr, avg(signed_bps) / nullif(stddev_samp(signed_bps) / sqrt(count(*)), 0) AS t FROM ev WHERE signed_bps IS NOT NULL GROUP BY ALL)"
+    judged = f"""WITH {EVENTS}, {cells},
+tests AS (SELECT *, coalesce({t_p('t', 'n - 1')} < 0.05 / {TESTED_CELLS}, false) AS significant, coalesce(mean > {COSTS_BPS[0]}, false) AS above_cost, coalesce(mean - 2 * stderr > {COSTS_BPS[0]}, false) AS low_above_cost FROM cells),
+judged AS (SELECT *, significant AND above_cost AND low_above_cost AS passes FROM tests)"""
+    flags = ("significant", "above_cost", "low_above_cost", "passes")
+    of_symbols = {x: f"mean_atr_{x}" for x in ("A", "N", "R")}
+    squeezes = [x for x in GRID if x.family == "squeeze"]
+    blue = {x.key: f"b{k}_" for k, x in enumerate(squeezes)}
+    groups = ", ".join(f"count(signed_atr) FILTER (WHERE grp = '{g}') AS \"n_{g}\", {r6(f"avg(signed_atr) FILTER (WHERE grp = '{g}')", f'mean_{g}')}, {r6(f"stddev_samp(signed_atr) FILTER (WHERE grp = '{g}')", f'std_{g}')}" for g in ("S1", "S2", "S3"))
+    definitions = {"any": "released OR became_blue", "gray": "released"}
+    each = [f"{d} AS (SELECT interval, horizon, avg(signed_bps) AS mean, stddev_samp(signed_bps) AS std FROM (SELECT *, ret_bps * val_sign AS signed_bps FROM (SELECT interval, {SIGN} AS val_sign, {long()} FROM study WHERE {VALID} AND ({w}))) WHERE signed_bps IS NOT NULL GROUP BY ALL)" for d, w in (("any_", definitions["any"]), ("gray_", definitions["gray"]))]
+    agree = " AND ".join(f"(a.{c} IS NOT DISTINCT FROM g.{c} OR coalesce(abs(a.{c} - g.{c}) <= 1e-12, false))" for c in ("mean", "std"))
+    listed = "PARTITION BY passes_all ORDER BY score NULLS LAST, setting_key, interval"
+    return {
+        "causality_check": "SELECT '' AS builder, '' AS \"column\", CAST(0 AS BIGINT) AS changed WHERE false",
+        "negative_controls": _controls(),
+        "p_values": f"WITH {EVENTS}, m AS ({summary('ev', 'interval, horizon', 'signed_bps')}), {cells} SELECT m.*, {r6(t_p('t', 'cells.n - 1'), 'p_value')} FROM m JOIN cells USING (interval, horizon)",
+        "volatility_p_values": f"SELECT *, {r6(t_p('sqrt(statistic)', 'n_events + n_baseline - 2'), 'p_value')} FROM ({sql['volatility_expansion']})",
+        "plateau_p_values": f"SELECT *, {r6('rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0)', 't_stat')}, {r6(t_p('(rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0))', 'n_settings - 2'), 'p_value')} FROM ({sql['plateau']})".replace("rho", "spearman"),
+        "period_edges": f"WITH {EVENTS}, pe AS (SELECT *, {_edge_period('close_time')} AS period FROM ev) {summary('pe', 'period, horizon', 'signed_bps', 'period IS NOT NULL')}",
+        "passing_cells": f"{judged} SELECT interval, horizon, n, {r6('mean')}, {', '.join(flags)} FROM judged",
+        "pass_counts": f"{judged} SELECT interval, count(*) AS cells, {', '.join(f'count(*) FILTER (WHERE {f}) AS n_{f}' for f in flags)}, bool_or(passes) AS any_passes, bool_and(passes) AS all_pass FROM judged GROUP BY 1",
+        "definition_pivot": f"WITH {STUDY} SELECT symbol, count(*) FILTER (WHERE released OR became_blue) AS n_any, count(*) FILTER (WHERE released) AS n_gray, count(*) FILTER (WHERE became_blue) AS n_blue FROM study WHERE {VALID} GROUP BY 1",
+        "symbol_pivot": f"WITH {EVENTS} SELECT symbol, {_wide('horizon', BY_HORIZON, 'signed_bps')} FROM ev GROUP BY 1",
+        "grid_pivot": f"WITH RECURSIVE {CELLS}, {_grid_values()} SELECT g.setting_key, g.label, {_wide('c.horizon', BY_HORIZON, 'c.mean_atr', 'max')} FROM grid g LEFT JOIN cells c USING (setting_key) GROUP BY 1, 2",
+        "grid_blue_bars": f"WITH {BARS}, {', '.join(squeeze(x.params['kc_mult'], x.params['bb_length'], x.params['kc_length'], pre=blue[x.key]) for x in squeezes)} {' UNION ALL '.join(f"SELECT '{x.label}' AS label, count(*) FILTER (WHERE no_sqz) AS blue_bars FROM {blue[x.key]}sq" for x in squeezes)}",
+        "grid_symbol_means": f"WITH RECURSIVE {_cell_signals(GRID)} SELECT setting_key, horizon, {_wide('symbol', of_symbols, 'signed_atr')} FROM gs GROUP BY 1, 2",
+        "result_identity": f"WITH {STUDY}, {', '.join(each)} SELECT count(*) AS cells, count(*) FILTER (WHERE a.interval IS NULL OR g.interval IS NULL) AS unmatched, coalesce(bool_and(a.interval IS NOT NULL AND g.interval IS NOT NULL AND {agree}), true) AS identical FROM any_ a FULL JOIN gray_ g USING (interval, horizon)",
+        "selection_lists": f"SELECT setting_key, interval, score, score_percentile, neighbour_percentile, best_horizon, mean_atr, mean_bps, n_signals, passes_neighbour, passes_signs, passes_all, CASE WHEN passes_all THEN 'passed' ELSE 'dropped' END AS list, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER ({listed}) AS place FROM ({sql['grid_selection']})) WHERE place <= CASE WHEN passes_all THEN 20 ELSE 15 END",
+        "three_way": f"""WITH RECURSIVE {LED},
+w AS (SELECT leader, horizon, count(*) FILTER (WHERE grp = 'S1') AS na, count(*) FILTER (WHERE grp = 'S3') AS nb, avg(signed_atr) FILTER (WHERE grp = 'S1') AS ma, avg(signed_atr) FILTER (WHERE grp = 'S3') AS mb, var_samp(signed_atr) FILTER (WHERE grp = 'S1') / count(*) FILTER (WHERE grp = 'S1') AS sa, var_samp(signed_atr) FILTER (WHERE grp = 'S3') / count(*) FILTER (WHERE grp = 'S3') AS sb
+  FROM sig WHERE prim AND grp IN ('S1', 'S3') AND signed_atr IS NOT NULL GROUP BY ALL),
+x AS (SELECT leader, horizon, ma - mb AS difference, CASE WHEN na > 1 AND nb > 1 THEN (ma - mb) / nullif(sqrt(sa + sb), 0) END AS t, CASE WHEN na > 1 AND nb > 1 THEN (sa + sb) * (sa + sb) / nullif(sa * sa / (na - 1) + sb * sb / (nb - 1), 0) END AS v FROM w),
+g AS (SELECT leader, horizon, {groups} FROM sig WHERE prim AND signed_atr IS NOT NULL GROUP BY ALL)
+SELECT g.*, {r6('difference')}, {r6('t', 't_stat')}, {r6('v', 'dof')}, {r6(t_p('t', 'v'), 'p_value')} FROM g LEFT JOIN x USING (leader, horizon)""",
+        "group_counts": f"WITH RECURSIVE {LED} SELECT leader, symbol, {', '.join(f"count(*) FILTER (WHERE grp = '{g}') AS n_{g}" for g in ('S1', 'S2', 'S3'))} FROM sig WHERE prim AND horizon = {HORIZONS[0]} GROUP BY ALL",
+        "leader_symbols": f"WITH RECURSIVE {LED} SELECT leader, horizon, {_wide('symbol', of_symbols, 'signed_atr')} FROM sig WHERE prim GROUP BY ALL",
+        "scrutiny": f"""WITH {EVENTS}, thin AS ({sql['non_overlap']}),
+part_s AS (SELECT *, {_edge_period('close_time')} AS period, ntile(2) OVER (PARTITION BY symbol, horizon ORDER BY bar_index) AS half FROM ev),
+excl AS (SELECT DISTINCT symbol AS excluded FROM ev UNION ALL SELECT 'none'), left_ AS (SELECT * FROM ev JOIN excl ON ev.symbol <> excl.excluded)
+{_moments('per_symbol', 'symbol', 'ev')} UNION ALL {_moments('leave_one_out', 'excluded', 'left_')} UNION ALL {_moments('halves', 'half', 'part_s')} UNION ALL {_moments('periods', 'period', 'part_s', 'period IS NOT NULL')} UNION ALL {_moments('horizons', "'all'", 'ev')} UNION ALL {_moments('thinned', "'all'", 'thin')}""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "bars_rows2": f"WITH {BARS} SELECT {AT}, {many('open', 'high', 'low', 'close', 'volume')}, close_time FROM bars",
@@ -325,4 +417,4 @@ SELECT setting_key, interval, horizon, count(*) AS quarters, CAST(sum(n) AS BIGI
         "cost_matrix": f"""WITH {EVENTS}, c AS (SELECT interval, horizon, avg(signed_bps) - 2 * (stddev_samp(signed_bps) / sqrt(count(*))) AS low FROM ev WHERE signed_bps IS NOT NULL GROUP BY 1, 2)
 SELECT interval, horizon, {many('low')}, {', '.join(f"coalesce(low > {c}, false) AS above_{str(c).replace('.', '_')}" for c in COSTS_BPS)} FROM c""",
     }
-    return sql
+    return {**sql, **_reports(sql)}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators import events, grid
+from tidebar.operators import events, grid, reports
 from tidebar.operators import statistics as st
 from tidebar.params import HORIZONS, LOOKBACKS, RUN_BUCKETS, SqueezeParams
 from tidebar.sources import sinks
@@ -119,13 +119,29 @@ def confirm(bars: DataFrame, candidates: list[dict], alpha: float = 0.05, cost_b
     return out.withColumns({"retention": F.try_divide("mean_atr", "part_a_mean_atr"), "passes": F.coalesce(F.col("registered") & passes, F.lit(False))})
 
 
-def scrutiny(rows: DataFrame, value: str = "signed_bps") -> dict[str, DataFrame]:
-    """What a passing cell must bear: symbols alone, each left out, halves of the period, and the thinned sample."""
-    others = F.broadcast(rows.select(F.col("symbol").alias("excluded")).distinct())
+def without_each(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """excluded, by, n, mean, t_stat: moments of all symbols but one, from each symbol's own sums, subtracted from all; "none" excludes none."""
+    x = F.col(value)
+    each = rows.where(x.isNotNull()).groupBy("symbol", *by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    total = each.groupBy(*by).agg(*[F.sum(c).alias(f"all_{c}") for c in "nsq"])
+    left = each.join(total, by).select(F.col("symbol").alias("excluded"), *by, *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in "nsq"])
+    left = left.unionByName(total.select(F.lit("none").alias("excluded"), *by, *[F.col(f"all_{c}").alias(c) for c in "nsq"])).where("n > 0")
+    mean = F.col("s") / F.col("n")
+    deviation = F.sqrt(F.try_divide(F.greatest(F.col("q") - F.col("n") * mean * mean, F.lit(0.0)), F.nullif(F.col("n") - 1, F.lit(0))))
+    return left.select("excluded", *by, "n", mean.alias("mean"), F.try_divide(mean, deviation / F.sqrt("n")).alias("t_stat"))
+
+
+def scrutiny(rows: DataFrame, value: str = "signed_bps", edges: list[str] | None = None, time: str = "close_time") -> dict[str, DataFrame]:
+    """What a passing cell must bear: symbols alone, each left out, halves and periods, all horizons, and the thinned sample.
+
+    Serves events, leaders' signals and settings' signals alike: rows have symbol, horizon, bar_index and the value.
+    """
     half = F.expr("ntile(2) over (partition by symbol, horizon order by bar_index)")
     return {
         "per_symbol": st.summary(rows, ["symbol", "horizon"], value),
-        "leave_one_out": st.summary(rows.join(others, F.col("symbol") != F.col("excluded")), ["excluded", "horizon"], value),
+        "leave_one_out": without_each(rows, ["horizon"], value),
+        "horizons": st.summary(rows, ["horizon"], value),
         "halves": st.summary(rows.withColumn("half", half), ["half", "horizon"], value),
+        **({"periods": st.summary(rows.withColumn("period", reports.period_of(F.col(time), edges)).where("period is not null"), ["period", "horizon"], value)} if edges else {}),
         "thinned": st.summary(st.non_overlapping(rows.where(F.col(value).isNotNull()), ["symbol"]), ["horizon"], value),
     }

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import series as s
 from tidebar.functions import distributions as d
-from tidebar.operators import causality, events, grid, integrity
+from tidebar.operators import causality, events, grid, integrity, reports
 from tidebar.operators import indicators as ind
 from tidebar.operators import statistics as st
 from tidebar.params import COSTS_BPS, HORIZONS, RUN_BUCKETS, SqueezeParams
+from tidebar.plans import studies
 from tidebar.sources import bars as src
 
 #: Prices here are independent draws, so that the default channel hardly ever closes: events need a narrower one.
@@ -380,12 +381,105 @@ def negative_controls(spark, sf):
     return out.groupBy("builder").agg(F.count_distinct("symbol", "cut").alias("caught_cuts"))
 
 
+#: Edges of half-open periods, within the line items' dates.
+EDGES = ("1992-01-01", "1994-07-01", "1997-01-01", "1999-01-01")
+BY_HORIZON = {h: f"h{h}" for h in HORIZONS}
+TESTED_CELLS = 18
+
+
+def period_edges(spark, sf):
+    """Moments of the events in each half-open period."""
+    rows = _events(spark, sf).withColumn("period", reports.period_of(F.col("close_time"), list(EDGES))).where("period is not null")
+    return _moments(rows, ["period", "horizon"], "signed_bps")
+
+
+def _judged(spark, sf):
+    cells = st.with_p_value(st.summary(_events(spark, sf), ["interval", "horizon"], "signed_bps"))
+    low = F.col("mean") - 2 * F.col("stderr")
+    return reports.passing(cells, significant=F.col("p_value") < 0.05 / TESTED_CELLS, above_cost=F.col("mean") > COSTS_BPS[0], low_above_cost=low > COSTS_BPS[0])
+
+
+def passing_cells(spark, sf):
+    return rounded(_judged(spark, sf).select("interval", "horizon", "n", "mean", "significant", "above_cost", "low_above_cost", "passes"))
+
+
+def pass_counts(spark, sf):
+    return reports.pass_counts(_judged(spark, sf), ["interval"], ["significant", "above_cost", "low_above_cost"])
+
+
+def definition_pivot(spark, sf):
+    """Events of each definition: rows of (symbol, definition), turned to one row a symbol."""
+    counts = release_definitions(spark, sf)
+    tall = counts.select("symbol", F.expr("stack(3, 'any', `any`, 'gray', gray, 'blue', blue) as (definition, n_events)"))
+    return reports.pivoted(tall, ["symbol"], "definition", {x: f"n_{x}" for x in ("any", "gray", "blue")}, F.sum("n_events"))
+
+
+def symbol_pivot(spark, sf):
+    return rounded(reports.pivoted(_events(spark, sf), ["symbol"], "horizon", BY_HORIZON, F.avg("signed_bps")))
+
+
+def grid_pivot(spark, sf):
+    """Mean returns of each setting by horizon, beside the setting's label."""
+    wide = reports.pivoted(_cells(spark, sf), ["setting_key"], "horizon", BY_HORIZON, F.max("mean_atr"))
+    labels = grid.grid_frame(spark, _grid()).select("setting_key", "label")
+    return rounded(labels.join(wide, "setting_key", "left"))
+
+
+def grid_blue_bars(spark, sf):
+    """The most bars in neither state of each squeeze label, over the intervals."""
+    return grid.blue_bars(bars2(spark, sf), _grid()).groupBy("label").agg(F.max("blue_bars").alias("blue_bars"))
+
+
+def grid_symbol_means(spark, sf):
+    rows = grid.grid_signals(grid.context_of(bars2(spark, sf)), _grid())
+    return rounded(reports.pivoted(rows, ["setting_key", "horizon"], "symbol", {x: f"mean_atr_{x}" for x in ("A", "N", "R")}, F.avg("signed_atr")))
+
+
+def result_identity(spark, sf):
+    """Whether the cells of two release definitions are the same, as they are where no bar is in neither state."""
+    study = _study(spark, sf)
+    cells = lambda definition: st.summary(events.events(study, definition), ["interval", "horizon"], "signed_bps")
+    return reports.same_results(cells("any"), cells("gray"), ["interval", "horizon"], ["mean", "std"])
+
+
+def selection_lists(spark, sf):
+    keep = ["setting_key", "interval", "score", "score_percentile", "neighbour_percentile", "best_horizon", "mean_atr", "mean_bps", "n_signals", "passes_neighbour", "passes_signs", "passes_all"]
+    return reports.selection_lists(grid_selection(spark, sf).select(*keep))
+
+
+def three_way(spark, sf):
+    """Groups S1, S2 and S3 of each leader in one row, and Welch's test of S1 against S3."""
+    return rounded(reports.three_way(_leader_signals(spark, sf), ["leader", "horizon"]))
+
+
+def group_counts(spark, sf):
+    rows = _leader_signals(spark, sf).where(F.col("horizon") == HORIZONS[0])
+    return rows.groupBy("leader", "symbol").agg(*[F.count_if(F.col("group") == g).alias(f"n_{g}") for g in reports.GROUPS])
+
+
+def leader_symbols(spark, sf):
+    """Mean of each symbol beside each other."""
+    return rounded(reports.pivoted(_leader_signals(spark, sf), ["leader", "horizon"], "symbol", {x: f"mean_atr_{x}" for x in ("A", "N", "R")}, F.avg("signed_atr")))
+
+
+def scrutiny(spark, sf):
+    """What each part of a scrutiny says: part, key, horizon, n, mean, t_stat."""
+    parts = studies.scrutiny(_events(spark, sf), edges=list(EDGES))
+    keys = {"per_symbol": "symbol", "leave_one_out": "excluded", "halves": "half", "periods": "period", "horizons": None, "thinned": None}
+    out = None
+    for name, key in keys.items():
+        part = parts[name].select(F.lit(name).alias("part"), (F.col(key).cast("string") if key else F.lit("all")).alias("key"), "horizon", "n", "mean", "t_stat")
+        out = part if out is None else out.union(part)
+    return rounded(out)
+
+
 _ALL = (
     bars_rows2, bars_daily, bars_events_4h, integrity_report, missing_times, missing_pattern, spacing_faults, true_range, bollinger, keltner, squeeze_states, squeeze_run,
     color_state, linreg_momentum, val_norm, state_structure, ema, wilder, wavetrend, adx, zero_divisions, forward_returns, release_events, baseline_bars, bar_move,
     release_definitions, direction_summary, direction_accel, per_symbol, leave_one_out, period_split, baseline_direction, run_buckets, hour_of_day, volatility_expansion,
     leader_signals, leader_secondary, leader_summary, leader_groups, group_difference, non_overlap, grid_settings, grid_neighbours, grid_cells, grid_scores, grid_selection,
     plateau, part_b, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
+    period_edges, passing_cells, pass_counts, definition_pivot, symbol_pivot, grid_pivot, grid_blue_bars, grid_symbol_means, result_identity, selection_lists, three_way, group_counts, leader_symbols, scrutiny,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
