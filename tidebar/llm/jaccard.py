@@ -449,8 +449,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _second_pairs(docs: DataFrame, classes: DataFrame, needy: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of needy documents of different components by a shared shingle among the n/4 + 1 rarest of each: all that can link."""
     part = needy.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "key")
-    mixed = part.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    ids = written(part.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "needy")
+    # a key of one component links nothing new; components stay where they have a key of two
+    held = part.select("component", "key").distinct()
+    mixed = held.groupBy("key").agg(F.count("*").alias("components")).where("components > 1")
+    open_ = held.join(mixed, "key", "left_semi").select("component").distinct()
+    ids = written(part.select("doc_id", "component").distinct().join(open_, "component", "left_semi").select("doc_id", "component"), "needy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
