@@ -301,7 +301,7 @@ judged AS (SELECT *, significant AND above_cost AND low_above_cost AS passes FRO
         "negative_controls": _controls(),
         "p_values": f"WITH {EVENTS}, m AS ({summary('ev', 'interval, horizon', 'signed_bps')}), {cells} SELECT m.*, {r6(t_p('t', 'cells.n - 1'), 'p_value')} FROM m JOIN cells USING (interval, horizon)",
         "volatility_p_values": f"SELECT *, {r6(t_p('sqrt(statistic)', 'n_events + n_baseline - 2'), 'p_value')} FROM ({sql['volatility_expansion']})",
-        "plateau_p_values": f"SELECT *, {r6('rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0)', 't_stat')}, {r6(t_p('(rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0))', 'n_settings - 2'), 'p_value')} FROM ({sql['plateau']})".replace("rho", "spearman"),
+        "plateau_p_values": f"SELECT family, interval, n_settings, {r6('rho', 'spearman')}, {r6('t', 't_stat')}, {r6(t_p('t', 'n_settings - 2'), 'p_value')} FROM (SELECT *, rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0) AS t FROM ({sql['plateau'].replace(r6('corr(ra, rb)', 'spearman'), 'corr(ra, rb) AS rho')}))",
         "period_edges": f"WITH {EVENTS}, pe AS (SELECT *, {_edge_period('close_time')} AS period FROM ev) {summary('pe', 'period, horizon', 'signed_bps', 'period IS NOT NULL')}",
         "passing_cells": f"{judged} SELECT interval, horizon, n, {r6('mean')}, {', '.join(flags)} FROM judged",
         "pass_counts": f"{judged} SELECT interval, count(*) AS cells, {', '.join(f'count(*) FILTER (WHERE {f}) AS n_{f}' for f in flags)}, bool_or(passes) AS any_passes, bool_and(passes) AS all_pass FROM judged GROUP BY 1",
@@ -320,7 +320,7 @@ g AS (SELECT leader, horizon, {groups} FROM sig WHERE prim AND signed_atr IS NOT
 SELECT g.*, {r6('difference')}, {r6('t', 't_stat')}, {r6('v', 'dof')}, {r6(t_p('t', 'v'), 'p_value')} FROM g LEFT JOIN x USING (leader, horizon)""",
         "group_counts": f"WITH RECURSIVE {LED} SELECT leader, symbol, {', '.join(f"count(*) FILTER (WHERE grp = '{g}') AS n_{g}" for g in ('S1', 'S2', 'S3'))} FROM sig WHERE prim AND horizon = {HORIZONS[0]} GROUP BY ALL",
         "leader_symbols": f"WITH RECURSIVE {LED} SELECT leader, horizon, {_wide('symbol', of_symbols, 'signed_atr')} FROM sig WHERE prim GROUP BY ALL",
-        "scrutiny": f"""WITH {EVENTS}, thin AS ({sql['non_overlap']}),
+        "scrutiny": f"""WITH {EVENTS}, thin AS ({sql['non_overlap'].replace(many('signed_bps'), 'signed_bps')}),
 part_s AS (SELECT *, {_edge_period('close_time')} AS period, ntile(2) OVER (PARTITION BY symbol, horizon ORDER BY bar_index) AS half FROM ev),
 excl AS (SELECT DISTINCT symbol AS excluded FROM ev UNION ALL SELECT 'none'), left_ AS (SELECT * FROM ev JOIN excl ON ev.symbol <> excl.excluded)
 {_moments('per_symbol', 'symbol', 'ev')} UNION ALL {_moments('leave_one_out', 'excluded', 'left_')} UNION ALL {_moments('halves', 'half', 'part_s')} UNION ALL {_moments('periods', 'period', 'part_s', 'period IS NOT NULL')} UNION ALL {_moments('horizons', "'all'", 'ev')} UNION ALL {_moments('thinned', "'all'", 'thin')}""",
