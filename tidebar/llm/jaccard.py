@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -254,8 +254,8 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
 
 
-def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one bucket's rows: pairs of codes and how many keys each meets under; and the codes with keys of too many classes, where each one's keys begin, and the keys."""
+def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of one bucket's rows: pairs of codes and how many keys each meets under; codes with keys of too many classes, and how many; and codes with the codes that stand for such keys."""
     keys = np.concatenate([np.frombuffer(k, dtype="<u4") for _, k, _ in tables])
     # most keys stand alone: only the others are looked at
     order = np.argsort(keys, kind="stable")
@@ -264,7 +264,7 @@ def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[n
     del same
     keys = keys[order]
     code = np.concatenate([np.frombuffer(c, dtype="<u8")[np.frombuffer(o, dtype="<u2" if len(o) == len(k) // 2 else "<u4")] for c, k, o in tables])[order]
-    none = (code[:0], code[:0], np.zeros(0, dtype=np.int64)), (code[:0], np.zeros(1, dtype=np.int32), keys[:0])
+    none = (code[:0], code[:0], np.zeros(0, dtype=np.int64)), (code[:0], np.zeros(0, dtype=np.int32)), (code[:0], code[:0])
     if not len(keys):
         return none
     codes, owner = np.unique(code, return_inverse=True)
@@ -302,13 +302,12 @@ def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[n
     hot = size_of > GROUP
     k, o = keys[hot], owner[hot]
     del some, hot, size_of, keys, owner
-    crowded = none[1]
+    crowded, ties = none[1:]
     if len(k):
-        mine = np.argsort(o, kind="stable")
-        begins = np.flatnonzero(np.concatenate([[True], o[mine][1:] != o[mine][:-1]]))
-        crowded = codes[o[mine][begins]], np.append(begins, len(o)).astype(np.int32), k[mine]
-        # hubs: the smallest sets, and those with most such keys, which stand in the middle of their group
         often = np.bincount(o, minlength=len(codes)).astype(np.int32)
+        mine = np.flatnonzero(often)
+        crowded = codes[mine], often[mine]
+        # hubs: the smallest sets, and those with most such keys, which stand in the middle of their group
         for rank in (low, -often):
             by = np.lexsort((o, rank[o], k))
             x = o[by]
@@ -318,36 +317,39 @@ def bucket_candidates(tables: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[n
             for h in range(HUBS):
                 far = np.flatnonzero(place > h)
                 pair(x[begin[far] + h], x[far])
+        # the last order's first class stands for its key: who meets whom under such keys, each once
+        each = np.unique(x[begin].astype(_U) << _U(32) | x.astype(_U))
+        ties = codes[(each >> _U(32)).astype(np.int64)], codes[(each & _U(0xFFFFFFFF)).astype(np.int64)]
+        ties = ties[0][ties[0] != ties[1]], ties[1][ties[0] != ties[1]]
     if not found:
-        return none[0], crowded
+        return none[0], crowded, ties
     each, at = np.unique(np.concatenate(found), return_inverse=True)
     met = np.bincount(at.reshape(-1), weights=np.concatenate(times), minlength=len(each)).astype(np.int64)
-    return (codes[(each >> _U(32)).astype(np.int64)], codes[(each & _U(0xFFFFFFFF)).astype(np.int64)], met), crowded
+    return (codes[(each >> _U(32)).astype(np.int64)], codes[(each & _U(0xFFFFFFFF)).astype(np.int64)], met), crowded, ties
 
 
-_SAID = "a long, b long, met long, keys array<bigint>, doc_id long, n long, f1 long, f2 long, code long, spare int, below int, sketch binary"
+_SAID = "a long, b long, met long, hot int, doc_id long, n long, f1 long, f2 long, code long, spare int, below int, sketch binary"
 
 
 def _candidates(table: DataFrame) -> DataFrame:
-    """a, b, met: codes of a candidate pair and the keys it meets under; or a and keys: a code and its keys with too many classes; or doc_id and the rest: a document and its class."""
+    """a, b, met: codes of a candidate pair and the keys it meets under; a and hot: a code and how many of its keys have too many classes; a and b alone: codes that meet under such a key, b standing for it; or doc_id and the rest: a document and its class."""
     names = [c.split()[0] for c in _SAID.split(", ")]
-    types = dict(zip(names, [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()], strict=True))
+    types = dict(zip(names, [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()], strict=True))
 
     def rows(count: int, **columns: pa.Array) -> pa.Table:
         return pa.table({c: columns.get(c, pa.nulls(count, t)) for c, t in types.items()})
 
     def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py() if group.num_rows else 0
-        if bucket < 0:
+        if group.column("bucket")[0].as_py() < 0:
             r = np.concatenate([np.frombuffer(x, dtype=_NODE) for x in group.column("keys").to_pylist()])
             sketches = pa.array([x for s in group.column("sketches").to_pylist() for x in s], pa.binary())
             numbers = {c: pa.array(r[f].view("<i8") if r[f].dtype.kind == "u" else r[f]) for c, f in (("doc_id", "doc"), *[(x, x) for x in ("n", "f1", "f2", "code", "spare", "below")])}
             return rows(len(r), **numbers, sketch=sketches)
         parts = list(zip(*(group.column(c).to_pylist() for c in ("codes", "keys", "owner")), strict=True))
         del group
-        (a, b, met), (crowded, begins, keys) = bucket_candidates(parts)
-        lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(keys.astype(np.int64) + (bucket << 32)))
-        return pa.concat_tables([rows(len(a), a=pa.array(a.view("<i8")), b=pa.array(b.view("<i8")), met=pa.array(met)), rows(len(crowded), a=pa.array(crowded.view("<i8")), keys=lists)])
+        (a, b, met), (crowded, hot), (hubs, members) = bucket_candidates(parts)
+        signed = lambda x: pa.array(x.view("<i8"))
+        return pa.concat_tables([rows(len(a), a=signed(a), b=signed(b), met=pa.array(met)), rows(len(hot), a=signed(crowded), hot=pa.array(hot)), rows(len(hubs), a=signed(members), b=signed(hubs))])
 
     return table.groupBy("bucket").applyInArrow(run, _SAID)
 
@@ -360,26 +362,42 @@ def _classes(nodes: DataFrame) -> DataFrame:
 
 
 def _needs(classes: DataFrame, said: DataFrame) -> DataFrame:
-    """code, spare, hot (keys with too many classes): codes as the keys carry them, BELOW or not."""
-    each = classes.select("code", "spare").union(classes.where(F.col("below") > NOT_BELOW).select(F.col("code").bitwiseOR(F.lit(BELOW)), "below"))
-    hot = said.where("keys is not null").groupBy(F.col("a").alias("code")).agg(F.sum(F.size("keys")).alias("hot"))
-    return each.groupBy("code").agg(F.min("spare").alias("spare")).join(hot, "code", "left").select("code", "spare", F.coalesce("hot", F.lit(0)).alias("hot"))
+    """code, spare, scant (it has fewer spare keys than its band's slack), hot (keys with too many classes): codes as the keys carry them, BELOW or not."""
+    k = F.length(F.bin("n")) - 1
+    scant = lambda spare, k: (F.col(spare) < F.lit(1) + F.expr(f"shiftleft(1L, cast({k} as int)) div 8")).alias("scant")
+    known = classes.select("code", "spare", "below", k.alias("k"))
+    each = known.select("code", "spare", scant("spare", "k")).union(known.where(F.col("below") > NOT_BELOW).select(F.col("code").bitwiseOR(F.lit(BELOW)), "below", scant("below", "k - 1")))
+    hot = said.where("hot is not null").groupBy(F.col("a").alias("code")).agg(F.sum("hot").alias("hot"))
+    return each.groupBy("code").agg(F.min("spare").alias("spare"), F.bool_or("scant").alias("scant")).join(hot, "code", "left").select("code", "spare", "scant", F.coalesce("hot", F.lit(0)).alias("hot"))
+
+
+def _needy(needs: DataFrame, ties: DataFrame) -> DataFrame:
+    """code of the classes that may have lost links: those with more frequent keys than spare ones, and all that meet one of these with scant spare keys under a frequent key, as the lesser spare of a pair counts."""
+    short = needs.where("hot > spare and hot > 0")
+    scant = short.where("scant").select("code")
+    hubs = ties.join(scant, F.col("a") == F.col("code"), "left_semi").select("b").union(scant).distinct()
+    met = ties.join(hubs, "b", "left_semi").select("a")
+    return short.select("code").union(met).union(hubs).select(_own("code")).distinct()
+
+
+def _own(code: str) -> Column:
+    """The class's code, whichever band its keys were of."""
+    return F.col(code).bitwiseAND(F.lit(~BELOW)).alias(code)
 
 
 def _enough(said: DataFrame, needs: DataFrame) -> DataFrame:
     """Pairs of codes that meet under as many keys as a link asks for."""
     side = lambda x: needs.select(F.col("code").alias(x), F.col("spare").alias(f"spare_{x}"), F.col("hot").alias(f"hot_{x}"))
-    pairs = said.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"))
+    pairs = said.where("met is not null").groupBy("a", "b").agg(F.sum("met").alias("met"))
     asked = 1 + F.least("spare_a", "spare_b") - F.least("hot_a", "hot_b")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("met") >= asked).select("a", "b")
 
 
 def _near_by_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Documents a, b of the pairs of codes whose bit sketches allow a link."""
-    own = lambda x: F.col(x).bitwiseAND(F.lit(~BELOW))
     twins = classes.groupBy("code").agg(F.count("*").alias("classes")).where("classes > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
     s = lambda x: classes.select(F.col("code").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.select(own("a").alias("a"), own("b").alias("b")).union(twins)
+    both = pairs.select(_own("a"), _own("b")).union(twins)
     joined = both.join(s("a"), "a").join(s("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,14 +464,17 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "u long, v long")
 
 
-def _second_pairs(docs: DataFrame, classes: DataFrame, needy: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of needy documents of different components by a shared shingle among the n/4 + 1 rarest of each: all that can link."""
-    part = needy.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "key")
-    # a key of one component links nothing new; components stay where they have a key of two
-    held = part.select("component", "key").distinct()
-    mixed = held.groupBy("key").agg(F.count("*").alias("components")).where("components > 1")
-    open_ = held.join(mixed, "key", "left_semi").select("component").distinct()
-    ids = written(part.select("doc_id", "component").distinct().join(open_, "component", "left_semi").select("doc_id", "component"), "needy")
+def _open(needy: DataFrame, ties: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, component of the needy documents whose components meet another under a frequent key. Who meets nobody but its own component links nothing new."""
+    named = classes.select("code", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("code", "rep", F.coalesce("component", "rep").alias("component"))
+    side = lambda x: named.select(F.col("code").alias(x), F.col("component").alias(f"c{x}"))
+    met = ties.select(_own("a"), _own("b")).distinct().join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("ca", "cb").distinct()
+    either = met.select(F.col("ca").alias("component")).union(met.select("cb")).distinct()
+    return needy.join(named, "code").select(F.col("rep").alias("doc_id"), "component").distinct().join(either, "component", "left_semi").select("doc_id", "component")
+
+
+def _second_pairs(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs of documents (doc_id, component) of different components by a shared shingle among the n/4 + 1 rarest of each: all that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -544,11 +565,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needs = written(_needs(classes, said), "needs")
     near = written(_near_by_bits(_enough(said, needs), classes), "near")
     edges = written(_verified(docs, near), "links")
-    crowded = said.where("keys is not null").join(needs.where("hot > spare").select(F.col("code").alias("a")), "a", "left_semi")
-    own = crowded.select(F.col("a").bitwiseAND(F.lit(~BELOW)).alias("code"), F.explode("keys").alias("key"))
-    needy = written(own.join(classes.select("code", "rep"), "code").select(F.col("rep").alias("doc_id"), "key"), "needy_keys")
-    if not needy.isEmpty():
-        more = written(_second_pairs(docs, classes, needy, components(edges)), "near")
+    ties = said.where("b is not null and met is null").select("a", "b")
+    ids = written(_open(_needy(needs, ties), ties, classes, components(edges)), "needy")
+    if not ids.isEmpty():
+        more = written(_second_pairs(docs, classes, ids), "near")
         edges = edges.union(_verified(docs, more))
     named = classes.select("n", "f1", "f2", "rep").join(components(edges).select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     largest = F.max(F.struct("n", "f1", "f2")).over(Window.partitionBy("doc_id")).alias("set")
