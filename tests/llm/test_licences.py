@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from tidebar.llm import licences
@@ -29,6 +31,24 @@ def zip_words(words):
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def brute_passages(text):
+    """Every window of each template's length that begins at one of its bigrams."""
+    import re
+
+    words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams, out = zip_words(words), []
+    for name, template in sorted(licences.TEMPLATES.items()):
+        t, n = licences.bigrams(template), len(licences.normalised(template))
+        found = []
+        for p, g in enumerate(grams):
+            if g in t:
+                s = set(grams[p : p + n - 1])
+                found.append((-(2000 * len(s & t) // (len(s) + len(t))), p))
+        if found and -min(found)[0] >= licences.LEAST:
+            out.append((name, -min(found)[0], min(found)[1]))
+    return out
+
+
 def test_query_against_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     got = {r.doc_id: r for r in op6_licence_scans(spark, sf).collect()}
@@ -39,6 +59,10 @@ def test_query_against_brute_force(spark, sf):
         assert got[i].licences == ",".join(sorted({n for _, n, _ in want}))
         best = min(want, key=lambda m: (-m[2], m[1]), default=(0, None, None))
         assert (got[i].best_licence, got[i].best_dice) == best[1:]
+        inside = brute_passages(t)
+        assert got[i].passage_licences == ",".join(n for n, _, _ in inside)
+        first = min(inside, key=lambda m: (-m[1], m[0]), default=(None, None, None))
+        assert (got[i].passage_licence, got[i].passage_dice, got[i].passage_start) == first
     assert any(r.n_matches for r in got.values())
 
 
@@ -62,3 +86,19 @@ def test_texts_edges_and_bounds(spark):
         for m in range(1, 130):
             if 2000 * min(n, m) // (n + m) >= licences.LEAST:
                 assert low <= m <= high
+
+
+def test_passages_within_longer_texts(spark):
+    t = licences.TEMPLATES
+    around = "some other words stand here and there of the text to the end\n" * 40
+    rows = [(k, around + textwrap.fill(t[name], 80) + "\n" + around) for k, name in enumerate(sorted(t))]
+    n = len(rows)
+    rows += [(n, "one sentence more. " + t["mit"] + " and others after it"), (n + 1, t["isc"].replace("hereby", "thus")), (n + 2, "of the " * 30_000), (n + 3, t["mit-text"][:300]), (n + 4, None), (n + 5, ""), (n + 6, (t["mit"] + " ") * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(m.licence, m.dice, m.start) for m in r.passages] for r in licences.scan(docs).collect()}
+    for i, text in rows:
+        assert got[i] == brute_passages(text)
+    for k, name in enumerate(sorted(t)):
+        assert (name, 1000) in {(m, d) for m, d, _ in got[k]}
+    assert got[n][0] == ("mit", 1000, 3) and got[n + 1][0][1] < 1000 and got[n + 6] == [("mit", 1000, 0)]
+    assert got[n + 2] == got[n + 4] == got[n + 5] == []

@@ -7,11 +7,17 @@ within t / (2 - t) of each other, so templates of other sizes are pruned before
 anything is compared, and so are units that share no bigram with a template. A
 unit of one word has no bigrams and matches nothing.
 
+Notices wrapped over lines or standing within a longer text are found as
+passages: windows over the whole text's words, of a template's own length and
+beginning at one of its bigrams. Of each template the best window is given.
+
 Native: DataFrame and SQL functions. Templates are few and fixed, so their
 bigrams are literals of the plan and nothing is shuffled.
 
 Defined cases: null and empty texts match nothing; ties go to the template
-whose name sorts first; repeated rows are scanned row by row; a unit's repeated
+whose name sorts first, and among a template's windows to the first; a window
+that the text's end cuts short counts with the words it has; repeated rows are
+scanned row by row; a unit's repeated
 bigrams count once; an empty table gives an empty result. Other columns are not
 read.
 """
@@ -84,32 +90,66 @@ def size_bounds(n: int, least: int = LEAST) -> tuple[int, int]:
     return -(-least * n // (2000 - least)), (2000 - least) * n // least
 
 
-def _units_sql(text: str) -> str:
-    """The whole text first, then its lines where there are several, each as distinct bigrams."""
-    words = lambda u: f"filter(split(translate({u}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w -> w <> '')"
-    pairs = "array_distinct(zip_with(slice(w, 1, greatest(0, size(w) - 1)), slice(w, 2, greatest(0, size(w) - 1)), (a, b) -> concat(a, ' ', b)))"
+def _unit_words_sql(text: str) -> str:
+    """The words of the whole text first, then those of its lines where there are several."""
+    words = "filter(split(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w -> w <> '')"
     units = f"if(contains({text}, '\\n'), concat(array({text}), split({text}, '\\n')), array({text}))"
-    return f"transform(transform({units}, u -> {words('u')}), w -> {pairs})"
+    return f"transform({units}, u -> {words})"
+
+
+def _pairs_sql(words: str, start: str, n: str) -> str:
+    """Distinct bigrams of n words from the one-based start."""
+    return f"array_distinct(array_compact(zip_with(slice({words}, {start}, {n} - 1), slice({words}, {start} + 1, {n} - 1), (a, b) -> concat(a, ' ', b))))"
+
+
+def _listed(grams) -> str:
+    return ", ".join(f"'{g}'" for g in sorted(grams))
+
+
+def _passage_sql(name: str, template: str, hits: str, words: str, least: int) -> str:
+    """The best window of a template in a text: of the template's length, beginning at one of its bigrams, the first among equals; null if none matches.
+
+    hits are the places and bigrams of the template in the text, in order. A
+    window holds no more different bigrams of the template than hits, so that
+    one whose hit number low - 1 lies beyond its end is pruned unread.
+    """
+    n, length = len(bigrams(template)), len(normalised(template))
+    low = size_bounds(n, least)[0]
+    anchors = f"filter(transform({hits}, (h, i) -> named_struct('p', h.p, 'i', i)), x -> get({hits}, x.i + {low - 1}).p <= x.p + {length - 2})"
+    common = f"size(array_distinct(transform(filter(slice({hits}, x.i + 1, {length - 1}), k -> k.p <= x.p + {length - 2}), k -> k.g)))"
+    windows = f"transform({anchors}, x -> named_struct('dice', cast(2000 * {common} div ({n} + size({_pairs_sql(words, 'x.p + 1', str(length))})) as int), 'before', -x.p))"
+    best = f"array_max(filter({windows}, x -> x.dice >= {least}))"
+    return f"transform(filter(array({best}), b -> b is not null), b -> named_struct('licence', '{name}', 'dice', b.dice, 'start', -b.before))"
 
 
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, matches: array of (licence, unit, dice), unit 0 the whole text and k its k-th line, dice in thousandths; by unit, then licence."""
-    sets = {name: bigrams(t) for name, t in sorted((templates or TEMPLATES).items())}
+    """doc_id, matches, passages, dice in thousandths.
+
+    matches: array of (licence, unit, dice), unit 0 the whole text and k its k-th
+    line; by unit, then licence. passages: array of (licence, dice, start), start
+    the best window's first word from 0; by licence.
+    """
+    templates = templates or TEMPLATES
+    sets = {name: bigrams(t) for name, t in sorted(templates.items())}
     widest = max(size_bounds(len(s), least)[1] for s in sets.values())
     narrowest = min(size_bounds(len(s), least)[0] for s in sets.values())
     every = sorted(set().union(*sets.values()))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a word of each template's rarest kind stands in every text that matches one: most texts end here
     hint = "(?i)" + "|".join(sorted({re.escape(max(normalised(b), key=len)) for s in sets.values() for b in s}))
-    units = F.expr(_units_sql("text"))
-    known = ", ".join(f"'{b}'" for b in every)
-    rows = rows.select("doc_id", F.when(F.col("text").rlike(hint), units).otherwise(F.expr("cast(array() as array<array<string>>)")).alias("units"))
+    known = _listed(every)
+    rows = rows.select("doc_id", F.when(F.col("text").rlike(hint), F.expr(_unit_words_sql("text"))).otherwise(F.expr("cast(array() as array<array<string>>)")).alias("spoken"))
+    rows = rows.select("doc_id", F.expr("coalesce(get(spoken, 0), cast(array() as array<string>))").alias("w"), F.expr(f"transform(spoken, w -> {_pairs_sql('w', '1', 'greatest(1, size(w))')})").alias("units"))
     some = F.expr(
         f"""filter(transform(units, (s, i) -> named_struct('unit', i, 'size', size(s), 'common',
               if(size(s) between {narrowest} and {widest}, array_intersect(s, array({known})), cast(array() as array<string>)))),
             u -> size(u.common) > 0)"""
     )
-    rows = rows.select("doc_id", some.alias("units"))
+    hits = F.expr(f"filter(transform(w, (x, i) -> named_struct('p', i, 'g', concat(x, ' ', get(w, i + 1)))), h -> h.g in ({known}))")
+    rows = rows.select("doc_id", "w", some.alias("units"), hits.alias("hits"))
+    mine = [F.expr(f"filter(hits, h -> h.g in ({_listed(s)}))").alias(f"hits_{k}") for k, s in enumerate(sets.values())]
+    rows = rows.select("doc_id", "w", "units", *mine)
+    passages = [_passage_sql(name, templates[name], f"hits_{k}", "w", least) for k, name in enumerate(sets)]
     each = []
     for name, s in sets.items():
         low, high = size_bounds(len(s), least)
@@ -117,25 +157,31 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, least: int
         dice = f"2000 * size(array_intersect(u.common, array({mine}))) div (u.size + {len(s)})"
         each.append(f"transform(filter(units, u -> u.size between {low} and {high}), u -> named_struct('licence', '{name}', 'unit', u.unit, 'dice', cast({dice} as int)))")
     found = f"filter(concat({', '.join(each)}), m -> m.dice >= {least})"
-    return rows.select("doc_id", F.expr(f"array_sort({found}, (a, b) -> case when a.unit < b.unit then -1 when a.unit > b.unit then 1 when a.licence < b.licence then -1 when a.licence > b.licence then 1 else 0 end)").alias("matches"))
+    matches = F.expr(f"array_sort({found}, (a, b) -> case when a.unit < b.unit then -1 when a.unit > b.unit then 1 when a.licence < b.licence then -1 when a.licence > b.licence then 1 else 0 end)")
+    return rows.select("doc_id", matches.alias("matches"), F.expr(f"concat({', '.join(passages)})").alias("passages"))
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """doc_id, n_matches (units that match), licences (sorted, comma-joined), best_licence and best_dice (thousandths)."""
-    best = F.expr("array_sort(matches, (a, b) -> case when a.dice > b.dice then -1 when a.dice < b.dice then 1 when a.licence < b.licence then -1 when a.licence > b.licence then 1 else 0 end)")
-    rows = found.select("doc_id", "matches", best.alias("ranked"))
+    """doc_id, n_matches (units that match), licences (sorted, comma-joined), best_licence and best_dice (thousandths); of passages licences, best licence, its dice and first word."""
+    ranked = lambda c: f"array_sort({c}, (a, b) -> case when a.dice > b.dice then -1 when a.dice < b.dice then 1 when a.licence < b.licence then -1 when a.licence > b.licence then 1 else 0 end)"
+    rows = found.select("doc_id", "matches", "passages", F.expr(ranked("matches")).alias("ranked"), F.expr(f"try_element_at({ranked('passages')}, 1)").alias("passage"))
     return rows.select(
         "doc_id",
         F.expr("cast(size(array_distinct(transform(matches, m -> m.unit))) as bigint)").alias("n_matches"),
         F.expr("array_join(array_sort(array_distinct(transform(matches, m -> m.licence))), ',')").alias("licences"),
         F.expr("try_element_at(ranked, 1).licence").alias("best_licence"),
         F.expr("cast(try_element_at(ranked, 1).dice as bigint)").alias("best_dice"),
+        F.expr("array_join(transform(passages, m -> m.licence), ',')").alias("passage_licences"),
+        F.col("passage.licence").alias("passage_licence"),
+        F.col("passage.dice").cast("long").alias("passage_dice"),
+        F.col("passage.start").cast("long").alias("passage_start"),
     )
 
 
 def oracle_sql(templates: dict[str, str] | None = None, least: int = LEAST) -> str:
     """The summary of documents in DuckDB's SQL."""
     values = ", ".join(f"('{name}', '{b}')" for name, t in sorted((templates or TEMPLATES).items()) for b in sorted(bigrams(t)))
+    lengths = ", ".join(f"('{name}', {len(normalised(t))})" for name, t in sorted((templates or TEMPLATES).items()))
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH template(licence, gram) AS (VALUES {values}),
@@ -159,7 +205,34 @@ dice AS (
 ),
 found AS (SELECT * FROM dice WHERE dice >= {least}),
 best AS (SELECT doc_id, licence, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) AS k FROM found),
-said AS (SELECT doc_id, count(DISTINCT unit) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM found GROUP BY 1)
-SELECT d.doc_id, coalesce(s.n_matches, 0) AS n_matches, coalesce(s.licences, '') AS licences, b.licence AS best_licence, b.dice AS best_dice
-FROM documents d LEFT JOIN said s ON d.doc_id = s.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id AND b.k = 1
+said AS (SELECT doc_id, count(DISTINCT unit) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM found GROUP BY 1),
+lengths(licence, n_words) AS (VALUES {lengths}),
+places AS (
+  SELECT doc_id, unnest(range(0, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram
+  FROM words WHERE unit = 0 AND len(w) > 1
+),
+hits AS (SELECT p.doc_id, p.p, t.licence, t.gram FROM places p JOIN template t USING (gram)),
+shared AS (
+  SELECT a.doc_id, a.licence, a.p, count(DISTINCT b.gram) AS n
+  FROM hits a JOIN lengths l USING (licence) JOIN hits b ON a.doc_id = b.doc_id AND a.licence = b.licence AND b.p BETWEEN a.p AND a.p + l.n_words - 2
+  GROUP BY 1, 2, 3
+),
+likely AS (SELECT h.doc_id, h.licence, h.p, h.n FROM shared h JOIN sizes s USING (licence) WHERE (2000 - {least}) * h.n >= {least} * s.n),
+window_dice AS (
+  SELECT k.doc_id, k.licence, k.p, 2000 * any_value(k.n) // (any_value(s.n) + count(DISTINCT q.gram)) AS dice
+  FROM likely k JOIN lengths l USING (licence) JOIN sizes s USING (licence) JOIN places q ON k.doc_id = q.doc_id AND q.p BETWEEN k.p AND k.p + l.n_words - 2
+  GROUP BY 1, 2, 3
+),
+passages AS (
+  SELECT doc_id, licence, dice, p FROM window_dice WHERE dice >= {least}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, p) = 1
+),
+passage AS (
+  SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences, first(licence ORDER BY dice DESC, licence) AS licence,
+         first(dice ORDER BY dice DESC, licence) AS dice, first(p ORDER BY dice DESC, licence) AS p
+  FROM passages GROUP BY 1
+)
+SELECT d.doc_id, coalesce(s.n_matches, 0) AS n_matches, coalesce(s.licences, '') AS licences, b.licence AS best_licence, b.dice AS best_dice,
+       coalesce(g.licences, '') AS passage_licences, g.licence AS passage_licence, g.dice AS passage_dice, g.p AS passage_start
+FROM documents d LEFT JOIN said s ON d.doc_id = s.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id AND b.k = 1 LEFT JOIN passage g ON d.doc_id = g.doc_id
 """
