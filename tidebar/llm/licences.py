@@ -17,9 +17,8 @@ bigrams are literals of the plan and nothing is shuffled.
 Defined cases: null and empty texts match nothing; ties go to the template
 whose name sorts first, and among a template's windows to the first; a window
 that the text's end cuts short counts with the words it has; repeated rows are
-scanned row by row; a unit's repeated
-bigrams count once; an empty table gives an empty result. Other columns are not
-read.
+scanned row by row; a unit's repeated bigrams count once; an empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,11 +89,8 @@ def size_bounds(n: int, least: int = LEAST) -> tuple[int, int]:
     return -(-least * n // (2000 - least)), (2000 - least) * n // least
 
 
-def _unit_words_sql(text: str) -> str:
-    """The words of the whole text first, then those of its lines where there are several."""
-    words = "filter(split(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w -> w <> '')"
-    units = f"if(contains({text}, '\\n'), concat(array({text}), split({text}, '\\n')), array({text}))"
-    return f"transform({units}, u -> {words})"
+def _words_sql(text: str) -> str:
+    return f"filter(split(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), x -> x <> '')"
 
 
 def _pairs_sql(words: str, start: str, n: str) -> str:
@@ -130,7 +126,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, least: int
     the best window's first word from 0; by licence.
     """
     templates = templates or TEMPLATES
-    sets = {name: bigrams(t) for name, t in sorted(templates.items())}
+    sets = {name: bigrams(t) for name, t in sorted(templates.items()) if bigrams(t)}
     widest = max(size_bounds(len(s), least)[1] for s in sets.values())
     narrowest = min(size_bounds(len(s), least)[0] for s in sets.values())
     every = sorted(set().union(*sets.values()))
@@ -138,8 +134,14 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, least: int
     # a word of each template's rarest kind stands in every text that matches one: most texts end here
     hint = "(?i)" + "|".join(sorted({re.escape(max(normalised(b), key=len)) for s in sets.values() for b in s}))
     known = _listed(every)
-    rows = rows.select("doc_id", F.when(F.col("text").rlike(hint), F.expr(_unit_words_sql("text"))).otherwise(F.expr("cast(array() as array<array<string>>)")).alias("spoken"))
-    rows = rows.select("doc_id", F.expr("coalesce(get(spoken, 0), cast(array() as array<string>))").alias("w"), F.expr(f"transform(spoken, w -> {_pairs_sql('w', '1', 'greatest(1, size(w))')})").alias("units"))
+    no_words, no_units = "cast(array() as array<string>)", "cast(array() as array<array<string>>)"
+    rows = rows.select("doc_id", "text", F.when(F.col("text").rlike(hint), F.expr(_words_sql("text"))).otherwise(F.expr(no_words)).alias("w"))
+    rows = rows.select("doc_id", "text", "w", F.expr(_pairs_sql("w", "1", "greatest(1, size(w))")).alias("grams"))
+    # lines and passages have no bigram that their text hasn't: with fewer known ones than the least size bound, nothing in it matches
+    rows = rows.select("doc_id", "text", "w", "grams", F.expr(f"size(filter(grams, g -> g in ({known}))) >= {narrowest}").alias("likely"))
+    lines = f"transform(transform(split(text, '\\n'), u -> {_words_sql('u')}), v -> {_pairs_sql('v', '1', 'greatest(1, size(v))')})"
+    units = f"if(likely, concat(array(grams), if(contains(text, '\\n'), {lines}, {no_units})), {no_units})"
+    rows = rows.select("doc_id", F.expr(f"if(likely, w, {no_words})").alias("w"), F.expr(units).alias("units"))
     some = F.expr(
         f"""filter(transform(units, (s, i) -> named_struct('unit', i, 'size', size(s), 'common',
               if(size(s) between {narrowest} and {widest}, array_intersect(s, array({known})), cast(array() as array<string>)))),
