@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.operators import grid, integrity
-from tidebar.sources import klines, sinks
+from tidebar.sources import bars, klines, sinks
 from tidebar.streaming import bars as streaming
 
 JAN, FEB = datetime(2025, 1, 1), datetime(2025, 2, 1)
@@ -90,3 +90,16 @@ def test_streamed_bars_and_smoothing(spark, tmp_path):
     for r in spark.table("ema_out").orderBy(F.col("bar_index")).collect():
         y = float(r.bar_index % 5) if y is None else 0.5 * y + 0.5 * (r.bar_index % 5)
         assert abs(r.value - y) < 1e-12
+
+
+def test_numbers_by_pieces_are_row_numbers(spark):
+    rows = [(k, "ab"[k % 7 == 0], None if k % 50 == 3 else k * 37 % 11, None if k % 40 == 5 else k * 101 % 997) for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, s string, day int, n int").repartition(5, "k")
+    got = bars.numbered(df, "s", ["day", "n", "k"], ["day", "n div 64"])
+    assert got.columns == [*df.columns, "rn"]
+    low = lambda x: -1 if x is None else x
+    for name in "ab":
+        want = sorted((low(d), low(n), k) for k, s, d, n in rows if s == name)
+        assert [(low(r.day), low(r.n), r.k) for r in sorted(got.where(F.col("s") == name).collect(), key=lambda r: r.rn)] == want
+        assert sorted(r.rn for r in got.where(F.col("s") == name).collect()) == list(range(len(want)))
+    assert bars.numbered(df.limit(0), "s", ["k"], ["day"]).count() == 0

@@ -7,11 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def row_bars(ticks: DataFrame, symbol: str, order: list[str], price: str, volume: str, time: str, rows: int) -> DataFrame:
-    """Bars of a fixed number of consecutive rows; an incomplete last bar is left out."""
-    w = Window.partitionBy(symbol).orderBy(*order)
-    numbered = ticks.select(F.col(symbol).alias("symbol"), (F.row_number().over(w) - 1).cast("long").alias("rn"), F.col(price).alias("price"), F.col(volume).alias("qty"), F.col(time).alias("time"))
-    bars = numbered.groupBy("symbol", F.expr(f"rn div {rows}").alias("bar_index")).agg(*_ohlc(F.col("rn")), F.sum("qty").alias("volume"), F.max("time").alias("close_time"), F.count("*").alias("count"))
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, nulls among them."""
+    right = right.withColumnsRenamed({k: f"{k}_met" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_met")) for k in keys]).drop(*[f"{k}_met" for k in keys])
+
+
+def numbered(rows: DataFrame, series: str, order: list[str], pieces: list[str], out: str = "rn") -> DataFrame:
+    """rows with their number from 0 within their series, with no task that holds a series.
+
+    Pieces cut a series in its order: among rows equal in the pieces before it,
+    a piece does not fall along the order. Rows are numbered within the last
+    piece, after the count of rows in the pieces before; counts are summed level
+    by level, so that a window holds the parts of one piece. Nulls come first.
+    """
+    names = [f"_piece{k}" for k in range(len(pieces))]
+    rows = rows.withColumns({n: F.expr(p) for n, p in zip(names, pieces, strict=True)})
+    level = rows.groupBy(series, *names).agg(F.count("*").alias("_n"))
+    starts = None
+    for k in reversed(range(len(names))):
+        above = [series, *names[:k]]
+        earlier = Window.partitionBy(*above).orderBy(names[k]).rowsBetween(Window.unboundedPreceding, -1)
+        before = level.select(*above, names[k], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(f"_before{k}"))
+        starts = before if starts is None else _met(starts, before, [*above, names[k]])
+        level = level.groupBy(*above).agg(F.sum("_n").alias("_n"))
+    start = sum((F.col(f"_before{k}") for k in range(len(names))), F.lit(0))
+    rows = _met(rows, starts.select(series, *names, start.alias("_start")), [series, *names])
+    place = F.row_number().over(Window.partitionBy(series, *names).orderBy(*order))
+    return rows.withColumn(out, (F.col("_start") + place - 1).cast("long")).drop(*names, "_start")
+
+
+def row_bars(ticks: DataFrame, symbol: str, order: list[str], price: str, volume: str, time: str, rows: int, pieces: list[str] | None = None) -> DataFrame:
+    """Bars of a fixed number of consecutive rows, which pieces cut for counting; an incomplete last bar is left out."""
+    counted = numbered(ticks, symbol, order, pieces or order[:1])
+    ticks = counted.select(F.col(symbol).alias("symbol"), F.col("rn"), F.col(price).alias("price"), F.col(volume).alias("qty"), F.col(time).alias("time"))
+    bars = ticks.groupBy("symbol", F.expr(f"rn div {rows}").alias("bar_index")).agg(*_ohlc(F.col("rn")), F.sum("qty").alias("volume"), F.max("time").alias("close_time"), F.count("*").alias("count"))
     return bars.where(F.col("count") == rows).select("symbol", F.lit(f"{rows}r").alias("interval"), "bar_index", "open", "high", "low", "close", "volume", "close_time", "count")
 
 
@@ -31,11 +61,13 @@ def time_bars(ticks: DataFrame, symbol: str, time: str, price: str, volume: str,
 
 
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
+#: A day's orders in stretches of about a million keys.
+LINE_PIECES = ["l_shipdate", "l_orderkey div 1048576"]
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str, rows: int = 2) -> DataFrame:
     """The main bar table: consecutive line items of a return flag."""
-    return row_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_returnflag", LINE_ORDER, "l_extendedprice", "l_quantity", "l_shipdate", rows)
+    return row_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_returnflag", LINE_ORDER, "l_extendedprice", "l_quantity", "l_shipdate", rows, LINE_PIECES)
 
 
 def lineitem_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
