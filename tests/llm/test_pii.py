@@ -123,3 +123,27 @@ def test_redaction_and_edges(spark):
 def test_redaction_takes_all_base_spans(spark, text):
     out = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].text
     assert not brute(out)
+
+
+def test_many_spans_in_a_text_against_brute_force(spark):
+    """Thousands of spans, many blocks of them: places, candidates that touch none of the base spans, and what redaction leaves."""
+    rng = random.Random(3)
+    parts = ["a@b.de", "1.2.3.4", "4111 1111 1111 1111", "+1 (212) 555-0100", "word", "é\U0001f600", "10[.]20[.]30[.]40", "x\n", "call (415) 555-0133 now"]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (255, 256, 257, 700, 9_000)] + ["1.2.3.4 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = pii.train(docs)
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    left = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    for i, text in enumerate(texts):
+        base, spans = [tuple(s) for s in found[i].base], [tuple(s) for s in found[i].spans]
+        assert base == brute(text) and spans == sorted(spans) and set(base) <= set(spans)
+        more = [s for s in spans if s not in set(base)]
+        assert not any(b[0] < s[2] and s[0] < b[2] for s in more[:200] for b in base)
+        out, at = [], 0
+        for start, kind, end in spans:
+            if start >= at:
+                out += [text[at:start], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, end)
+        cut = "".join([*out, text[at:]])
+        assert left[i] == cut or brute(cut), i  # cut once more only where what a cut leaves matches anew
+    assert len(weights) == 5 and len(found[5].base) == 20_000

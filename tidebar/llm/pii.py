@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
 ACCEPT = 0.8
 EM_ROUNDS, FIT_ROUNDS = 50, 400
+#: Spans of a text that are folded at once.
+BLOCK = 256
 
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -58,6 +60,7 @@ CUES = {
 _OTHER_NUMBER = r"(?i)\b(?:isbn|issn|doi|order|invoice|version|ver|ref|no|nr|id|sku|serial|page|pp|section|lat|lon)\b[\x20.:#]*\z"
 
 _SPAN = "struct<kind:int,start:int,end:int,span:string,before:string,base:boolean>"
+_NONE = f"cast(array() as array<{_SPAN}>)"
 
 
 def _digits(span: str) -> str:
@@ -82,16 +85,29 @@ def _valid(kind: str, span: str) -> str:
     return "true"
 
 
+def _blocks(x: str) -> str:
+    """SQL: the array x, a column or a lambda's variable, in blocks of BLOCK; an empty one in one empty block.
+
+    Folds append to arrays by copying them; blocks keep what is copied short.
+    """
+    return f"transform(sequence(0, cast((size({x}) - 1) div {BLOCK} as int)), k_ -> slice({x}, k_ * {BLOCK} + 1, {BLOCK}))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with name standing for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _matches(text: str, kind: str, pattern: str, base: bool) -> str:
     """SQL: an array of spans; the text between matches tells their places."""
-    k = KINDS.index(kind)
-    return f"""if({text} rlike r'{NEEDS[kind]}', aggregate(
-        zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (p, m) -> named_struct('p', p, 'm', m)),
-        named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-        (a, x) -> named_struct(
-            'at', a.at + length(x.p) + coalesce(length(x.m), 0),
-            'out', if(x.m is null, a.out, array_append(a.out, named_struct('kind', {k}, 'start', a.at + length(x.p), 'end', a.at + length(x.p) + length(x.m), 'span', x.m, 'before', right(x.p, {CONTEXT}), 'base', {str(base).lower()})))),
-        a -> a.out), cast(array() as array<{_SPAN}>))"""
+    pairs = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (p, m) -> named_struct('p', p, 'm', m))"
+    start = "b.at + length(x.p)"
+    span = f"named_struct('kind', {KINDS.index(kind)}, 'start', {start}, 'end', {start} + length(x.m), 'span', x.m, 'before', right(x.p, {CONTEXT}), 'base', {str(base).lower()})"
+    inner = f"""aggregate(block_, named_struct('at', a.at, 'out', {_NONE}),
+        (b, x) -> named_struct('at', {start} + coalesce(length(x.m), 0), 'out', if(x.m is null, b.out, array_append(b.out, {span}))))"""
+    outer = f"""flatten(aggregate({_blocks("pairs_")}, named_struct('at', 0, 'out', cast(array() as array<array<{_SPAN}>>)),
+        (a, block_) -> {_let("r_", inner, "named_struct('at', r_.at, 'out', array_append(a.out, r_.out))")}, a -> a.out))"""
+    return f"if({text} rlike r'{NEEDS[kind]}', {_let('pairs_', pairs, outer)}, {_NONE})"
 
 
 def base_spans_sql(text: str) -> str:
@@ -107,7 +123,10 @@ def base_spans(text: str = "text") -> Column:
 def loose_spans(text: str, base: str) -> Column:
     """Candidates beyond the base matches in the column base, none of them overlapping one."""
     each = [_matches(text, k, LOOSE[k], False) for k in KINDS]
-    return F.expr(f"filter(concat({', '.join(each)}), c -> not exists({base}, b -> b.start < c.end and c.start < b.end))")
+    # a block's reach spares looking at its spans one by one
+    reach = f"transform({_blocks(base)}, s_ -> named_struct('lo', array_min(s_.start), 'hi', array_max(s_.end), 's', s_))"
+    meets = "exists(reach_, g_ -> g_.lo < c.end and c.start < g_.hi and exists(g_.s, b -> b.start < c.end and c.start < b.end))"
+    return F.expr(_let("reach_", reach, f"filter(concat({', '.join(each)}), c -> not coalesce({meets}, false))"))
 
 
 def _vote(yes: str, no: str) -> str:
@@ -231,9 +250,13 @@ def digests(found: DataFrame) -> DataFrame:
 def _cut(text: str, spans: str) -> str:
     """SQL: text with every span replaced by its kind in brackets; overlapping spans become one."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    return f"""array_join(aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', if(s.start < a.at, a.out, concat(a.out, array(substring({text}, a.at + 1, s.start - a.at), array({names})[s.kind])))),
-        a -> array_append(a.out, substring({text}, a.at + 1))), '')"""
+    # places are counted within the text of a block, as finding a place takes the time of the text before it
+    here = f"substring({text}, a.at + 1, greatest(a.at, coalesce(array_max(block_.end), 0)) - a.at)"
+    inner = f"""aggregate(block_, named_struct('at', a.at, 'out', cast(array() as array<string>)),
+        (b, s) -> named_struct('at', greatest(b.at, s.end), 'out', if(s.start < b.at, b.out, concat(b.out, array(substring(here_, b.at - a.at + 1, s.start - b.at), array({names})[s.kind])))))"""
+    block = _let("here_", here, _let("r_", inner, "named_struct('at', r_.at, 'out', array_append(a.out, array_join(r_.out, '')))"))
+    return f"""array_join(aggregate({_blocks(spans)}, named_struct('at', 0, 'out', cast(array() as array<string>)),
+        (a, block_) -> {block}, a -> array_append(a.out, substring({text}, a.at + 1))), '')"""
 
 
 def redacted(docs: DataFrame) -> DataFrame:
