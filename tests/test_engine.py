@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import distributions as d
 from tidebar.functions import series as s
-from tidebar.operators import causality, events, grid
+from tidebar.operators import causality, events, grid, integrity
 from tidebar.operators import indicators as ind
 from tidebar.operators import statistics as st
 from tidebar.params import AdxParams, SqueezeParams, WaveTrendParams
@@ -269,3 +269,33 @@ def test_runs_are_causal(spark):
     bars = spark.createDataFrame(walk(330, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
     builder = lambda b: ind.squeeze(b, SqueezeParams(kc_mult=1.0)).select(*[c for c in (*s.SERIES, "cut", "bar_index") if c in b.columns], "squeeze_run", "squeeze_run_before")
     assert causality.differences(builder, bars, causality.series_cuts(bars, 102)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 16, 1 << 16])
+def test_thinning_by_pieces_against_a_plain_fold(spark, monkeypatch, chunk):
+    monkeypatch.setattr(st, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    rows = [(s, h, int(i)) for s in ("A", "B", None) for h in (1, 6) for i in np.flatnonzero(rng.random(200) < {"A": 0.05, "B": 0.4}.get(s, 1.0))]
+    want, last = set(), {}
+    for s, h, i in rows:
+        if i - last.get((s, h), -100) > h:
+            want.add((s, h, i))
+            last[s, h] = i
+    got = [tuple(r) for r in st.non_overlapping(spark.createDataFrame(rows, "symbol string, horizon int, bar_index long"), ["symbol"]).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_spacing_by_spans_against_a_plain_scan(spark, monkeypatch):
+    monkeypatch.setattr(integrity, "SPAN_BARS", 7)
+    monkeypatch.setattr(integrity, "SPAN_SECONDS", 5 * 3600)
+    rng = np.random.default_rng(6)
+    hours = {s: np.cumsum(rng.choice([0, 1, 1, 1, 2, 9], 120)) for s in "AB"}
+    rows = [(s, "1h", n, int(h) * 3600) for s, found in hours.items() for n, h in enumerate(found)]
+    bars = spark.createDataFrame(rows, "symbol string, interval string, bar_index long, s long").withColumn("open_time", F.timestamp_seconds("s"))
+    report = {r.symbol: r for r in integrity.report(bars, {"1h": 60}).collect()}
+    faults = {r.symbol: r.faults for r in integrity.spacing_faults(bars, 60).collect()}
+    for s, found in hours.items():
+        steps = np.diff(found)
+        assert faults[s] == (steps != 1).sum()
+        assert report[s].irregular_steps == (steps > 1).sum() and report[s].actual_bars == len(set(found))
+        assert report[s].duplicated_times == (steps == 0).sum() and report[s].expected_bars == found[-1] - found[0] + 1

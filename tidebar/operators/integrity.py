@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
 STRETCH = 10_000
+#: Seconds, and bars, of a series that are looked at in one go.
+SPAN_SECONDS, SPAN_BARS = 1 << 20, 1 << 16
 
 
 def require_complete(found: DataFrame) -> None:
@@ -35,17 +36,27 @@ def missing_times(bars: DataFrame, minutes: int, start: datetime | None = None,
 def report(bars: DataFrame, minutes: dict[str, int], start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Per series: expected and actual bars, repeated times, missing bars, irregular steps, completeness."""
     series = ["symbol", "interval"]
-    w = Window.partitionBy(*series).orderBy("open_time")
     step = F.coalesce(*[F.when(F.col("interval") == i, m * 60) for i, m in minutes.items()])
     seconds = F.unix_seconds("open_time")
-    gap = seconds - F.lag(seconds, 1).over(w)
-    rows = bars.select(*series, "open_time", step.alias("step"), gap.alias("gap"))
-    found = rows.groupBy(*series, "step").agg(
+    span = F.floor(seconds / SPAN_SECONDS)
+    # steps within spans of a series, then those from one span to the next, so that no task sorts a series
+    gap = seconds - F.lag(seconds, 1).over(Window.partitionBy(*series, "span").orderBy("open_time"))
+    odd = lambda x: (x != 0) & (x != F.col("step"))
+    rows = bars.select(*series, "open_time", step.alias("step"), span.alias("span")).withColumn("gap", gap)
+    spans = rows.groupBy(*series, "step", "span").agg(
         F.count("*").alias("rows"),
         F.count_distinct("open_time").alias("actual_bars"),
         F.min("open_time").alias("a"),
         F.max("open_time").alias("b"),
-        F.count_if((F.col("gap") != 0) & (F.col("gap") != F.col("step"))).alias("irregular_steps"),
+        F.count_if(odd(F.col("gap"))).alias("odd"),
+    )
+    edge = F.unix_seconds("a") - F.lag(F.unix_seconds("b"), 1).over(Window.partitionBy(*series).orderBy("span"))
+    found = spans.withColumn("edge", edge).groupBy(*series, "step").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("actual_bars").alias("actual_bars"),
+        F.min("a").alias("a"),
+        F.max("b").alias("b"),
+        (F.sum("odd") + F.count_if(odd(F.col("edge")))).alias("irregular_steps"),
     )
     a = F.unix_seconds(F.lit(start)) if start else F.unix_seconds("a")
     b = F.unix_seconds(F.lit(end)) if end else F.unix_seconds("b") + F.col("step")
@@ -63,21 +74,27 @@ def report(bars: DataFrame, minutes: dict[str, int], start: datetime | None = No
 
 def missing_pattern(missing: DataFrame, top: int = 5) -> DataFrame:
     """The most frequent times of day and days of month of missing bars, with their share and whether that is a concentration."""
-    total = missing.groupBy().agg(F.count("*").alias("total"))
     kinds = missing.select(F.explode(F.array(F.struct(F.lit("time").alias("kind"), F.date_format("open_time", "HH:mm:ss").alias("value")), F.struct(F.lit("day").alias("kind"), F.date_format("open_time", "dd").alias("value")))).alias("k"))
     counted = kinds.groupBy("k.kind", "k.value").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    # each missing bar has one value of each kind
+    total = F.sum("n").over(Window.partitionBy("kind"))
     share = F.col("n") / F.col("total")
-    return counted.crossJoin(F.broadcast(total)).withColumn("place", rank).where(F.col("place") <= top).select("kind", "value", "n", "place", F.round(share, 6).alias("share"), ((share > 0.3) & (F.col("total") >= 10)).alias("concentrated"))
+    return counted.withColumns({"place": rank, "total": total}).where(F.col("place") <= top).select("kind", "value", "n", "place", F.round(share, 6).alias("share"), ((share > 0.3) & (F.col("total") >= 10)).alias("concentrated"))
 
 
 def spacing_faults(bars: DataFrame, minutes: int) -> DataFrame:
     """symbol, faults: steps between neighbouring bars that differ from the interval."""
-    w = Window.partitionBy("symbol").orderBy("bar_index")
-    gap = F.unix_seconds("open_time") - F.lag(F.unix_seconds("open_time"), 1).over(w)
-    return bars.select("symbol", gap.alias("gap")).groupBy("symbol").agg(F.count_if(F.col("gap") != minutes * 60).alias("faults"))
+    seconds, span = F.unix_seconds("open_time"), F.floor(F.col("bar_index") / SPAN_BARS)
+    gap = F.col("seconds") - F.lag("seconds", 1).over(Window.partitionBy("symbol", "span").orderBy("bar_index"))
+    rows = bars.select("symbol", "bar_index", seconds.alias("seconds"), span.alias("span")).withColumn("gap", gap)
+    fault = lambda x: F.count_if(x != minutes * 60)
+    spans = rows.groupBy("symbol", "span").agg(fault(F.col("gap")).alias("faults"), F.min_by("seconds", "bar_index").alias("a"), F.max_by("seconds", "bar_index").alias("b"))
+    edge = F.col("a") - F.lag("b", 1).over(Window.partitionBy("symbol").orderBy("span"))
+    return spans.withColumn("edge", edge).groupBy("symbol").agg((F.sum("faults") + fault(F.col("edge"))).alias("faults"))
 
 
 def assert_contiguous(bars: DataFrame, minutes: int) -> None:
-    if bad := spacing_faults(bars, minutes).where("faults > 0").collect():
+    """Raises where bars aren't equally spaced, and names the first few series."""
+    if bad := spacing_faults(bars, minutes).where("faults > 0").orderBy("symbol").limit(5).collect():
         raise ValueError(f"bars aren't equally spaced: {', '.join(r['symbol'] for r in bad)}")

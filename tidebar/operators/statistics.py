@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,9 @@ from pyspark.sql.window import Window
 from tidebar.functions import distributions as d
 from tidebar.params import COSTS_BPS, MIN_SAMPLE
 
+#: Indexes of a series that are looked at in one go.
+CHUNK = 1 << 16
+
 
 def t_statistic(x: Column) -> Column:
     return F.try_divide(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x)))
@@ -51,8 +57,7 @@ def brown_forsythe(df: DataFrame, by: list[str], side: Column, value: str) -> Da
     x = F.col(value)
     rows = df.where(x.isNotNull()).select(*by, side.alias("_side"), x.alias("_x"))
     middle = rows.groupBy(*by, "_side").agg(F.median("_x").alias("_m"), F.stddev_samp("_x").alias("_s"), F.median(F.abs("_x")).alias("_a"))
-    # two rows a group: broadcast by their number, which is bounded by the cells'
-    z = rows.join(F.broadcast(middle.select(*by, "_side", "_m")), [*by, "_side"]).withColumn("_z", F.abs(F.col("_x") - F.col("_m")))
+    z = rows.join(middle.select(*by, "_side", "_m"), [*by, "_side"]).withColumn("_z", F.abs(F.col("_x") - F.col("_m")))
     parts = z.groupBy(*by, "_side").agg(F.count("*").alias("_n"), F.avg("_z").alias("_mean"), F.var_pop("_z").alias("_var"))
     parts = parts.join(middle, [*by, "_side"])
     pick = lambda c, s: F.max(F.when(F.col("_side") == s, F.col(c)))
@@ -86,28 +91,41 @@ def signs_agree(mean: Column, require: int | None = None) -> Column:
 def non_overlapping(df: DataFrame, by: list[str], horizon: str = "horizon", index: str = "bar_index") -> DataFrame:
     """The rows of a greedy thinning in order of index: each at least horizon + 1 after the last one kept.
 
-    A streaming fold over sorted partitions: its memory is one number, however long a group is.
+    A row whose predecessor is horizon + 1 or more before it is kept whatever came
+    earlier, so series are cut into pieces there and a piece is folded, in a stream
+    over sorted partitions. Pieces are found by chunks of CHUNK indexes; only a
+    series without such a gap is one piece.
     """
-    columns = df.columns
-    at = [columns.index(c) for c in (*by, horizon)]
+    columns, key = df.columns, [*by, horizon]
+    i, far = F.col(index), F.col(horizon) + 1
+    chunk = Window.partitionBy(*key, "_chunk").orderBy(index)
+    rows = df.withColumn("_chunk", F.floor(i / CHUNK))
+    rows = rows.withColumn("_cut", F.when(i - F.lag(index, 1).over(chunk) >= far, i))
+    rows = rows.withColumn("_piece", F.max("_cut").over(chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    # the piece that a chunk begins with: its own, or the last one begun before
+    chunks = rows.groupBy(*key, "_chunk").agg(F.min(index).alias("_a"), F.max(index).alias("_b"), F.max("_cut").alias("_last"))
+    series = Window.partitionBy(*key).orderBy("_chunk")
+    before = F.lag("_b", 1).over(series)
+    chunks = chunks.withColumn("_own", F.when(before.isNull() | (F.col("_a") - before >= far), F.col("_a")))
+    earlier = F.max(F.coalesce("_last", "_own")).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    heads = chunks.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate([*key, "_chunk"])], F.coalesce("_own", earlier).alias("_head"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate([*key, "_chunk"])])
+    pieces = rows.join(heads, same).select(*columns, F.coalesce("_piece", "_head").alias("_piece"))
+    at = [*(columns.index(c) for c in key), len(columns)]
     where = columns.index(index)
 
     def run(batches):
-        now, free = None, -1
+        now, free, wait = None, None, columns.index(horizon)
         for batch in batches:
-            data = [batch.column(i).to_pylist() for i in (*at, where)]
+            groups = zip(*[batch.column(c).to_pylist() for c in at], strict=True)
             keep = []
-            for *key, i in zip(*data, strict=True):
-                if key != now:
-                    now, free = key, -1
-                keep.append(i >= free)
+            for group, place, far in zip(groups, batch.column(where).to_pylist(), batch.column(wait).to_pylist(), strict=True):
+                keep.append(group != now or place >= free)
                 if keep[-1]:
-                    free = i + key[-1] + 1
-            import pyarrow as pa
-
+                    now, free = group, place + far + 1
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.repartition(*by, horizon).sortWithinPartitions(*by, horizon, index).mapInArrow(run, df.schema)
+    return pieces.repartition(*key, "_piece").sortWithinPartitions(*key, "_piece", index).mapInArrow(run, pieces.schema).select(*columns)
 
 
 def bootstrap(df: DataFrame, by: list[str], value: str, order: list[str], method: str = "blocks", min_n: int = MIN_SAMPLE) -> DataFrame:

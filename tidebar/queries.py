@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidebar.functions import series as s
 from tidebar.functions import distributions as d
@@ -216,9 +217,9 @@ def hour_of_day(spark, sf):
     """By the closing hour of four-hour bars: all rows count in the size, the means skip nulls."""
     b = events.with_targets(src.event_bars(spark, sf), (6,), None)
     by = b.groupBy(F.hour("close_time").alias("utc_hour")).agg(F.count("*").alias("size"), F.avg("ret_6_bps").alias("mean_bps"), F.median(F.abs("ret_6_bps")).alias("median_abs_bps"))
-    total = b.groupBy().agg(F.count("*").alias("total"))
-    share = F.col("size") / F.col("total")
-    return rounded(by.crossJoin(F.broadcast(total)).select("utc_hour", "size", "mean_bps", "median_abs_bps", share.alias("share"), (share * 24).alias("vs_uniform")))
+    total = F.sum("size").over(Window.partitionBy())  # over the hours, of which there are 24
+    share = F.col("size") / total
+    return rounded(by.select("utc_hour", "size", "mean_bps", "median_abs_bps", share.alias("share"), (share * 24).alias("vs_uniform")))
 
 
 def volatility_expansion(spark, sf):
