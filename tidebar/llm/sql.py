@@ -42,3 +42,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(escaped) + count(*) * (4 + 2 + 9) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def _merkle(levels: int, top_levels: int) -> str:
+    """The manifest with its levels written out, up to 16^levels rows of a source and 16^top_levels sources."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 bit by bit: each byte comes in at the first of its eight steps
+    octets = "list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])))"
+    crc = f"xor(list_reduce({octets}, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"
+    parts = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS rid, *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, {crc} % 5 = 0 AS tampered FROM documents)",
+        f"l AS MATERIALIZED (SELECT rid, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf('text')} AS leaf, CASE WHEN tampered THEN {leaf('lowered')} END AS changed FROM d)",
+        "n0 AS MATERIALIZED (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY tree) AS w, leaf AS digest, rid FROM l)",
+        "p0 AS (SELECT rid, n0.tree, i, w, '' AS proof, coalesce(changed, leaf) AS folded FROM n0 JOIN l USING (rid))",
+    ]
+
+    def climb(k: int) -> list[str]:
+        before, after = "coalesce(array_to_string(digests[1:i % 16], ''), '')", "coalesce(array_to_string(digests[i % 16 + 2:], ''), '')"
+        return [
+            f"r{k} AS MATERIALIZED (SELECT tree, i // 16 AS run, w, list(digest ORDER BY i) AS digests FROM n{k} WHERE w > 1 GROUP BY ALL)",
+            f"n{k + 1} AS MATERIALIZED (SELECT tree, run AS i, (w + 15) // 16 AS w, sha256(array_to_string(digests, '')) AS digest FROM r{k} UNION ALL SELECT tree, i, w, digest FROM n{k} WHERE w = 1)",
+            f"p{k + 1} AS (SELECT rid, p.tree, i // 16 AS i, (p.w + 15) // 16 AS w, CASE WHEN p.w = 1 THEN proof ELSE proof || {before} || {after} END AS proof, CASE WHEN p.w = 1 THEN folded ELSE sha256({before} || folded || {after}) END AS folded FROM p{k} p LEFT JOIN r{k} r ON r.tree = p.tree AND r.run = p.i // 16)",
+        ]
+
+    for k in range(levels):
+        parts += climb(k)
+    # the sources' roots are the bottom of the top tree
+    top = levels + 1
+    parts += [f"n{top} AS MATERIALIZED (SELECT 0 AS tree, tree AS i, count(*) OVER () AS w, digest FROM n{levels})", f"p{top} AS (SELECT rid, 0 AS tree, p.tree AS i, (SELECT count(*) FROM n{levels}) AS w, proof, folded FROM p{levels} p)"]
+    for k in range(top, top + top_levels):
+        parts += climb(k)
+    end = top + top_levels
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, s.digest AS subroot, n{end}.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = n{end}.digest AS verified FROM p{end} JOIN l USING (rid) JOIN n{levels} s ON s.tree = l.tree, n{end}"
+
+
+MERKLE = _merkle(6, 4)
