@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, decontam, jaccard, langid, licences, lm, merkle, mining, packing, pii, quality, sql, urls
+from tidebar.llm import chat, classifier, decontam, jaccard, langid, licences, lm, merkle, mining, packing, pii, quality, sql, urls
 from tidebar.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.mine(table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
