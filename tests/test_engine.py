@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions import distributions as d
+from tidebar.functions import selection
 from tidebar.functions import series as s
 from tidebar.operators import causality, events, grid, integrity
 from tidebar.operators import indicators as ind
@@ -265,12 +266,91 @@ def test_checks_run_on_whole_series_with_runs(spark, monkeypatch):
     assert [(r.builder, r.column) for r in found] == [("squeeze", "squeeze_run")] and found[0].changed == sum(c > 1300 for c in cuts["A"])
 
 
+@pytest.mark.parametrize("reach", [None, 30])
+def test_checker_finds_swapped_dropped_and_repeated_rows(spark, reach):
+    bars = spark.createDataFrame(walk(400, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
+    last = lambda b: F.col("bar_index") == F.max("bar_index").over(causality._whole(b))
+    plain = bars.withColumn("x", F.col("close"))
+    builders = {
+        "swaps": lambda b: plain_of(b).withColumn("bar_index", F.when(last(b), F.col("bar_index") + 1).otherwise(F.col("bar_index"))),
+        "drops": lambda b: plain_of(b).withColumn("_last", last(b)).where("not _last").drop("_last"),
+        "repeats": lambda b: plain_of(b).union(plain_of(b).withColumn("_last", last(b)).where("_last").drop("_last")),
+    }
+    plain_of = lambda b: b.withColumn("x", F.col("close"))
+    cuts = causality.cut_positions(400)
+    assert plain.count() == 400
+    for name, f in builders.items():
+        f = causality.reaching(reach)(f)
+        found = {(r.cut, r.column): (r.changed, r.first_index) for r in causality.differences(f, bars, cuts).collect()}
+        assert set(found) == {(c, causality.ROWS) for c in cuts}, name
+        assert found[cuts[3], causality.ROWS] == {"swaps": (2, cuts[3] - 1), "drops": (1, cuts[3] - 1), "repeats": (1, cuts[3] - 1)}[name]
+
+
+def test_a_reach_holds_its_builder_and_a_short_one_is_found(spark):
+    bars = spark.createDataFrame(walk(900, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
+    mean = lambda b: b.withColumn("x", F.avg("close").over(s.last(b, 200)))
+    cuts = causality.cut_positions(900)
+    assert causality.differences(causality.reaching(199)(mean), bars, cuts).count() == 0
+    assert causality.differences(causality.reaching(100)(mean), bars, cuts).count() > 0
+    far = lambda b: b.withColumn("x", F.lead("close", 150).over(s.over(b)))
+    caught = {r.cut for r in causality.differences(causality.reaching(0)(far), bars, cuts).select("cut").distinct().collect()}
+    assert caught == {c for c in cuts if c - causality.COMPARED < 750}  # the bars from 750 on have nothing 150 bars ahead
+
+
+def test_a_cut_repeats_only_what_its_reach_needs(spark):
+    bars = spark.createDataFrame(walk(3000, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
+    cuts = causality.series_cuts(bars).select(*s.SERIES, F.explode("cuts").alias("cut"))
+    near = causality._within(bars, causality._anchored(cuts, bars, 20))
+    assert near.count() <= cuts.count() * (causality.COMPARED + 20)
+    assert near.groupBy("cut").agg((F.max("bar_index") == F.col("cut") - 1).alias("ok")).where("not ok").count() == 0
+
+
 def test_runs_are_causal(spark):
     bars = spark.createDataFrame(walk(330, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
     builder = lambda b: ind.squeeze(b, SqueezeParams(kc_mult=1.0)).select(*[c for c in (*s.SERIES, "cut", "bar_index") if c in b.columns], "squeeze_run", "squeeze_run_before")
     assert causality.differences(builder, bars, causality.series_cuts(bars, 102)).count() == 0
 
 
+def test_leading_keeps_the_order(spark):
+    rng = np.random.default_rng(8)
+    powers = 2.0 ** np.arange(-1074, 1024, 7)
+    x = np.concatenate([rng.normal(size=500), powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), [0.0, -0.0, 5e-324, 1.7976931348623157e308, np.inf]])
+    x = np.sort(np.concatenate([x, -x]))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "i": np.arange(len(x))}))
+    got = df.select("i", *[selection.leading(F.col("x"), b).alias(f"b{b}") for b in (4, selection.BITS)]).orderBy("i").toPandas()
+    for b in (4, selection.BITS):
+        y = got[f"b{b}"].to_numpy()
+        assert (np.diff(y[np.isfinite(y)]) >= 0).all() and (np.abs(y) <= np.abs(x)).all()
+        normal = (np.abs(x) > 1e-300) & np.isfinite(x)
+        assert (np.abs(y - x)[normal] <= np.abs(x)[normal] * 2.0**-b).all()
+
+
+@pytest.mark.parametrize("kind", ["normal", "narrow", "ties", "wide"])
+def test_moments_and_medians_against_pandas(spark, kind):
+    rng = np.random.default_rng(9)
+    n = 3001
+    x = {"normal": rng.normal(size=n) * 50, "narrow": 1e6 + rng.random(n) * 1e-5, "ties": rng.integers(-2, 3, n).astype(float), "wide": np.exp(rng.normal(size=n) * 40) * rng.choice([-1, 1], n)}[kind]
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], n, p=[0.7, 0.2999, 0.0001]), "x": x})
+    pdf.loc[0, "k"] = "one"
+    pdf.loc[1:4, "k"] = None
+    df = spark.createDataFrame([(k, float(v)) for k, v in pdf.itertuples(index=False)] + [("a", None), ("empty", None)], "k string, x double")
+    got = st.summary(df, ["k"], "x").toPandas().set_index("k")
+    for k, v in pdf.groupby("k", dropna=False)["x"]:
+        r = got.loc[k] if isinstance(k, str) else got[got.index.isna()].iloc[0]
+        assert r["n"] == len(v) and r["median"] == v.median() and np.isclose(r["mean"], v.mean(), rtol=1e-12, atol=0 if kind == "narrow" else 1e-12 * v.abs().max())
+        assert np.isclose(r["win_rate"], (v > 0).mean()) and (np.isnan(r["std"]) if len(v) == 1 else np.isclose(r["std"], v.std(), rtol=1e-5 if kind == "narrow" else 1e-9))
+    assert "empty" not in got.index
+
+
+def test_no_task_holds_a_cell(spark):
+    """Rows of a whole cell meet in no window: of 40,000 distinct values at most a bin's are in one."""
+    df = spark.range(40_000).select(F.lit(1).alias("k"), F.randn(3).alias("x"))
+    values = selection.counted(df, ["k"], F.col("x")).withColumn("_bin", selection.leading(F.col("_x")))
+    assert values.groupBy("_bin").count().agg(F.max("count")).first()[0] < 100
+    want = np.median(df.toPandas()["x"])
+    assert selection.medians(df, ["k"], F.col("x")).first()["median"] == want
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 16, 1 << 16])
 def test_thinning_by_pieces_against_a_plain_fold(spark, monkeypatch, chunk):
     monkeypatch.setattr(st, "CHUNK", chunk)

@@ -1,16 +1,24 @@
 """Causality by truncation: a feature at t must not change when later bars are cut away.
 
-All truncations are one job: bars are repeated for each cut after them, the cut
-joins the series' key, and one join compares the features with those of the
-full series. Cuts of a series are at most 168, so that the repetition has a
-fixed factor, and are placed by its own length: builders run on whole series.
+All truncations of a builder are one job: each cut's bars are a series of their
+own. A builder may declare its reach, the bars before a bar that its features
+there depend on; then a cut repeats only the bars that the COMPARED ones before
+it reach back to, found by a join of ranges over blocks of bars, and not all of
+the series up to the cut. A reach may differ from bar to bar, as a run's length
+does. Builders without a declared reach run on whole prefixes, of which there
+are 168 a series at most.
+
+Results are compared by a full outer join on (series, bar): a row that only one
+side has, or has more often, differs as a changed value does. Compared are the
+COMPARED bars before each cut: what looks ahead from there, however far within the
+series, shows at that cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,7 +26,8 @@ from tidebar.functions import series as s
 
 FeatureBuilder = Callable[[DataFrame], DataFrame]
 RUN, SCATTERED, TOLERANCE = 64, 40, 1e-9
-
+#: Bars before a cut that are compared, and bars of a block that ranges are joined by.
+COMPARED, BLOCK = 64, 1024
 
 #: What stands for a column where the builder's rows themselves differ.
 ROWS = "(rows)"
@@ -28,6 +37,16 @@ class LookAheadError(AssertionError):
     """Features change when later bars are cut away."""
 
 
+def reaching(reach: int | Callable[[], Column]) -> Callable[[FeatureBuilder], FeatureBuilder]:
+    """Declares a builder's reach: a number of bars, or a column of its result that has the number for each bar."""
+
+    def declared(builder: FeatureBuilder) -> FeatureBuilder:
+        builder.reach = reach
+        return builder
+
+    return declared
+
+
 def cut_positions(bars: int, warmup: int = 0) -> list[int]:
     """A run of cuts at the end, one in the middle, and scattered ones."""
     first, end = max(warmup + 5, 10), bars - 1
@@ -51,50 +70,74 @@ def series_cuts(bars: DataFrame, warmup: int = 0) -> DataFrame:
     return ends.select(*s.SERIES, cuts.cast("array<int>").alias("cuts"))
 
 
+def _within(rows: DataFrame, ranges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows repeated for each range (series, cut, begin, end) that holds their bar: a join on blocks of bars."""
+    series = list(s.SERIES)
+    blocks = F.sequence(F.expr(f"begin div {block}"), F.expr(f"(end - 1) div {block}"))
+    spans = ranges.where(F.col("end") > F.col("begin")).withColumn("_block", F.explode(blocks))
+    met = rows.withColumn("_block", F.expr(f"{s.ORDER} div {block}")).join(spans, [*series, "_block"])
+    return met.where((F.col(s.ORDER) >= F.col("begin")) & (F.col(s.ORDER) < F.col("end"))).drop("_block", "begin", "end")
+
+
+def _anchored(cuts: DataFrame, full: DataFrame, reach: int | Callable[[], Column] | None) -> DataFrame:
+    """The range of bars of each cut that the compared ones reach back to."""
+    series = list(s.SERIES)
+    if reach is None or isinstance(reach, int):
+        begin = F.lit(0) if reach is None else F.greatest(F.lit(0), F.col("cut") - COMPARED - reach)
+        return cuts.withColumns({"begin": begin.cast("long"), "end": F.col("cut").cast("long")})
+    back = full.select(*series, s.ORDER, F.coalesce(F.col(s.ORDER) - reach(), F.lit(0)).alias("_from"))
+    least = _within(back, _compared(cuts), COMPARED).groupBy(*series, "cut").agg(F.min("_from").alias("_least"))
+    begin = F.greatest(F.lit(0), F.coalesce("_least", F.lit(0)))
+    return cuts.join(least, [*series, "cut"], "left").select(*series, "cut", begin.cast("long").alias("begin"), F.col("cut").cast("long").alias("end"))
+
+
+def _compared(cuts: DataFrame) -> DataFrame:
+    return cuts.withColumns({"begin": F.greatest(F.lit(0), F.col("cut") - COMPARED).cast("long"), "end": F.col("cut").cast("long")})
+
+
 def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int] | DataFrame) -> DataFrame:
-    """symbol, cut, column, changed, first_index: features that a cut changes. cuts: of all series, or series_cuts."""
-    spark = bars.sparkSession
-    keys = ["symbol", "interval", "bar_index"]
+    """symbol, cut, column, changed, first_index: features that a cut changes, ROWS where rows do. cuts: of all series, or series_cuts."""
+    series = list(s.SERIES)
+    keys = [*series, "cut", s.ORDER]
+    if not isinstance(cuts, DataFrame):
+        cuts = bars.select(*series).distinct().withColumn("cuts", F.array(*[F.lit(c) for c in sorted(cuts)]))
+    cuts = cuts.select(*series, F.explode("cuts").alias("cut"))
     full = builder(bars)
     made = [c for c in full.columns if c not in bars.columns]
     kinds = dict(full.dtypes)
-    if isinstance(cuts, DataFrame):
-        later = F.expr("filter(cuts, c -> c > bar_index)")
-        truncated = builder(bars.join(cuts, list(s.SERIES)).withColumn("cut", F.explode(later)).drop("cuts"))
-    else:
-        cut = F.broadcast(spark.createDataFrame([(c,) for c in cuts], "cut int"))
-        # a non-equi join against at most 168 numbers, as every bar belongs to all later cuts
-        truncated = builder(bars.join(cut, F.col("bar_index") < F.col("cut")))
-    a = full.select(*keys, *[F.col(c).alias(f"a_{c}") for c in made])
-    b = truncated.select(*keys, "cut", *[F.col(c).alias(f"b_{c}") for c in made])
-    both = b.join(a, keys)
-    each = []
+    truncated = builder(_within(bars, _anchored(cuts, full, getattr(builder, "reach", None))))
+    values = F.struct(*[F.col(c) for c in made], F.lit(0).alias("_"))  # one row a key; repeated ones differ by their number
+    side = lambda rows, x: rows.groupBy(*keys).agg(F.count("*").alias(f"{x}_rows"), F.max(values).alias(x))
+    a = side(_within(full, _compared(cuts), COMPARED), "a")
+    b = side(truncated.where(F.col(s.ORDER) >= F.col("cut") - COMPARED), "b")
+    both = a.join(b, keys, "full_outer")
+    each = [F.when(~F.col("a_rows").eqNullSafe(F.col("b_rows")), F.lit(ROWS))]
     for c in made:
-        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
+        x, y = F.col("a")[c], F.col("b")[c]
         same = x.eqNullSafe(y)
         if kinds[c] in ("double", "float"):
             same = same | F.coalesce(F.abs(x - y) <= TOLERANCE + TOLERANCE * F.abs(y), F.lit(False))
-        each.append(F.when(~same, F.lit(c)))
-    rows = both.select("symbol", "cut", "bar_index", F.explode(F.array_compact(F.array(*each))).alias("column"))
-    found = rows.groupBy("symbol", "cut", "column").agg(F.count("*").alias("changed"), F.min("bar_index").alias("first_index"))
-    return found.unionByName(_row_changes(full, truncated, cuts if isinstance(cuts, DataFrame) else None, cuts))
+        each.append(F.when(F.col("a_rows").isNotNull() & F.col("b_rows").isNotNull() & ~same, F.lit(c)))
+    rows = both.select("symbol", "cut", s.ORDER, F.explode(F.array_compact(F.array(*each))).alias("column"))
+    return rows.groupBy("symbol", "cut", "column").agg(F.count("*").alias("changed"), F.min(s.ORDER).alias("first_index"))
 
 
-def _row_changes(full: DataFrame, truncated: DataFrame, by_series: DataFrame | None, cuts) -> DataFrame:
-    """symbol, cut, column ROWS: cuts at which the builder's rows differ in number from those of the full series before the cut, as where it drops or adds some."""
-    series = list(s.SERIES)
-    if by_series is None:
-        by_series = full.select(*series).distinct().withColumn("cuts", F.array(*[F.lit(c) for c in sorted(cuts)]))
-    # each row counts for the cuts after it: by the first of them, summed along the cuts
-    first = full.join(by_series, series).select(*series, "cuts", F.size(F.filter("cuts", lambda c: c <= F.col("bar_index"))).alias("passed"))
-    counted = first.groupBy(*series, "cuts", "passed").agg(F.count("*").alias("n"))
-    each = counted.groupBy(*series, "cuts").agg(F.collect_list(F.struct("passed", "n")).alias("counts"))
-    upto = lambda i: F.aggregate(F.filter("counts", lambda x: x["passed"] <= i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    wanted = each.select(*series, F.posexplode("cuts").alias("i", "cut"), "counts").select(*series, "cut", upto(F.col("i")).alias("wanted"))
-    made = truncated.groupBy(*series, "cut").agg(F.count("*").alias("made"))
-    off = F.coalesce("made", F.lit(0)) - F.coalesce("wanted", F.lit(0))
-    both = wanted.join(made, [*series, "cut"], "full_outer").where(off != 0)
-    return both.groupBy("symbol", "cut").agg(F.lit(ROWS).alias("column"), F.sum(F.abs(off)).alias("changed"), F.lit(None).cast("long").alias("first_index"))
+def together(builders: dict[str, FeatureBuilder]) -> list[FeatureBuilder]:
+    """Builders that add columns to bars, as one of those with a declared reach and one of those without; a column is named builder/column."""
+
+    def joined(some: dict[str, FeatureBuilder]) -> FeatureBuilder:
+        def build(bars: DataFrame) -> DataFrame:
+            out = bars
+            for name, f in some.items():
+                made = f(out)
+                out = made.withColumnsRenamed({c: f"{name}/{c}" for c in made.columns if c not in out.columns})
+            return out
+
+        reaches = [getattr(f, "reach", None) for f in some.values()]
+        return reaching(max(reaches))(build) if all(isinstance(r, int) for r in reaches) else build
+
+    near = {n: f for n, f in builders.items() if isinstance(getattr(f, "reach", None), int)}
+    return [joined(some) for some in (near, {n: f for n, f in builders.items() if n not in near}) if some]
 
 
 def assert_no_look_ahead(builder: FeatureBuilder, bars: DataFrame, warmup: int = 0) -> None:
@@ -109,7 +152,8 @@ def _whole(df: DataFrame) -> Window:
 
 
 def _onwards(df: DataFrame) -> Window:
-    return s.over(df).rowsBetween(0, Window.unboundedFollowing)
+    """The bars from the present one to the end, as a frame of the reversed order: a frame that ends at the last row is computed anew for each row."""
+    return Window.partitionBy(*s.keys(df)).orderBy(F.desc(s.ORDER)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _standardised(df: DataFrame) -> DataFrame:
@@ -117,15 +161,18 @@ def _standardised(df: DataFrame) -> DataFrame:
     return df.withColumn("bad", (F.col("close") - F.avg("close").over(w)) / F.stddev_samp("close").over(w))
 
 
+@reaching(0)
 def _back_filled(df: DataFrame) -> DataFrame:
     holed = F.when(F.col("bar_index") % 50 != 0, F.col("close"))
-    return df.withColumn("bad", F.first(holed, ignorenulls=True).over(_onwards(df)))
+    return df.withColumn("bad", F.last(holed, ignorenulls=True).over(_onwards(df)))
 
 
+@reaching(0)
 def _next_close(df: DataFrame) -> DataFrame:
     return df.withColumn("bad", F.lead("close", 1).over(s.over(df)))
 
 
+@reaching(20)
 def _centred(df: DataFrame) -> DataFrame:
     w = s.over(df).rowsBetween(-10, 10)
     return df.withColumn("bad", F.when(F.count("close").over(w) == 21, F.avg("close").over(w)))
@@ -136,6 +183,7 @@ def _scaled(df: DataFrame) -> DataFrame:
     return df.withColumn("bad", (F.col("close") - F.min("close").over(w)) / (F.max("close").over(w) - F.min("close").over(w)))
 
 
+@reaching(0)
 def _future_peak(df: DataFrame) -> DataFrame:
     return df.withColumn("bad", F.max("close").over(_onwards(df)))
 

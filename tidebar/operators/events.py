@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions import selection
 from tidebar.functions import series as s
 from tidebar.operators.indicators import adx, squeeze, true, wavetrend
 from tidebar.params import HORIZONS, LOOKBACKS, WARMUP_LEADER, AdxParams, SqueezeParams, WaveTrendParams
@@ -74,7 +75,10 @@ def baseline(study: DataFrame, horizons=HORIZONS) -> DataFrame:
 def bar_move(bars: DataFrame) -> DataFrame:
     """Median absolute one-bar move of each series, in basis points."""
     before = F.lag("close", 1).over(s.over(bars))
-    return bars.select("symbol", "interval", (F.abs(F.col("close") / before - 1) * 10_000).alias("move")).groupBy("symbol", "interval").agg(F.median("move").alias("bar_move_bps"))
+    moves = bars.select("symbol", "interval", (F.abs(F.col("close") / before - 1) * 10_000).alias("move"))
+    by = ["symbol", "interval"]
+    middle = selection.medians(moves, by, F.col("move")).select(*by, F.col("median").alias("bar_move_bps"))
+    return selection.met(moves.select(*by).distinct(), middle, by, "left")
 
 
 def recent(df: DataFrame, flag: str, k: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions import series as s
+from tidebar.operators.causality import reaching
 from tidebar.params import AdxParams, SqueezeParams, WaveTrendParams
 
 REQUIRED = ("open", "high", "low", "close")
@@ -68,6 +69,13 @@ def color(val: Column, before: Column) -> Column:
     return F.when(known & (val > 0), F.when(rising, "lime").otherwise("green")).when(known, F.when(val < before, "red").otherwise("maroon"))
 
 
+def _squeeze_reach() -> Column:
+    """With the default parameters: the bars that windows look back on, and those of a run."""
+    run = F.greatest(F.col("squeeze_run"), F.col("squeeze_run_before") + 1)
+    return run + SqueezeParams().lookback + 1
+
+
+@reaching(_squeeze_reach)
 def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
     """Channels, states, momentum and its colour, and the length of the running squeeze."""
     p = params or SqueezeParams()
@@ -112,6 +120,7 @@ def wavetrend_lookback(p: WaveTrendParams) -> int:
     return 2 * s.memory(2 / (p.channel_length + 1)) + s.memory(2 / (p.average_length + 1)) + p.signal_length + 1
 
 
+@reaching(wavetrend_lookback(WaveTrendParams()))
 def wavetrend(bars: DataFrame, params: WaveTrendParams | None = None, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
     """Two exponentially smoothed lines of the typical price's channel index, their crosses and zones."""
     p = params or WaveTrendParams()
@@ -143,6 +152,7 @@ def adx_lookback(p: AdxParams) -> int:
     return 2 * s.memory(1 / p.length) + 2
 
 
+@reaching(adx_lookback(AdxParams()))
 def adx(bars: DataFrame, params: AdxParams | None = None, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
     """Directional movement by Wilder's smoothing: an unknown index (no movement at all) is smoothed as 0."""
     p = params or AdxParams()

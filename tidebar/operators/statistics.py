@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebar.functions import distributions as d
+from tidebar.functions import selection
 from tidebar.params import COSTS_BPS, MIN_SAMPLE
 
 #: Indexes of a series that are looked at in one go.
@@ -24,16 +25,10 @@ def t_statistic(x: Column) -> Column:
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, std, median, stderr, t_stat and win_rate of the non-null values."""
-    x = F.col(value)
-    return df.where(x.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.median(x).alias("median"),
-        (F.stddev_samp(x) / F.sqrt(F.count("*"))).alias("stderr"),
-        t_statistic(x).alias("t_stat"),
-        F.avg((x > 0).cast("double")).alias("win_rate"),
-    )
+    n, mean = F.col("n"), F.col("mean")
+    std = F.sqrt(F.col("m2") / F.nullif(n - 1, F.lit(0)))
+    found = selection.described(selection.counted(df, by, F.col(value)), by)
+    return found.select(*by, n, mean, std.alias("std"), "median", (std / F.sqrt(n)).alias("stderr"), F.try_divide(mean, std / F.sqrt(n)).alias("t_stat"), (F.col("wins") / n).alias("win_rate"))
 
 
 def with_p_value(summed: DataFrame) -> DataFrame:
@@ -54,12 +49,16 @@ def welch(df: DataFrame, by: list[str], side: Column, value: str) -> DataFrame:
 
 def brown_forsythe(df: DataFrame, by: list[str], side: Column, value: str) -> DataFrame:
     """Equality of spread about the medians of side true and false: statistic, ratio of deviations, ratio of median moves."""
-    x = F.col(value)
-    rows = df.where(x.isNotNull()).select(*by, side.alias("_side"), x.alias("_x"))
-    middle = rows.groupBy(*by, "_side").agg(F.median("_x").alias("_m"), F.stddev_samp("_x").alias("_s"), F.median(F.abs("_x")).alias("_a"))
-    z = rows.join(middle.select(*by, "_side", "_m"), [*by, "_side"]).withColumn("_z", F.abs(F.col("_x") - F.col("_m")))
-    parts = z.groupBy(*by, "_side").agg(F.count("*").alias("_n"), F.avg("_z").alias("_mean"), F.var_pop("_z").alias("_var"))
-    parts = parts.join(middle, [*by, "_side"])
+    cell = [*by, "_side"]
+    values = selection.counted(df.withColumn("_side", side), cell, F.col(value))
+    absolute = values.groupBy(*cell, F.abs("_x").alias("_y")).agg(F.sum("_c").alias("_c")).withColumnRenamed("_y", "_x")
+    moves = selection.described(absolute, cell).select(*cell, F.col("median").alias("_a"))
+    middle = selection.described(values, cell).select(*cell, F.col("n").alias("_n"), F.col("median").alias("_m"), F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("_s"))
+    z = F.abs(F.col("_x") - F.col("_m"))
+    far = selection.met(values, middle, cell).groupBy(*cell).agg(F.max("_n").alias("_n"), F.max("_s").alias("_s"), F.sum(F.col("_c") * z).alias("_z"), F.sum(F.col("_c") * z * z).alias("_q"))
+    mean = F.col("_z") / F.col("_n")
+    far = far.withColumns({"_mean": mean, "_var": F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))})
+    parts = selection.met(far, moves, cell)
     pick = lambda c, s: F.max(F.when(F.col("_side") == s, F.col(c)))
     wide = parts.groupBy(*by).agg(*[pick(c, s).alias(f"{c}{int(s)}") for c in ("_n", "_mean", "_var", "_s", "_a") for s in (True, False)])
     n1, n0, m1, m0 = (F.col(c) for c in ("_n1", "_n0", "_mean1", "_mean0"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.functions import selection
 from tidebar.operators import events, grid, reports
 from tidebar.operators import statistics as st
 from tidebar.params import HORIZONS, LOOKBACKS, RUN_BUCKETS, SqueezeParams
@@ -55,7 +56,9 @@ def event_study(study: DataFrame, definition: str = "gray", horizons=HORIZONS) -
     cell = ["interval", "horizon"]
     both = ev.select(*cell, "ret_bps", F.lit(True).alias("event")).union(base.select(*cell, "ret_bps", F.lit(False).alias("event")))
     buckets = ev.withColumn("min_run", F.explode(F.array_compact(F.array(*[F.when(F.col("run_before") >= m, F.lit(m)) for m in RUN_BUCKETS]))))
-    hours = ev.groupBy("interval", "horizon", "utc_hour").agg(F.count("*").alias("size"), F.avg("signed_bps").alias("mean_bps"), F.median(F.abs("ret_bps")).alias("median_abs_bps"))
+    hour = [*cell, "utc_hour"]
+    hours = ev.groupBy(*hour).agg(F.count("*").alias("size"), F.avg("signed_bps").alias("mean_bps"))
+    hours = selection.met(hours, selection.medians(ev, hour, F.abs("ret_bps")).select(*hour, F.col("median").alias("median_abs_bps")), hour, "left")
     return EventStudy(
         tested(ev, cell, "signed_bps"),
         st.with_p_value(st.summary(base, cell, "signed_bps")),

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidebar.functions import series as s
 from tidebar.functions import distributions as d
+from tidebar.functions import selection
 from tidebar.operators import causality, events, grid, integrity, reports
 from tidebar.operators import indicators as ind
 from tidebar.operators import statistics as st
@@ -216,7 +217,9 @@ def run_buckets(spark, sf):
 def hour_of_day(spark, sf):
     """By the closing hour of four-hour bars: all rows count in the size, the means skip nulls."""
     b = events.with_targets(src.event_bars(spark, sf), (6,), None)
-    by = b.groupBy(F.hour("close_time").alias("utc_hour")).agg(F.count("*").alias("size"), F.avg("ret_6_bps").alias("mean_bps"), F.median(F.abs("ret_6_bps")).alias("median_abs_bps"))
+    b = b.select(F.hour("close_time").alias("utc_hour"), "ret_6_bps")
+    middle = selection.medians(b, ["utc_hour"], F.abs("ret_6_bps")).select("utc_hour", F.col("median").alias("median_abs_bps"))
+    by = selection.met(b.groupBy("utc_hour").agg(F.count("*").alias("size"), F.avg("ret_6_bps").alias("mean_bps")), middle, ["utc_hour"], "left")
     total = F.sum("size").over(Window.partitionBy())  # over the hours, of which there are 24
     share = F.col("size") / total
     return rounded(by.select("utc_hour", "size", "mean_bps", "median_abs_bps", share.alias("share"), (share * 24).alias("vs_uniform")))
@@ -376,8 +379,8 @@ def negative_controls(spark, sf):
     bars = _prices(spark, sf)
     cuts = causality.series_cuts(bars)
     out = None
-    for name, f in causality.NEGATIVE_CONTROLS.items():
-        found = causality.differences(f, bars, cuts).select(F.lit(name).alias("builder"), "symbol", "cut")
+    for f in causality.together(causality.NEGATIVE_CONTROLS):
+        found = causality.differences(f, bars, cuts).select(F.split_part("column", F.lit("/"), F.lit(1)).alias("builder"), "symbol", "cut")
         out = found if out is None else out.union(found)
     return out.groupBy("builder").agg(F.count_distinct("symbol", "cut").alias("caught_cuts"))
 
