@@ -26,7 +26,8 @@ def counts_of(r):
 def brute_kept(rows):
     """Plain sketches over lists: rows are (lang, source, counts)."""
     measure = lambda c: (1000 * c[2] // c[0], 100 * c[1] // c[0], 1000 * c[3] // c[0], 1000 * c[4] // c[0])
-    good = [(lang, src, [min(quality.CLAMP, x) for x in measure(c)]) for lang, src, c in rows if not c[5]]
+    binned = lambda x: x >> max(0, x.bit_length() - 9) << max(0, x.bit_length() - 9)
+    good = [(lang, src, [binned(x) for x in measure(c)]) for lang, src, c in rows if not c[5]]
 
     def at(values, tenths):
         ordered = sorted(values)
@@ -45,7 +46,7 @@ def brute_kept(rows):
         ok = True
         for k, m in enumerate(quality.MEASURES):
             values = [x[2][k] for x in group]
-            v, q10, q50, q90 = min(quality.CLAMP, measure(c)[k]), at(values, 1), at(values, 5), at(values, 9)
+            v, q10, q50, q90 = measure(c)[k], at(values, 1), at(values, 5), at(values, 9)
             ok &= v <= q50 + quality.SPREAD * max(m.least, q90 - q50)
             ok &= not m.both_sides or v >= q50 - quality.SPREAD * max(m.least, q50 - q10)
         out.append(ok)
@@ -99,3 +100,13 @@ def test_measures_over_4000_are_judged(spark):
     rows = [(i, said(i, 5), "en", "s") for i in range(100)] + [(100 + i, said(i, 6), "en", "s") for i in range(50)] + [(200, said(200, 9), "en", "s"), (201, said(201, 30), "en", "s")]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not got[201] and got[200] and all(got[i] for i in range(150))
+
+
+def test_bins_are_bounded_and_near(spark):
+    values = sorted({v for k in range(62) for v in (2**k - 1, 2**k, 2**k + 1, 3 * 2**k // 2 + 7)})
+    got = spark.createDataFrame([(v,) for v in values], "value long").select("value", F.expr(quality._bin("value")).alias("b")).collect()
+    assert all(r.b <= r.value and r.value - r.b <= r.value / 2 ** (quality.DIGITS - 1) for r in got)
+    assert all(r.b == r.value for r in got if r.value < 2**quality.DIGITS)
+    assert sorted(r.b for r in sorted(got)) == [r.b for r in sorted(got)]
+    many = spark.range(200_000).select(F.expr(quality._bin("id * id")).alias("b")).distinct().count()
+    assert many < quality.SKETCH_BINS

@@ -1,9 +1,12 @@
 r"""Quality rules with thresholds learnt per language and source.
 
 Native: DataFrame functions only. Each measure of a document is a whole number;
-its sketch is a histogram of those numbers, whatever their size, by language
-and source. Such sketches merge by adding counts, lose no rank and
-don't depend on the order of rows. A group of few documents takes the sketch
+its sketch is a histogram of bins by language and source: numbers up to
+2^DIGITS have bins of their own, larger ones share a bin with those of the same
+first DIGITS binary digits. Such sketches merge by adding counts, have at most
+SKETCH_BINS bins whatever the rows, and don't depend on the order of rows. A
+quantile has its exact rank, and is its bin's least number: too low by less
+than one part in 2^(DIGITS - 1). A group of few documents takes the sketch
 merged over its language, or else over all. A document is rejected by the base
 rules or where a measure lies beyond its group's fence: the median plus SPREAD
 times the way from the median to the 0.9 quantile, that way counted as LEAST
@@ -30,8 +33,9 @@ MAX_REPEAT_PERCENT = 50
 #: Fewest documents of a (language, source) or language that fences are taken from.
 MIN_GROUP = 100
 SPREAD = 6
-#: The values that nearly all documents have; larger ones count as they are.
-CLAMP = 4000
+#: Binary digits of a value that its bin keeps; bins that values of 63 digits can have.
+DIGITS = 9
+SKETCH_BINS = (1 << DIGITS) + (63 - DIGITS) * (1 << (DIGITS - 1))
 #: Groups whose fences are broadcast; more of them are joined with salted keys instead.
 BROADCAST_GROUPS = 50_000
 SALTS = 16
@@ -110,14 +114,20 @@ def _measured(counted: DataFrame) -> DataFrame:
     return counted.select("*", _group("lang").alias("g_lang"), _group("source").alias("g_source"), base_failed().alias("base_failed"), *values)
 
 
+def _bin(value: str) -> str:
+    """SQL: the least number of a value's bin."""
+    rest = f"greatest(0, length(bin({value})) - {DIGITS})"
+    return f"shiftleft(shiftright({value}, {rest}), {rest})"
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """g_lang, g_source, measure, value, n of the documents that pass the base rules."""
+    """g_lang, g_source, measure, value (a bin), n of the documents that pass the base rules."""
     tall = measured.where("not base_failed").select("g_lang", "g_source", F.expr(f"stack({len(MEASURES)}, {', '.join(f"'{m.name}', {m.name}" for m in MEASURES)}) as (measure, value)"))
-    return tall.groupBy("g_lang", "g_source", "measure", "value").agg(F.count("*").alias("n"))
+    return tall.groupBy("g_lang", "g_source", "measure", F.expr(_bin("value")).alias("value")).agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, *by: str) -> DataFrame:
-    """The sketches of larger groups: counts of equal values add up."""
+    """The sketches of larger groups: counts of equal bins add up."""
     return sketch.groupBy(*by, "measure", "value").agg(F.sum("n").alias("n"))
 
 
