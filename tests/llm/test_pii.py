@@ -125,6 +125,23 @@ def test_redaction_takes_all_base_spans(spark, text):
     assert not brute(out)
 
 
+def test_redaction_ends_only_where_nothing_is_left(spark):
+    """Each cut of these texts leaves a new match, 6, 9 and 13 times over."""
+    texts = [
+        "4.+1.2.3.4 4111 1111 1111 1111.1.21.3.4 4111 1111 1111 11113.41.2.3.4 41111111 1111 1111.1111 1111 1111.1.2.3.4",
+        "+1+111.2.3.4 4111 1111 1111 1111.1.2.3.4 41 11 1111 1111 1111.1.2.3.4 4111 1111 11111111.41.2.3.4 4111 1111 1111 1111.14.5.2.3.234",
+        "4.+1.2.3.4 4111 1111 1111 1111.1.21.3.4 4111 1111 111-1 11113.41.2.3.4 4111 11111111 1111.1.2.3.4 411-1 1111 1111 1111.1.2.3.4 4111 11111111 1111.1.2.3.4 411-1 1-111 1111 1111.1.2.3.4",
+    ]
+    rows = [(i, t, None, "left", 0) for i, t in enumerate([*texts, "clean", None, "a@b.de"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, left_ string, doc string, n_chars int")
+    found = pii.redacted(docs)
+    assert found.columns == docs.columns and found.dtypes == docs.dtypes
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(rows) and not any(brute(r.text) for r in got.values())
+    assert [got[3].text, got[4].text, got[5].text] == ["clean", None, "[EMAIL]"] and all(r.n_chars == len(r.text) for r in got.values() if r.doc_id in (0, 1, 2, 5))
+    assert got[2].text.startswith("4.") and all(r.doc == "left" and r.left_ is None for r in got.values())
+
+
 def test_many_spans_in_a_text_against_brute_force(spark):
     """Thousands of spans, many blocks of them: places, candidates that touch none of the base spans, and what redaction leaves."""
     rng = random.Random(3)

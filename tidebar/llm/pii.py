@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.common import written
+
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
 ACCEPT = 0.8
@@ -263,16 +265,37 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with all spans replaced by their kinds; n_chars follows the text.
 
     What a cut leaves may match anew (digits that were part of a longer, failing
-    match), so the base spans of the new text are cut as well, twice.
+    match), and so may what is left then. Base spans are cut until no text has
+    any: the texts are written after three cuts, and the few that still have
+    some are cut and written again. Every cut takes a match's digits or its @
+    away, so that this ends.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*fields).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     found = _with_spans(rows, train(rows), "doc").withColumn("some_", F.size("spans_") > 0)
     found = found.withColumn("text", F.when(F.col("some_"), F.expr(_cut("text", "spans_"))))
     for _ in range(2):
-        again = F.expr(f"array_sort(transform({base_spans_sql('text')}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end)))")
-        found = found.withColumn("spans_", F.when(F.col("some_"), again)).withColumn("text", F.when(F.col("some_"), F.expr(_cut("text", "spans_"))))
+        found = _cut_again(found, F.col("some_"))
     new = {"text": F.when(F.col("some_"), F.col("text")).otherwise(F.col("doc.text")).alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("some_"), F.length("text").cast(kind)).otherwise(F.col("doc.n_chars")).alias("n_chars")
-    return found.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in docs.columns])
+    cut = found.select(F.struct(*[new.get(c, F.col(f"doc.`{c}`").alias(c)) for c in docs.columns]).alias("doc"), (F.col("some_") & (F.size(_base("text")) > 0)).alias("left_"))
+    done = cut = written(cut, "redacted")
+    while not cut.where("left_").isEmpty():
+        again = _cut_again(cut.where("left_").select("doc", F.col("doc.text").alias("text")), F.lit(True))
+        kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+        doc = F.col("doc").withField("text", F.col("text"))
+        doc = doc.withField("n_chars", F.length("text").cast(kind)) if kind else doc
+        cut = written(again.select(doc.alias("doc"), (F.size(_base("text")) > 0).alias("left_")), "redacted")
+        done = done.where("not left_").unionByName(cut)
+    return done.select("doc.*")
+
+
+def _base(c: str) -> Column:
+    return F.expr(f"array_sort(transform({base_spans_sql(c)}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end)))")
+
+
+def _cut_again(rows: DataFrame, some: Column) -> DataFrame:
+    """The base spans of text cut, where some."""
+    return rows.withColumn("spans_", F.when(some, _base("text"))).withColumn("text", F.when(some, F.expr(_cut("text", "spans_"))))
