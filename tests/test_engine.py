@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions import distributions as d
-from tidebar.functions import selection
+from tidebar.functions import resample, selection
 from tidebar.functions import series as s
 from tidebar.operators import causality, events, grid, integrity
 from tidebar.operators import indicators as ind
@@ -305,6 +305,67 @@ def test_a_cut_repeats_only_what_its_reach_needs(spark):
     assert near.groupBy("cut").agg((F.max("bar_index") == F.col("cut") - 1).alias("ok")).where("not ok").count() == 0
 
 
+def _mixed(v):
+    a = (v * 1103515245 + 12345) % 2147483647
+    b = ((a ^ (a >> 15)) * 1588635695 + 12345) % 2147483647
+    return b ^ (b >> 13)
+
+
+def _plain_rounds(x, times, seed):
+    """The same draws as loops over arrays."""
+    n = len(x)
+    length = max(10, round(n ** (1 / 3)))
+    whole, rest = n // length, n % length
+    u = _mixed(seed + np.arange(times))
+    k = np.arange(whole + (rest > 0))
+    at = _mixed(_mixed(u[:, None] + k) ^ _mixed(u + resample.APART)[:, None]) * (n - length + 1) // 2147483648
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    full = (sums[at[:, :whole] + length] - sums[at[:, :whole]]).sum(axis=1)
+    part = sums[at[:, -1] + rest] - sums[at[:, -1]] if rest else 0.0
+    return full / (whole * length), (full + part) / n, at
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 16])
+def test_bootstraps_by_joins_against_loops_and_the_sequential_one(spark, monkeypatch, piece):
+    monkeypatch.setattr(resample, "PIECE", piece)
+    rng = np.random.default_rng(12)
+    sizes = {"a": 400, "b": 57, "c": 19, "d": 5, None: 210}
+    rows = [(k, s, i, float(v)) for k, n in sizes.items() for (s, i), v in zip([(s, i) for s in "XY" for i in range(0, 3 * n, 2)][:n], rng.normal(1, 10, n))]
+    df = spark.createDataFrame([*rows, ("a", "X", 999_999, None)], "k string, symbol string, bar_index long, x double").repartition(3)
+    got = {(r.k, r.method): r for r in st.bootstraps(df, ["k"], "x", ["symbol", "bar_index"]).collect()}
+    assert len(got) == 2 * len(sizes)
+    for k, n in sizes.items():
+        x = np.array([v for c, _, _, v in rows if c == k])
+        blocks, moving = (got[k, m] for m in st.METHODS)
+        assert blocks.n == n and np.isclose(blocks.mean, x.mean())
+        if n < 20:
+            assert blocks.ci_low is None and moving.ci_high is None
+            continue
+        one, two, at = _plain_rounds(x, 10_000, resample.BOOTSTRAP_SEED)
+        assert np.allclose([blocks.ci_low, blocks.ci_high], np.percentile(one, [2.5, 97.5])) and np.allclose([moving.ci_low, moving.ci_high], np.percentile(two, [2.5, 97.5]))
+        length = d.block_length(n)
+        seq = d.block_mean_ci(x, length)
+        assert np.allclose([blocks.ci_low, blocks.ci_high], seq, atol=0.06 * (seq[1] - seq[0]))
+        # starts are even, and rounds differ
+        share = np.bincount(at.ravel(), minlength=n - length + 1) / at.size * (n - length + 1)
+        assert abs(share - 1).max() < 0.2 and len(np.unique(at, axis=0)) == 10_000
+    only = st.bootstrap(df, ["k"], "x", ["symbol", "bar_index"], "moving").where("k = 'a'").first()
+    assert only.ci_low == got["a", "moving"].ci_low and "method" not in only.asDict()
+
+
+def test_difference_of_resampled_sides(spark):
+    rng = np.random.default_rng(13)
+    rows = [("g", i % 3 == 0, "X", i, float(v)) for i, v in enumerate(rng.normal(0, 5, 300))] + [("h", i < 5, "X", i, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, side boolean, symbol string, bar_index long, x double")
+    got = {r.k: r for r in st.bootstrap_difference(df, ["k"], "side", "x", ["symbol", "bar_index"]).collect()}
+    a, b = (np.array([x for k, s, _, _, x in rows if k == "g" and s == side]) for side in (True, False))
+    apart = _plain_rounds(a, 10_000, resample.BOOTSTRAP_SEED)[0] - _plain_rounds(b, 10_000, resample.BOOTSTRAP_SEED + 10_000)[0]
+    assert (got["g"].n_a, got["g"].n_b) == (100, 200) and np.allclose([got["g"].ci_low, got["g"].ci_high], np.percentile(apart, [2.5, 97.5]))
+    seq = d.difference_ci(a, b)
+    assert np.allclose([got["g"].ci_low, got["g"].ci_high], seq, atol=0.06 * (seq[1] - seq[0]))
+    assert (got["h"].n_a, got["h"].n_b, got["h"].ci_low) == (5, 35, None)
+
+
 def test_runs_are_causal(spark):
     bars = spark.createDataFrame(walk(330, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
     builder = lambda b: ind.squeeze(b, SqueezeParams(kc_mult=1.0)).select(*[c for c in (*s.SERIES, "cut", "bar_index") if c in b.columns], "squeeze_run", "squeeze_run_before")

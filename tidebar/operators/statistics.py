@@ -1,19 +1,17 @@
-"""Grouped statistics of returns: moments and tests in the plan, p-values and bootstraps on small results or bounded samples."""
+"""Grouped statistics of returns: moments and tests in the plan, p-values on small results."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebar.functions import distributions as d
-from tidebar.functions import selection
-from tidebar.params import COSTS_BPS, MIN_SAMPLE
+from tidebar.functions import resample, selection
+from tidebar.params import BOOTSTRAP_ROUNDS, COSTS_BPS, MIN_SAMPLE
 
 #: Indexes of a series that are looked at in one go.
 CHUNK = 1 << 16
@@ -128,35 +126,39 @@ def non_overlapping(df: DataFrame, by: list[str], horizon: str = "horizon", inde
 
 
 def bootstrap(df: DataFrame, by: list[str], value: str, order: list[str], method: str = "blocks", min_n: int = MIN_SAMPLE) -> DataFrame:
-    """n, mean, ci_low, ci_high of each cell; cells are event samples, whose values are numbers of one task."""
-    f = {"blocks": d.block_mean_ci, "moving": d.moving_block_ci}[method]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in by), "n bigint, mean double, ci_low double, ci_high double"])
-    names = [c for c, _ in df.dtypes if c in by]
+    """n, mean, ci_low, ci_high of each cell; the interval is null below min_n values or two blocks. method: blocks (whole ones) or moving (filled up to n values)."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    return bootstraps(df, by, value, order, min_n).where(F.col("method") == method).drop("method")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order, kind="stable")[value].to_numpy(dtype=float)
-        low, high = f(x, d.block_length(len(x))) if len(x) >= min_n else (np.nan, np.nan)
-        row = {**{c: pdf[c].iloc[0] for c in names}, "n": len(x), "mean": float(x.mean()), "ci_low": low, "ci_high": high}
-        out = pd.DataFrame([row]).astype(object)
-        return out.where(out.notna(), None)
 
-    return df.where(F.col(value).isNotNull()).select(*names, value, *[c for c in order if c not in names]).groupBy(*names).applyInPandas(run, schema)
+METHODS = ("blocks", "moving")
+
+
+def bootstraps(df: DataFrame, by: list[str], value: str, order: list[str], min_n: int = MIN_SAMPLE) -> DataFrame:
+    """by, method, n, mean, ci_low, ci_high: both methods from the same draws."""
+    made = resample.blocks(df, by, value, order)
+    cells = made.where("start = 0").select(*by, "n", (F.col("total") / F.col("n")).alias("mean"), F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"))
+    means = resample.rounds(made.where(F.col("n") >= min_n), by)
+    tall = means.selectExpr(*[f"`{c}`" for c in by], "stack(2, 'blocks', blocks, 'moving', moving) as (method, mean)")
+    ends = resample.interval(tall, [*by, "method"], F.col("mean"))
+    return selection.met(cells, ends, [*by, "method"], "left").select(*by, "method", "n", "mean", "ci_low", "ci_high")
+
+
+#: Fewest values of either side of a difference that has an interval.
+SIDE_SAMPLE = 20
 
 
 def bootstrap_difference(df: DataFrame, by: list[str], side: str, value: str, order: list[str]) -> DataFrame:
-    """n_a, n_b, ci_low, ci_high of the difference of means of side true and false."""
-    names = [c for c, _ in df.dtypes if c in by]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in by), "n_a bigint, n_b bigint, ci_low double, ci_high double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        on = pdf[side].to_numpy(dtype=bool)
-        x = pdf[value].to_numpy(dtype=float)
-        low, high = d.difference_ci(x[on], x[~on])
-        out = pd.DataFrame([{**{c: pdf[c].iloc[0] for c in names}, "n_a": int(on.sum()), "n_b": int((~on).sum()), "ci_low": low, "ci_high": high}]).astype(object)
-        return out.where(out.notna(), None)
-
-    return df.where(F.col(value).isNotNull()).select(*names, side, value, *[c for c in order if c not in names]).groupBy(*names).applyInPandas(run, schema)
+    """n_a, n_b, ci_low, ci_high of the difference of means of side true and false, each resampled in blocks with draws of its own; null where a side has fewer than SIDE_SAMPLE values."""
+    both = [*by, side]
+    made = resample.blocks(df.where(F.col(side).isNotNull()), both, value, order)
+    size = lambda on: F.sum(F.when(F.col(side) == on, F.col("n")).otherwise(0))
+    cells = made.where("start = 0").groupBy(*by).agg(size(True).alias("n_a"), size(False).alias("n_b"))
+    means = resample.rounds(made.where(F.col("n") >= SIDE_SAMPLE), both, F.when(F.col(side), 0).otherwise(BOOTSTRAP_ROUNDS))
+    pick = lambda on: F.max(F.when(F.col(side) == on, F.col("blocks")))
+    apart = means.groupBy(*by, "round").agg((pick(True) - pick(False)).alias("_d")).where(F.col("_d").isNotNull())
+    return selection.met(cells, resample.interval(apart, by, F.col("_d")), by, "left").select(*by, "n_a", "n_b", "ci_low", "ci_high")
 
 
 def cost_matrix(cells: DataFrame, low: str, costs=COSTS_BPS) -> DataFrame:

@@ -266,6 +266,32 @@ cut_ AS MATERIALIZED (SELECT symbol, cut, bar_index, {made('symbol, cut')} FROM
 SELECT builder, count(DISTINCT (symbol, cut)) AS caught_cuts FROM ({caught}) GROUP BY 1"""
 
 
+def _mix(value: str, out: str) -> str:
+    return f"(({value}) * 1103515245 + 12345) % 2147483647 AS {out}_a, (xor({out}_a, {out}_a >> 15) * 1588635695 + 12345) % 2147483647 AS {out}_b, xor({out}_b, {out}_b >> 13) AS {out}"
+
+
+def _rounds(source: str, by: str, value: str, stream: str = "0") -> str:
+    """CTEs: the rounds' means of both methods (boot), of a sample in order of symbol and bar_index."""
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
+    of = lambda a: ", ".join(f"{a}.{c}" for c in by.split(", "))
+    return f"""bs AS MATERIALIZED (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY symbol, bar_index) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL),
+pre AS MATERIALIZED (SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)) AS l, i + 1 AS i, sum(x) OVER (PARTITION BY {by} ORDER BY i) AS s FROM bs UNION ALL SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)), 0, 0.0 FROM bs WHERE i = 0),
+blk AS MATERIALIZED (SELECT {of('a')}, a.i AS start, e.s - a.s AS whole, p.s - a.s AS part FROM pre a JOIN pre e ON {on('a', 'e')} AND e.i = a.i + a.l JOIN pre p ON {on('a', 'p')} AND p.i = a.i + a.n % a.l),
+turns AS MATERIALIZED (SELECT {by}, n, l, r, {_mix(f"({stream}) + 20260908 + r", "u")}, {_mix("u + 1000000007", "v")} FROM (SELECT {by}, n, l, unnest(range(0, 10000)) AS r FROM pre WHERE i = 0 AND n >= 2 * l AND n >= 20)),
+draws AS (SELECT {by}, n, l, r, k, {_mix("u + k", "w")}, {_mix("xor(w, v)", "y")}, (y * (n - l + 1)) // 2147483648 AS start FROM (SELECT *, unnest(range(0, n // l + CASE WHEN n % l = 0 THEN 0 ELSE 1 END)) AS k FROM turns)),
+boot AS MATERIALIZED (SELECT {of('d')}, d.r, sum(CASE WHEN k < n // l THEN whole ELSE 0 END) / any_value(n // l * l) AS blocks, sum(CASE WHEN k < n // l THEN whole ELSE part END) / any_value(n) AS moving FROM draws d JOIN blk ON {on('d', 'blk')} AND d.start = blk.start GROUP BY {of('d')}, d.r)"""
+
+
+def _bootstraps() -> dict[str, str]:
+    ends = lambda x: f"{r6(f'quantile_cont({x}, 0.025)', 'ci_low')}, {r6(f'quantile_cont({x}, 0.975)', 'ci_high')}"
+    each = " UNION ALL ".join(f"SELECT interval, horizon, '{m}' AS method, {ends(m)} FROM boot GROUP BY ALL" for m in ("blocks", "moving"))
+    both = f"SELECT leader, horizon, {ends('a.blocks - b.blocks')} FROM boot a JOIN boot b USING (leader, horizon, r) WHERE a.grp = 'S1' AND b.grp = 'S3' GROUP BY ALL"
+    return {
+        "bootstrap_ci": f"WITH {EVENTS}, {_rounds('ev', 'interval, horizon', 'signed_bps')}, m AS (SELECT *, unnest(['blocks', 'moving']) AS method FROM (SELECT interval, horizon, count(*) AS n, {r6('avg(x)', 'mean')} FROM bs GROUP BY ALL)) SELECT m.*, ci_low, ci_high FROM m LEFT JOIN ({each}) USING (interval, horizon, method)",
+        "bootstrap_diff": f"WITH RECURSIVE {LED}, s13 AS (SELECT * FROM sig WHERE prim AND grp IN ('S1', 'S3')), {_rounds('s13', 'leader, horizon, grp', 'signed_atr', "CASE WHEN grp = 'S1' THEN 0 ELSE 10000 END")}, m AS (SELECT leader, horizon, count(*) FILTER (WHERE grp = 'S1') AS n_a, count(*) FILTER (WHERE grp = 'S3') AS n_b FROM bs GROUP BY ALL) SELECT m.*, ci_low, ci_high FROM m LEFT JOIN ({both}) USING (leader, horizon)",
+    }
+
+
 def _edge_period(time: str) -> str:
     cases = " ".join(f"WHEN {time} >= TIMESTAMP '{a}' AND {time} < TIMESTAMP '{b}' THEN {k}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
     return f"CASE {cases} END"
@@ -299,6 +325,7 @@ judged AS (SELECT *, significant AND above_cost AND low_above_cost AS passes FRO
     return {
         "causality_check": "SELECT '' AS builder, '' AS \"column\", CAST(0 AS BIGINT) AS changed WHERE false",
         "negative_controls": _controls(),
+        **_bootstraps(),
         "p_values": f"WITH {EVENTS}, m AS ({summary('ev', 'interval, horizon', 'signed_bps')}), {cells} SELECT m.*, {r6(t_p('t', 'cells.n - 1'), 'p_value')} FROM m JOIN cells USING (interval, horizon)",
         "volatility_p_values": f"SELECT *, {r6(t_p('sqrt(statistic)', 'n_events + n_baseline - 2'), 'p_value')} FROM ({sql['volatility_expansion']})",
         "plateau_p_values": f"SELECT family, interval, n_settings, {r6('rho', 'spearman')}, {r6('t', 't_stat')}, {r6(t_p('t', 'n_settings - 2'), 'p_value')} FROM (SELECT *, rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0) AS t FROM ({sql['plateau'].replace(r6('corr(ra, rb)', 'spearman'), 'corr(ra, rb) AS rho')}))",

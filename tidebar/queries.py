@@ -338,10 +338,7 @@ def p_values(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    rows = _events(spark, sf)
-    order = ["symbol", "bar_index"]
-    blocks = st.bootstrap(rows, ["interval", "horizon"], "signed_bps", order).withColumn("method", F.lit("blocks"))
-    return rounded(blocks.unionByName(st.bootstrap(rows, ["interval", "horizon"], "signed_bps", order, "moving").withColumn("method", F.lit("moving"))))
+    return rounded(st.bootstraps(_events(spark, sf), ["interval", "horizon"], "signed_bps", ["symbol", "bar_index"]))
 
 
 def bootstrap_diff(spark, sf):

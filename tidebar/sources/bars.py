@@ -13,7 +13,7 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_met")) for k in keys]).drop(*[f"{k}_met" for k in keys])
 
 
-def numbered(rows: DataFrame, series: str, order: list[str], pieces: list[str], out: str = "rn") -> DataFrame:
+def numbered(rows: DataFrame, series: str | list[str], order: list[str], pieces: list[str], out: str = "rn") -> DataFrame:
     """rows with their number from 0 within their series, with no task that holds a series.
 
     Pieces cut a series in its order: among rows equal in the pieces before it,
@@ -21,19 +21,20 @@ def numbered(rows: DataFrame, series: str, order: list[str], pieces: list[str],
     piece, after the count of rows in the pieces before; counts are summed level
     by level, so that a window holds the parts of one piece. Nulls come first.
     """
+    series = [series] if isinstance(series, str) else list(series)
     names = [f"_piece{k}" for k in range(len(pieces))]
     rows = rows.withColumns({n: F.expr(p) for n, p in zip(names, pieces, strict=True)})
-    level = rows.groupBy(series, *names).agg(F.count("*").alias("_n"))
+    level = rows.groupBy(*series, *names).agg(F.count("*").alias("_n"))
     starts = None
     for k in reversed(range(len(names))):
-        above = [series, *names[:k]]
+        above = [*series, *names[:k]]
         earlier = Window.partitionBy(*above).orderBy(names[k]).rowsBetween(Window.unboundedPreceding, -1)
         before = level.select(*above, names[k], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(f"_before{k}"))
         starts = before if starts is None else _met(starts, before, [*above, names[k]])
         level = level.groupBy(*above).agg(F.sum("_n").alias("_n"))
     start = sum((F.col(f"_before{k}") for k in range(len(names))), F.lit(0))
-    rows = _met(rows, starts.select(series, *names, start.alias("_start")), [series, *names])
-    place = F.row_number().over(Window.partitionBy(series, *names).orderBy(*order))
+    rows = _met(rows, starts.select(*series, *names, start.alias("_start")), [*series, *names])
+    place = F.row_number().over(Window.partitionBy(*series, *names).orderBy(*order))
     return rows.withColumn(out, (F.col("_start") + place - 1).cast("long")).drop(*names, "_start")
 
 
