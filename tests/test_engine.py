@@ -426,6 +426,35 @@ def test_thinning_by_pieces_against_a_plain_fold(spark, monkeypatch, chunk):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_chunks_of_a_gapless_series_are_thinned_apart(spark, monkeypatch):
+    """An event at every bar: no chunk ends the others' dependence, and none is thinned in one task with another."""
+    monkeypatch.setattr(st, "CHUNK", 64)
+    seen = spark.sparkContext.accumulator(0)
+    whole = st._kept
+
+    def counted(places, far, free):
+        seen.add(1 if len(places) <= 64 else 1_000_000)
+        return whole(places, far, free)
+
+    monkeypatch.setattr(st, "_kept", counted)
+    rows = spark.range(5000).select(F.lit("A").alias("symbol"), F.lit(6).alias("horizon"), F.col("id").alias("bar_index"), F.when(F.col("id") % 2 == 0, F.col("id") + (1 << 60)).alias("big"))
+    got = sorted(map(tuple, st.non_overlapping(rows, ["symbol"]).collect()))
+    assert got == [("A", 6, i, i + (1 << 60) if i % 2 == 0 else None) for i in range(0, 5000, 7)]
+    assert seen.value == -(-5000 // 64)
+
+
+def test_chunk_functions_against_a_fold():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        far, length, begin = int(rng.integers(1, 9)), int(rng.integers(9, 40)), int(rng.integers(0, 5)) * 40
+        places = begin + np.sort(rng.integers(0, length, int(rng.integers(0, 30))))
+        for e in range(far):
+            free = begin + e
+            for p in places:
+                free = p + far if p >= free else free
+            assert st._exits(places, far, begin, length)[e] == max(0, free - begin - length)
+
+
 def test_spacing_by_spans_against_a_plain_scan(spark, monkeypatch):
     monkeypatch.setattr(integrity, "SPAN_BARS", 7)
     monkeypatch.setattr(integrity, "SPAN_SECONDS", 5 * 3600)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from tidebar.functions import distributions as d
 from tidebar.functions import resample, selection
 from tidebar.params import BOOTSTRAP_ROUNDS, COSTS_BPS, MIN_SAMPLE
 
-#: Indexes of a series that are looked at in one go.
+#: Indexes of a chunk of a series that is thinned.
 CHUNK = 1 << 16
 
 
@@ -85,44 +85,78 @@ def signs_agree(mean: Column, require: int | None = None) -> Column:
     return F.coalesce(one & (F.count(mean) == require) if require else one, F.lit(False))
 
 
+def _next_kept(places: np.ndarray, far: int) -> np.ndarray:
+    """For each row, in order of places, the one that is kept after it if it is kept itself; their number where there is none."""
+    return np.searchsorted(places, places + far)
+
+
+def _exits(places: np.ndarray, far: int, begin: int, length: int) -> np.ndarray:
+    """Where the chunk after this one is free, by where this one is free: both counted from their chunk's begin, from 0 to far - 1."""
+    n = len(places)
+    jump, last = np.append(_next_kept(places, far), n), np.arange(n + 1)
+    # the last row kept after each one, by doubling the steps
+    while (jump < n).any():
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    first = np.searchsorted(places, begin + np.arange(far))
+    ends = np.append(places, begin + length - far)[last[first]] + far - (begin + length)
+    return np.maximum(ends, 0)
+
+
+def _kept(places: np.ndarray, far: int, free: int) -> np.ndarray:
+    """Which rows a greedy thinning keeps that is free from a place on."""
+    keep, after = np.zeros(len(places), dtype=bool), _next_kept(places, far).tolist()
+    at = int(np.searchsorted(places, free))
+    while at < len(places):
+        keep[at] = True
+        at = after[at]
+    return keep
+
+
 def non_overlapping(df: DataFrame, by: list[str], horizon: str = "horizon", index: str = "bar_index") -> DataFrame:
     """The rows of a greedy thinning in order of index: each at least horizon + 1 after the last one kept.
 
-    A row whose predecessor is horizon + 1 or more before it is kept whatever came
-    earlier, so series are cut into pieces there and a piece is folded, in a stream
-    over sorted partitions. Pieces are found by chunks of CHUNK indexes; only a
-    series without such a gap is one piece.
+    A series is cut into chunks of CHUNK indexes, or of horizon + 1 where that is
+    more. What a chunk does to the rest is a function of few values: how far into
+    it the last row kept before still reaches, to how far the last one kept in it
+    reaches into the next. Chunks give their functions, which are composed along
+    the series (one short row a chunk), and then each chunk is thinned on its own:
+    a series with a row at every index is spread over as many tasks as any other.
     """
-    columns, key = df.columns, [*by, horizon]
-    i, far = F.col(index), F.col(horizon) + 1
-    chunk = Window.partitionBy(*key, "_chunk").orderBy(index)
-    rows = df.withColumn("_chunk", F.floor(i / CHUNK))
-    rows = rows.withColumn("_cut", F.when(i - F.lag(index, 1).over(chunk) >= far, i))
-    rows = rows.withColumn("_piece", F.max("_cut").over(chunk.rowsBetween(Window.unboundedPreceding, 0)))
-    # the piece that a chunk begins with: its own, or the last one begun before
-    chunks = rows.groupBy(*key, "_chunk").agg(F.min(index).alias("_a"), F.max(index).alias("_b"), F.max("_cut").alias("_last"))
-    series = Window.partitionBy(*key).orderBy("_chunk")
-    before = F.lag("_b", 1).over(series)
-    chunks = chunks.withColumn("_own", F.when(before.isNull() | (F.col("_a") - before >= far), F.col("_a")))
-    earlier = F.max(F.coalesce("_last", "_own")).over(series.rowsBetween(Window.unboundedPreceding, -1))
-    heads = chunks.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate([*key, "_chunk"])], F.coalesce("_own", earlier).alias("_head"))
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate([*key, "_chunk"])])
-    pieces = rows.join(heads, same).select(*columns, F.coalesce("_piece", "_head").alias("_piece"))
-    at = [*(columns.index(c) for c in key), len(columns)]
-    where = columns.index(index)
-
-    def run(batches):
-        now, free, wait = None, None, columns.index(horizon)
-        for batch in batches:
-            groups = zip(*[batch.column(c).to_pylist() for c in at], strict=True)
-            keep = []
-            for group, place, far in zip(groups, batch.column(where).to_pylist(), batch.column(wait).to_pylist(), strict=True):
-                keep.append(group != now or place >= free)
-                if keep[-1]:
-                    now, free = group, place + far + 1
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return pieces.repartition(*key, "_piece").sortWithinPartitions(*key, "_piece", index).mapInArrow(run, pieces.schema).select(*columns)
+    names = df.columns
+    key = [*by, horizon]
+    length = F.greatest(F.lit(CHUNK), F.col(horizon) + 1)
+    rows = df.withColumn("_chunk", F.floor(F.col(index) / length).cast("long"))
+    group = [*key, "_chunk"]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in group)
+
+    def functions(pdf: pd.DataFrame) -> pd.DataFrame:
+        far, chunk = int(pdf[horizon].iloc[0]) + 1, int(pdf["_chunk"].iloc[0])
+        size = max(CHUNK_LENGTH, far)
+        exits = _exits(np.sort(pdf[index].to_numpy(dtype=np.int64)), far, chunk * size, size)
+        return pdf[group].head(1).assign(_exits=[exits.tolist()])
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        entries, free, due = [], 0, None
+        for chunk, exits in zip(pdf["_chunk"], pdf["_exits"], strict=True):
+            entries.append(free := free if chunk == due else 0)
+            free, due = int(exits[free]), chunk + 1
+        return pdf[group].assign(_free=entries)
+
+    def thinned(part: pa.Table, entry: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return part.select(names)
+        far, chunk = part[horizon][0].as_py() + 1, part["_chunk"][0].as_py()
+        part = part.sort_by(index)
+        free = chunk * max(CHUNK_LENGTH, far) + entry["_free"][0].as_py()
+        return part.select(names).filter(pa.array(_kept(part[index].to_numpy().astype(np.int64), far, free)))
+
+    CHUNK_LENGTH = CHUNK  # noqa: N806  (as it is when the plan is made)
+    made = rows.select(*group, index).groupBy(*group).applyInPandas(functions, f"{schema}, _exits array<int>")
+    entries = made.groupBy(*key).applyInPandas(along, f"{schema}, _free int")
+    return rows.groupBy(*group).cogroup(entries.groupBy(*group)).applyInArrow(thinned, df.schema)
 
 
 def bootstrap(df: DataFrame, by: list[str], value: str, order: list[str], method: str = "blocks", min_n: int = MIN_SAMPLE) -> DataFrame:
