@@ -1,5 +1,6 @@
 """Goldens, loop implementations and metamorphic checks of the bar engine."""
 
+import datetime
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidebar.functions import distributions as d
 from tidebar.functions import resample, selection
 from tidebar.functions import series as s
-from tidebar.operators import causality, events, grid, integrity
+from tidebar.operators import causality, events, grid, integrity, reports
 from tidebar.operators import indicators as ind
 from tidebar.operators import statistics as st
 from tidebar.params import AdxParams, SqueezeParams, WaveTrendParams
@@ -455,6 +456,17 @@ def test_chunk_functions_against_a_fold():
             assert st._exits(places, far, begin, length)[e] == max(0, free - begin - length)
 
 
+@pytest.mark.parametrize("days", [1, 64, 100_000])
+def test_overlapping_periods_against_a_nested_loop(spark, days):
+    rng = np.random.default_rng(4)
+    day = lambda k: datetime.datetime(1969, 1, 1) + datetime.timedelta(days=float(k))
+    times = [(i, day(k)) for i, k in enumerate(rng.uniform(0, 1500, 200))] + [(900, day(400)), (901, day(500)), (902, None)]
+    periods = [(f"p{i}", day(a), day(a + w)) for i, (a, w) in enumerate(zip(rng.uniform(0, 1400, 12), rng.uniform(-50, 500, 12)))] + [("edge", day(400), day(500))]
+    got = reports.in_periods(spark.createDataFrame(times, "i long, t timestamp"), spark.createDataFrame(periods, "period string, begin timestamp, end timestamp"), "t", days)
+    want = sorted((i, p) for i, t in times for p, a, b in periods if t is not None and a <= t < b)
+    assert sorted((r.i, r.period) for r in got.collect()) == want and (900, "edge") in want and (901, "edge") not in want
+
+
 def test_spacing_by_spans_against_a_plain_scan(spark, monkeypatch):
     monkeypatch.setattr(integrity, "SPAN_BARS", 7)
     monkeypatch.setattr(integrity, "SPAN_SECONDS", 5 * 3600)

@@ -23,6 +23,23 @@ def period_of(time: Column, edges: list[str]) -> Column:
     return F.coalesce(*[F.when((time >= a) & (time < b), k) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))])
 
 
+#: Days of one bin that periods and times are joined by.
+PERIOD_DAYS = 64
+
+
+def in_periods(rows: DataFrame, periods: DataFrame, time: str, days: int = PERIOD_DAYS) -> DataFrame:
+    """rows with the other columns of periods (begin, end, ..), once for each half-open period [begin, end) that the time is in: periods of any number that may overlap.
+
+    A join of ranges: a period is in every bin of days that it touches, a row in
+    its time's bin, and rows of one bin meet that bin's periods only. Null times
+    and empty periods meet nothing.
+    """
+    bin_of = lambda t: f"floor(unix_micros(cast({t} as timestamp)) / {days * 86_400_000_000}D)"
+    wide = periods.where(F.col("end") > F.col("begin")).withColumn("_bin", F.expr(f"explode(sequence({bin_of('begin')}, {bin_of('end')}))"))
+    met = rows.withColumn("_bin", F.expr(bin_of(f"`{time}`"))).join(wide, "_bin")
+    return met.where((F.col(time) >= F.col("begin")) & (F.col(time) < F.col("end"))).drop("_bin", "begin", "end")
+
+
 def passing(cells: DataFrame, **tests: Column) -> DataFrame:
     """cells with each test as a flag, false where it is unknown, and passes: all of them."""
     flags = {name: F.coalesce(test, F.lit(False)) for name, test in tests.items()}

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.functions import selection
+from tidebar.functions.shared import kept
 from tidebar.operators import events, grid, reports
 from tidebar.operators import statistics as st
 from tidebar.params import HORIZONS, LOOKBACKS, RUN_BUCKETS, SqueezeParams
 from tidebar.sources import sinks
+from tidebar.sources.bars import numbered
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -134,17 +136,26 @@ def without_each(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return left.select("excluded", *by, "n", mean.alias("mean"), F.try_divide(mean, deviation / F.sqrt("n")).alias("t_stat"))
 
 
+#: Bars of a piece that rows are numbered in.
+HALF_PIECE = 1 << 16
+
+
 def scrutiny(rows: DataFrame, value: str = "signed_bps", edges: list[str] | None = None, time: str = "close_time") -> dict[str, DataFrame]:
     """What a passing cell must bear: symbols alone, each left out, halves and periods, all horizons, and the thinned sample.
 
     Serves events, leaders' signals and settings' signals alike: rows have symbol, horizon, bar_index and the value.
+    They are written once, and all parts read them there; the earlier half of a series has the odd row.
     """
-    half = F.expr("ntile(2) over (partition by symbol, horizon order by bar_index)")
+    rows = kept(rows.select("symbol", "horizon", "bar_index", value, *([time] if edges else [])), "scrutiny")
+    series = ["symbol", "horizon"]
+    sizes = rows.groupBy(*series).agg(F.count("*").alias("_rows"))
+    halves = selection.met(numbered(rows, series, ["bar_index"], [f"bar_index div {HALF_PIECE}"]), sizes, series)
+    halves = halves.withColumn("half", F.when(F.col("rn") * 2 < F.col("_rows"), 1).otherwise(2))
     return {
         "per_symbol": st.summary(rows, ["symbol", "horizon"], value),
         "leave_one_out": without_each(rows, ["horizon"], value),
         "horizons": st.summary(rows, ["horizon"], value),
-        "halves": st.summary(rows.withColumn("half", half), ["half", "horizon"], value),
+        "halves": st.summary(halves, ["half", "horizon"], value),
         **({"periods": st.summary(rows.withColumn("period", reports.period_of(F.col(time), edges)).where("period is not null"), ["period", "horizon"], value)} if edges else {}),
         "thinned": st.summary(st.non_overlapping(rows.where(F.col(value).isNotNull()), ["symbol"]), ["horizon"], value),
     }

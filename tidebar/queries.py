@@ -394,6 +394,13 @@ def period_edges(spark, sf):
     return _moments(rows, ["period", "horizon"], "signed_bps")
 
 
+def overlapping_periods(spark, sf):
+    """Moments of the events in each two years that begin with a year of the table: every event is in two of them."""
+    years = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.year("l_shipdate").alias("y")).where("y is not null").distinct()
+    periods = years.selectExpr("concat(y, '+2') as period", "cast(make_date(y, 1, 1) as timestamp) as begin", "cast(make_date(y + 2, 1, 1) as timestamp) as end")
+    return _moments(reports.in_periods(_events(spark, sf), periods, "close_time"), ["period", "horizon"], "signed_bps")
+
+
 def _judged(spark, sf):
     cells = st.with_p_value(st.summary(_events(spark, sf), ["interval", "horizon"], "signed_bps"))
     low = F.col("mean") - 2 * F.col("stderr")
@@ -480,7 +487,7 @@ _ALL = (
     release_definitions, direction_summary, direction_accel, per_symbol, leave_one_out, period_split, baseline_direction, run_buckets, hour_of_day, volatility_expansion,
     leader_signals, leader_secondary, leader_summary, leader_groups, group_difference, non_overlap, grid_settings, grid_neighbours, grid_cells, grid_scores, grid_selection,
     plateau, part_b, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
-    period_edges, passing_cells, pass_counts, definition_pivot, symbol_pivot, grid_pivot, grid_blue_bars, grid_symbol_means, result_identity, selection_lists, three_way, group_counts, leader_symbols, scrutiny,
+    period_edges, overlapping_periods, passing_cells, pass_counts, definition_pivot, symbol_pivot, grid_pivot, grid_blue_bars, grid_symbol_means, result_identity, selection_lists, three_way, group_counts, leader_symbols, scrutiny,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
