@@ -481,3 +481,15 @@ def test_spacing_by_spans_against_a_plain_scan(spark, monkeypatch):
         assert faults[s] == (steps != 1).sum()
         assert report[s].irregular_steps == (steps > 1).sum() and report[s].actual_bars == len(set(found))
         assert report[s].duplicated_times == (steps == 0).sum() and report[s].expected_bars == found[-1] - found[0] + 1
+
+
+def test_true_ranges_agree_where_a_price_is_unknown(spark):
+    pdf = walk(60, 21)
+    pdf.loc[[5, 17], "high"] = np.nan
+    pdf.loc[[9, 18], "low"] = np.nan
+    pdf.loc[[12, 17], "close"] = np.nan
+    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in pdf[["symbol", "interval", "bar_index", "open", "high", "low", "close"]].astype(object).itertuples(index=False)]
+    df = spark.createDataFrame(rows, "symbol string, interval string, bar_index long, open double, high double, low double, close double")
+    a = {r.bar_index: r.t for r in df.select("bar_index", s.true_range(df).alias("t")).collect()}
+    b = {r.bar_index: r.true_range for r in ind.adx(df).collect()}
+    assert all((a[i] is None and b[i] is None) or np.isclose(a[i], b[i]) for i in a) and a[5] is not None

@@ -74,8 +74,9 @@ def baseline(study: DataFrame, horizons=HORIZONS) -> DataFrame:
 
 def bar_move(bars: DataFrame) -> DataFrame:
     """Median absolute one-bar move of each series, in basis points."""
-    before = F.lag("close", 1).over(s.over(bars))
-    moves = bars.select("symbol", "interval", (F.abs(F.col("close") / before - 1) * 10_000).alias("move"))
+    near = s.spread(bars.select("symbol", "interval", s.ORDER, "close"), 1)
+    before = F.lag("close", 1).over(s.over(near))
+    moves = s.gathered(near.withColumn("move", F.abs(F.col("close") / before - 1) * 10_000))
     by = ["symbol", "interval"]
     middle = selection.medians(moves, by, F.col("move")).select(*by, F.col("median").alias("bar_move_bps"))
     return selection.met(moves.select(*by).distinct(), middle, by, "left")

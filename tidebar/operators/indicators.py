@@ -136,8 +136,8 @@ def adx_lines(b: pd.DataFrame, p: AdxParams) -> pd.DataFrame:
     # steps of the highs upwards and of the lows downwards: the larger one counts, where it is one
     steps = np.stack([np.diff(high, prepend=np.nan), -np.diff(low, prepend=np.nan)], axis=1)
     moved = np.where((steps > steps[:, ::-1]) & (steps > 0), steps, 0.0)
-    # the bar with the close before it in: fmax and fmin pass over the first bar's unknown one
-    reach = np.fmax(high, last) - np.fmin(low, last)
+    # the largest known one of the three: fmax passes over unknown prices, as the first bar's close before it
+    reach = np.fmax(np.fmax(high - low, np.abs(high - last)), np.abs(low - last))
     sums = pd.DataFrame({"true_range": reach, "plus_dm": moved[:, 0], "minus_dm": moved[:, 1]}, index=b.index)
     smooth = sums.apply(s.wilder, n=p.length)
     share = 100.0 * smooth[["plus_dm", "minus_dm"]].div(smooth["true_range"].mask(smooth["true_range"] == 0), axis=0)

@@ -50,15 +50,19 @@ def _ohlc(key: Column) -> list[Column]:
     return [F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close")]
 
 
+#: Time steps of a piece that bars are numbered in.
+PIECE_STEPS = 1 << 16
+
+
 def time_bars(ticks: DataFrame, symbol: str, time: str, price: str, volume: str, key: list[str], minutes: int, name: str) -> DataFrame:
     """Bars of fixed time steps from the epoch; empty steps have no bar, so bar_index has no gaps but times may."""
     step = minutes * 60
     begin = F.timestamp_seconds(F.expr(f"unix_seconds(cast(`{time}` as timestamp)) div {step} * {step}"))
     rows = ticks.select(F.col(symbol).alias("symbol"), begin.alias("open_time"), F.col(price).alias("price"), F.col(volume).alias("qty"), F.struct(*key).alias("k"))
     bars = rows.groupBy("symbol", "open_time").agg(*_ohlc(F.col("k")), F.sum("qty").alias("volume"), F.count("*").alias("count"))
-    index = F.row_number().over(Window.partitionBy("symbol").orderBy("open_time")) - 1
+    bars = numbered(bars, "symbol", ["open_time"], [f"unix_seconds(open_time) div {step * PIECE_STEPS}"], "bar_index")
     close = F.col("open_time") + F.expr(f"make_dt_interval(0, 0, {minutes}, 0)") - F.expr("make_dt_interval(0, 0, 0, 0.001)")
-    return bars.select("symbol", F.lit(name).alias("interval"), index.cast("long").alias("bar_index"), "open_time", close.alias("close_time"), "open", "high", "low", "close", "volume", "count")
+    return bars.select("symbol", F.lit(name).alias("interval"), "bar_index", "open_time", close.alias("close_time"), "open", "high", "low", "close", "volume", "count")
 
 
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tidebar.operators import integrity
 from tidebar.params import INTERVAL_MINUTES
+from tidebar.sources.bars import numbered
 
 #: Columns of the raw files, in their order; the first nine are kept. Fixed values.
 RAW_COLUMNS = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "count", "taker_buy_volume", "taker_buy_quote_volume", "ignore")
@@ -63,13 +64,17 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Typed rows: header rows go, epochs are milli- or microseconds, bad numbers raise."""
-    rows = raw.where(F.lower("open_time") != "open_time")
+    """Typed rows: header rows (any that begin like open_time) go, epochs are milli- or microseconds, bad numbers raise."""
+    rows = raw.where(~F.lower(F.trim("open_time")).startswith("open_time"))
     when = lambda c: F.when(F.col(c).cast("long") > MICROSECONDS_FROM, F.timestamp_micros(F.col(c).cast("long"))).otherwise(F.timestamp_millis(F.col(c).cast("long"))).alias(c)
     number = lambda c: F.col(c).cast("double").alias(c)
     return rows.select("symbol", "interval", when("open_time"), *map(number, KEPT[1:6]), when("close_time"), number("quote_volume"), F.col("count").cast("long").alias("count"))
 
 
+#: Seconds of a piece that bars are numbered in.
+PIECE_SECONDS = 1 << 22
+
+
 @dataclass(frozen=True)
 class Panel:
     bars: DataFrame
@@ -82,10 +87,9 @@ def load_panel(spark: SparkSession, root: str, symbols: list[str], intervals: li
         step_minutes(interval)
     rows = parsed(read_archives(spark, archive_paths(root, symbols, intervals, start, end)))
     rows = rows.where((F.col("open_time") >= F.lit(start)) & (F.col("open_time") < F.lit(end)))
-    w = Window.partitionBy("symbol", "interval").orderBy("open_time")
     first = Window.partitionBy("symbol", "interval", "open_time").orderBy("close_time", "open", "high", "low", "close", "volume")
     unique = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    bars = unique.withColumn("bar_index", (F.row_number().over(w) - 1).cast("long"))
+    bars = numbered(unique, ["symbol", "interval"], ["open_time"], [f"unix_seconds(open_time) div {PIECE_SECONDS}"], "bar_index")
     return Panel(bars, integrity.report(rows, {i: step_minutes(i) for i in intervals}, start, end))
 
 
