@@ -404,6 +404,20 @@ def test_moments_and_medians_against_pandas(spark, kind):
     assert "empty" not in got.index
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_average_ranks_against_pandas(spark, descending):
+    rng = np.random.default_rng(14)
+    pdf = pd.DataFrame({"i": np.arange(900), "k": rng.choice(["a", "b", None], 900), "x": np.where(rng.random(900) < 0.5, rng.normal(size=900), rng.integers(-3, 3, 900))})
+    pdf.loc[::37, "x"] = np.nan
+    df = spark.createDataFrame([(int(i), k, None if np.isnan(x) else float(x)) for i, k, x in pdf.itertuples(index=False)], "i long, k string, x double")
+    got = {r.i: r for r in selection.average_ranks(df, ["k"], "x", "rank", "of", descending).collect()}
+    want = pdf.groupby("k", dropna=False)["x"].rank(ascending=not descending)
+    n = pdf.groupby("k", dropna=False)["x"].transform("count")
+    assert len(got) == 900
+    for i in range(900):
+        assert (got[i]["rank"] is None and np.isnan(want[i])) or (got[i]["rank"] == want[i] and got[i].of == n[i])
+
+
 def test_no_task_holds_a_cell(spark):
     """Rows of a whole cell meet in no window: of 40,000 distinct values at most a bin's are in one."""
     df = spark.range(40_000).select(F.lit(1).alias("k"), F.randn(3).alias("x"))

@@ -67,3 +67,23 @@ def described(values: DataFrame, by: list[str]) -> DataFrame:
 def medians(df: DataFrame, by: list[str], x: Column) -> DataFrame:
     """by, n, median of the non-null values of x."""
     return described(counted(df, by, x), by).select(*by, "n", "median")
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str, of: str, descending: bool = False) -> DataFrame:
+    """df with out, the rank of value in its cell (ties share their average), and of, how many the cell has; a null has no rank.
+
+    Ranks are counted: the bins before a value's own, the values before it in its
+    bin, and half of those equal to it. A row finds its rank by its value.
+    """
+    values = counted(df, by, F.col(value)).withColumn("_bin", leading(F.col("_x")))
+    bins = values.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"))
+    bins = bins.select(*by, "_bin", _ranks(by, "_bin", "_n").alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias(of))
+    placed = met(values, bins, [*by, "_bin"])
+    rank = F.col("_before") + _ranks([*by, "_bin"], "_x", "_c") + (F.col("_c") + 1) / 2
+    found = placed.select(*by, F.col("_x").alias(value), (F.col(of) + 1 - rank if descending else rank).alias(out), of)
+    return met(df, found, [*by, value], "left")
+
+
+def _ranks(cell: list[str], order: str, n: str) -> Column:
+    """How many are before, in order, in the same cell."""
+    return F.sum(n).over(Window.partitionBy(*cell).orderBy(order)) - F.col(n)

@@ -331,6 +331,7 @@ judged AS (SELECT *, significant AND above_cost AND low_above_cost AS passes FRO
         "plateau_p_values": f"SELECT family, interval, n_settings, {r6('rho', 'spearman')}, {r6('t', 't_stat')}, {r6(t_p('t', 'n_settings - 2'), 'p_value')} FROM (SELECT *, rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0) AS t FROM ({sql['plateau'].replace(r6('corr(ra, rb)', 'spearman'), 'corr(ra, rb) AS rho')}))",
         "period_edges": f"WITH {EVENTS}, pe AS (SELECT *, {_edge_period('close_time')} AS period FROM ev) {summary('pe', 'period, horizon', 'signed_bps', 'period IS NOT NULL')}",
         "overlapping_periods": f"WITH {EVENTS}, pd AS (SELECT DISTINCT year(l_shipdate) || '+2' AS period, make_date(year(l_shipdate), 1, 1) AS b, make_date(year(l_shipdate) + 2, 1, 1) AS e FROM lineitem WHERE l_shipdate IS NOT NULL), pe AS (SELECT ev.*, period FROM ev JOIN pd ON close_time >= b AND close_time < e) {summary('pe', 'period, horizon', 'signed_bps')}",
+        "bar_ranks": f"WITH {BARS}, rk AS (SELECT symbol, interval, bar_index, rank() OVER (PARTITION BY symbol, interval ORDER BY close DESC) + (count(*) OVER (PARTITION BY symbol, interval, close) - 1) / 2.0 AS a, count(*) OVER (PARTITION BY symbol, interval) AS n FROM bars) SELECT {AT}, {r6('a', 'rank')}, {r6('a / n', 'percentile')} FROM rk",
         "passing_cells": f"{judged} SELECT interval, horizon, n, {r6('mean')}, {', '.join(flags)} FROM judged",
         "pass_counts": f"{judged} SELECT interval, count(*) AS cells, {', '.join(f'count(*) FILTER (WHERE {f}) AS n_{f}' for f in flags)}, bool_or(passes) AS any_passes, bool_and(passes) AS all_pass FROM judged GROUP BY 1",
         "definition_pivot": f"WITH {STUDY} SELECT symbol, count(*) FILTER (WHERE released OR became_blue) AS n_any, count(*) FILTER (WHERE released) AS n_gray, count(*) FILTER (WHERE became_blue) AS n_blue FROM study WHERE {VALID} GROUP BY 1",

@@ -231,6 +231,13 @@ def volatility_expansion(spark, sf):
     return rounded(st.brown_forsythe(ev.union(base), ["horizon"], F.col("event"), "ret_bps"))
 
 
+def bar_ranks(spark, sf):
+    """Each bar's average rank by its close within its series, and its share of the series."""
+    bars = bars2(spark, sf).select(*AT, "close")
+    ranked = selection.average_ranks(bars, ["symbol", "interval"], "close", "rank", "of", descending=True)
+    return rounded(ranked.select(*AT, "rank", (F.col("rank") / F.col("of")).alias("percentile")))
+
+
 def _led(spark, sf, leader):
     return events.leader_bars(bars2(spark, sf), leader, EVENT_PARAMS)
 
@@ -486,7 +493,7 @@ _ALL = (
     color_state, linreg_momentum, val_norm, state_structure, ema, wilder, wavetrend, adx, zero_divisions, forward_returns, release_events, baseline_bars, bar_move,
     release_definitions, direction_summary, direction_accel, per_symbol, leave_one_out, period_split, baseline_direction, run_buckets, hour_of_day, volatility_expansion,
     leader_signals, leader_secondary, leader_summary, leader_groups, group_difference, non_overlap, grid_settings, grid_neighbours, grid_cells, grid_scores, grid_selection,
-    plateau, part_b, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
+    plateau, bar_ranks, part_b, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
     period_edges, overlapping_periods, passing_cells, pass_counts, definition_pivot, symbol_pivot, grid_pivot, grid_blue_bars, grid_symbol_means, result_identity, selection_lists, three_way, group_counts, leader_symbols, scrutiny,
 )
 
