@@ -270,16 +270,16 @@ def _mix(value: str, out: str) -> str:
     return f"(({value}) * 1103515245 + 12345) % 2147483647 AS {out}_a, (xor({out}_a, {out}_a >> 15) * 1588635695 + 12345) % 2147483647 AS {out}_b, xor({out}_b, {out}_b >> 13) AS {out}"
 
 
-def _rounds(source: str, by: str, value: str, stream: str = "0") -> str:
+def _rounds(source: str, by: str, value: str, stream: str = "0", pre: str = "") -> str:
     """CTEs: the rounds' means of both methods (boot), of a sample in order of symbol and bar_index."""
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
     of = lambda a: ", ".join(f"{a}.{c}" for c in by.split(", "))
-    return f"""bs AS MATERIALIZED (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY symbol, bar_index) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL),
-pre AS MATERIALIZED (SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)) AS l, i + 1 AS i, sum(x) OVER (PARTITION BY {by} ORDER BY i) AS s FROM bs UNION ALL SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)), 0, 0.0 FROM bs WHERE i = 0),
-blk AS MATERIALIZED (SELECT {of('a')}, a.i AS start, e.s - a.s AS whole, p.s - a.s AS part FROM pre a JOIN pre e ON {on('a', 'e')} AND e.i = a.i + a.l JOIN pre p ON {on('a', 'p')} AND p.i = a.i + a.n % a.l),
-turns AS MATERIALIZED (SELECT {by}, n, l, r, {_mix(f"({stream}) + 20260908 + r", "u")}, {_mix("u + 1000000007", "v")} FROM (SELECT {by}, n, l, unnest(range(0, 10000)) AS r FROM pre WHERE i = 0 AND n >= 2 * l AND n >= 20)),
-draws AS (SELECT {by}, n, l, r, k, {_mix("u + k", "w")}, {_mix("xor(w, v)", "y")}, (y * (n - l + 1)) // 2147483648 AS start FROM (SELECT *, unnest(range(0, n // l + CASE WHEN n % l = 0 THEN 0 ELSE 1 END)) AS k FROM turns)),
-boot AS MATERIALIZED (SELECT {of('d')}, d.r, sum(CASE WHEN k < n // l THEN whole ELSE 0 END) / any_value(n // l * l) AS blocks, sum(CASE WHEN k < n // l THEN whole ELSE part END) / any_value(n) AS moving FROM draws d JOIN blk ON {on('d', 'blk')} AND d.start = blk.start GROUP BY {of('d')}, d.r)"""
+    return f"""{pre}bs AS MATERIALIZED (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY symbol, bar_index) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL),
+{pre}pre AS MATERIALIZED (SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)) AS l, i + 1 AS i, sum(x) OVER (PARTITION BY {by} ORDER BY i) AS s FROM {pre}bs UNION ALL SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)), 0, 0.0 FROM {pre}bs WHERE i = 0),
+{pre}blk AS MATERIALIZED (SELECT {of('a')}, a.i AS start, e.s - a.s AS whole, p.s - a.s AS part FROM {pre}pre a JOIN {pre}pre e ON {on('a', 'e')} AND e.i = a.i + a.l JOIN {pre}pre p ON {on('a', 'p')} AND p.i = a.i + a.n % a.l),
+{pre}turns AS MATERIALIZED (SELECT {by}, n, l, r, {_mix(f"({stream}) + 20260908 + r", "u")}, {_mix("u + 1000000007", "v")} FROM (SELECT {by}, n, l, unnest(range(0, 10000)) AS r FROM {pre}pre WHERE i = 0 AND n >= 2 * l AND n >= 20)),
+{pre}draws AS (SELECT {by}, n, l, r, k, {_mix("u + k", "w")}, {_mix("xor(w, v)", "y")}, (y * (n - l + 1)) // 2147483648 AS start FROM (SELECT *, unnest(range(0, n // l + CASE WHEN n % l = 0 THEN 0 ELSE 1 END)) AS k FROM {pre}turns)),
+{pre}boot AS MATERIALIZED (SELECT {of('d')}, d.r, sum(CASE WHEN d.k < n // l THEN whole ELSE 0 END) / any_value(n // l * l) AS blocks, sum(CASE WHEN d.k < n // l THEN whole ELSE part END) / any_value(n) AS moving FROM {pre}draws d JOIN {pre}blk z ON {on('d', 'z')} AND d.start = z.start GROUP BY {of('d')}, d.r)"""
 
 
 def _bootstraps() -> dict[str, str]:
@@ -292,6 +292,24 @@ def _bootstraps() -> dict[str, str]:
     }
 
 
+def _confirmation_table() -> str:
+    by, x = "setting_key, interval, horizon", "signed_atr"
+    one, alone = "setting_key, interval, symbol, horizon", "e.setting_key = r.setting_key AND e.interval = r.interval AND e.symbol = r.symbol AND e.horizon = r.horizon"
+    ends = lambda pre, unit: f"(SELECT {by}, {r6('quantile_cont(blocks, 0.025)', f'ci_low_{unit}')}, {r6('quantile_cont(blocks, 0.975)', f'ci_high_{unit}')} FROM {pre}boot GROUP BY ALL)"
+    moments = lambda source, n: f"{n} AS (SELECT {by}, count(*) AS n, avg({x}) AS mean, stddev_samp({x}) AS std, median({x}) AS median, avg({x}) / nullif(stddev_samp({x}) / sqrt(count(*)), 0) AS t, avg(CASE WHEN {x} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS win FROM {source} GROUP BY ALL)"
+    shown = {"mean_atr": "m.mean", "std_atr": "m.std", "median_atr": "m.median", "t_stat": "m.t", "p_value": t_p("m.t", "m.n - 1"), "win_rate": "m.win", "mean_bps": "mean_bps", "mean_thinned": "h.mean", "p_thinned": t_p("h.t", "h.n - 1")}
+    plain = ["ci_low_atr", "ci_high_atr", "ci_low_bps", "ci_high_bps"]
+    return f"""WITH RECURSIVE {PART_B}, cf AS MATERIALIZED (SELECT {by}, symbol, bar_index, signed_atr, signed_bps FROM pg WHERE signed_atr IS NOT NULL AND period >= 2),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {one} ORDER BY bar_index) AS k FROM cf),
+kept AS (SELECT {one}, k, signed_atr, true AS keep, bar_index AS last FROM e WHERE k = 1
+  UNION ALL SELECT e.setting_key, e.interval, e.symbol, e.horizon, e.k, e.signed_atr, e.bar_index >= r.last + e.horizon + 1, CASE WHEN e.bar_index >= r.last + e.horizon + 1 THEN e.bar_index ELSE r.last END FROM kept r JOIN e ON {alone} AND e.k = r.k + 1),
+thin AS (SELECT * FROM kept WHERE keep), {moments('cf', 'm')}, {moments('thin', 'h')},
+sy AS (SELECT {by}, symbol, avg(signed_atr) AS m FROM cf GROUP BY ALL), ag AS (SELECT {by}, coalesce(count(DISTINCT sign(m)) = 1 AND count(m) = 3, false) AS agree FROM sy GROUP BY ALL), bp AS (SELECT {by}, avg(signed_bps) AS mean_bps FROM cf GROUP BY ALL),
+{_rounds('cf', by, 'signed_atr', pre='a_')}, {_rounds('cf', by, 'signed_bps', pre='b_')}
+SELECT {by}, m.n, m.n >= 20 AND agree AS signs_agree, CASE WHEN m.n >= 20 THEN h.n END AS n_thinned, {', '.join(r6(f"CASE WHEN m.n >= 20 THEN {v} END", k) for k, v in shown.items())}, {', '.join(f"CASE WHEN m.n >= 20 THEN {c} END AS {c}" for c in plain)}
+FROM m JOIN h USING ({by}) JOIN ag USING ({by}) JOIN bp USING ({by}) LEFT JOIN {ends('a_', 'atr')} USING ({by}) LEFT JOIN {ends('b_', 'bps')} USING ({by})"""
+
+
 def _edge_period(time: str) -> str:
     cases = " ".join(f"WHEN {time} >= TIMESTAMP '{a}' AND {time} < TIMESTAMP '{b}' THEN {k}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
     return f"CASE {cases} END"
@@ -330,6 +348,7 @@ judged AS (SELECT *, significant AND above_cost AND low_above_cost AS passes FRO
         "volatility_p_values": f"SELECT *, {r6(t_p('sqrt(statistic)', 'n_events + n_baseline - 2'), 'p_value')} FROM ({sql['volatility_expansion']})",
         "plateau_p_values": f"SELECT family, interval, n_settings, {r6('rho', 'spearman')}, {r6('t', 't_stat')}, {r6(t_p('t', 'n_settings - 2'), 'p_value')} FROM (SELECT *, rho * sqrt(n_settings - 2.0) / nullif(sqrt(1 - rho * rho), 0) AS t FROM ({sql['plateau'].replace(r6('corr(ra, rb)', 'spearman'), 'corr(ra, rb) AS rho')}))",
         "period_edges": f"WITH {EVENTS}, pe AS (SELECT *, {_edge_period('close_time')} AS period FROM ev) {summary('pe', 'period, horizon', 'signed_bps', 'period IS NOT NULL')}",
+        "confirmation_table": _confirmation_table(),
         "overlapping_periods": f"WITH {EVENTS}, pd AS (SELECT DISTINCT year(l_shipdate) || '+2' AS period, make_date(year(l_shipdate), 1, 1) AS b, make_date(year(l_shipdate) + 2, 1, 1) AS e FROM lineitem WHERE l_shipdate IS NOT NULL), pe AS (SELECT ev.*, period FROM ev JOIN pd ON close_time >= b AND close_time < e) {summary('pe', 'period, horizon', 'signed_bps')}",
         "bar_ranks": f"WITH {BARS}, rk AS (SELECT symbol, interval, bar_index, rank() OVER (PARTITION BY symbol, interval ORDER BY close DESC) + (count(*) OVER (PARTITION BY symbol, interval, close) - 1) / 2.0 AS a, count(*) OVER (PARTITION BY symbol, interval) AS n FROM bars) SELECT {AT}, {r6('a', 'rank')}, {r6('a / n', 'percentile')} FROM rk",
         "passing_cells": f"{judged} SELECT interval, horizon, n, {r6('mean')}, {', '.join(flags)} FROM judged",

@@ -16,7 +16,7 @@ from tidebar.functions import selection
 from tidebar.functions.shared import kept
 from tidebar.operators import events, grid, reports
 from tidebar.operators import statistics as st
-from tidebar.params import HORIZONS, LOOKBACKS, RUN_BUCKETS, SqueezeParams
+from tidebar.params import HORIZONS, LOOKBACKS, MIN_SAMPLE, RUN_BUCKETS, SqueezeParams
 from tidebar.sources import sinks
 from tidebar.sources.bars import numbered
 
@@ -124,6 +124,27 @@ def confirm(bars: DataFrame, candidates: list[dict], alpha: float = 0.05, cost_b
     return out.withColumns({"retention": F.try_divide("mean_atr", "part_a_mean_atr"), "passes": F.coalesce(F.col("registered") & passes, F.lit(False))})
 
 
+def confirmation_table(signals: DataFrame) -> DataFrame:
+    """One row for each setting, interval and horizon: moments, median, test and interval in ATR units, mean and interval in basis points, agreement of the three symbols, and the thinned sample.
+
+    Cells of fewer than MIN_SAMPLE signals have a short row: their number, no signs that agree, and nulls. The signals are written once.
+    """
+    by = ["setting_key", "interval", "horizon"]
+    rows = kept(signals.where(F.col("signed_atr").isNotNull()).select(*by, "symbol", "bar_index", "signed_atr", "signed_bps"), "confirmation")
+    order = ["symbol", "bar_index"]
+    names = {"mean": "mean_atr", "std": "std_atr", "median": "median_atr", "t_stat": "t_stat", "p_value": "p_value", "win_rate": "win_rate"}
+    cells = st.with_p_value(st.summary(rows, by, "signed_atr")).select(*by, "n", *[F.col(a).alias(b) for a, b in names.items()])
+    ends = lambda value, unit: st.bootstrap(rows, by, value, order).select(*by, F.col("ci_low").alias(f"ci_low_{unit}"), F.col("ci_high").alias(f"ci_high_{unit}"))
+    thin = st.non_overlapping(rows, ["setting_key", "interval", "symbol"])
+    thinned = st.with_p_value(st.summary(thin, by, "signed_atr")).select(*by, F.col("n").alias("n_thinned"), F.col("mean").alias("mean_thinned"), F.col("p_value").alias("p_thinned"))
+    means = rows.groupBy(*by, "symbol").agg(F.avg("signed_atr").alias("m"), F.sum("signed_bps").alias("s"), F.count("signed_bps").alias("k"))
+    agree = means.groupBy(*by).agg(st.signs_agree(F.col("m"), 3).alias("signs_agree"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean_bps"))
+    for part in (agree, ends("signed_atr", "atr"), ends("signed_bps", "bps"), thinned):
+        cells = selection.met(cells, part, by, "left")
+    enough = F.col("n") >= MIN_SAMPLE
+    return cells.select(*by, "n", (enough & F.col("signs_agree")).alias("signs_agree"), *[F.when(enough, F.col(c)).alias(c) for c in cells.columns if c not in (*by, "n", "signs_agree")])
+
+
 def without_each(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """excluded, by, n, mean, t_stat: moments of all symbols but one, from each symbol's own sums, subtracted from all; "none" excludes none."""
     x = F.col(value)

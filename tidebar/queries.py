@@ -330,6 +330,11 @@ def part_b(spark, sf):
     return rounded(b.join(kept, by, "left"))
 
 
+def confirmation_table(spark, sf):
+    """The whole table of the confirmed candidates on the later half of each series."""
+    return rounded(studies.confirmation_table(_confirmed(spark, sf).where("period >= 2")))
+
+
 def quarterly_stability(spark, sf):
     return rounded(grid.stability(_confirmed(spark, sf), "close_time", 0.85))
 
@@ -493,7 +498,7 @@ _ALL = (
     color_state, linreg_momentum, val_norm, state_structure, ema, wilder, wavetrend, adx, zero_divisions, forward_returns, release_events, baseline_bars, bar_move,
     release_definitions, direction_summary, direction_accel, per_symbol, leave_one_out, period_split, baseline_direction, run_buckets, hour_of_day, volatility_expansion,
     leader_signals, leader_secondary, leader_summary, leader_groups, group_difference, non_overlap, grid_settings, grid_neighbours, grid_cells, grid_scores, grid_selection,
-    plateau, bar_ranks, part_b, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
+    plateau, bar_ranks, part_b, confirmation_table, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
     period_edges, overlapping_periods, passing_cells, pass_counts, definition_pivot, symbol_pivot, grid_pivot, grid_blue_bars, grid_symbol_means, result_identity, selection_lists, three_way, group_counts, leader_symbols, scrutiny,
 )
 
