@@ -274,12 +274,17 @@ def _rounds(source: str, by: str, value: str, stream: str = "0", pre: str = "")
     """CTEs: the rounds' means of both methods (boot), of a sample in order of symbol and bar_index."""
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
     of = lambda a: ", ".join(f"{a}.{c}" for c in by.split(", "))
+    # a round's draws as a list, mixed step by step
+    starts = "range(0, n // l + CASE WHEN n % l = 0 THEN 0 ELSE 1 END)"
+    mix = ["(x * 1103515245 + 12345) % 2147483647", "(xor(x, x >> 15) * 1588635695 + 12345) % 2147483647", "xor(x, x >> 13)"]
+    for step in ("u + x", *mix, "xor(x, v)", *mix, "(x * (n - l + 1)) // 2147483648"):
+        starts = f"list_transform({starts}, lambda x: {step})"
     return f"""{pre}bs AS MATERIALIZED (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY symbol, bar_index) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL),
 {pre}pre AS MATERIALIZED (SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)) AS l, i + 1 AS i, sum(x) OVER (PARTITION BY {by} ORDER BY i) AS s FROM {pre}bs UNION ALL SELECT {by}, n, greatest(10, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)), 0, 0.0 FROM {pre}bs WHERE i = 0),
-{pre}blk AS MATERIALIZED (SELECT {of('a')}, a.i AS start, e.s - a.s AS whole, p.s - a.s AS part FROM {pre}pre a JOIN {pre}pre e ON {on('a', 'e')} AND e.i = a.i + a.l JOIN {pre}pre p ON {on('a', 'p')} AND p.i = a.i + a.n % a.l),
 {pre}turns AS MATERIALIZED (SELECT {by}, n, l, r, {_mix(f"({stream}) + 20260908 + r", "u")}, {_mix("u + 1000000007", "v")} FROM (SELECT {by}, n, l, unnest(range(0, 10000)) AS r FROM {pre}pre WHERE i = 0 AND n >= 2 * l AND n >= 20)),
-{pre}draws AS (SELECT {by}, n, l, r, k, {_mix("u + k", "w")}, {_mix("xor(w, v)", "y")}, (y * (n - l + 1)) // 2147483648 AS start FROM (SELECT *, unnest(range(0, n // l + CASE WHEN n % l = 0 THEN 0 ELSE 1 END)) AS k FROM {pre}turns)),
-{pre}boot AS MATERIALIZED (SELECT {of('d')}, d.r, sum(CASE WHEN d.k < n // l THEN whole ELSE 0 END) / any_value(n // l * l) AS blocks, sum(CASE WHEN d.k < n // l THEN whole ELSE part END) / any_value(n) AS moving FROM {pre}draws d JOIN {pre}blk z ON {on('d', 'z')} AND d.start = z.start GROUP BY {of('d')}, d.r)"""
+{pre}lists AS MATERIALIZED (SELECT {by}, list(s ORDER BY i) AS sl FROM {pre}pre GROUP BY {by}),
+{pre}draws AS (SELECT {by}, n, l, r, n // l AS whole, {starts} AS places FROM {pre}turns),
+{pre}boot AS MATERIALIZED (SELECT {of('d')}, d.r, list_sum(list_transform(places[1:whole], lambda x: sl[x + l + 1] - sl[x + 1])) / (whole * l) AS blocks, (list_sum(list_transform(places[1:whole], lambda x: sl[x + l + 1] - sl[x + 1])) + CASE WHEN n % l = 0 THEN 0 ELSE sl[places[whole + 1] + n % l + 1] - sl[places[whole + 1] + 1] END) / n AS moving FROM {pre}draws d JOIN {pre}lists z ON {on('d', 'z')})"""
 
 
 def _bootstraps() -> dict[str, str]:
