@@ -507,3 +507,18 @@ def test_true_ranges_agree_where_a_price_is_unknown(spark):
     a = {r.bar_index: r.t for r in df.select("bar_index", s.true_range(df).alias("t")).collect()}
     b = {r.bar_index: r.true_range for r in ind.adx(df).collect()}
     assert all((a[i] is None and b[i] is None) or np.isclose(a[i], b[i]) for i in a) and a[5] is not None
+
+
+@pytest.mark.parametrize("alpha, chunk", [(2 / 11, 17), (1 / 14, 1 << 17), (1.0, 40), (0.02, 50)])
+def test_scan_of_affine_maps_is_plain_smoothing(spark, alpha, chunk):
+    """Chunks without any value, gaps over borders, NaN and unknown beginnings; a series without values stays unknown."""
+    draw = np.random.default_rng(5)
+    x = pd.Series(draw.normal(100, 5, 400))
+    x[(draw.random(400) < 0.3) | x.index.isin(range(100, 230)) | (x.index < 7)] = np.nan
+    rows = [("A", "1h", i, None if np.isnan(v) and i % 2 else float(v)) for i, v in enumerate(x)] + [("B", "1h", i, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, interval string, bar_index long, close double")
+    got = frame(ind.smoothed(df, alpha, "close", "y", chunk))
+    want = x.ewm(alpha=alpha, adjust=False).mean()
+    same(got[got.symbol == "A"].y.reset_index(drop=True), want, 1e-12)
+    assert got[got.symbol == "B"].y.isna().all() and len(got) == 460
+    assert ind.smoothed(df.limit(0), alpha, "close", "y", chunk).count() == 0

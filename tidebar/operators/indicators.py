@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions import scan
 from tidebar.functions import series as s
 from tidebar.operators.causality import reaching
 from tidebar.params import AdxParams, SqueezeParams, WaveTrendParams
@@ -167,9 +168,11 @@ def zero_divisions(lines: DataFrame, column: str) -> DataFrame:
 
 
 def smoothed(bars: DataFrame, alpha: float, column: str, out: str, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
-    """One recursively smoothed price column."""
-    kernel = lambda b: pd.DataFrame({out: b[column].ewm(alpha=alpha, adjust=False).mean()})
-    return s.recursive(bars, kernel, {out: "double"}, s.memory(alpha), chunk_bars)
+    """One recursively smoothed price column, exact over series of any length and nulls of any number, without Python workers."""
+    n = scan.chunk_for([alpha], chunk_bars)
+    at = [*s.keys(bars), s.ORDER]
+    df = scan.smoothed(scan.laid(bars.select(*at, F.col(column).alias("_of")), n, 0), {out: F.col("_of")}, alpha, n)
+    return bars.join(scan.own(df, n).drop("_of"), at)
 
 
 #: families of the grid: their indicator functions
