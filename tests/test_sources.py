@@ -1,13 +1,16 @@
 """Archives, integrity, sinks, candidates and streaming."""
 
+import http.server
+import threading
 import zipfile
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidebar.operators import grid, integrity
-from tidebar.sources import bars, klines, sinks
+from tidebar.sources import archive as ar
+from tidebar.sources import bars, fetch, klines, sinks
 from tidebar.streaming import bars as streaming
 
 JAN, FEB = datetime(2025, 1, 1), datetime(2025, 2, 1)
@@ -103,3 +106,77 @@ def test_numbers_by_pieces_are_row_numbers(spark):
         assert [(low(r.day), low(r.n), r.k) for r in sorted(got.where(F.col("s") == name).collect(), key=lambda r: r.rn)] == want
         assert sorted(r.rn for r in got.where(F.col("s") == name).collect()) == list(range(len(want)))
     assert bars.numbered(df.limit(0), "s", ["k"], ["day"]).count() == 0
+
+
+def test_source_of_archives_prunes_months_and_series(spark, tmp_path):
+    """Only the archives that filters leave are there: any other would fail the read."""
+    archive(tmp_path / "AAA-1h-2025-01.zip", [HEAD, row(0), row(2), row(1), row(1, 1_000_000), row(24 * 31)])
+    archive(tmp_path / "BBB-1h-2025-01.zip", [row(i) for i in range(744)])
+    ar.register(spark)
+    options = {"root": str(tmp_path), "symbols": "AAA,BBB,CCC", "intervals": "1h", "start": "2024-11-01", "end": "2025-04-01"}
+    df = spark.read.format("klines").options(**options).load()
+    begin, end = F.lit("2025-01-01 02:00:00Z").cast("timestamp"), F.lit("2025-01-31 00:00:00Z").cast("timestamp")
+    some = df.where(F.col("symbol").isin("AAA", "BBB") & (F.col("open_time") >= begin) & (F.col("open_time") < end))
+    assert {(r.symbol, r["count"]) for r in some.groupBy("symbol").count().collect()} == {("AAA", 1), ("BBB", 718)}
+    assert df.where("symbol = 'DDD'").count() == 0
+    assert df.where((F.col("symbol") == "BBB") & (F.col("open_time") == begin)).count() == 1
+    with pytest.raises(Exception, match="not fetched in 1 tries"):
+        spark.read.format("klines").options(**options, tries="1").load().where("symbol = 'CCC'").count()
+    with pytest.raises(Exception, match="options root"):
+        spark.read.format("klines").load().count()
+    panels = [f(spark, str(tmp_path), ["AAA", "BBB"], ["1h"], JAN, FEB) for f in (klines.load_panel, klines.load_source)]
+    for part in ("bars", "report"):
+        a, b = (sorted(map(str, getattr(p, part).collect())) for p in panels)
+        assert a == b
+
+
+def test_fetch_tries_four_times_and_keeps_whole_files(tmp_path):
+    asked, waits = [], []
+
+    def failing(url, timeout, until=9):
+        asked.append(url)
+        if len(asked) < until:
+            raise OSError("busy")
+        return b"content"
+
+    with pytest.raises(RuntimeError, match="4 tries"):
+        ar.fetched("u", str(tmp_path), "a.zip", get=failing, wait=waits.append)
+    assert len(asked) == 4 and waits == [1, 2, 4] and not list(tmp_path.iterdir())
+    asked.clear()
+    (tmp_path / "a.zip").touch()
+    assert ar.fetched("u", str(tmp_path), "a.zip", get=lambda u, t: failing(u, t, 3), wait=waits.append) == b"content"
+    assert ar.fetched("u", str(tmp_path), "a.zip", get=None) == b"content" and [p.name for p in tmp_path.iterdir()] == ["a.zip"]
+
+
+def test_command_line_over_a_failing_server(spark, tmp_path, capsys):
+    """The first two answers are errors; the second run asks the server for nothing."""
+    archive(tmp_path / "AAA-1h-2025-01.zip", [row(i) for i in range(744)])
+    content, asked = (tmp_path / "AAA-1h-2025-01.zip").read_bytes(), []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            good = len(asked) > 2
+            self.send_response(200 if good else 503)
+            self.end_headers()
+            self.wfile.write(content if good else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    args = ["--symbols", "AAA", "--intervals", "1h", "--start", "2025-01-01", "--end", "2025-02-01", "--root", f"http://127.0.0.1:{server.server_port}", "--cache", str(tmp_path / "cache"), "--out", str(tmp_path / "out")]
+    fetch.main(args, spark)
+    assert len(asked) == 3 and set(asked) == {"/AAA/1h/AAA-1h-2025-01.zip"} and "AAA" in capsys.readouterr().out
+    server.shutdown()
+    assert fetch.main(args, spark).bars.count() == 744 == spark.read.parquet(str(tmp_path / "out")).count()
+
+
+def test_archives_that_may_hold_a_time():
+    a = ar.Archive("A", "1h", "2025-01")
+    at = lambda *x: datetime(*x, tzinfo=UTC)
+    assert ar.bounds("2024-12") == (at(2024, 12, 1), at(2025, 1, 1))
+    assert ar.keeps(ar.GreaterThan(("close_time",), at(2025, 2, 1, 0, 30)), a) and not ar.keeps(ar.GreaterThan(("open_time",), at(2025, 2, 1, 0, 30)), a)
+    assert not ar.keeps(ar.LessThan(("open_time",), at(2024, 12, 31)), a) and ar.keeps(ar.LessThan(("volume",), 1.0), a)
+    assert ar.keeps(ar.In(("symbol",), ("A", "B")), a) and not ar.keeps(ar.EqualTo(("interval",), "4h"), a)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebar.functions.shared import kept
 from tidebar.operators import integrity
 from tidebar.params import INTERVAL_MINUTES
 from tidebar.sources.bars import numbered
@@ -85,7 +86,24 @@ def load_panel(spark: SparkSession, root: str, symbols: list[str], intervals: li
     """Bars of all series in [start, end) without repeated times, numbered from 0, and the report on what is missing."""
     for interval in intervals:
         step_minutes(interval)
-    rows = parsed(read_archives(spark, archive_paths(root, symbols, intervals, start, end)))
+    return _panel(parsed(read_archives(spark, archive_paths(root, symbols, intervals, start, end))), intervals, start, end)
+
+
+def load_source(spark: SparkSession, root: str, symbols: list[str], intervals: list[str], start: datetime, end: datetime, **options: str | None) -> Panel:
+    """As load_panel, by the source "klines": archives are fetched, cached and tried again by the tasks that read them.
+
+    The rows are written once to the shared folder, as bars and report read them
+    several times and at once: each archive is fetched once, with a cache or without.
+    """
+    from tidebar.sources import archive
+
+    archive.register(spark)
+    given = {"root": root, "symbols": ",".join(symbols), "intervals": ",".join(intervals), "start": start.isoformat(), "end": end.isoformat(), **options}
+    rows = spark.read.format("klines").options(**{k: v for k, v in given.items() if v}).load()
+    return _panel(kept(rows, "klines"), intervals, start, end)
+
+
+def _panel(rows: DataFrame, intervals: list[str], start: datetime, end: datetime) -> Panel:
     rows = rows.where((F.col("open_time") >= F.lit(start)) & (F.col("open_time") < F.lit(end)))
     first = Window.partitionBy("symbol", "interval", "open_time").orderBy("close_time", "open", "high", "low", "close", "volume")
     unique = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
