@@ -1,6 +1,7 @@
 """Archives, integrity, sinks, candidates and streaming."""
 
 import http.server
+import random
 import threading
 import zipfile
 from datetime import UTC, datetime
@@ -8,10 +9,11 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import grid, integrity
+from tidebar.operators import grid, indicators, integrity
 from tidebar.sources import archive as ar
 from tidebar.sources import bars, fetch, klines, sinks
 from tidebar.streaming import bars as streaming
+from tidebar.streaming import directional
 
 JAN, FEB = datetime(2025, 1, 1), datetime(2025, 2, 1)
 HEAD = ",".join(klines.RAW_COLUMNS)
@@ -180,3 +182,29 @@ def test_archives_that_may_hold_a_time():
     assert ar.keeps(ar.GreaterThan(("close_time",), at(2025, 2, 1, 0, 30)), a) and not ar.keeps(ar.GreaterThan(("open_time",), at(2025, 2, 1, 0, 30)), a)
     assert not ar.keeps(ar.LessThan(("open_time",), at(2024, 12, 31)), a) and ar.keeps(ar.LessThan(("volume",), 1.0), a)
     assert ar.keeps(ar.In(("symbol",), ("A", "B")), a) and not ar.keeps(ar.EqualTo(("interval",), "4h"), a)
+
+
+def test_streamed_movement_of_shuffled_bars_is_that_of_the_batch(spark, tmp_path):
+    """Bars in any order over three batches, some of them twice, one after a gap that is never filled."""
+    draw = random.Random(4)
+    at = [[draw.uniform(90, 110) for _ in range(3)] for _ in range(60)]
+    rows = [(s, "1h", i, min(x), max(x), min(x), x[0]) for s in "AB" for i, x in enumerate(at[:: 1 if s == "A" else -1])]
+    df = spark.createDataFrame(rows, "symbol string, interval string, bar_index long, open double, high double, low double, close double")
+    mixed = draw.sample(rows, len(rows))
+    for k in range(3):
+        part = mixed[k::3] + mixed[:5] + ([("A", "1h", 70, 1.0, 1.0, 1.0, 1.0)] if k == 0 else [])
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stores = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(stores, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = directional.adx(stream).writeStream.format("memory").queryName("movement").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(100)
+        assert q.exception() is None and not q.isActive
+    finally:
+        spark.conf.unset(stores)
+    lines = ["symbol", "bar_index", "plus_di", "minus_di", "adx"]
+    got = spark.table("movement").orderBy("symbol", "bar_index").collect()
+    want = indicators.adx(df).select(*lines).orderBy("symbol", "bar_index").collect()
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 120
+    assert all(abs(x - y) < 1e-9 for a, b in zip(got, want, strict=True) for x, y in zip(a[2:], b[2:], strict=True))
