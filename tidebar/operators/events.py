@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebar.functions import selection
 from tidebar.functions import series as s
 from tidebar.operators.indicators import adx, squeeze, true, wavetrend
-from tidebar.params import HORIZONS, LOOKBACKS, WARMUP_LEADER, AdxParams, SqueezeParams, WaveTrendParams
+from tidebar.params import COSTS_BPS, HORIZONS, LOOKBACKS, WARMUP_LEADER, AdxParams, SqueezeParams, WaveTrendParams
 
 DEFINITIONS = ("gray", "blue", "any")
 LEADERS = ("wavetrend", "adx")
@@ -82,6 +82,15 @@ def bar_move(bars: DataFrame) -> DataFrame:
     return selection.met(moves.select(*by).distinct(), middle, by, "left")
 
 
+def totals(study: DataFrame, definition: str = "gray", costs: tuple[float, ...] = COSTS_BPS) -> DataFrame:
+    """Of each series: its events, its counted bars, its median one-bar move, and that as a multiple of each cost."""
+    by = ["symbol", "interval"]
+    released = F.count_if(F.col("valid") & is_release(definition))
+    counts = study.groupBy(*by).agg(released.alias("n_events"), F.count_if("valid").alias("n_bars"))
+    moved = selection.met(counts, bar_move(study), by)
+    return moved.withColumns({f"move_over_{str(c).replace('.', '_')}": F.try_divide("bar_move_bps", F.lit(c)) for c in costs})
+
+
 def recent(df: DataFrame, flag: str, k: int) -> Column:
     """Whether the flag held in the last k bars, as far as there are."""
     return F.max(F.col(flag).cast("int")).over(s.last(df, k)) == 1

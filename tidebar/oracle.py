@@ -416,6 +416,10 @@ SELECT symbol, count(*) FILTER (WHERE gap <> 3600) AS faults FROM g GROUP BY 1""
         "baseline_bars": f"WITH {STUDY}, {BASE} SELECT symbol, horizon, count(*) AS bars, count(ret_bps) AS n, {r6('avg(ret_bps)', 'mean_bps')}, {r6('avg(ret_atr)', 'mean_atr')} FROM base GROUP BY 1, 2",
         "bar_move": f"WITH {BARS}, m AS (SELECT symbol, interval, abs(close / lag(close) OVER ({WIN}) - 1) * 10000 AS move FROM bars) SELECT symbol, interval, {r6('median(move)', 'bar_move_bps')} FROM m GROUP BY 1, 2",
         "release_definitions": f"WITH {STUDY} SELECT symbol, count(*) FILTER (WHERE released) AS gray, count(*) FILTER (WHERE became_blue) AS blue, count(*) FILTER (WHERE released OR became_blue) AS \"any\", count(*) AS bars FROM study WHERE {VALID} GROUP BY 1",
+        "event_totals": f"""WITH {STUDY},
+m AS (SELECT symbol, interval, median(move) AS move FROM (SELECT symbol, interval, abs(close / lag(close) OVER ({WIN}) - 1) * 10000 AS move FROM bars) GROUP BY 1, 2),
+c AS (SELECT symbol, interval, count(*) FILTER (WHERE released AND {VALID}) AS n_events, count(*) FILTER (WHERE {VALID}) AS n_bars FROM study GROUP BY 1, 2)
+SELECT symbol, interval, n_events, n_bars, {r6('move', 'bar_move_bps')}, {', '.join(r6(f'move / {c}', f"move_over_{str(c).replace('.', '_')}") for c in COSTS_BPS)} FROM c JOIN m USING (symbol, interval)""",
         "direction_summary": f"WITH {EVENTS} {summary('ev', 'interval, horizon', 'signed_bps')}",
         "direction_accel": f"WITH {EVENTS} {summary('ev', 'interval, horizon', 'signed_bps', '(val > 0 AND val_rising) OR (val <= 0 AND NOT val_rising)')}",
         "per_symbol": f"WITH {EVENTS} {summary('ev', 'symbol, horizon', 'signed_bps')}",

@@ -163,6 +163,11 @@ def release_definitions(spark, sf):
     return q.groupBy("symbol").agg(*n, F.count("*").alias("bars"))
 
 
+def event_totals(spark, sf):
+    """Events and bars of each series, and what a bar moves against the costs."""
+    return rounded(events.totals(_study(spark, sf)))
+
+
 def _moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return rounded(st.summary(df, by, value))
 
@@ -496,7 +501,7 @@ def scrutiny(spark, sf):
 _ALL = (
     bars_rows2, bars_daily, bars_events_4h, integrity_report, missing_times, missing_pattern, spacing_faults, true_range, bollinger, keltner, squeeze_states, squeeze_run,
     color_state, linreg_momentum, val_norm, state_structure, ema, wilder, wavetrend, adx, zero_divisions, forward_returns, release_events, baseline_bars, bar_move,
-    release_definitions, direction_summary, direction_accel, per_symbol, leave_one_out, period_split, baseline_direction, run_buckets, hour_of_day, volatility_expansion,
+    release_definitions, event_totals, direction_summary, direction_accel, per_symbol, leave_one_out, period_split, baseline_direction, run_buckets, hour_of_day, volatility_expansion,
     leader_signals, leader_secondary, leader_summary, leader_groups, group_difference, non_overlap, grid_settings, grid_neighbours, grid_cells, grid_scores, grid_selection,
     plateau, bar_ranks, part_b, confirmation_table, quarterly_stability, cost_matrix, p_values, bootstrap_ci, bootstrap_diff, volatility_p_values, plateau_p_values, causality_check, negative_controls,
     period_edges, overlapping_periods, passing_cells, pass_counts, definition_pivot, symbol_pivot, grid_pivot, grid_blue_bars, grid_symbol_means, result_identity, selection_lists, three_way, group_counts, leader_symbols, scrutiny,
