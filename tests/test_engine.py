@@ -522,3 +522,31 @@ def test_scan_of_affine_maps_is_plain_smoothing(spark, alpha, chunk):
     same(got[got.symbol == "A"].y.reset_index(drop=True), want, 1e-12)
     assert got[got.symbol == "B"].y.isna().all() and len(got) == 460
     assert ind.smoothed(df.limit(0), alpha, "close", "y", chunk).count() == 0
+
+
+def test_controls_repeat_no_prefix(spark, monkeypatch):
+    sizes = []
+    plain = causality._within
+    monkeypatch.setattr(causality, "_within", lambda rows, ranges, *block: sizes.append(plain(rows, ranges, *block).count()) or plain(rows, ranges, *block))
+    monkeypatch.setattr(s, "CHUNK_BARS", 512)
+    bars = spark.createDataFrame(walk(3000, 3)).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
+    cuts = causality.series_cuts(bars)
+    n = len(causality.cut_positions(3000))
+    for builder in causality.together(causality.NEGATIVE_CONTROLS):
+        causality.differences(builder, bars, cuts).count()
+    assert max(sizes) <= n * max(causality.COMPARED + 20, causality.BLOCK)
+    close = frame(bars).sort_values("bar_index").close
+    made = {k: frame(causality.NEGATIVE_CONTROLS[k](bars)).sort_values("bar_index").bad.to_numpy() for k in ("future_peak", "back_filled", "next_close")}
+    assert (made["future_peak"] == close[::-1].cummax()[::-1].to_numpy()).all()
+    assert (made["back_filled"] == close.where(np.arange(3000) % 50 != 0).bfill().to_numpy()).all()
+    assert (made["next_close"][:-1] == close.to_numpy()[1:]).all() and np.isnan(made["next_close"][-1])
+
+
+def test_totals_before_cuts_over_gaps(spark):
+    index = [*range(0, 1500), *range(9000, 9100)]
+    bars = spark.createDataFrame([("A", "x", i, float(i % 7)) for i in index], "symbol string, interval string, bar_index long, close double")
+    cuts = spark.createDataFrame([("A", "x", c) for c in (1, 1024, 1400, 5000, 9050, 9100)], "symbol string, interval string, cut int")
+    totals = {"_s": ("sum", lambda: F.col("close")), "_n": ("count", lambda: F.col("close")), "_m": ("max", lambda: F.col("bar_index"))}
+    for r in causality._totals_before(bars, cuts, totals).collect():
+        before = [i for i in index if i < r.cut]
+        assert (r._s, r._n, r._m) == (sum(i % 7 for i in before), len(before), max(before)), r.cut

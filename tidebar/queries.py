@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidebar.functions import series as s
 from tidebar.functions import distributions as d
 from tidebar.functions import selection
+from tidebar.functions.shared import kept
 from tidebar.operators import causality, events, grid, integrity, reports
 from tidebar.operators import indicators as ind
 from tidebar.operators import statistics as st
@@ -374,7 +375,8 @@ def plateau_p_values(spark, sf):
 
 
 def _prices(spark, sf):
-    return bars2(spark, sf).select(*AT, "open", "high", "low", "close")
+    """Written once, as each check reads them several times."""
+    return kept(bars2(spark, sf).select(*AT, "open", "high", "low", "close"), "prices")
 
 
 def causality_check(spark, sf):
