@@ -550,3 +550,15 @@ def test_totals_before_cuts_over_gaps(spark):
     for r in causality._totals_before(bars, cuts, totals).collect():
         before = [i for i in index if i < r.cut]
         assert (r._s, r._n, r._m) == (sum(i % 7 for i in before), len(before), max(before)), r.cut
+
+
+def test_bootstraps_by_slices_and_shares(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = rng.normal(1, 10, 700)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, bar_index long, x double")
+    for name, small in (("SLICE", 64), ("DRAWS", 100_000), ("AT_ONCE", 50)):
+        monkeypatch.setattr(resample, name, small)
+    values, cells = resample.sample(df, ["k"], "x", ["bar_index"])
+    got = resample.rounds(values, cells, ["k"]).orderBy("round").toPandas()
+    one, two, _ = _plain_rounds(x, 10_000, resample.BOOTSTRAP_SEED)
+    assert len(got) == 10_000 and np.allclose(got.blocks, one) and np.allclose(got.moving, two)

@@ -1,26 +1,31 @@
-"""Block bootstraps as joins: no task holds a cell's sample.
-
-A cell's values are numbered in order and summed along, so that a block's sum is
-the difference of two sums. Which blocks a round takes comes from a generator
-of counters: the number of (round, block) is mixed to 31 bits, so that any task
-draws any part of any round, again and again alike. Draws meet the blocks by
-(cell, start), which spreads a large cell over all tasks, and are added by round
-before they are shuffled. The rounds' means, ROUNDS a cell, give the interval.
+"""Block bootstraps by slices of a sample: no task holds a cell's sample.
+
+A cell's values are numbered in order and cut into slices of SLICE block starts,
+which carry the values that their last blocks reach. Within a slice they are
+summed along, so that a block's sum is the difference of two sums. Which blocks a
+round takes comes from a generator of counters: the number of (round, block) is
+mixed to 31 bits, so that any task draws any part of any round, again and again
+alike. A task has a slice and a share of the rounds, of about DRAWS draws; it
+draws those rounds and adds the blocks that begin in its slice. Draws are never
+rows: only the sums of (cell, slice, round) leave the tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidebar.functions.selection import met
 from tidebar.functions.shared import kept
 from tidebar.params import BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED
 from tidebar.sources.bars import numbered
 
-#: Values of one piece of a cell.
+#: Values of one piece of a cell that values are numbered in.
 PIECE = 1 << 16
+#: Block starts of one slice of a cell, draws of one task, and draws made at once.
+SLICE, DRAWS, AT_ONCE = 1 << 20, 1 << 25, 1 << 16
 #: The generator: products of 31-bit numbers stay below 2^62.
 MODULUS, FIRST, SECOND, ADDED = 2147483647, 1103515245, 1588635695, 12345
 #: Beyond the number of any block.
@@ -33,57 +38,74 @@ def block_length(n: str) -> str:
     return f"greatest(10, cast(round(pow({n}, 1D / 3)) as bigint))"
 
 
-def mixed(df: DataFrame, value: Column, out: str) -> DataFrame:
-    """df with out: value, a number from 0, mixed to 31 bits in two steps of a product and a folded shift."""
-    a, b = f"{out}_a", f"{out}_b"
-    df = df.withColumn(a, (value * FIRST + ADDED) % MODULUS)
-    df = df.withColumn(b, (F.col(a).bitwiseXOR(F.shiftright(a, 15)) * SECOND + ADDED) % MODULUS)
-    return df.withColumn(out, F.col(b).bitwiseXOR(F.shiftright(b, 13))).drop(a, b)
-
-
-def blocks(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
-    """by, n, total, length, start, whole, part: the sum of each block of length values, and of as many of its first values as fill a sample up (0 where whole blocks do). A cell of less than a block has one row, without sums.
-
-    The values and the blocks are written, as both are read more than once.
-    """
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x % MODULUS for x below 2^62, by shifts: MODULUS is 2^31 - 1."""
+    for _ in range(2):
+        x = (x & MODULUS) + (x >> 31)
+    return np.where(x >= MODULUS, x - MODULUS, x)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 below 2^31 or so, mixed to 31 bits in two steps of a product and a folded shift."""
+    x = _folded(x * FIRST + ADDED)
+    x = _folded((x ^ (x >> 15)) * SECOND + ADDED)
+    return x ^ (x >> 13)
+
+
+def _drawn(values: np.ndarray, begin: int, n: int, length: int, own: int, turns: np.ndarray, size: int, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each round: the sum of its whole blocks that begin in the slice of values from place begin on, and of its filling part."""
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    whole, rest = divmod(n, length)
+    k, here = np.arange(whole + (rest > 0)), min(size, n - length + 1 - begin)
+    full, part = np.zeros(len(turns)), np.zeros(len(turns))
+    u = mixed(own + turns)
+    v = mixed(u + APART)
+    rows, columns = max(1, at_once // len(k)), min(len(k), at_once)
+    for i in range(0, len(turns), rows):
+        for j in range(0, len(k), columns):
+            some = k[j : j + columns]
+            at = (mixed(mixed(u[i : i + rows, None] + some) ^ v[i : i + rows, None]) * (n - length + 1) >> 31) - begin
+            there = (at >= 0) & (at < here)
+            at = np.where(there, at, 0)
+            blocks = int(np.searchsorted(some, whole))
+            full[i : i + rows] += ((sums[at[:, :blocks] + length] - sums[at[:, :blocks]]) * there[:, :blocks]).sum(axis=1)
+            if blocks < len(some):  # the last one fills the sample up
+                part[i : i + rows] += (sums[at[:, -1] + rest] - sums[at[:, -1]]) * there[:, -1]
+    return full, part
+
+
+def sample(df: DataFrame, by: list[str], value: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the values with their place _i in their cell, the cells: by, n, total, length), without unknown values. Both are written, as they are read more than once."""
     x = df.where(F.col(value).isNotNull()).select(*by, *[c for c in order if c not in by], F.col(value).cast("double").alias("_x"))
     x = kept(x, "sample")
     pieces = [*(c for c in order[:-1] if c not in by), f"{order[-1]} div {PIECE}"]
-    rows = numbered(x, by, order, pieces, "_i").select(*by, "_i", "_x", F.expr(f"_i div {PIECE}").alias("_piece"))
-    cell = Window.partitionBy(*by)
-    totals = rows.groupBy(*by, "_piece").agg(F.sum("_x").alias("_s"), F.count("*").alias("_m"))
-    totals = totals.select(*by, "_piece", (F.sum("_s").over(cell.orderBy("_piece")) - F.col("_s")).alias("_start"), F.sum("_m").over(cell).alias("n"), F.sum("_s").over(cell).alias("total"))
-    along = F.sum("_x").over(Window.partitionBy(*by, "_piece").orderBy("_i"))
-    # _sum: of the values before place _i; the sum of all stands at place n
-    upto = met(rows, totals, [*by, "_piece"]).select(*by, "n", "total", F.expr(block_length("n")).alias("length"), (F.col("_i") + 1).alias("_i"), (F.col("_start") + along).alias("_sum"))
-    upto = upto.unionByName(totals.where("_piece = 0").select(*by, "n", "total", F.expr(block_length("n")).alias("length"), F.lit(0).cast("long").alias("_i"), F.lit(0.0).alias("_sum")))
-    rest = F.expr("n % length")
-    # a sum is where blocks begin, where they end and where their parts end
-    roles = F.array(F.struct(F.col("_i").alias("start"), F.lit("b").alias("role")), F.struct((F.col("_i") - F.col("length")).alias("start"), F.lit("e").alias("role")), F.struct((F.col("_i") - rest).alias("start"), F.lit("p").alias("role")))
-    each = upto.select(*by, "n", "total", "length", "_sum", F.explode(roles).alias("_r")).where(F.expr("_r.start >= 0 and _r.start <= greatest(0, n - length)"))
-    pick = lambda role: F.max(F.when(F.col("_r.role") == role, F.col("_sum")))
-    # sums of floating numbers may differ in their last digit where a plan is run twice, so that total is no key
-    made = each.groupBy(*by, "n", "length", F.col("_r.start").alias("start")).agg(F.max("total").alias("total"), (pick("e") - pick("b")).alias("whole"), (pick("p") - pick("b")).alias("part"))
-    return kept(made, "blocks")
-
-
-def rounds(made: DataFrame, by: list[str], stream: Column | None = None, times: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    cells = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_x").alias("total")).withColumn("length", F.expr(block_length("n")))
+    return numbered(x, by, order, pieces, "_i").select(*by, "_i", "_x"), kept(cells.withColumn("_cell", F.monotonically_increasing_id()), "cells")
+
+
+def rounds(values: DataFrame, cells: DataFrame, by: list[str], stream: Column | None = None, times: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """by, n, round, blocks, moving: a round's mean of floor(n / length) whole blocks, and with the part that fills it up to n values. Cells of fewer than two blocks have none.
 
     stream: a number that gives cells draws of their own; else all cells of one size draw alike.
     """
-    cells = made.where("start = 0 and n >= 2 * length").select(*by, "n", "length")
-    own = (stream if stream is not None else F.lit(0)) + seed
-    each = cells.withColumn("_own", own.cast("long") % MODULUS).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
-    each = mixed(each.repartition(*by, "round"), F.col("_own") + F.col("round"), "_u")
-    each = mixed(each, F.col("_u") + APART, "_v")  # apart from what any block adds
-    whole = F.expr("n div length")
-    draws = each.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), whole - F.expr("if(n % length = 0, 1, 0)"))))
-    draws = mixed(mixed(draws, F.col("_u") + F.col("_block"), "_w"), F.col("_w").bitwiseXOR(F.col("_v")), "_y")
-    draws = draws.select(*by, "round", (F.col("_block") < whole).alias("_full"), F.expr(f"_y * (n - length + 1) div {MODULUS + 1}").alias("start"))
-    drawn = met(draws, made, [*by, "start"])
-    sums = drawn.groupBy(*by, "n", "length", "round").agg(F.sum(F.when(F.col("_full"), F.col("whole")).otherwise(0.0)).alias("_s"), F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("part"))).alias("_p"))
-    return sums.select(*by, "n", "round", (F.col("_s") / (whole * F.col("length"))).alias("blocks"), ((F.col("_s") + F.col("_p")) / F.col("n")).alias("moving"))
+    own = ((stream if stream is not None else F.lit(0)) + seed).cast("long") % MODULUS
+    some = cells.where("n >= 2 * length").withColumn("_own", own)
+    shares = F.expr(f"least({times}, cast(ceil({times}D * (n div length + 1) / {DRAWS}) as bigint))")
+    at = met(values, some.withColumn("_shares", shares), by).select("_cell", "n", "length", "_own", "_shares", "_i", "_x")
+    at = at.withColumn("_slice", F.explode(F.expr(f"sequence(greatest(0, _i - length + 1) div {SLICE}, least(_i, n - length) div {SLICE})")))
+    at = at.withColumn("_share", F.explode(F.expr("sequence(0L, _shares - 1)")))
+
+    def drawn(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_i")
+        cell, n, length, own, shares, at, share = (part[c][0].as_py() for c in ("_cell", "n", "length", "_own", "_shares", "_slice", "_share"))
+        turns = np.arange(share * times // shares, (share + 1) * times // shares)
+        full, rest = _drawn(part["_x"].to_numpy(), at * size, n, length, own, turns, size, at_once)
+        return pa.table({"_cell": np.full(len(turns), cell), "round": turns, "_s": full, "_p": rest})
+
+    size, at_once = SLICE, AT_ONCE  # as they are when the plan is made
+    made = at.groupBy("_cell", "_slice", "_share").applyInArrow(drawn, "_cell long, round long, _s double, _p double")
+    sums = made.groupBy("_cell", "round").agg(F.sum("_s").alias("_s"), F.sum("_p").alias("_p")).join(some, "_cell")
+    return sums.select(*by, "n", "round", (F.col("_s") / (F.expr("n div length") * F.col("length"))).alias("blocks"), ((F.col("_s") + F.col("_p")) / F.col("n")).alias("moving"))
 
 
 def interval(means: DataFrame, by: list[str], mean: Column) -> DataFrame:

@@ -171,9 +171,9 @@ METHODS = ("blocks", "moving")
 
 def bootstraps(df: DataFrame, by: list[str], value: str, order: list[str], min_n: int = MIN_SAMPLE) -> DataFrame:
     """by, method, n, mean, ci_low, ci_high: both methods from the same draws."""
-    made = resample.blocks(df, by, value, order)
-    cells = made.where("start = 0").select(*by, "n", (F.col("total") / F.col("n")).alias("mean"), F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"))
-    means = resample.rounds(made.where(F.col("n") >= min_n), by)
+    values, sizes = resample.sample(df, by, value, order)
+    cells = sizes.select(*by, "n", (F.col("total") / F.col("n")).alias("mean"), F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"))
+    means = resample.rounds(values, sizes.where(F.col("n") >= min_n), by)
     tall = means.selectExpr(*[f"`{c}`" for c in by], "stack(2, 'blocks', blocks, 'moving', moving) as (method, mean)")
     ends = resample.interval(tall, [*by, "method"], F.col("mean"))
     return selection.met(cells, ends, [*by, "method"], "left").select(*by, "method", "n", "mean", "ci_low", "ci_high")
@@ -186,10 +186,10 @@ SIDE_SAMPLE = 20
 def bootstrap_difference(df: DataFrame, by: list[str], side: str, value: str, order: list[str]) -> DataFrame:
     """n_a, n_b, ci_low, ci_high of the difference of means of side true and false, each resampled in blocks with draws of its own; null where a side has fewer than SIDE_SAMPLE values."""
     both = [*by, side]
-    made = resample.blocks(df.where(F.col(side).isNotNull()), both, value, order)
+    values, sizes = resample.sample(df.where(F.col(side).isNotNull()), both, value, order)
     size = lambda on: F.sum(F.when(F.col(side) == on, F.col("n")).otherwise(0))
-    cells = made.where("start = 0").groupBy(*by).agg(size(True).alias("n_a"), size(False).alias("n_b"))
-    means = resample.rounds(made.where(F.col("n") >= SIDE_SAMPLE), both, F.when(F.col(side), 0).otherwise(BOOTSTRAP_ROUNDS))
+    cells = sizes.groupBy(*by).agg(size(True).alias("n_a"), size(False).alias("n_b"))
+    means = resample.rounds(values, sizes.where(F.col("n") >= SIDE_SAMPLE), both, F.when(F.col(side), 0).otherwise(BOOTSTRAP_ROUNDS))
     pick = lambda on: F.max(F.when(F.col(side) == on, F.col("blocks")))
     apart = means.groupBy(*by, "round").agg((pick(True) - pick(False)).alias("_d")).where(F.col("_d").isNotNull())
     return selection.met(cells, resample.interval(apart, by, F.col("_d")), by, "left").select(*by, "n_a", "n_b", "ci_low", "ci_high")
