@@ -1,8 +1,8 @@
 """Moments and exact medians of all cells at once, with no task that holds a cell's values.
 
-Values are counted first, so that ties travel once. A value's bin is the value
-with its mantissa cut to BITS bits, which keeps the order; cells are histograms
-of such bins. The bins that hold the middle ranks are known from the counts
+A value's bin is the value with its mantissa cut to BITS bits, which keeps the
+order; cells are histograms of such bins, which tasks count before anything
+travels. Values are written, as they are read twice. The bins that hold the middle ranks are known from the counts
 alone, and only their values are looked at again. So a window holds a cell's
 bins, of which there are 2^BITS an octave at most, or the distinct values of a
 bin, which agree in all but 2^-BITS of their size. The moments come from the
@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebar.functions.shared import kept
+
 #: Mantissa bits of the bins.
-BITS = 16
+BITS = 12
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -42,8 +44,13 @@ def counted(df: DataFrame, by: list[str], x: Column) -> DataFrame:
     return df.where(x.isNotNull()).groupBy(*by, x.cast("double").alias("_x")).agg(F.count("*").alias("_c"))
 
 
+def valued(df: DataFrame, by: list[str], x: Column) -> DataFrame:
+    """by, _x, _c: each cell's non-null values, once each."""
+    return kept(df.where(x.isNotNull()).select(*by, x.cast("double").alias("_x")), "values").withColumn("_c", F.lit(1).cast("long"))
+
+
 def described(values: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, mean, m2 (squared deviations from the mean), wins (values above 0) and median of counted values."""
+    """by, n, mean, m2 (squared deviations from the mean), wins (values above 0) and median of valued or counted values."""
     names = [f"`{c}`" for c in by]
     cell = ", ".join(names) or "1"
     binned = values.select(*by, "_x", "_c", leading(F.col("_x")).alias("_bin"))
@@ -58,15 +65,16 @@ def described(values: DataFrame, by: list[str]) -> DataFrame:
     # the values of the one or two bins that the middle ranks fall in, ranked within them
     middle = found.selectExpr(*[f"{c} as `_met_{k}`" for c, k in zip(names, by, strict=True)], "n", "mean", "m2", "wins", "inline(array_distinct(array(_a, _b))) as (_met_bin, _before)")
     near = binned.join(middle, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_met_{c}")) for c in by], F.col("_bin").eqNullSafe(F.col("_met_bin"))))
+    near = near.groupBy(*by, "n", "mean", "m2", "wins", "_bin", "_before", "_x").agg(F.sum("_c").alias("_c"))
     at = near.selectExpr(*names, "n", "mean", "m2", "wins", "_x", "_c", f"_before + sum(_c) over (partition by {cell}, _bin order by _x) - _c as _at")
     taken = lambda rank: f"max(if(_at <= {rank} and _at + _c > {rank}, _x, null)) * 0.5D"
-    kept = [f"max({c}) as {c}" for c in ("n", "mean", "m2", "wins")]
-    return at.groupBy(*by).agg(*[F.expr(x) for x in kept], F.expr(f"{taken('(n - 1) div 2')} + {taken('n div 2')}").alias("median"))
+    same = [f"max({c}) as {c}" for c in ("n", "mean", "m2", "wins")]
+    return at.groupBy(*by).agg(*[F.expr(x) for x in same], F.expr(f"{taken('(n - 1) div 2')} + {taken('n div 2')}").alias("median"))
 
 
 def medians(df: DataFrame, by: list[str], x: Column) -> DataFrame:
     """by, n, median of the non-null values of x."""
-    return described(counted(df, by, x), by).select(*by, "n", "median")
+    return described(valued(df, by, x), by).select(*by, "n", "median")
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str, of: str, descending: bool = False) -> DataFrame:

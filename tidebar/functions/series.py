@@ -70,16 +70,18 @@ def crosses_down(a: Column, b: Column, w: Window) -> Column:
 
 
 def spread(bars: DataFrame, lookback: int, lookahead: int = 0, chunk_bars: int = CHUNK_BARS) -> DataFrame:
-    """bars with chunk and own: each bar in its own chunk, and as a neighbour in those whose windows reach it."""
+    """bars with chunk and own: each bar in its own chunk, and as a neighbour in those whose windows reach it. Bars that a caller has spread, far enough for all that it does with them, stay as they are."""
+    if "own" in bars.columns:
+        return bars
     first = F.greatest(F.lit(0), F.expr(f"({ORDER} - {lookahead}) div {chunk_bars}"))
     final = F.expr(f"({ORDER} + {lookback}) div {chunk_bars}")
     out = bars.withColumn("chunk", F.explode(F.sequence(first, final)))
     return out.withColumn("own", F.col("chunk") == F.expr(f"{ORDER} div {chunk_bars}"))
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """Only the bars that their chunk owns."""
-    return df.where("own").drop("own", "chunk")
+def gathered(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Only the bars that their chunk owns; all where it was given bars that a caller had spread."""
+    return df if bars is not None and "own" in bars.columns else df.where("own").drop("own", "chunk")
 
 
 def run_length(df: DataFrame, flag: str, out: str, chunk_bars: int = CHUNK_BARS) -> DataFrame:

@@ -25,7 +25,7 @@ def with_targets(bars: DataFrame, horizons=HORIZONS, atr: str | None = "atr_norm
         made[f"ret_{h}_bps"] = (F.try_divide(F.col(f"_exit_{h}"), F.col("_entry")) - 1.0) * 10_000.0
         if atr:
             made[f"ret_{h}_atr"] = F.try_divide(F.col(f"_exit_{h}") - F.col("_entry"), F.col(atr))
-    return s.gathered(df.withColumns(made)).drop("_entry", *(f"_exit_{h}" for h in horizons))
+    return s.gathered(df.withColumns(made), bars).drop("_entry", *(f"_exit_{h}" for h in horizons))
 
 
 def long(df: DataFrame, horizons=HORIZONS) -> DataFrame:
@@ -47,11 +47,13 @@ def val_sign() -> Column:
     return F.when(F.col("val") < 0, -1.0).when(F.col("val").isNotNull(), 1.0)
 
 
-def studied(bars: DataFrame, params: SqueezeParams | None = None, horizons=HORIZONS) -> DataFrame:
-    """Bars with indicators, targets, the run before the bar and whether the study counts them (valid)."""
+def studied(bars: DataFrame, params: SqueezeParams | None = None, horizons=HORIZONS, runs: bool = True, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
+    """Bars with indicators, targets, (runs) the run before the bar, and whether the study counts them (valid). Chunks are made once, for what looks back and ahead."""
     p = params or SqueezeParams()
-    df = with_targets(squeeze(bars, p), horizons)
-    df = df.withColumnRenamed("squeeze_run_before", "run_before")
+    df = s.spread(bars, p.lookback, max(horizons) + 1, chunk_bars)
+    df = s.gathered(with_targets(squeeze(df, p, runs=False), horizons))
+    if runs:
+        df = s.run_length(df, "sqz_on", "squeeze_run", chunk_bars).withColumnRenamed("squeeze_run_before", "run_before")
     valid = (F.col("bar_index") >= p.warmup) & F.col("val").isNotNull() & F.col("atr_norm").isNotNull()
     return df.withColumns({"val_sign": val_sign(), "valid": valid})
 
@@ -62,7 +64,7 @@ _EVENT = ("symbol", "interval", "bar_index", "close_time", "run_before", "val",
 def events(study: DataFrame, definition: str = "gray", horizons=HORIZONS) -> DataFrame:
     """Release events by horizon; signed: the return in the direction of val."""
     rows = study.where(F.col("valid") & is_release(definition))
-    wide = rows.select(*_EVENT, *(f"ret_{h}_{u}" for h in horizons for u in ("bps", "atr")))
+    wide = rows.select(*(c for c in _EVENT if c in study.columns), *(f"ret_{h}_{u}" for h in horizons for u in ("bps", "atr")))
     return long(wide, horizons).withColumns({"definition": F.lit(definition), "signed_bps": F.col("ret_bps") * F.col("val_sign"), "signed_atr": F.col("ret_atr") * F.col("val_sign"), "utc_hour": F.hour("close_time")})
 
 
@@ -98,8 +100,9 @@ def recent(df: DataFrame, flag: str, k: int) -> Column:
 
 def leader_bars(bars: DataFrame, leader: str, squeeze_params: SqueezeParams | None = None, wt: WaveTrendParams | None = None, dx: AdxParams | None = None) -> DataFrame:
     """Bars with the leader's primary and secondary signals and direction, squeeze states and targets."""
-    base = with_targets(squeeze(bars, squeeze_params))
-    base = s.spread(base, max(LOOKBACKS))
+    p = squeeze_params or SqueezeParams()
+    base = s.spread(bars, p.lookback + max(LOOKBACKS), max(HORIZONS) + 1)
+    base = with_targets(squeeze(base, p, runs=False))
     base = s.gathered(base.withColumns({f"recent_release_{k}": recent(base, "released", k) for k in LOOKBACKS}))
     if leader == "wavetrend":
         p = wt or WaveTrendParams()

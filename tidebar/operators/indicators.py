@@ -77,8 +77,8 @@ def _squeeze_reach() -> Column:
 
 
 @reaching(_squeeze_reach)
-def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
-    """Channels, states, momentum and its colour, and the length of the running squeeze."""
+def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: int = s.CHUNK_BARS, runs: bool = True) -> DataFrame:
+    """Channels, states, momentum and its colour, and (runs) the length of the running squeeze, which needs whole series."""
     p = params or SqueezeParams()
     check_columns(bars)
     df = _states(_channels(s.spread(bars, p.lookback, 0, chunk_bars), p))
@@ -94,8 +94,8 @@ def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: in
             "became_blue": F.col("no_sqz") & true(F.lag("sqz_on", 1).over(w)),
         }
     )
-    df = s.gathered(df).drop("_range", "_high", "_low", "_mean", "_delta")
-    return s.run_length(df, "sqz_on", "squeeze_run", chunk_bars)
+    df = s.gathered(df, bars).drop("_range", "_high", "_low", "_mean", "_delta")
+    return s.run_length(df, "sqz_on", "squeeze_run", chunk_bars) if runs else df
 
 
 def _crossed(over: pd.Series) -> pd.Series:

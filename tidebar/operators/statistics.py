@@ -25,7 +25,7 @@ def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, std, median, stderr, t_stat and win_rate of the non-null values."""
     n, mean = F.col("n"), F.col("mean")
     std = F.sqrt(F.col("m2") / F.nullif(n - 1, F.lit(0)))
-    found = selection.described(selection.counted(df, by, F.col(value)), by)
+    found = selection.described(selection.valued(df, by, F.col(value)), by)
     return found.select(*by, n, mean, std.alias("std"), "median", (std / F.sqrt(n)).alias("stderr"), F.try_divide(mean, std / F.sqrt(n)).alias("t_stat"), (F.col("wins") / n).alias("win_rate"))
 
 
@@ -48,8 +48,8 @@ def welch(df: DataFrame, by: list[str], side: Column, value: str) -> DataFrame:
 def brown_forsythe(df: DataFrame, by: list[str], side: Column, value: str) -> DataFrame:
     """Equality of spread about the medians of side true and false: statistic, ratio of deviations, ratio of median moves."""
     cell = [*by, "_side"]
-    values = selection.counted(df.withColumn("_side", side), cell, F.col(value))
-    absolute = values.groupBy(*cell, F.abs("_x").alias("_y")).agg(F.sum("_c").alias("_c")).withColumnRenamed("_y", "_x")
+    values = selection.valued(df.withColumn("_side", side), cell, F.col(value))
+    absolute = values.withColumn("_x", F.abs("_x"))
     moves = selection.described(absolute, cell).select(*cell, F.col("median").alias("_a"))
     middle = selection.described(values, cell).select(*cell, F.col("n").alias("_n"), F.col("median").alias("_m"), F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("_s"))
     z = F.abs(F.col("_x") - F.col("_m"))

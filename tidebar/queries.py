@@ -41,12 +41,12 @@ def bars2(spark: SparkSession, sf: str) -> DataFrame:
     return src.lineitem_bars(spark, sf, 2)
 
 
-def _study(spark: SparkSession, sf: str) -> DataFrame:
-    return events.studied(bars2(spark, sf), EVENT_PARAMS)
+def _study(spark: SparkSession, sf: str, runs: bool = False) -> DataFrame:
+    return events.studied(bars2(spark, sf), EVENT_PARAMS, runs=runs)
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return events.events(_study(spark, sf))
+def _events(spark: SparkSession, sf: str, runs: bool = False) -> DataFrame:
+    return events.events(_study(spark, sf, runs))
 
 
 def bars_rows2(spark, sf):
@@ -82,8 +82,8 @@ def true_range(spark, sf):
     return rounded(b.select(*AT, s.true_range(b).alias("true_range")))
 
 
-def _squeeze(spark, sf, params=None):
-    return ind.squeeze(bars2(spark, sf), params)
+def _squeeze(spark, sf, params=None, runs=False):
+    return ind.squeeze(bars2(spark, sf), params, runs=runs)
 
 
 def bollinger(spark, sf):
@@ -99,7 +99,7 @@ def squeeze_states(spark, sf):
 
 
 def squeeze_run(spark, sf):
-    return _squeeze(spark, sf, EVENT_PARAMS).select(*AT, "squeeze_run")
+    return _squeeze(spark, sf, EVENT_PARAMS, runs=True).select(*AT, "squeeze_run")
 
 
 def color_state(spark, sf):
@@ -146,7 +146,7 @@ def forward_returns(spark, sf):
 
 
 def release_events(spark, sf):
-    return rounded(_events(spark, sf).select("symbol", "bar_index", "horizon", "run_before", "utc_hour", "val", "val_norm", "val_sign", "val_rising", "ret_bps", "ret_atr"))
+    return rounded(_events(spark, sf, runs=True).select("symbol", "bar_index", "horizon", "run_before", "utc_hour", "val", "val_norm", "val_sign", "val_rising", "ret_bps", "ret_atr"))
 
 
 def baseline_bars(spark, sf):
@@ -214,7 +214,7 @@ def baseline_direction(spark, sf):
 
 def run_buckets(spark, sf):
     """Overlapping buckets: an event is in every bucket whose least run it has."""
-    rows = _events(spark, sf).where(F.col("signed_bps").isNotNull())
+    rows = _events(spark, sf, runs=True).where(F.col("signed_bps").isNotNull())
     buckets = F.array_compact(F.array(*[F.when(F.col("run_before") >= m, F.lit(m)) for m in RUN_BUCKETS]))
     tall = rows.withColumn("min_run", F.explode(buckets))
     return rounded(tall.groupBy("min_run", "horizon").agg(F.count("*").alias("n"), F.avg("ret_bps").alias("mean_raw"), F.avg("signed_bps").alias("mean_signed"), st.t_statistic(F.col("signed_bps")).alias("t_stat")).where("n >= 2"))

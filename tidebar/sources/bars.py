@@ -33,9 +33,10 @@ def numbered(rows: DataFrame, series: str | list[str], order: list[str], pieces:
         starts = before if starts is None else _met(starts, before, [*above, names[k]])
         level = level.groupBy(*above).agg(F.sum("_n").alias("_n"))
     start = sum((F.col(f"_before{k}") for k in range(len(names))), F.lit(0))
-    rows = _met(rows, starts.select(*series, *names, start.alias("_start")), [*series, *names])
+    # placed before they meet the starts: by then Spark knows how few those are, and moves the rows once
     place = F.row_number().over(Window.partitionBy(*series, *names).orderBy(*order))
-    return rows.withColumn(out, (F.col("_start") + place - 1).cast("long")).drop(*names, "_start")
+    rows = _met(rows.withColumn("_place", place), starts.select(*series, *names, start.alias("_start")), [*series, *names])
+    return rows.withColumn(out, (F.col("_start") + F.col("_place") - 1).cast("long")).drop(*names, "_start", "_place")
 
 
 def row_bars(ticks: DataFrame, symbol: str, order: list[str], price: str, volume: str, time: str, rows: int, pieces: list[str] | None = None) -> DataFrame:
