@@ -103,7 +103,7 @@ class GridSearch:
 def grid_search(spark: SparkSession, bars: DataFrame, settings: list[grid.Setting] | None = None) -> GridSearch:
     """All settings over all series in one plan; ranks, scores, neighbours and the surfaces' smoothness."""
     settings = settings or grid.build_grid()
-    ranked = grid.ranked(grid.cells(grid.grid_signals(grid.context_of(bars), settings)))
+    ranked = grid.ranked(grid.pooled(grid.symbol_sums(grid.context_of(bars), settings)))
     near = grid.neighbours(grid.grid_frame(spark, settings))
     return GridSearch(ranked, grid.selection(ranked, near), grid.plateau_p_values(grid.plateau(grid.scores(ranked), near)))
 

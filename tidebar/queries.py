@@ -297,7 +297,11 @@ def grid_neighbours(spark, sf):
 
 
 def _cells(spark, sf):
-    return grid.cells(grid.grid_signals(grid.context_of(bars2(spark, sf)), _grid()))
+    return grid.pooled(_symbol_sums(spark, sf))
+
+
+def _symbol_sums(spark, sf):
+    return grid.symbol_sums(grid.context_of(bars2(spark, sf)), _grid())
 
 
 def grid_cells(spark, sf):
@@ -458,8 +462,8 @@ def grid_blue_bars(spark, sf):
 
 
 def grid_symbol_means(spark, sf):
-    rows = grid.grid_signals(grid.context_of(bars2(spark, sf)), _grid())
-    return rounded(reports.pivoted(rows, ["setting_key", "horizon"], "symbol", {x: f"mean_atr_{x}" for x in ("A", "N", "R")}, F.avg("signed_atr")))
+    mean = F.try_divide(F.sum("sa"), F.sum("n"))  # of the intervals, of which there is one
+    return rounded(reports.pivoted(_symbol_sums(spark, sf), ["setting_key", "horizon"], "symbol", {x: f"mean_atr_{x}" for x in ("A", "N", "R")}, mean))
 
 
 def result_identity(spark, sf):
