@@ -562,3 +562,14 @@ def test_bootstraps_by_slices_and_shares(spark, monkeypatch):
     got = resample.rounds(values, cells, ["k"]).orderBy("round").toPandas()
     one, two, _ = _plain_rounds(x, 10_000, resample.BOOTSTRAP_SEED)
     assert len(got) == 10_000 and np.allclose(got.blocks, one) and np.allclose(got.moving, two)
+
+
+def test_sums_side_by_side_are_the_cells_of_signals(bars):
+    some = [x for x in grid.build_grid() if x.family == "squeeze" or x.params.get("length") == 14]
+    context = grid.context_of(bars)
+    plain = grid.cells(grid.grid_signals(context, some, 120), 1)
+    order = ["setting_key", "interval", "horizon"]
+    a = plain.orderBy(*order).toPandas()
+    b = grid.pooled(grid.symbol_sums(context, some, 120), 1).orderBy(*order).toPandas()
+    pd.testing.assert_frame_equal(a, b, check_exact=False)
+    assert len(a)

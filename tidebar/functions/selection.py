@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tidebar.functions.shared import kept
 
 #: Mantissa bits of the bins.
-BITS = 12
+BITS = 16
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
