@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SERIES = ("symbol", "interval")
@@ -134,26 +137,32 @@ def memory(alpha: float, left: float = 1e-18) -> int:
     return int(math.log(left) / math.log1p(-alpha)) + 1 if alpha < 1 else 1
 
 
+def ordered(part: pa.Table) -> pa.Table:
+    """A chunk's rows by their bars; windows leave them so."""
+    at = part[ORDER].to_numpy()
+    return part if (at[1:] >= at[:-1]).all() else part.take(pa.array(np.argsort(at, kind="stable")))
+
+
+def prices(part: pa.Table) -> pd.DataFrame:
+    return part.select([c for c in ("open", "high", "low", "close") if c in part.column_names]).to_pandas()
+
+
 def recursive(bars: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: dict[str, str], lookback: int, chunk_bars: int = CHUNK_BARS) -> DataFrame:
-    """bars with a kernel's columns (name to type); the kernel gets ordered bars of a chunk and returns its columns.
+    """bars with a kernel's columns (name to type); the kernel gets the prices of a chunk's ordered bars and returns its columns, which the task puts beside the bars, so that bars and columns don't meet in a join.
 
     A chunk that doesn't begin its series starts lookback bars early; what the
-    start value still weighs then is below the rounding of a double.
+    start value still weighs then is below the rounding of a double. Bars that a
+    caller has spread stay spread.
     """
-    series = keys(bars)
-    inputs = [c for c in (*series, ORDER, "open", "high", "low", "close") if c in bars.columns]
-    parts = spread(bars.select(*inputs), lookback, 0, chunk_bars)
-    index = dict(bars.dtypes)
-    schema = ", ".join([*(f"`{c}` {index[c]}" for c in (*series, ORDER)), *(f"`{n}` {t}" for n, t in columns.items())])
-    names = list(columns)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, kind="stable").reset_index(drop=True)
-        out = pd.concat([pdf[[*series, ORDER]], kernel(pdf)[names]], axis=1)
-        for n, t in columns.items():
-            if t == "double":  # no NaN may reach the engine
-                out[n] = out[n].astype(object).where(out[n].notna(), None)
-        return out[pdf["own"].to_numpy(dtype=bool)]
-
-    made = parts.groupBy(*series, "chunk").applyInPandas(run, schema)
-    return bars.join(made, [*series, ORDER])
+    parts = spread(bars, lookback, 0, chunk_bars)
+    carried, whole = bars.columns, "own" in bars.columns
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in bars.schema] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = ordered(part)
+        made, out = kernel(prices(part)), part.select(carried)
+        for n in columns:
+            out = out.append_column(n, pa.array(made[n].to_numpy(), from_pandas=True))  # no NaN may reach the engine
+        return out if whole else out.filter(part["own"])
+
+    return parts.groupBy(*keys(parts)).applyInArrow(run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebar.functions import selection
 from tidebar.functions import series as s
-from tidebar.operators.indicators import adx, squeeze, true, wavetrend
+from tidebar.operators.indicators import adx, adx_lines, adx_lookback, squeeze, true, wavetrend, wavetrend_lines, wavetrend_lookback
 from tidebar.params import COSTS_BPS, HORIZONS, LOOKBACKS, WARMUP_LEADER, AdxParams, SqueezeParams, WaveTrendParams
 
 DEFINITIONS = ("gray", "blue", "any")
@@ -127,3 +130,34 @@ def signals(led: DataFrame, leader: str, variant: str = "primary", k: int = 6, w
     rows = led.where((F.col("bar_index") >= warmup) & F.col("atr_norm").isNotNull() & F.col(variant))
     wide = rows.select(F.lit(leader).alias("leader"), F.lit(variant).alias("variant"), "symbol", "interval", "bar_index", "close_time", "direction", "secondary", "sqz_on", *(f"recent_release_{x}" for x in LOOKBACKS), group_of(k).alias("group"), *(f"ret_{h}_{u}" for h in HORIZONS for u in ("bps", "atr")))
     return long(wide).withColumns({"signed_bps": F.col("ret_bps") * F.col("direction"), "signed_atr": F.col("ret_atr") * F.col("direction")})
+
+
+def leader_signals(bars: DataFrame, variant: str = "primary", k: int = 6, params: SqueezeParams | None = None, warmup: int = WARMUP_LEADER, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
+    """signals of both leaders over their leader_bars, by one pass: chunks are made once, for what windows and lines look back and ahead, and only signals leave the task that finds them."""
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant}")
+    p, wt, dx = params or SqueezeParams(), WaveTrendParams(), AdxParams()
+    near = s.spread(bars, max(p.lookback + max(LOOKBACKS), wavetrend_lookback(wt), adx_lookback(dx)), max(HORIZONS) + 1, chunk_bars)
+    near = with_targets(squeeze(near, p, runs=False))
+    near = near.withColumns({f"recent_release_{x}": recent(near, "released", x) for x in LOOKBACKS})
+    rest = ["symbol", "interval", "bar_index", "close_time", "sqz_on", *(f"recent_release_{x}" for x in LOOKBACKS), *(f"ret_{h}_{u}" for h in HORIZONS for u in ("bps", "atr"))]
+    counts = F.col("own") & (F.col("bar_index") >= warmup) & F.col("atr_norm").isNotNull()
+    near = near.select("chunk", "open", "high", "low", "close", *rest, true(counts).alias("counts"))
+    kinds = {"leader": T.StringType(), "direction": T.DoubleType(), "secondary": T.BooleanType()}
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds.items()] + [T.StructField(f.name, f.dataType) for f in near.select(*rest).schema])
+
+    def found(part: pa.Table) -> pa.Table:
+        part = s.ordered(part)
+        b, counted = s.prices(part), part["counts"].to_numpy()
+        w, a = wavetrend_lines(b, wt), adx_lines(b, dx)
+        zone = (w["cross_up"] & w["oversold_zone"]) | (w["cross_down"] & w["overbought_zone"])
+        out = []
+        for name, primary, second, up in (("wavetrend", w["cross_up"] | w["cross_down"], zone, w["cross_up"]), ("adx", a["cross_threshold"], a["cross_secondary"], a["bullish"])):
+            second, up = second.to_numpy(dtype=bool), up.to_numpy(dtype=bool)
+            at = np.flatnonzero((primary.to_numpy(dtype=bool) if variant == "primary" else second) & counted)
+            own = [pa.array([name] * len(at), pa.string()), pa.array(np.where(up[at], 1.0, -1.0)), pa.array(second[at])]
+            out.append(pa.table([*own, *part.select(rest).take(pa.array(at)).columns], names=schema.names))
+        return pa.concat_tables(out)
+
+    rows = near.groupBy(*s.keys(near)).applyInArrow(found, schema).withColumns({"variant": F.lit(variant), "group": group_of(k)})
+    return long(rows).withColumns({"signed_bps": F.col("ret_bps") * F.col("direction"), "signed_atr": F.col("ret_atr") * F.col("direction")})

@@ -74,12 +74,8 @@ def event_study(study: DataFrame, definition: str = "gray", horizons=HORIZONS) -
 
 def leader_study(bars: DataFrame, variant: str = "primary", k: int = 6, params: SqueezeParams | None = None) -> DataFrame:
     """Cells of both leaders: ATR units tested, basis points beside them."""
-    rows = None
-    for leader in events.LEADERS:
-        part = events.signals(events.leader_bars(bars, leader, params), leader, variant, k)
-        rows = part if rows is None else rows.unionByName(part)
     by = ["leader", "interval", "horizon"]
-    rows = rows.where(F.col("signed_atr").isNotNull())
+    rows = events.leader_signals(bars, variant, k, params).where(F.col("signed_atr").isNotNull())
     agree = rows.groupBy(*by, "symbol").agg(F.avg("signed_atr").alias("m")).groupBy(*by).agg(st.signs_agree(F.col("m")).alias("signs_agree"))
     return tested(rows, by, "signed_atr").join(rows.groupBy(*by).agg(F.avg("signed_bps").alias("mean_bps")), by).join(agree, by)
 
