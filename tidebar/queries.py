@@ -41,6 +41,11 @@ def bars2(spark: SparkSession, sf: str) -> DataFrame:
     return src.lineitem_bars(spark, sf, 2)
 
 
+def _bars(spark: SparkSession, sf: str) -> DataFrame:
+    """bars2 written once, for queries that read them more than once: each reading numbers the line items anew."""
+    return kept(bars2(spark, sf).drop("count"), "bars")
+
+
 def _study(spark: SparkSession, sf: str, runs: bool = False) -> DataFrame:
     return events.studied(bars2(spark, sf), EVENT_PARAMS, runs=runs)
 
@@ -200,12 +205,14 @@ def _with_period(df: DataFrame, length: DataFrame) -> DataFrame:
     return df.join(length, "symbol").withColumn("period", which)
 
 
-def _lengths(spark, sf):
-    return bars2(spark, sf).groupBy("symbol").agg(F.count("*").alias("bars"))
+def _lengths(bars):
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"))
 
 
 def period_split(spark, sf):
-    return _moments(_with_period(_events(spark, sf), _lengths(spark, sf)), ["period", "horizon"], "signed_bps")
+    bars = _bars(spark, sf)
+    rows = events.events(events.studied(bars, EVENT_PARAMS, runs=False))
+    return _moments(_with_period(rows, _lengths(bars)), ["period", "horizon"], "signed_bps")
 
 
 def baseline_direction(spark, sf):
@@ -244,12 +251,8 @@ def bar_ranks(spark, sf):
     return rounded(ranked.select(*AT, "rank", (F.col("rank") / F.col("of")).alias("percentile")))
 
 
-def _led(spark, sf, leader):
-    return events.leader_bars(bars2(spark, sf), leader, EVENT_PARAMS)
-
-
 def _leader_signals(spark, sf, variant="primary"):
-    return events.signals(_led(spark, sf, "wavetrend"), "wavetrend", variant).unionByName(events.signals(_led(spark, sf, "adx"), "adx", variant))
+    return events.leader_signals(bars2(spark, sf), variant, params=EVENT_PARAMS)
 
 
 def leader_signals(spark, sf):
@@ -262,8 +265,8 @@ def leader_secondary(spark, sf):
 
 
 def leader_summary(spark, sf):
-    rows = _leader_signals(spark, sf).where(F.col("signed_atr").isNotNull())
     by = ["leader", "horizon"]
+    rows = kept(_leader_signals(spark, sf).where(F.col("signed_atr").isNotNull()).select(*by, "symbol", "signed_atr", "signed_bps"), "signals")
     each = rows.groupBy(*by, "symbol").agg(F.avg("signed_atr").alias("m")).groupBy(*by).agg(st.signs_agree(F.col("m")).alias("signs_agree"))
     bps = rows.groupBy(*by).agg(F.avg("signed_bps").alias("mean_bps"))
     return rounded(st.summary(rows, by, "signed_atr").join(each, by).join(bps, by))
@@ -328,7 +331,8 @@ CONFIRMED = ("adx[length=28, threshold=25.0]", "adx[length=14, threshold=25.0]",
 
 def _confirmed(spark, sf):
     some = [x for x in _grid() if x.key in CONFIRMED]
-    return _with_period(grid.grid_signals(grid.context_of(bars2(spark, sf)), some), _lengths(spark, sf))
+    bars = _bars(spark, sf)
+    return _with_period(grid.grid_signals(grid.context_of(bars), some), _lengths(bars))
 
 
 def part_b(spark, sf):
