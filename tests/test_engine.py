@@ -573,3 +573,47 @@ def test_sums_side_by_side_are_the_cells_of_signals(bars):
     b = grid.pooled(grid.symbol_sums(context, some, 120), 1).orderBy(*order).toPandas()
     pd.testing.assert_frame_equal(a, b, check_exact=False)
     assert len(a)
+
+
+def _holed(spark, n, seed):
+    """Bars of a walk with unknown prices."""
+    pdf, draw = walk(n, seed), np.random.default_rng(seed)
+    for c in ("high", "low", "close"):
+        pdf.loc[draw.random(n) < 0.003, c] = np.nan
+    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in pdf[["symbol", "interval", "bar_index", "open", "high", "low", "close"]].astype(object).itertuples(index=False)]
+    return spark.createDataFrame(rows, "symbol string, interval string, bar_index long, open double, high double, low double, close double").withColumn("close_time", F.timestamp_seconds(F.col("bar_index") * 3600))
+
+
+def test_frames_in_arrays_are_those_of_windows(spark):
+    """The very same doubles, in chunks too, with unknown prices."""
+    df = _holed(spark, 1500, 31)
+    close = F.col("close")
+    x = df.withColumn("tr", s.true_range(df))
+    x = x.withColumns({"mean": s.sma(x, close, 20), "deviation": s.population_std(x, close, 20) * 2.0, "range": s.sma(x, F.col("tr"), 20), "atr": s.sma(x, F.col("tr"), 100), "line": s.rolling_linreg(x, close, 20)})
+    want, got = frame(x), frame(ind.squeeze(df, chunk_bars=400, runs=False))
+    for a, b in (("tr", "true_range"), ("mean", "basis"), ("deviation", "dev"), ("range", "rangema"), ("atr", "atr_norm")):
+        assert np.array_equal(want[a].to_numpy(float), got[b].to_numpy(float), equal_nan=True), b
+    c = frame(df)
+    assert np.array_equal(want["line"].to_numpy(float), s.regressed(c["close"].to_numpy(float), c["bar_index"].to_numpy(float), 20), equal_nan=True)
+    assert len(s.means(np.arange(3.0), 20)) == 3 and len(s.deviations(np.arange(3.0), 20)) == 3
+
+
+@pytest.mark.parametrize("variant", events.VARIANTS)
+def test_leaders_in_one_pass_are_those_of_their_bars(spark, variant):
+    df = _holed(spark, 2500, 32)
+    p = SqueezeParams(kc_mult=1.0)
+    want = events.signals(events.leader_bars(df, "wavetrend", p), "wavetrend", variant).unionByName(events.signals(events.leader_bars(df, "adx", p), "adx", variant))
+    got = events.leader_signals(df, variant, params=p, chunk_bars=700)
+    order = ["leader", "bar_index", "horizon"]
+    a, b = want.orderBy(*order).toPandas(), got.orderBy(*order).toPandas()[want.columns]
+    assert len(a) > 50 and set(a["leader"]) == set(events.LEADERS)
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
+def test_grid_by_chunks_is_the_grid_of_whole_series(spark):
+    """Each chunk is summed in its task; of signals over the border each counts once."""
+    df = _holed(spark, 2500, 33)
+    order = ["setting_key", "interval", "horizon", "symbol"]
+    a, b = (grid.symbol_sums(grid.context_of(df, n), grid.build_grid(), 120).orderBy(*order).toPandas() for n in (1 << 17, 700))
+    assert len(a) > 100
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9)

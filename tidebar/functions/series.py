@@ -137,6 +137,83 @@ def memory(alpha: float, left: float = 1e-18) -> int:
     return int(math.log(left) / math.log1p(-alpha)) + 1 if alpha < 1 else 1
 
 
+# Frames within a task: the values of all frames are added from the oldest to the
+# present one, as Spark's window frames do, so that both give the same doubles.
+# Unknown values are NaN, and so is a frame that holds one or isn't full.
+
+
+def _padded(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([np.full(n - len(x), np.nan), x])
+
+
+def _shifted(x: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of all full frames of n: the oldest values, .., the present ones."""
+    full_ones = max(0, len(x) - n + 1)
+    return [x[k : k + full_ones] for k in range(n)]
+
+
+def sums(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(max(0, len(x) - n + 1))
+    for v in _shifted(x, n):
+        out += v
+    return _padded(out, len(x))
+
+
+def means(x: np.ndarray, n: int) -> np.ndarray:
+    """sma in arrays."""
+    if n < LONG or n % PART:
+        return sums(x, n) / n
+    part = sums(x, PART)
+    out = part.copy()
+    for k in range(PART, n, PART):
+        out += before(part, k)
+    return out / n
+
+
+def before(x: np.ndarray, k: int = 1) -> np.ndarray:
+    return _padded(x[: max(0, len(x) - k)], len(x))
+
+
+def most(x: np.ndarray, n: int) -> np.ndarray:
+    return _padded(np.maximum.reduce(_shifted(x, n)), len(x))
+
+
+def deviations(x: np.ndarray, n: int) -> np.ndarray:
+    """population_std in arrays."""
+    mean, squares = np.zeros(max(0, len(x) - n + 1)), np.zeros(max(0, len(x) - n + 1))
+    for k, v in enumerate(_shifted(x, n)):
+        away = v - mean
+        step = away / (k + 1)
+        mean += step
+        squares += away * (away - step)
+    return _padded(np.sqrt(squares / n), len(x))
+
+
+def regressed(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """rolling_linreg in arrays; at: places of the values."""
+    size = max(0, len(x) - n + 1)
+    place, value, together, spread_ = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
+    for k, (a, v) in enumerate(zip(_shifted(at, n), _shifted(x, n), strict=True)):
+        away = a - place
+        step = away / (k + 1)
+        place += step
+        value += (v - value) / (k + 1)
+        together += away * (v - value)
+        spread_ += away * (away - step)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(spread_ == 0, np.nan, together / spread_)
+    return sums(x, n) / n + _padded(slope, len(x)) * ((n - 1) / 2)
+
+
+def true_ranges(b: pd.DataFrame) -> np.ndarray:
+    """true_range in arrays: fmax passes over unknown prices."""
+    high, low, last_close = b["high"].to_numpy(dtype=float), b["low"].to_numpy(dtype=float), before(b["close"].to_numpy(dtype=float))
+    return np.fmax(np.fmax(high - low, np.abs(high - last_close)), np.abs(low - last_close))
+
+
+_TYPES = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
 def ordered(part: pa.Table) -> pa.Table:
     """A chunk's rows by their bars; windows leave them so."""
     at = part[ORDER].to_numpy()
@@ -144,7 +221,7 @@ def ordered(part: pa.Table) -> pa.Table:
 
 
 def prices(part: pa.Table) -> pd.DataFrame:
-    return part.select([c for c in ("open", "high", "low", "close") if c in part.column_names]).to_pandas()
+    return part.select([c for c in (ORDER, "open", "high", "low", "close") if c in part.column_names]).to_pandas()
 
 
 def recursive(bars: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: dict[str, str], lookback: int, chunk_bars: int = CHUNK_BARS) -> DataFrame:
@@ -161,8 +238,8 @@ def recursive(bars: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], c
     def run(part: pa.Table) -> pa.Table:
         part = ordered(part)
         made, out = kernel(prices(part)), part.select(carried)
-        for n in columns:
-            out = out.append_column(n, pa.array(made[n].to_numpy(), from_pandas=True))  # no NaN may reach the engine
+        for n, t in columns.items():
+            out = out.append_column(n, pa.array(np.asarray(made[n]), _TYPES[t], from_pandas=True))  # no NaN may reach the engine
         return out if whole else out.filter(part["own"])
 
     return parts.groupBy(*keys(parts)).applyInArrow(run, schema)

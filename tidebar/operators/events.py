@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidebar.functions import selection
 from tidebar.functions import series as s
-from tidebar.operators.indicators import adx, adx_lines, adx_lookback, squeeze, true, wavetrend, wavetrend_lines, wavetrend_lookback
+from tidebar.operators.indicators import adx, adx_lines, adx_lookback, squeeze, squeeze_lines, true, wavetrend, wavetrend_lines, wavetrend_lookback
 from tidebar.params import COSTS_BPS, HORIZONS, LOOKBACKS, WARMUP_LEADER, AdxParams, SqueezeParams, WaveTrendParams
 
 DEFINITIONS = ("gray", "blue", "any")
@@ -20,15 +20,24 @@ VARIANTS = ("primary", "secondary")
 
 def with_targets(bars: DataFrame, horizons=HORIZONS, atr: str | None = "atr_norm", chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
     """ret_{N}_bps and, where bars have atr, ret_{N}_atr: in at the next bar's open, out at the close N bars on; null at the end."""
-    df = s.spread(bars, 0, max(horizons) + 1, chunk_bars)
+    df = with_exits(s.spread(bars, 0, max(horizons) + 1, chunk_bars), horizons)
+    return s.gathered(returns(df, horizons, atr), bars)
+
+
+def with_exits(df: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """Spread bars with _entry, the next bar's open, and _exit_{N}, the close N bars on."""
     w = s.over(df)
-    df = df.withColumn("_entry", F.lead("open", 1).over(w)).withColumns({f"_exit_{h}": F.lead("close", h).over(w) for h in horizons})
+    return df.withColumns({"_entry": F.lead("open", 1).over(w), **{f"_exit_{h}": F.lead("close", h).over(w) for h in horizons}})
+
+
+def returns(df: DataFrame, horizons=HORIZONS, atr: str | None = "atr_norm") -> DataFrame:
+    """What with_targets makes of the exits."""
     made = {}
     for h in horizons:
         made[f"ret_{h}_bps"] = (F.try_divide(F.col(f"_exit_{h}"), F.col("_entry")) - 1.0) * 10_000.0
         if atr:
             made[f"ret_{h}_atr"] = F.try_divide(F.col(f"_exit_{h}") - F.col("_entry"), F.col(atr))
-    return s.gathered(df.withColumns(made), bars).drop("_entry", *(f"_exit_{h}" for h in horizons))
+    return df.withColumns(made).drop("_entry", *(f"_exit_{h}" for h in horizons))
 
 
 def long(df: DataFrame, horizons=HORIZONS) -> DataFrame:
@@ -54,7 +63,7 @@ def studied(bars: DataFrame, params: SqueezeParams | None = None, horizons=HORIZ
     """Bars with indicators, targets, (runs) the run before the bar, and whether the study counts them (valid). Chunks are made once, for what looks back and ahead."""
     p = params or SqueezeParams()
     df = s.spread(bars, p.lookback, max(horizons) + 1, chunk_bars)
-    df = s.gathered(with_targets(squeeze(df, p, runs=False), horizons))
+    df = s.gathered(returns(squeeze(with_exits(df, horizons), p, runs=False), horizons))
     if runs:
         df = s.run_length(df, "sqz_on", "squeeze_run", chunk_bars).withColumnRenamed("squeeze_run_before", "run_before")
     valid = (F.col("bar_index") >= p.warmup) & F.col("val").isNotNull() & F.col("atr_norm").isNotNull()
@@ -138,26 +147,29 @@ def leader_signals(bars: DataFrame, variant: str = "primary", k: int = 6, params
         raise ValueError(f"unknown variant {variant}")
     p, wt, dx = params or SqueezeParams(), WaveTrendParams(), AdxParams()
     near = s.spread(bars, max(p.lookback + max(LOOKBACKS), wavetrend_lookback(wt), adx_lookback(dx)), max(HORIZONS) + 1, chunk_bars)
-    near = with_targets(squeeze(near, p, runs=False))
-    near = near.withColumns({f"recent_release_{x}": recent(near, "released", x) for x in LOOKBACKS})
-    rest = ["symbol", "interval", "bar_index", "close_time", "sqz_on", *(f"recent_release_{x}" for x in LOOKBACKS), *(f"ret_{h}_{u}" for h in HORIZONS for u in ("bps", "atr"))]
-    counts = F.col("own") & (F.col("bar_index") >= warmup) & F.col("atr_norm").isNotNull()
-    near = near.select("chunk", "open", "high", "low", "close", *rest, true(counts).alias("counts"))
-    kinds = {"leader": T.StringType(), "direction": T.DoubleType(), "secondary": T.BooleanType()}
+    near = with_exits(near)
+    rest = ["symbol", "interval", "bar_index", "close_time", "_entry", *(f"_exit_{h}" for h in HORIZONS)]
+    near = near.select("chunk", "own", "open", "high", "low", "close", *rest)
+    flags = ["secondary", "sqz_on", *(f"recent_release_{x}" for x in LOOKBACKS)]
+    kinds = {"leader": T.StringType(), "direction": T.DoubleType(), "atr_norm": T.DoubleType(), **{c: T.BooleanType() for c in flags}}
     schema = T.StructType([T.StructField(n, t) for n, t in kinds.items()] + [T.StructField(f.name, f.dataType) for f in near.select(*rest).schema])
 
     def found(part: pa.Table) -> pa.Table:
         part = s.ordered(part)
-        b, counted = s.prices(part), part["counts"].to_numpy()
-        w, a = wavetrend_lines(b, wt), adx_lines(b, dx)
+        b = s.prices(part)
+        w, a, q = wavetrend_lines(b, wt), adx_lines(b, dx), squeeze_lines(b, p, colors=False)
+        counted = part["own"].to_numpy() & (part["bar_index"].to_numpy() >= warmup) & ~np.isnan(q["atr_norm"])
+        released = np.concatenate([[0], np.cumsum(q["released"])])
+        end = np.arange(1, len(b) + 1)
+        near_release = [released[end] > released[np.maximum(end - x, 0)] for x in LOOKBACKS]
         zone = (w["cross_up"] & w["oversold_zone"]) | (w["cross_down"] & w["overbought_zone"])
         out = []
         for name, primary, second, up in (("wavetrend", w["cross_up"] | w["cross_down"], zone, w["cross_up"]), ("adx", a["cross_threshold"], a["cross_secondary"], a["bullish"])):
             second, up = second.to_numpy(dtype=bool), up.to_numpy(dtype=bool)
             at = np.flatnonzero((primary.to_numpy(dtype=bool) if variant == "primary" else second) & counted)
-            own = [pa.array([name] * len(at), pa.string()), pa.array(np.where(up[at], 1.0, -1.0)), pa.array(second[at])]
+            own = [pa.array([name] * len(at), pa.string()), pa.array(np.where(up[at], 1.0, -1.0)), *(pa.array(x[at]) for x in (q["atr_norm"], second, q["sqz_on"], *near_release))]
             out.append(pa.table([*own, *part.select(rest).take(pa.array(at)).columns], names=schema.names))
         return pa.concat_tables(out)
 
-    rows = near.groupBy(*s.keys(near)).applyInArrow(found, schema).withColumns({"variant": F.lit(variant), "group": group_of(k)})
+    rows = returns(near.groupBy(*s.keys(near)).applyInArrow(found, schema)).withColumns({"variant": F.lit(variant), "group": group_of(k)})
     return long(rows).withColumns({"signed_bps": F.col("ret_bps") * F.col("direction"), "signed_atr": F.col("ret_atr") * F.col("direction")})

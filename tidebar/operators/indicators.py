@@ -29,45 +29,53 @@ def true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _channels(df: DataFrame, p: SqueezeParams) -> DataFrame:
-    bar_range = F.col("true_range") if p.use_true_range else F.col("high") - F.col("low")
-    df = df.withColumn("true_range", s.true_range(df)).withColumn("_range", bar_range)
-    close = F.col("close")
-    df = df.withColumns(
-        {
-            "basis": s.sma(df, close, p.bb_length),
-            "dev": s.population_std(df, close, p.bb_length) * p.bb_mult,
-            "kc_ma": s.sma(df, close, p.kc_length),
-            "rangema": s.sma(df, F.col("_range"), p.kc_length),
-            "atr_norm": s.sma(df, F.col("_range"), p.atr_length),
-            "_high": s.full(df, F.col("high"), p.momentum_length, F.max),
-            "_low": s.full(df, F.col("low"), p.momentum_length, F.min),
-            "_mean": s.sma(df, close, p.momentum_length),
-        }
-    )
-    return df.withColumns(
-        {
-            "upper_bb": F.col("basis") + F.col("dev"),
-            "lower_bb": F.col("basis") - F.col("dev"),
-            "upper_kc": F.col("kc_ma") + F.col("rangema") * p.kc_mult,
-            "lower_kc": F.col("kc_ma") - F.col("rangema") * p.kc_mult,
-            "_delta": close - ((F.col("_high") + F.col("_low")) / 2 + F.col("_mean")) / 2,
-        }
-    )
-
-
-def _states(df: DataFrame) -> DataFrame:
-    on = (F.col("lower_bb") > F.col("lower_kc")) & (F.col("upper_bb") < F.col("upper_kc"))
-    off = (F.col("lower_bb") < F.col("lower_kc")) & (F.col("upper_bb") > F.col("upper_kc"))
-    ready = F.col("dev").isNotNull() & F.col("rangema").isNotNull()
-    return df.withColumns({"sqz_on": true(on), "sqz_off": true(off), "no_sqz": ready & ~true(on) & ~true(off)})
-
-
-def color(val: Column, before: Column) -> Column:
+def momentum(b: pd.DataFrame, n: int) -> np.ndarray:
+    """The regression, at the present bar, of the close's distance to the middle of range and mean."""
+    high, low, close = (b[c].to_numpy(dtype=float) for c in ("high", "low", "close"))
+    away = close - ((s.most(high, n) + -s.most(-low, n)) / 2 + s.means(close, n)) / 2
+    return s.regressed(away, b[s.ORDER].to_numpy(dtype=float), n)
+
+
+def squeezed(mean: np.ndarray, dev: np.ndarray, middle: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the band is within the channel, around it, or known and neither."""
+    low, high, inner, outer = mean - dev, mean + dev, middle - width, middle + width
+    on, off = (low > inner) & (high < outer), (low < inner) & (high > outer)
+    return on, off, ~np.isnan(dev) & ~np.isnan(width) & ~on & ~off
+
+
+#: Colours by the number that _color gives.
+COLORS = np.array([None, "lime", "green", "red", "maroon"], dtype=object)
+
+
+def _color(val: np.ndarray, last: np.ndarray) -> np.ndarray:
     """lime and green above zero, red and maroon at or below it; the first of each is that of a move away from zero."""
-    rising = val > before
-    known = val.isNotNull() & before.isNotNull()
-    return F.when(known & (val > 0), F.when(rising, "lime").otherwise("green")).when(known, F.when(val < before, "red").otherwise("maroon"))
+    known = ~np.isnan(val) & ~np.isnan(last)
+    return COLORS[np.select([~known, val > 0], [0, np.where(val > last, 1, 2)], np.where(val < last, 3, 4))]
+
+
+SQUEEZE_COLUMNS = {
+    **dict.fromkeys(("true_range", "basis", "dev", "kc_ma", "rangema", "atr_norm", "upper_bb", "lower_bb", "upper_kc", "lower_kc"), "double"),
+    **dict.fromkeys(("sqz_on", "sqz_off", "no_sqz"), "boolean"),
+    **{"val": "double", "val_norm": "double", "val_rising": "boolean", "color_state": "string", "released": "boolean", "became_blue": "boolean"},
+}
+
+
+def squeeze_lines(b: pd.DataFrame, p: SqueezeParams, colors: bool = True) -> dict[str, np.ndarray]:
+    """Channels, states, momentum and (colors) its colour for ordered bars of one series; unknown values are NaN."""
+    close, reach = b["close"].to_numpy(dtype=float), s.true_ranges(b)
+    width = reach if p.use_true_range else b["high"].to_numpy(dtype=float) - b["low"].to_numpy(dtype=float)
+    basis, dev = s.means(close, p.bb_length), s.deviations(close, p.bb_length) * p.bb_mult
+    middle, rangema, atr = s.means(close, p.kc_length), s.means(width, p.kc_length), s.means(width, p.atr_length)
+    on, off, neither = squeezed(basis, dev, middle, rangema * p.kc_mult)
+    val = momentum(b, p.momentum_length)
+    last, was_on = s.before(val), np.concatenate([[False], on[:-1]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        norm = np.where(atr == 0, np.nan, val / atr)
+    out = {"true_range": reach, "basis": basis, "dev": dev, "kc_ma": middle, "rangema": rangema, "atr_norm": atr}
+    out |= {"upper_bb": basis + dev, "lower_bb": basis - dev, "upper_kc": middle + rangema * p.kc_mult, "lower_kc": middle - rangema * p.kc_mult}
+    out |= {"sqz_on": on, "sqz_off": off, "no_sqz": neither, "val": val, "val_norm": norm, "val_rising": val > last}
+    out |= {"color_state": _color(val, last)} if colors else {}
+    return out | {"released": off & was_on, "became_blue": neither & was_on}
 
 
 def _squeeze_reach() -> Column:
@@ -81,20 +89,7 @@ def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: in
     """Channels, states, momentum and its colour, and (runs) the length of the running squeeze, which needs whole series."""
     p = params or SqueezeParams()
     check_columns(bars)
-    df = _states(_channels(s.spread(bars, p.lookback, 0, chunk_bars), p))
-    df = df.withColumn("val", s.rolling_linreg(df, F.col("_delta"), p.momentum_length))
-    w = s.over(df)
-    before = F.lag("val", 1).over(w)
-    df = df.withColumns(
-        {
-            "val_norm": F.col("val") / F.nullif(F.col("atr_norm"), F.lit(0.0)),
-            "val_rising": true(F.col("val") > before),
-            "color_state": color(F.col("val"), before),
-            "released": F.col("sqz_off") & true(F.lag("sqz_on", 1).over(w)),
-            "became_blue": F.col("no_sqz") & true(F.lag("sqz_on", 1).over(w)),
-        }
-    )
-    df = s.gathered(df, bars).drop("_range", "_high", "_low", "_mean", "_delta")
+    df = s.recursive(bars, lambda b: squeeze_lines(b, p), SQUEEZE_COLUMNS, p.lookback, chunk_bars)
     return s.run_length(df, "sqz_on", "squeeze_run", chunk_bars) if runs else df
 
 
