@@ -249,6 +249,40 @@ def test_indicators_are_causal(spark, builder):
     causality.assert_no_look_ahead(builder, bars, 102)
 
 
+def test_builders_with_lines_share_a_pass_that_sends_the_wanted_bars(spark):
+    bars = spark.createDataFrame(pd.concat([walk(900, 3), walk(330, 4, "B")])).select("symbol", "interval", "bar_index", "open", "high", "low", "close")
+    kinds = {"squeeze": ind.squeeze, "wavetrend": ind.wavetrend, "adx": ind.adx}
+    (fused,) = causality.together(kinds)
+    assert fused.names == list(kinds)
+    some = F.col("bar_index") % 97 == 5
+    at = ["symbol", "bar_index"]
+    got = fused(bars.withColumn("wanted", some)).drop("wanted").orderBy(*at).toPandas()
+    assert len(got) == 14
+    for name, f in kinds.items():
+        want = f(bars).where(some).orderBy(*at).toPandas()
+        made = [c for c in want.columns if c not in bars.columns]
+        assert made
+        for c in made:
+            pd.testing.assert_series_equal(got[f"{name}/{c}"], want[c], check_names=False, check_exact=True)
+    # runs over several chunks, of all bars and of those wanted
+    p = SqueezeParams(kc_mult=3.0)
+    flags = ind.squeeze(bars, p, runs=False)
+    want = s.run_length(flags, "sqz_on", "squeeze_run").select(*at, "squeeze_run", "squeeze_run_before").orderBy(*at)
+    assert want.agg(F.max("squeeze_run")).first()[0] > 100
+    for rows, kept in ((bars, want), (bars.withColumn("wanted", some), want.where(some))):
+        assert ind.squeeze(rows, p, chunk_bars=50).select(*want.columns).orderBy(*at).collect() == kept.collect()
+
+    @causality.reaching(0)
+    @causality.lined(lambda b: {"x": b["close"].shift(-1)}, {"x": "double"}, 0)
+    def late(df):
+        raise AssertionError("its lines are used")
+
+    (fused,) = causality.together({"late": late})
+    cuts = causality.cut_positions(330)
+    found = causality.differences(fused, bars.where("symbol = 'B'"), cuts).collect()
+    assert {(r.cut, r.column, r.changed, r.first_index) for r in found} == {(c, "late/x", 1, c - 1) for c in cuts}
+
+
 def test_checks_run_on_whole_series_with_runs(spark, monkeypatch):
     from tidebar import queries
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidebar.functions.shared import kept
+
 SERIES = ("symbol", "interval")
 ORDER = "bar_index"
 #: Bars of one chunk; a window's task holds this many and the look-back.
@@ -211,7 +213,7 @@ def true_ranges(b: pd.DataFrame) -> np.ndarray:
     return np.fmax(np.fmax(high - low, np.abs(high - last_close)), np.abs(low - last_close))
 
 
-_TYPES = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+_TYPES = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
 
 
 def ordered(part: pa.Table) -> pa.Table:
@@ -224,22 +226,57 @@ def prices(part: pa.Table) -> pd.DataFrame:
     return part.select([c for c in (ORDER, "open", "high", "low", "close") if c in part.column_names]).to_pandas()
 
 
-def recursive(bars: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: dict[str, str], lookback: int, chunk_bars: int = CHUNK_BARS) -> DataFrame:
+def recursive(bars: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: dict[str, str], lookback: int, chunk_bars: int = CHUNK_BARS, runs: dict[str, str] | None = None) -> DataFrame:
     """bars with a kernel's columns (name to type); the kernel gets the prices of a chunk's ordered bars and returns its columns, which the task puts beside the bars, so that bars and columns don't meet in a join.
 
     A chunk that doesn't begin its series starts lookback bars early; what the
     start value still weighs then is below the rounding of a double. Bars that a
-    caller has spread stay spread.
+    caller has spread stay spread. Where bars have a column wanted, the kernel
+    sees all of them, and those wanted alone leave the task.
+
+    runs: flags (of columns) and the names of their run lengths, up to the present
+    bar and (_before) up to the one before, for bars that aren't spread. A task
+    gives the last false bar of its chunk, and one row a chunk carries it on.
     """
     parts = spread(bars, lookback, 0, chunk_bars)
-    carried, whole = bars.columns, "own" in bars.columns
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in bars.schema] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()])
+    carried, whole, some, runs = bars.columns, "own" in bars.columns, "wanted" in bars.columns, runs or {}
+    if whole and runs:
+        raise ValueError("run lengths need bars that aren't spread")
+    marks = {**{f"{x}{out}": "long" for out in runs.values() for x in ("_mine_", "_then_")}, "_end": "boolean"} if runs else {}
+    fields = [f for f in parts.schema if f.name in carried or runs and f.name == "chunk"]
+    schema = T.StructType(fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in (columns | marks).items()])
 
     def run(part: pa.Table) -> pa.Table:
         part = ordered(part)
-        made, out = kernel(prices(part)), part.select(carried)
-        for n, t in columns.items():
-            out = out.append_column(n, pa.array(np.asarray(made[n]), _TYPES[t], from_pandas=True))  # no NaN may reach the engine
-        return out if whole else out.filter(part["own"])
-
-    return parts.groupBy(*keys(parts)).applyInArrow(run, schema)
+        made, own = kernel(prices(part)), part["own"].to_numpy()
+        made = {n: np.asarray(made[n]) for n in columns}
+        keep = np.ones(len(own), dtype=bool) if whole else own
+        if some:
+            keep = keep & part["wanted"].to_numpy()
+        if runs:
+            at, end = part[ORDER].to_numpy(), np.zeros(len(own), dtype=bool)
+            end[np.flatnonzero(own)[-1:]] = True
+            for flag, out in runs.items():
+                mine = np.maximum.accumulate(np.where(own & ~made[flag], at, -1))
+                made |= {f"_mine_{out}": mine, f"_then_{out}": np.concatenate([[-1], mine[:-1]])}
+            made["_end"], keep = end, keep | end
+        rows = np.flatnonzero(keep)
+        out = part.select([f.name for f in fields]).take(pa.array(rows))
+        for n, t in (columns | marks).items():
+            out = out.append_column(n, pa.array(made[n][rows], _TYPES[t], from_pandas=True))  # no NaN may reach the engine
+        return out
+
+    df = parts.groupBy(*keys(parts)).applyInArrow(run, schema)
+    return _runs(df, list(runs.values()), some) if runs else df
+
+
+def _runs(df: DataFrame, names: list[str], some: bool) -> DataFrame:
+    """Run lengths of bars that have the last false bars of their chunk (-1 where it has none). The few that are wanted are written, so that their tasks run once."""
+    df = kept(df, "lines") if some else df
+    at = keys(df)
+    before = Window.partitionBy(*at[:-1]).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = df.where("_end").select(*at, *[F.max(f"_mine_{n}").over(before).alias(f"_carry_{n}") for n in names])
+    length = lambda n, x, shift: (F.col(ORDER) - shift - F.greatest(f"{x}{n}", F.coalesce(f"_carry_{n}", F.lit(-1)))).cast("int")
+    out = (df.where("wanted") if some else df).join(carried, at)
+    out = out.withColumns({f"{n}{end}": length(n, x, shift) for n in names for end, x, shift in (("", "_mine_", 0), ("_before", "_then_", 1))})
+    return out.drop("chunk", "_end", *[f"{x}{n}" for n in names for x in ("_mine_", "_then_", "_carry_")])

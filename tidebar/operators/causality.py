@@ -49,6 +49,16 @@ def reaching(reach: int | Callable[[], Column]) -> Callable[[FeatureBuilder], Fe
     return declared
 
 
+def lined(kernel: Callable, columns: dict[str, str], lookback: int, runs: dict[str, str] | None = None) -> Callable[[FeatureBuilder], FeatureBuilder]:
+    """Declares what a builder gives series.recursive by default, so that several share one pass over the bars (see together)."""
+
+    def declared(builder: FeatureBuilder) -> FeatureBuilder:
+        builder.lines = (kernel, columns, lookback, runs or {})
+        return builder
+
+    return declared
+
+
 #: How totals of parts of a series make those of the whole.
 MERGED = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
@@ -147,6 +157,14 @@ def _compared(cuts: DataFrame) -> DataFrame:
     return cuts.withColumns({"begin": F.greatest(F.lit(0), F.col("cut") - COMPARED).cast("long"), "end": F.col("cut").cast("long")})
 
 
+def _marked(bars: DataFrame, cuts: DataFrame) -> DataFrame:
+    """bars with wanted: whether a cut compares them."""
+    ranges = _compared(cuts).where(F.col("end") > F.col("begin"))
+    at = ranges.select(*s.SERIES, F.explode(F.sequence("begin", F.col("end") - 1)).alias(s.ORDER)).distinct()
+    at = kept(at.withColumn("_met", F.lit(True)), "wanted")
+    return bars.join(at, [*s.SERIES, s.ORDER], "left").withColumn("wanted", F.col("_met").isNotNull()).drop("_met")
+
+
 def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int] | DataFrame) -> DataFrame:
     """symbol, cut, column, changed, first_index: features that a cut changes, ROWS where rows do. cuts: of all series, or series_cuts."""
     series = list(s.SERIES)
@@ -155,13 +173,16 @@ def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int] | Data
         cuts = bars.select(*series).distinct().withColumn("cuts", F.array(*[F.lit(c) for c in sorted(cuts)]))
     # written, as are the bars compared: what Spark knows to be small is broadcast, and the bars stay where they are
     cuts = kept(cuts.select(*series, F.explode("cuts").alias("cut")), "cuts")
+    sparing = hasattr(builder, "sparing")
     if totals := getattr(builder, "totals", None):
         rows = kept(_within(bars, _compared(cuts), COMPARED), "compared")
         near = builder.features(rows.join(_totals(bars, series, totals), series)).drop(*totals)
         truncated = builder.features(rows.join(_totals_before(bars, cuts, totals), [*series, "cut"])).drop(*totals)
     else:
-        near = kept(_within(builder(bars), _compared(cuts), COMPARED), "compared")
-        truncated = builder(_within(bars, kept(_anchored(cuts, near, getattr(builder, "reach", None)), "ranges")))
+        whole = builder(_marked(bars, cuts)).drop("wanted") if sparing else builder(bars)
+        near = kept(_within(whole, _compared(cuts), COMPARED), "compared")
+        rows = _within(bars, kept(_anchored(cuts, near, getattr(builder, "reach", None)), "ranges"))
+        truncated = builder(rows.withColumn("wanted", F.col(s.ORDER) >= F.col("cut") - COMPARED)).drop("wanted") if sparing else builder(rows)
     made = [c for c in near.columns if c not in (*bars.columns, "cut")]
     kinds = dict(near.dtypes)
     values = F.struct(*[F.col(c) for c in made], F.lit(0).alias("_"))  # one row a key; repeated ones differ by their number
@@ -181,7 +202,20 @@ def differences(builder: FeatureBuilder, bars: DataFrame, cuts: list[int] | Data
 
 
 def together(builders: dict[str, FeatureBuilder]) -> list[FeatureBuilder]:
-    """Builders that add columns to bars, as one of those with a declared reach, one of those of totals and one of the others; a column is named builder/column."""
+    """Builders that add columns to bars, as one of those with declared lines, which computes all bars in one pass and sends the compared ones on, one of those with a declared reach, one of those of totals and one of the others; a column is named builder/column, and names has each one's builders."""
+
+    def fused(some: dict[str, FeatureBuilder]) -> FeatureBuilder:
+        parts = {f"{name}/": f.lines for name, f in some.items()}
+        columns = {p + c: t for p, (_, made, _, _) in parts.items() for c, t in made.items()}
+        runs = {p + flag: p + out for p, (*_, of) in parts.items() for flag, out in of.items()}
+        kernel = lambda b: {p + c: v for p, (k, *_) in parts.items() for c, v in k(b).items()}
+        reaches = {f"{name}/": f.reach for name, f in some.items()}
+
+        def build(bars: DataFrame) -> DataFrame:
+            return s.recursive(bars, kernel, columns, max(x[2] for x in parts.values()), runs=runs)
+
+        build.sparing = True
+        return reaching(lambda: F.greatest(F.lit(0), *[F.lit(r) if isinstance(r, int) else r(p) for p, r in reaches.items()]))(build)
 
     def chained(some: dict[str, FeatureBuilder]) -> FeatureBuilder:
         def build(bars: DataFrame) -> DataFrame:
@@ -203,10 +237,16 @@ def together(builders: dict[str, FeatureBuilder]) -> list[FeatureBuilder]:
     def summed(some: dict[str, FeatureBuilder]) -> FeatureBuilder:
         return totalling(**{name: x for f in some.values() for name, x in f.totals.items()})(chained({n: f.features for n, f in some.items()}))
 
-    near = {n: f for n, f in builders.items() if isinstance(getattr(f, "reach", None), int)}
+    lines = {n: f for n, f in builders.items() if hasattr(f, "lines")}
+    near = {n: f for n, f in builders.items() if n not in lines and isinstance(getattr(f, "reach", None), int)}
     total = {n: f for n, f in builders.items() if hasattr(f, "totals")}
-    rest = {n: f for n, f in builders.items() if n not in near and n not in total}
-    return [*([joined(near)] if near else []), *([summed(total)] if total else []), *([joined(rest)] if rest else [])]
+    rest = {n: f for n, f in builders.items() if n not in lines and n not in near and n not in total}
+    out = []
+    for make, some in ((fused, lines), (joined, near), (summed, total), (joined, rest)):
+        if some:
+            out.append(make(some))
+            out[-1].names = list(some)
+    return out
 
 
 def assert_no_look_ahead(builder: FeatureBuilder, bars: DataFrame, warmup: int = 0) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import scan
 from tidebar.functions import series as s
-from tidebar.operators.causality import reaching
+from tidebar.operators.causality import lined, reaching
 from tidebar.params import AdxParams, SqueezeParams, WaveTrendParams
 
 REQUIRED = ("open", "high", "low", "close")
@@ -78,19 +78,19 @@ def squeeze_lines(b: pd.DataFrame, p: SqueezeParams, colors: bool = True) -> dic
     return out | {"released": off & was_on, "became_blue": neither & was_on}
 
 
-def _squeeze_reach() -> Column:
+def _squeeze_reach(prefix: str = "") -> Column:
     """With the default parameters: the bars that windows look back on, and those of a run."""
-    run = F.greatest(F.col("squeeze_run"), F.col("squeeze_run_before") + 1)
+    run = F.greatest(F.col(f"{prefix}squeeze_run"), F.col(f"{prefix}squeeze_run_before") + 1)
     return run + SqueezeParams().lookback + 1
 
 
 @reaching(_squeeze_reach)
+@lined(lambda b: squeeze_lines(b, SqueezeParams()), SQUEEZE_COLUMNS, SqueezeParams().lookback, {"sqz_on": "squeeze_run"})
 def squeeze(bars: DataFrame, params: SqueezeParams | None = None, chunk_bars: int = s.CHUNK_BARS, runs: bool = True) -> DataFrame:
     """Channels, states, momentum and its colour, and (runs) the length of the running squeeze, which needs whole series."""
     p = params or SqueezeParams()
     check_columns(bars)
-    df = s.recursive(bars, lambda b: squeeze_lines(b, p), SQUEEZE_COLUMNS, p.lookback, chunk_bars)
-    return s.run_length(df, "sqz_on", "squeeze_run", chunk_bars) if runs else df
+    return s.recursive(bars, lambda b: squeeze_lines(b, p), SQUEEZE_COLUMNS, p.lookback, chunk_bars, {"sqz_on": "squeeze_run"} if runs else None)
 
 
 def _crossed(over: pd.Series) -> pd.Series:
@@ -116,13 +116,16 @@ def wavetrend_lookback(p: WaveTrendParams) -> int:
     return 2 * s.memory(2 / (p.channel_length + 1)) + s.memory(2 / (p.average_length + 1)) + p.signal_length + 1
 
 
+WAVETREND_COLUMNS = {**dict.fromkeys(("hlc3", "esa", "d", "ci", "wt1", "wt2"), "double"), **dict.fromkeys(("cross_up", "cross_down", "oversold_zone", "overbought_zone"), "boolean")}
+
+
 @reaching(wavetrend_lookback(WaveTrendParams()))
+@lined(lambda b: wavetrend_lines(b, WaveTrendParams()), WAVETREND_COLUMNS, wavetrend_lookback(WaveTrendParams()))
 def wavetrend(bars: DataFrame, params: WaveTrendParams | None = None, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
     """Two exponentially smoothed lines of the typical price's channel index, their crosses and zones."""
     p = params or WaveTrendParams()
     check_columns(bars)
-    columns = {**dict.fromkeys(("hlc3", "esa", "d", "ci", "wt1", "wt2"), "double"), **dict.fromkeys(("cross_up", "cross_down", "oversold_zone", "overbought_zone"), "boolean")}
-    return s.recursive(bars, lambda b: wavetrend_lines(b, p), columns, wavetrend_lookback(p), chunk_bars)
+    return s.recursive(bars, lambda b: wavetrend_lines(b, p), WAVETREND_COLUMNS, wavetrend_lookback(p), chunk_bars)
 
 
 def adx_lines(b: pd.DataFrame, p: AdxParams) -> pd.DataFrame:
@@ -148,13 +151,16 @@ def adx_lookback(p: AdxParams) -> int:
     return 2 * s.memory(1 / p.length) + 2
 
 
+ADX_COLUMNS = {**dict.fromkeys(("true_range", "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"), "double"), **dict.fromkeys(("cross_threshold", "cross_secondary", "bullish"), "boolean")}
+
+
 @reaching(adx_lookback(AdxParams()))
+@lined(lambda b: adx_lines(b, AdxParams()), ADX_COLUMNS, adx_lookback(AdxParams()))
 def adx(bars: DataFrame, params: AdxParams | None = None, chunk_bars: int = s.CHUNK_BARS) -> DataFrame:
     """Directional movement by Wilder's smoothing: an unknown index (no movement at all) is smoothed as 0."""
     p = params or AdxParams()
     check_columns(bars)
-    columns = {**dict.fromkeys(("true_range", "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"), "double"), **dict.fromkeys(("cross_threshold", "cross_secondary", "bullish"), "boolean")}
-    return s.recursive(bars.drop("true_range"), lambda b: adx_lines(b, p), columns, adx_lookback(p), chunk_bars)
+    return s.recursive(bars.drop("true_range"), lambda b: adx_lines(b, p), ADX_COLUMNS, adx_lookback(p), chunk_bars)
 
 
 def zero_divisions(lines: DataFrame, column: str) -> DataFrame:

@@ -392,8 +392,10 @@ def causality_check(spark, sf):
     bars = _prices(spark, sf)
     cuts = causality.series_cuts(bars, 102)
     out = None
-    for name, f in (("squeeze", ind.squeeze), ("wavetrend", ind.wavetrend), ("adx", ind.adx)):
-        found = causality.differences(f, bars, cuts).select(F.lit(name).alias("builder"), "column", "changed")
+    for f in causality.together({"squeeze": ind.squeeze, "wavetrend": ind.wavetrend, "adx": ind.adx}):
+        # rows that differ are those of all builders that share a pass
+        name, rows = F.split("column", "/"), F.col("column") == causality.ROWS
+        found = causality.differences(f, bars, cuts).select(F.when(rows, F.lit(", ".join(f.names))).otherwise(name[0]).alias("builder"), F.when(rows, F.col("column")).otherwise(F.element_at(name, -1)).alias("column"), "changed")
         out = found if out is None else out.union(found)
     return out.groupBy("builder", "column").agg(F.sum("changed").alias("changed"))
 
