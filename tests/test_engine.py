@@ -651,3 +651,24 @@ def test_grid_by_chunks_is_the_grid_of_whole_series(spark):
     a, b = (grid.symbol_sums(grid.context_of(df, n), grid.build_grid(), 120).orderBy(*order).toPandas() for n in (1 << 17, 700))
     assert len(a) > 100
     pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
+def test_the_same_events_give_the_same_cells_in_any_order(spark, monkeypatch):
+    """Both definitions are summed from one reading of the study, whose rows come in another order each time."""
+    from tidebar import queries
+
+    rng = np.random.default_rng(41)
+    n, read = 4000, spark.sparkContext.accumulator(0)
+    pdf = pd.DataFrame({"symbol": "A", "interval": "1h", "bar_index": np.arange(n), "val_sign": rng.choice([-1.0, 1.0], n), "valid": True, "released": rng.random(n) < 0.5, "became_blue": False, "close_time": pd.Timestamp("2020-01-01")})
+    for h in queries.HORIZONS:
+        pdf[f"ret_{h}_bps"], pdf[f"ret_{h}_atr"] = np.exp(rng.normal(size=n) * 9) * rng.choice([-1, 1], n), 0.0
+    base = spark.createDataFrame(pdf).repartition(5)
+
+    def shuffled(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part.sample(frac=1.0)
+
+    monkeypatch.setattr(queries, "_study", lambda spark, sf: base.mapInPandas(shuffled, base.schema))
+    assert [tuple(r) for r in queries.result_identity(spark, "").collect()] == [(len(queries.HORIZONS), 0, True)]
+    assert read.value == n

@@ -80,6 +80,14 @@ def events(study: DataFrame, definition: str = "gray", horizons=HORIZONS) -> Dat
     return long(wide, horizons).withColumns({"definition": F.lit(definition), "signed_bps": F.col("ret_bps") * F.col("val_sign"), "signed_atr": F.col("ret_atr") * F.col("val_sign"), "utc_hour": F.hour("close_time")})
 
 
+def defined(study: DataFrame, definitions: tuple[str, ...] = DEFINITIONS, horizons=HORIZONS) -> DataFrame:
+    """The events of any of the definitions by horizon, once each, with a flag for each definition."""
+    flags = {d: F.coalesce(is_release(d), F.lit(False)) for d in definitions}
+    rows = study.where("valid").withColumns(flags).where(" or ".join(definitions))
+    wide = rows.select("symbol", "interval", "bar_index", "val_sign", *definitions, *(f"ret_{h}_{u}" for h in horizons for u in ("bps", "atr")))
+    return long(wide, horizons).withColumn("signed_bps", F.col("ret_bps") * F.col("val_sign"))
+
+
 def baseline(study: DataFrame, horizons=HORIZONS) -> DataFrame:
     """All counted bars by horizon, events among them."""
     wide = study.where("valid").select("symbol", "interval", "bar_index", "val", "val_sign", *(f"ret_{h}_{u}" for h in horizons for u in ("bps", "atr")))
