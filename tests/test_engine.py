@@ -672,3 +672,25 @@ def test_the_same_events_give_the_same_cells_in_any_order(spark, monkeypatch):
     monkeypatch.setattr(queries, "_study", lambda spark, sf: base.mapInPandas(shuffled, base.schema))
     assert [tuple(r) for r in queries.result_identity(spark, "").collect()] == [(len(queries.HORIZONS), 0, True)]
     assert read.value == n
+
+
+def test_values_of_a_bootstrap_move_packed_and_few_times(spark, monkeypatch):
+    """What tasks draw from are pieces of many values, of which a cell's shares of the rounds take at most SHARES copies."""
+    rng = np.random.default_rng(42)
+    x = rng.normal(1, 10, 900)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, bar_index long, x double")
+    monkeypatch.setattr(resample, "DRAWS", 1000)  # 910 shares of the rounds' draws
+    moved = spark.sparkContext.accumulator(0)
+    values, cells = resample.sample(df.repartition(4), ["k"], "x", ["bar_index"])
+
+    def seen(parts):
+        for part in parts:
+            moved.add(part.num_rows)
+            yield part
+
+    plain = resample._drawn
+    monkeypatch.setattr(resample, "_drawn", lambda *a: (moved.add(len(a[0])), plain(*a))[1])
+    got = resample.rounds(values.mapInArrow(seen, values.schema), cells, ["k"]).orderBy("round").toPandas()
+    one, two, _ = _plain_rounds(x, 10_000, resample.BOOTSTRAP_SEED)
+    assert len(got) == 10_000 and np.allclose(got.blocks, one) and np.allclose(got.moving, two)
+    assert moved.value <= 1 + 4 * len(x)

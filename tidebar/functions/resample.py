@@ -1,13 +1,16 @@
 """Block bootstraps by slices of a sample: no task holds a cell's sample.
 
-A cell's values are numbered in order and cut into slices of SLICE block starts,
-which carry the values that their last blocks reach. Within a slice they are
-summed along, so that a block's sum is the difference of two sums. Which blocks a
-round takes comes from a generator of counters: the number of (round, block) is
-mixed to 31 bits, so that any task draws any part of any round, again and again
-alike. A task has a slice and a share of the rounds, of about DRAWS draws; it
-draws those rounds and adds the blocks that begin in its slice. Draws are never
-rows: only the sums of (cell, slice, round) leave the tasks.
+A cell's values are packed in order into pieces, one row each, and the pieces are
+counted along the cell. Slices of SLICE block starts are put together from the
+pieces that hold their values and those that their last blocks reach. Within a
+slice values are summed along, so that a block's sum is the difference of two
+sums. Which blocks a round takes comes from a generator of counters: the number of
+(round, block) is mixed to 31 bits, so that any task draws any part of any round,
+again and again alike. A task has a slice and a share of the rounds, of about DRAWS
+draws; it draws those rounds and adds the blocks that begin in its slice. Draws are
+never rows: only the sums of (cell, slice, round) leave the tasks. A share takes a
+copy of the slice, so that there are at most SHARES of them: what is moved stays in
+proportion to the values.
 """
 
 from __future__ import annotations
@@ -16,16 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidebar.functions.selection import met
 from tidebar.functions.shared import kept
 from tidebar.params import BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED
-from tidebar.sources.bars import numbered
 
-#: Values of one piece of a cell that values are numbered in.
+#: Steps of the order that one piece of a cell's values spans.
 PIECE = 1 << 16
-#: Block starts of one slice of a cell, draws of one task, and draws made at once.
-SLICE, DRAWS, AT_ONCE = 1 << 20, 1 << 25, 1 << 16
+#: Block starts of one slice of a cell, draws of one task, draws made at once, and most shares of a cell's rounds.
+SLICE, DRAWS, AT_ONCE, SHARES = 1 << 22, 1 << 28, 1 << 15, 4
 #: The generator: products of 31-bit numbers stay below 2^62.
 MODULUS, FIRST, SECOND, ADDED = 2147483647, 1103515245, 1588635695, 12345
 #: Beyond the number of any block.
@@ -38,18 +42,23 @@ def block_length(n: str) -> str:
     return f"greatest(10, cast(round(pow({n}, 1D / 3)) as bigint))"
 
 
-def _folded(x: np.ndarray) -> np.ndarray:
-    """x % MODULUS for x below 2^62, by shifts: MODULUS is 2^31 - 1."""
-    for _ in range(2):
-        x = (x & MODULUS) + (x >> 31)
-    return np.where(x >= MODULUS, x - MODULUS, x)
+def _folded(x: np.ndarray, spare: np.ndarray) -> None:
+    """x %= MODULUS, by the quotient: numpy divides by a constant much faster than it takes a remainder."""
+    np.floor_divide(x, MODULUS, out=spare)
+    spare *= MODULUS
+    x -= spare
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Numbers from 0 below 2^31 or so, mixed to 31 bits in two steps of a product and a folded shift."""
-    x = _folded(x * FIRST + ADDED)
-    x = _folded((x ^ (x >> 15)) * SECOND + ADDED)
-    return x ^ (x >> 13)
+def mixed(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """x, numbers from 0 below 2^31 or so, mixed to 31 bits in place, in two steps of a product and a folded shift."""
+    spare = np.empty_like(x) if spare is None else spare
+    for factor, shift in ((FIRST, 15), (SECOND, 13)):
+        x *= factor
+        x += ADDED
+        _folded(x, spare)
+        np.right_shift(x, shift, out=spare)
+        x ^= spare
+    return x
 
 
 def _drawn(values: np.ndarray, begin: int, n: int, length: int, own: int, turns: np.ndarray, size: int, at_once: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,26 +70,53 @@ def _drawn(values: np.ndarray, begin: int, n: int, length: int, own: int, turns:
     u = mixed(own + turns)
     v = mixed(u + APART)
     rows, columns = max(1, at_once // len(k)), min(len(k), at_once)
+    ahead, alone = sums[length:], here == n - length + 1
     for i in range(0, len(turns), rows):
         for j in range(0, len(k), columns):
             some = k[j : j + columns]
-            at = (mixed(mixed(u[i : i + rows, None] + some) ^ v[i : i + rows, None]) * (n - length + 1) >> 31) - begin
-            there = (at >= 0) & (at < here)
-            at = np.where(there, at, 0)
+            at = u[i : i + rows, None] + some
+            spare = np.empty_like(at)
+            mixed(at, spare)
+            at ^= v[i : i + rows, None]
+            mixed(at, spare)
+            at *= n - length + 1
+            at >>= 31
+            at -= begin
             blocks = int(np.searchsorted(some, whole))
-            full[i : i + rows] += ((sums[at[:, :blocks] + length] - sums[at[:, :blocks]]) * there[:, :blocks]).sum(axis=1)
-            if blocks < len(some):  # the last one fills the sample up
-                part[i : i + rows] += (sums[at[:, -1] + rest] - sums[at[:, -1]]) * there[:, -1]
+            last, at = at[:, blocks:], at[:, :blocks]
+            if alone:
+                full[i : i + rows] += (ahead.take(at) - sums.take(at)).sum(axis=1)
+            else:
+                turn, place = np.nonzero((at >= 0) & (at < here))
+                at = at[turn, place]
+                full[i : i + rows] += np.bincount(turn, weights=ahead.take(at) - sums.take(at), minlength=len(last))
+            if last.size:  # the last one fills the sample up
+                last = last[:, 0]
+                there = (last >= 0) & (last < here)
+                last = np.where(there, last, 0)
+                part[i : i + rows] += (sums[last + rest] - sums[last]) * there
     return full, part
 
 
 def sample(df: DataFrame, by: list[str], value: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(the values with their place _i in their cell, the cells: by, n, total, length), without unknown values. Both are written, as they are read more than once."""
-    x = df.where(F.col(value).isNotNull()).select(*by, *[c for c in order if c not in by], F.col(value).cast("double").alias("_x"))
-    x = kept(x, "sample")
-    pieces = [*(c for c in order[:-1] if c not in by), f"{order[-1]} div {PIECE}"]
-    cells = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_x").alias("total")).withColumn("length", F.expr(block_length("n")))
-    return numbered(x, by, order, pieces, "_i").select(*by, "_i", "_x"), kept(cells.withColumn("_cell", F.monotonically_increasing_id()), "cells")
+    """(pieces of the values in order: by, _start, _n, _values; the cells: by, n, total, length), without unknown values. Pieces are written, as they are read more than once."""
+    rest, span = [c for c in order[:-1] if c not in by], order[-1]
+    x = df.where(F.col(value).isNotNull()).select(*by, *rest, span, F.expr(f"{span} div {PIECE}").alias("_piece"), F.col(value).cast("double").alias("_x"))
+    group = [*by, *rest, "_piece"]
+    schema = T.StructType([x.schema[c] for c in group] + [T.StructField("_n", T.LongType()), T.StructField("_total", T.DoubleType()), T.StructField("_values", T.BinaryType())])
+
+    def packed(part: pa.Table) -> pa.Table:
+        values = part.sort_by(span)["_x"].to_numpy()
+        own = [pa.array([len(values)]), pa.array([float(values.sum())]), pa.array([values.tobytes()], pa.binary())]
+        return pa.table([*part.select(group).slice(0, 1).columns, *own], names=schema.names)
+
+    pieces = kept(x.groupBy(*group).applyInArrow(packed, schema), "sample")
+    cells = pieces.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_total").alias("total")).withColumn("length", F.expr(block_length("n")))
+    # where pieces start comes from their counts alone, one short row a piece
+    earlier = Window.partitionBy(*by).orderBy(*rest, "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    placed = met(pieces.select(*group, "_n", "_values"), starts, group).select(*by, "_start", "_n", "_values")
+    return placed, kept(cells.withColumn("_cell", F.monotonically_increasing_id()), "cells")
 
 
 def rounds(values: DataFrame, cells: DataFrame, by: list[str], stream: Column | None = None, times: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
@@ -90,16 +126,19 @@ def rounds(values: DataFrame, cells: DataFrame, by: list[str], stream: Column |
     """
     own = ((stream if stream is not None else F.lit(0)) + seed).cast("long") % MODULUS
     some = cells.where("n >= 2 * length").withColumn("_own", own)
-    shares = F.expr(f"least({times}, cast(ceil({times}D * (n div length + 1) / {DRAWS}) as bigint))")
-    at = met(values, some.withColumn("_shares", shares), by).select("_cell", "n", "length", "_own", "_shares", "_i", "_x")
-    at = at.withColumn("_slice", F.explode(F.expr(f"sequence(greatest(0, _i - length + 1) div {SLICE}, least(_i, n - length) div {SLICE})")))
+    shares = F.expr(f"least({times}, {SHARES}, cast(ceil({times}D * (n div length + 1) / {DRAWS}) as bigint))")
+    at = met(values, some.withColumn("_shares", shares), by).select("_cell", "n", "length", "_own", "_shares", "_start", "_n", "_values")
+    at = at.withColumn("_slice", F.explode(F.expr(f"sequence(greatest(0, _start - length + 1) div {SLICE}, least(_start + _n - 1, n - length) div {SLICE})")))
     at = at.withColumn("_share", F.explode(F.expr("sequence(0L, _shares - 1)")))
 
     def drawn(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_i")
         cell, n, length, own, shares, at, share = (part[c][0].as_py() for c in ("_cell", "n", "length", "_own", "_shares", "_slice", "_share"))
+        starts, packs = part["_start"].to_numpy(), part["_values"]
+        in_order = np.argsort(starts)
+        values = np.concatenate([np.frombuffer(packs[int(i)].as_buffer(), dtype=np.float64) for i in in_order])
+        skipped = at * size - int(starts[in_order[0]])
         turns = np.arange(share * times // shares, (share + 1) * times // shares)
-        full, rest = _drawn(part["_x"].to_numpy(), at * size, n, length, own, turns, size, at_once)
+        full, rest = _drawn(values[skipped : skipped + size + length - 1], at * size, n, length, own, turns, size, at_once)
         return pa.table({"_cell": np.full(len(turns), cell), "round": turns, "_s": full, "_p": rest})
 
     size, at_once = SLICE, AT_ONCE  # as they are when the plan is made
