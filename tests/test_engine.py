@@ -694,3 +694,36 @@ def test_values_of_a_bootstrap_move_packed_and_few_times(spark, monkeypatch):
     one, two, _ = _plain_rounds(x, 10_000, resample.BOOTSTRAP_SEED)
     assert len(got) == 10_000 and np.allclose(got.blocks, one) and np.allclose(got.moving, two)
     assert moved.value <= 1 + 4 * len(x)
+
+
+def test_coarse_bins_keep_the_order_and_are_few(spark):
+    rng = np.random.default_rng(43)
+    powers = 2.0 ** np.arange(-1074, 1024, 7)
+    x = np.concatenate([rng.normal(size=20_000) * 1e4, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), [0.0, -0.0, 5e-324, 1.7976931348623157e308, np.inf]])
+    x = np.sort(np.concatenate([x, -x]))
+    got = spark.createDataFrame(pd.DataFrame({"x": x, "i": np.arange(len(x))})).select("i", selection.coarse(F.col("x")).alias("b")).orderBy("i").toPandas()["b"].to_numpy()
+    assert (np.diff(got) >= 0).all() and (got == -got[::-1]).all() and (got[x == 0] == 0).all() and (np.sign(got) == np.sign(x)).all()
+    assert len(np.unique(got[(np.abs(x) > 1) & (np.abs(x) < 1e5)])) <= 2 * 17 * selection.COARSE
+
+
+def test_spreads_are_compared_by_one_reading_of_the_study(spark, monkeypatch):
+    from tidebar import queries
+
+    rng = np.random.default_rng(44)
+    n, read = 3000, spark.sparkContext.accumulator(0)
+    pdf = pd.DataFrame({"symbol": "A", "interval": "1h", "bar_index": np.arange(n), "close_time": pd.Timestamp("2020-01-01"), "val": 1.0, "val_sign": 1.0, "valid": True, "released": rng.random(n) < 0.2, "became_blue": False})
+    for h in queries.HORIZONS:
+        pdf[f"ret_{h}_bps"], pdf[f"ret_{h}_atr"] = rng.normal(size=n) * 100 * h, 0.0
+    base = spark.createDataFrame(pdf).repartition(3)
+
+    def counted(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    monkeypatch.setattr(queries, "_study", lambda spark, sf, runs=False: base.mapInPandas(counted, base.schema))
+    got = {r.horizon: r for r in queries.volatility_expansion(spark, "").collect()}
+    assert read.value == n and len(got) == len(queries.HORIZONS)
+    for h in queries.HORIZONS:
+        a, b = pdf[pdf.released][f"ret_{h}_bps"], pdf[f"ret_{h}_bps"]
+        assert (got[h].n_events, got[h].n_baseline) == (len(a), n) and np.isclose(got[h].std_ratio, a.std() / b.std(), atol=1e-6) and np.isclose(got[h].median_abs_ratio, a.abs().median() / b.abs().median(), atol=1e-6)

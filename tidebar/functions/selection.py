@@ -1,12 +1,12 @@
 """Moments and exact medians of all cells at once, with no task that holds a cell's values.
 
-A value's bin is the value with its mantissa cut to BITS bits, which keeps the
-order; cells are histograms of such bins, which tasks count before anything
-travels. Values are written, as they are read twice. The bins that hold the middle ranks are known from the counts
-alone, and only their values are looked at again. So a window holds a cell's
-bins, of which there are 2^BITS an octave at most, or the distinct values of a
-bin, which agree in all but 2^-BITS of their size. The moments come from the
-bins, each about its own edge, which loses no digits.
+Values are written, as they are read three times. First cells are histograms of
+a few bins an octave, which tasks count before anything travels: they give the
+mean and the bins of the middle ranks. Then the deviations from that mean are
+summed, and the values of those bins are counted by their leading FINE bits, which
+keep the order. Last the values of the one or two middle fine bins are ranked. So
+what travels is bounded by bins, not by values, and a window holds a cell's bins,
+or the distinct values of a fine bin, which agree in all but 2^-FINE of their size.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 
 from tidebar.functions.shared import kept
 
-#: Mantissa bits of the bins.
+#: Mantissa bits of the bins that ranks are counted in.
 BITS = 16
+#: Bins of an octave in a first histogram, and mantissa bits of the bins within the middle ones.
+COARSE, FINE = 128, 24
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -49,27 +51,44 @@ def valued(df: DataFrame, by: list[str], x: Column) -> DataFrame:
     return kept(df.where(x.isNotNull()).select(*by, x.cast("double").alias("_x")), "values").withColumn("_c", F.lit(1).cast("long"))
 
 
+def coarse(x: Column) -> Column:
+    """The number of x's bin among COARSE an octave: never falls as x rises."""
+    size = F.abs(x)
+    # below 2^1024 the logarithm is above -1075: numbers stay positive, and the sign is theirs
+    number = F.floor(F.log2(size) * COARSE).cast("long") + 1080 * COARSE
+    return F.when(size == 0, 0).when(size < float("inf"), F.when(x < 0, -number).otherwise(number)).otherwise(F.when(x < 0, -2_000_000 * COARSE).otherwise(2_000_000 * COARSE)).cast("long")
+
+
 def described(values: DataFrame, by: list[str]) -> DataFrame:
     """by, n, mean, m2 (squared deviations from the mean), wins (values above 0) and median of valued or counted values."""
     names = [f"`{c}`" for c in by]
     cell = ", ".join(names) or "1"
-    binned = values.select(*by, "_x", "_c", leading(F.col("_x")).alias("_bin"))
-    sums = ["sum(_c) as _n", "sum(_c * (_x - _bin)) as _d", "sum(_c * (_x - _bin) * (_x - _bin)) as _q", "sum(if(_x > 0, _c, 0)) as _w"]
-    bins = binned.groupBy(*by, "_bin").agg(*[F.expr(x) for x in sums])
-    ahead, center = f"sum(_n) over (partition by {cell} order by _bin) - _n", "(_bin + _d / _n)"
-    total, mean = f"sum(_n) over (partition by {cell})", f"sum(_n * {center}) over (partition by {cell}) / sum(_n) over (partition by {cell})"
-    placed = bins.selectExpr(*names, "_bin", "_n", "_d", "_q", "_w", f"{center} as _center", f"{ahead} as _before", f"{total} as _total", f"{mean} as _mean")
-    holds = lambda rank: f"max(if(_before <= {rank} and _before + _n > {rank}, struct(_bin, _before), null))"
-    moments = ["max(_total) as n", "max(_mean) as mean", "greatest(sum(_q - _d * _d / _n + _n * (_center - _mean) * (_center - _mean)), 0D) as m2", "sum(_w) as wins", f"{holds('(_total - 1) div 2')} as _a", f"{holds('_total div 2')} as _b"]
-    found = placed.groupBy(*by).agg(*[F.expr(x) for x in moments])
-    # the values of the one or two bins that the middle ranks fall in, ranked within them
-    middle = found.selectExpr(*[f"{c} as `_met_{k}`" for c, k in zip(names, by, strict=True)], "n", "mean", "m2", "wins", "inline(array_distinct(array(_a, _b))) as (_met_bin, _before)")
-    near = binned.join(middle, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_met_{c}")) for c in by], F.col("_bin").eqNullSafe(F.col("_met_bin"))))
-    near = near.groupBy(*by, "n", "mean", "m2", "wins", "_bin", "_before", "_x").agg(F.sum("_c").alias("_c"))
-    at = near.selectExpr(*names, "n", "mean", "m2", "wins", "_x", "_c", f"_before + sum(_c) over (partition by {cell}, _bin order by _x) - _c as _at")
+    binned = values.select(*by, "_x", "_c", coarse(F.col("_x")).alias("_bin"))
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"), F.expr("sum(_c * _x)").alias("_s"), F.expr("sum(if(_x > 0, _c, 0))").alias("_w"))
+    placed = bins.selectExpr(*names, "_bin", "_n", "_s", "_w", f"sum(_n) over (partition by {cell} order by _bin) - _n as _before", f"sum(_n) over (partition by {cell}) as _total")
+    holds = lambda bin_, rank: f"max(if(_before <= {rank} and _before + _n > {rank}, struct({bin_}, _before), null))"
+    low, high = "(_total - 1) div 2", "_total div 2"
+    found = placed.groupBy(*by).agg(*[F.expr(x) for x in ("max(_total) as _total", "sum(_s) / max(_total) as _about", "sum(_w) as _wins", f"{holds('_bin', low)} as _a", f"{holds('_bin', high)}._bin as _b")])
+    # no value lies between the two middle bins, so that their fine bins are counted on from the lower one's start
+    # cells are written, so that Spark knows how few they are and leaves the values where they are
+    found = kept(found.selectExpr(*names, "_total", "_about", "_wins", "_a._bin as _a", "_a._before as _start", "_b"), "cells")
+    near = met(binned, found, by)
+    inner = F.when((F.col("_bin") == F.col("_a")) | (F.col("_bin") == F.col("_b")), leading(F.col("_x"), FINE))
+    same = ["_total", "_about", "_wins", "_start"]
+    sums = near.withColumn("_fine", inner).groupBy(*by, *same, "_fine").agg(F.sum("_c").alias("_n"), F.expr("sum(_c * (_x - _about))").alias("_d"), F.expr("sum(_c * (_x - _about) * (_x - _about))").alias("_q"))
+    ranked = sums.selectExpr(*names, *same, "_fine", "_n", "_d", "_q", f"if(_fine is null, null, _start + sum(if(_fine is null, 0, _n)) over (partition by {cell} order by _fine) - _n) as _before")
+    moments = ["max(_total) as n", "max(_about) + sum(_d) / max(_total) as mean", "greatest(sum(_q) - sum(_d) * sum(_d) / max(_total), 0D) as m2", "max(_wins) as wins", f"{holds('_fine', low)} as _a", f"{holds('_fine', high)}._fine as _b"]
+    middle = kept(ranked.groupBy(*by).agg(*[F.expr(x) for x in moments]).selectExpr(*names, "n", "mean", "m2", "wins", "_a._fine as _a", "_a._before as _start", "_b"), "cells")
+    # the values of the one or two fine bins that the middle ranks fall in, ranked within them; others are told by their size
+    size = F.abs("_x")
+    about = (size >= F.least(F.abs("_a"), F.abs("_b"))) & (size <= F.greatest(F.abs("_a"), F.abs("_b")) * (1 + 2.0 ** (1 - FINE)) + 1e-300)
+    fine = leading(F.col("_x"), FINE)
+    near = met(values.select(*by, "_x", "_c"), middle, by).where(about).where((fine == F.col("_a")) | (fine == F.col("_b")))
+    same = ["n", "mean", "m2", "wins", "_start"]
+    near = near.groupBy(*by, *same, "_x").agg(F.sum("_c").alias("_c"))
+    at = near.selectExpr(*names, *same, "_x", "_c", f"_start + sum(_c) over (partition by {cell} order by _x) - _c as _at")
     taken = lambda rank: f"max(if(_at <= {rank} and _at + _c > {rank}, _x, null)) * 0.5D"
-    same = [f"max({c}) as {c}" for c in ("n", "mean", "m2", "wins")]
-    return at.groupBy(*by).agg(*[F.expr(x) for x in same], F.expr(f"{taken('(n - 1) div 2')} + {taken('n div 2')}").alias("median"))
+    return at.groupBy(*by).agg(*[F.expr(f"max({c}) as {c}") for c in same[:-1]], F.expr(f"{taken('(n - 1) div 2')} + {taken('n div 2')}").alias("median"))
 
 
 def medians(df: DataFrame, by: list[str], x: Column) -> DataFrame:

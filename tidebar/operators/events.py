@@ -88,9 +88,9 @@ def defined(study: DataFrame, definitions: tuple[str, ...] = DEFINITIONS, horizo
     return long(wide, horizons).withColumn("signed_bps", F.col("ret_bps") * F.col("val_sign"))
 
 
-def baseline(study: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """All counted bars by horizon, events among them."""
-    wide = study.where("valid").select("symbol", "interval", "bar_index", "val", "val_sign", *(f"ret_{h}_{u}" for h in horizons for u in ("bps", "atr")))
+def baseline(study: DataFrame, horizons=HORIZONS, more: tuple[str, ...] = ()) -> DataFrame:
+    """All counted bars by horizon, events among them, with more columns of theirs."""
+    wide = study.where("valid").select("symbol", "interval", "bar_index", "val", "val_sign", *more, *(f"ret_{h}_{u}" for h in horizons for u in ("bps", "atr")))
     return long(wide, horizons).withColumn("signed_bps", F.col("ret_bps") * F.col("val_sign"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tidebar.functions import distributions as d
 from tidebar.functions import resample, selection
+from tidebar.functions.shared import kept
 from tidebar.params import BOOTSTRAP_ROUNDS, COSTS_BPS, MIN_SAMPLE
 
 #: Indexes of a chunk of a series that is thinned.
@@ -51,7 +52,7 @@ def brown_forsythe(df: DataFrame, by: list[str], side: Column, value: str) -> Da
     values = selection.valued(df.withColumn("_side", side), cell, F.col(value))
     absolute = values.withColumn("_x", F.abs("_x"))
     moves = selection.described(absolute, cell).select(*cell, F.col("median").alias("_a"))
-    middle = selection.described(values, cell).select(*cell, F.col("n").alias("_n"), F.col("median").alias("_m"), F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("_s"))
+    middle = kept(selection.described(values, cell).select(*cell, F.col("n").alias("_n"), F.col("median").alias("_m"), F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("_s")), "cells")
     z = F.abs(F.col("_x") - F.col("_m"))
     far = selection.met(values, middle, cell).groupBy(*cell).agg(F.max("_n").alias("_n"), F.max("_s").alias("_s"), F.sum(F.col("_c") * z).alias("_z"), F.sum(F.col("_c") * z * z).alias("_q"))
     mean = F.col("_z") / F.col("_n")

@@ -239,9 +239,10 @@ def hour_of_day(spark, sf):
 
 
 def volatility_expansion(spark, sf):
-    ev = _events(spark, sf).select("horizon", "ret_bps", F.lit(True).alias("event"))
-    base = events.baseline(_study(spark, sf)).select("horizon", "ret_bps", F.lit(False).alias("event"))
-    return rounded(st.brown_forsythe(ev.union(base), ["horizon"], F.col("event"), "ret_bps"))
+    """An event is among the bars it is held against, so that its return counts on both sides of one reading."""
+    rows = events.baseline(_study(spark, sf), more=("released",)).where(F.col("ret_bps").isNotNull())
+    both = rows.select("horizon", "ret_bps", F.explode(F.when(events.is_release("gray"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("event"))
+    return rounded(st.brown_forsythe(both, ["horizon"], F.col("event"), "ret_bps"))
 
 
 def bar_ranks(spark, sf):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebar.functions.shared import kept
+
 
 def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on equal keys, nulls among them."""
@@ -33,9 +35,10 @@ def numbered(rows: DataFrame, series: str | list[str], order: list[str], pieces:
         starts = before if starts is None else _met(starts, before, [*above, names[k]])
         level = level.groupBy(*above).agg(F.sum("_n").alias("_n"))
     start = sum((F.col(f"_before{k}") for k in range(len(names))), F.lit(0))
-    # placed before they meet the starts: by then Spark knows how few those are, and moves the rows once
+    # the starts are written first, so that Spark knows how few they are and moves the rows once
+    starts = kept(starts.select(*series, *names, start.alias("_start")), "starts")
     place = F.row_number().over(Window.partitionBy(*series, *names).orderBy(*order))
-    rows = _met(rows.withColumn("_place", place), starts.select(*series, *names, start.alias("_start")), [*series, *names])
+    rows = _met(rows.withColumn("_place", place), starts, [*series, *names])
     return rows.withColumn(out, (F.col("_start") + F.col("_place") - 1).cast("long")).drop(*names, "_start", "_place")
 
 
